@@ -31,34 +31,34 @@ def asofs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FACTS_Q}
-SELECT cik, "end", {R('val', 2)} AS val, accn, filed FROM facts_q WHERE tag = '{TAG}' AND filed <= DATE '1998-06-30'
+SELECT cik, "end", val, accn, filed FROM facts_q WHERE tag = '{TAG}' AND filed <= DATE '1998-06-30'
 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY "end" DESC, filed DESC, accn DESC) = 1""")
 def pit_latest_fact(spark, sf_dir):
     rows = facts.latest_facts(standins.facts_quarterly(spark, sf_dir), TAG, "1998-06-30")
-    return rounded(rows.select("cik", "end", "val", "accn", "filed"), 2)
+    return rows.select("cik", "end", "val", "accn", "filed")
 
 
 @query(f"""WITH {FACTS_T}, {ASOFS}
-SELECT asof, cik, "end", {R('val', 2)} AS val, filed FROM asofs JOIN facts_t ON filed <= asof
+SELECT asof, cik, "end", val, filed FROM asofs JOIN facts_t ON filed <= asof
 QUALIFY row_number() OVER (PARTITION BY asof, cik ORDER BY "end" DESC, filed DESC, accn DESC) = 1""")
 def pit_facts_panel(spark, sf_dir):
     rows = facts.facts_at(standins.facts_total(spark, sf_dir), ["TOTAL"], asofs(spark, sf_dir), "asof", LAST)
-    return rounded(rows.select("asof", "cik", "end", "val", "filed"), 2)
+    return rows.select("asof", "cik", "end", "val", "filed")
 
 
 @query(f"""WITH {FACTS_T}
-SELECT cik, "end", {R('val', 2)} AS val, filed FROM facts_t
+SELECT cik, "end", val, filed FROM facts_t
 QUALIFY row_number() OVER (PARTITION BY cik, "end" ORDER BY filed DESC, accn DESC) = 1""")
 def restated_facts(spark, sf_dir):
     rows = facts.restated(standins.facts_total(spark, sf_dir))
-    return rounded(rows.select("cik", "end", "val", "filed"), 2)
+    return rows.select("cik", "end", "val", "filed")
 
 
 @query(f"""WITH {FACTS_Q}
-SELECT cik, tag, "end", {R('val', 2)} AS val FROM facts_q WHERE tag IN ('2-HIGH', '5-LOW')""")
+SELECT cik, tag, "end", val FROM facts_q WHERE tag IN ('2-HIGH', '5-LOW')""")
 def facts_by_tag(spark, sf_dir):
     rows = facts.read_facts(standins.facts_quarterly(spark, sf_dir), ["2-HIGH", "5-LOW"])
-    return rounded(rows.select("cik", "tag", "end", "val"), 2)
+    return rows.select("cik", "tag", "end", "val")
 
 
 @query(f"""WITH {FILINGS}
@@ -86,7 +86,7 @@ allf AS (
   UNION ALL SELECT cik, "end" - 364, "end", '10-K', val FROM facts_y WHERE tag = '5-LOW'
   UNION ALL SELECT cik, NULL, "end", '10-K', val FROM facts_y WHERE tag = '5-LOW'
   UNION ALL SELECT cik, "end" - 180, "end", '10-Q', val FROM facts_y WHERE tag = '5-LOW')
-SELECT cik, start, "end", form, {R('val', 2)} AS val FROM allf
+SELECT cik, start, "end", form, val FROM allf
 WHERE start IS NOT NULL AND CASE WHEN form = '10-K' THEN "end" - start BETWEEN 340 AND 400
                                  ELSE "end" - start BETWEEN 80 AND 100 END""")
 def form_matched_durations(spark, sf_dir):
@@ -98,7 +98,7 @@ def form_matched_durations(spark, sf_dir):
         .unionByName(yearly.select(cols))
         .unionByName(yearly.withColumn("start", F.date_sub("end", 180)).withColumn("form", F.lit("10-Q")).select(cols))
     )
-    return rounded(facts.form_matched_durations(rows), 2)
+    return facts.form_matched_durations(rows)
 
 
 # Thresholds that split the stand-in suppliers.
@@ -226,11 +226,11 @@ def signal_earnings_surprise(spark, sf_dir):
 
 
 @query(f"""WITH {PANEL_M}, dates AS (SELECT unnest([DATE '1997-06-01', DATE '1999-01-01']) AS asof)
-SELECT d.asof, p.symbol, {R('p.close', 9)} AS score FROM dates d JOIN panel p ON p.ts = d.asof""")
+SELECT d.asof, p.symbol, p.close AS score FROM dates d JOIN panel p ON p.ts = d.asof""")
 def signal_per_date(spark, sf_dir):
     panel = monthly_panel(spark, sf_dir)
 
     def close_on(day):
         return panel.filter(F.col("ts") == F.lit(day).cast("date")).select("symbol", F.col("close").alias("score"))
 
-    return rounded(signals.per_date(close_on, ["1997-06-01", "1999-01-01"]), 9)
+    return signals.per_date(close_on, ["1997-06-01", "1999-01-01"])

@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import costs
-from tidemark.operators import longshort, lots, portfolio, statistics, volatility
+from tidemark.operators import canonical, longshort, lots, portfolio, statistics, volatility, vote
 from tidemark.operators.calendar import holds, trading_days
 from tidemark.plans import standins
 from tidemark.plans.queries_facts import MOMENTUM, UNIVERSE, momentum_scores, universe_frame
 from tidemark.plans.queries_prices import (
-    PANEL_D, PANEL_M, _ADJUSTED, adjusted_dividends, daily_market, monthly_closes, _MARKET,
+    JUMP_D, PANEL_D, PANEL_M, _ADJUSTED, adjusted_dividends, daily_votes, monthly_closes, monthly_panel,
 )
-from tidemark.plans.registry import DIVIDENDS, R, query, rounded
+from tidemark.plans.registry import R, query, rounded
 
 # --- long-short ---------------------------------------------------------------------
 
@@ -60,9 +60,9 @@ def momentum_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         monthly_closes(spark, sf_dir), momentum_scores(spark, sf_dir), dividends=adjusted_dividends(spark, sf_dir))
 
 
-@query(f"WITH {PANEL_M}, {HOLDS_M} SELECT formed, held_to, symbol, {R('p0')} AS p0, {R('p1')} AS p1 FROM priced")
+@query(f"WITH {PANEL_M}, {HOLDS_M} SELECT formed, held_to, symbol, p0, p1 FROM priced")
 def priced_holds(spark, sf_dir):
-    return rounded(longshort.priced_holds(monthly_closes(spark, sf_dir)))
+    return longshort.priced_holds(monthly_closes(spark, sf_dir))
 
 
 @query(f"""WITH {MOMENTUM},
@@ -148,13 +148,13 @@ _NOTIONAL = "abs(l_extendedprice)"
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, l_partkey,
-       {R(f'{_NOTIONAL} * (5.0 / 2 / 1e4 + 0.1 * l_tax * sqrt({_NOTIONAL} / greatest(l_quantity * 100, 1.0)))', 4)} AS cost
+       {_NOTIONAL} * (5.0 / 2 / 1e4 + 0.1 * l_tax * sqrt({_NOTIONAL} / greatest(l_quantity * 100, 1.0))) AS cost
 FROM lineitem""")
 def trade_costs(spark, sf_dir):
     li = standins.table(spark, sf_dir, "lineitem")
     cost = costs.current_model().estimate(
         F.col("l_extendedprice"), F.lit(-1.0), F.col("l_quantity") * 100, F.col("l_tax"))
-    return rounded(li.select("l_orderkey", "l_linenumber", "l_partkey", cost.alias("cost")), 4)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", cost.alias("cost"))
 
 
 FILLS = """fills AS (
@@ -174,16 +174,15 @@ lots AS (
 
 
 @query(f"""WITH {FILLS}
-SELECT account, symbol, sell_day, sell_order, sell_line, buy_day, buy_order, buy_line, {R('qty', 4)} AS qty,
-       {R('qty * (sell_price - buy_price)', 2)} AS gain, sell_day - buy_day > 365 AS long_term, sell_day < buy_day AS out_of_order
+SELECT account, symbol, sell_day, sell_order, sell_line, buy_day, buy_order, buy_line, qty,
+       qty * (sell_price - buy_price) AS gain, sell_day - buy_day > 365 AS long_term, sell_day < buy_day AS out_of_order
 FROM lots""")
 def fifo_lots(spark, sf_dir):
     m = lots.match_lots(standins.fills(spark, sf_dir))
     return m.select(
         "account", "symbol", "sell_day", F.col("sell_seq.l_orderkey").alias("sell_order"),
         F.col("sell_seq.l_linenumber").alias("sell_line"), "buy_day", F.col("buy_seq.l_orderkey").alias("buy_order"),
-        F.col("buy_seq.l_linenumber").alias("buy_line"), F.round("qty", 4).alias("qty"), F.round("gain", 2).alias("gain"),
-        "long_term", "out_of_order")
+        F.col("buy_seq.l_linenumber").alias("buy_line"), "qty", "gain", "long_term", "out_of_order")
 
 
 @query(f"""WITH {FILLS}, bought AS (SELECT account, symbol, sum(qty) AS b FROM fills WHERE is_buy GROUP BY 1, 2)
@@ -294,13 +293,13 @@ def _snapshot(spark, sf_dir):
 lines AS (SELECT account, symbol, coalesce(qty, 0) AS qty, coalesce(weight, 0) AS weight FROM snapshot FULL JOIN book USING (account, symbol)),
 priced AS (SELECT l.*, p.close FROM lines l JOIN prices p USING (symbol)),
 val AS (SELECT account, sum(qty * close) + coalesce(any_value(cash), 0) AS v FROM priced LEFT JOIN cash USING (account) GROUP BY 1)
-SELECT account, symbol, CASE WHEN weight * v / close - qty > 0 THEN 1 ELSE 0 END AS side_rank, {R('close', 4)} AS close,
+SELECT account, symbol, CASE WHEN weight * v / close - qty > 0 THEN 1 ELSE 0 END AS side_rank, close,
        {R('weight', 8)} AS target_weight, {R('qty * close / v', 8)} AS current_weight, {R('weight * v / close - qty', 5)} AS delta
 FROM priced JOIN val USING (account)
 WHERE abs(weight - qty * close / v) >= 0.004 AND abs(weight * v / close - qty) * close >= 1e-6""")
 def drift_orders(spark, sf_dir):
     o = portfolio.drift_orders(*_snapshot(spark, sf_dir), 0.004)
-    return o.select("account", "symbol", "side_rank", F.round("close", 4).alias("close"),
+    return o.select("account", "symbol", "side_rank", "close",
                     F.round("target_weight", 8).alias("target_weight"), F.round("current_weight", 8).alias("current_weight"),
                     F.round("delta", 5).alias("delta"))
 
@@ -308,7 +307,7 @@ def drift_orders(spark, sf_dir):
 @query(f"""WITH {PANEL_D},
 holdings AS (SELECT user_id % 7 AS account, 'U' || user_id AS symbol, DATE '2024-01-01' + CAST(event_id % 30 AS INTEGER) AS day,
                     count(*) AS qty FROM events GROUP BY 1, 2, 3)
-SELECT h.account, h.symbol, h.day, h.qty, max(t.ts) AS last_ts, {R('arg_max(t.close, t.ts)')} AS price
+SELECT h.account, h.symbol, h.day, h.qty, max(t.ts) AS last_ts, arg_max(t.close, t.ts) AS price
 FROM holdings h LEFT JOIN truncated t ON t.symbol = h.symbol AND t.ts < h.day
 WHERE NOT EXISTS (SELECT 1 FROM truncated c WHERE c.symbol = h.symbol AND c.ts = h.day) GROUP BY 1, 2, 3, 4""")
 def left_panel(spark, sf_dir):
@@ -316,13 +315,10 @@ def left_panel(spark, sf_dir):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 30).cast("int"))
     holdings = e.groupBy((F.col("user_id") % 7).alias("account"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"),
                          day.alias("day")).agg(F.count(F.lit(1)).alias("qty"))
-    return rounded(portfolio.left_panel(holdings, _daily_closes(spark, sf_dir)))
+    return portfolio.left_panel(holdings, _daily_closes(spark, sf_dir))
 
 
 def _daily_closes(spark, sf_dir):
-    from tidemark.operators import canonical, vote
-    from tidemark.plans.queries_prices import JUMP_D, daily_votes
-
     return canonical.read_canonical(vote.verdicts(daily_votes(spark, sf_dir)), max_jump=JUMP_D, newest=None)
 
 
@@ -357,8 +353,6 @@ _LAMBDAS = {"ewma": volatility.LAMBDA, "slow": 0.97}
 
 
 def _walk_bars(spark, sf_dir):
-    from tidemark.plans.queries_prices import monthly_panel
-
     return monthly_panel(spark, sf_dir).select("symbol", "ts", "close")
 
 

@@ -58,21 +58,21 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BARS_D}
 SELECT symbol, ts, source, volume,
-       {R("close + CASE WHEN day(ts) % 9 = 0 THEN 2.0 WHEN day(ts) % 3 = 0 THEN 1.0 ELSE 0.0 END")} AS close
+       close + CASE WHEN day(ts) % 9 = 0 THEN 2.0 WHEN day(ts) % 3 = 0 THEN 1.0 ELSE 0.0 END AS close
 FROM bars_d WHERE ts BETWEEN DATE '2024-01-03' AND DATE '2024-01-27'""")
 def bars_newest_wins(spark, sf_dir):
     rows = select_bars(_history(spark, sf_dir), start="2024-01-03", end="2024-01-27")
-    return rounded(rows.select("symbol", "ts", "source", "volume", "close"))
+    return rows.select("symbol", "ts", "source", "volume", "close")
 
 
-@query(f"WITH {VERDICTS_D} SELECT symbol, ts, {R('close')} AS close, n_sources, status FROM verdicts")
+@query(f"WITH {VERDICTS_D} SELECT symbol, ts, close, n_sources, status FROM verdicts")
 def vote_verdicts(spark, sf_dir):
-    return rounded(vote.verdicts(daily_votes(spark, sf_dir)))
+    return vote.verdicts(daily_votes(spark, sf_dir))
 
 
-@query(f"WITH {VERDICTS_M} SELECT symbol, ts, {R('close')} AS close, n_sources, status FROM verdicts")
+@query(f"WITH {VERDICTS_M} SELECT symbol, ts, close, n_sources, status FROM verdicts")
 def vote_verdicts_monthly(spark, sf_dir):
-    return rounded(monthly_verdicts(spark, sf_dir))
+    return monthly_verdicts(spark, sf_dir)
 
 
 @query(f"""WITH {VERDICTS_M}
@@ -93,48 +93,48 @@ others AS (
 SELECT CASE WHEN v.status = 'majority' THEN 'reconcile.majority' ELSE 'reconcile.quarantine' END AS kind,
        v.symbol, v.ts, v.n_sources, array_to_string(v.agreeing, ',') AS agreeing,
        CASE WHEN v.agreeing IS NOT NULL THEN array_to_string(o.dissenting, ',') END AS dissenting,
-       {R('o.total')} AS sum_closes, {R('v.close')} AS close
+       {R('o.total')} AS sum_closes, v.close
 FROM verdicts v JOIN others o ON v.symbol = o.symbol AND v.ts = o.ts WHERE v.status <> 'ok'""")
 def vote_dissent_events(spark, sf_dir):
     e = vote.dissent_events(daily_votes(spark, sf_dir), TOL_D)
     total = F.aggregate(F.map_values("closes"), F.lit(0.0), lambda a, x: a + x)
     return rounded(e.select(
         "kind", "symbol", "ts", "n_sources", F.array_join("agreeing", ",").alias("agreeing"),
-        F.array_join("dissenting", ",").alias("dissenting"), total.alias("sum_closes"), "close"))
+        F.array_join("dissenting", ",").alias("dissenting"), total.alias("sum_closes"), "close"), exact=("close",))
 
 
-@query(f"WITH {PANEL_M} SELECT t.symbol, t.ts, {R('t.close')} AS close, v.n_sources, v.status "
+@query(f"WITH {PANEL_M} SELECT t.symbol, t.ts, t.close, v.n_sources, v.status "
        "FROM truncated t JOIN verdicts v ON t.symbol = v.symbol AND t.ts = v.ts")
 def canonical_read(spark, sf_dir):
-    return rounded(monthly_closes(spark, sf_dir))
+    return monthly_closes(spark, sf_dir)
 
 
 @query(f"""WITH {VERDICTS_M}, {panel_sql(JUMP_M, 1, "ts >= DATE '1997-12-22' AND ts <= DATE '2000-06-30'")}
-SELECT symbol, ts, {R('close')} AS close FROM truncated WHERE ts >= DATE '1998-01-01'""")
+SELECT symbol, ts, close FROM truncated WHERE ts >= DATE '1998-01-01'""")
 def canonical_window(spark, sf_dir):
     rows = canonical.read_canonical(
         monthly_verdicts(spark, sf_dir), start="1998-01-01", end="2000-06-30", min_sources=1, max_jump=JUMP_M, newest=None)
-    return rounded(rows.select("symbol", "ts", "close"))
+    return rows.select("symbol", "ts", "close")
 
 
-@query(f"WITH {PANEL_D} SELECT symbol, ts, {R('close')} AS close FROM truncated")
+@query(f"WITH {PANEL_D} SELECT symbol, ts, close FROM truncated")
 def level_break_tail(spark, sf_dir):
     rows = canonical.vetted(vote.verdicts(daily_votes(spark, sf_dir)), newest=None)
-    return rounded(canonical.drop_before_break(rows, JUMP_D).select("symbol", "ts", "close"))
+    return canonical.drop_before_break(rows, JUMP_D).select("symbol", "ts", "close")
 
 
 @query(f"""WITH {PANEL_D}
-SELECT p.symbol, p.ts, {R('p.close')} AS close, min(b.ts) AS next_break
+SELECT p.symbol, p.ts, p.close, min(b.ts) AS next_break
 FROM panel p LEFT JOIN breaks b ON p.symbol = b.symbol AND b.ts > p.ts GROUP BY p.symbol, p.ts, p.close""")
 def level_break_panel(spark, sf_dir):
-    return rounded(canonical.canonical_panel(vote.verdicts(daily_votes(spark, sf_dir)), max_jump=JUMP_D, newest=None))
+    return canonical.canonical_panel(vote.verdicts(daily_votes(spark, sf_dir)), max_jump=JUMP_D, newest=None)
 
 
 @query(f"""WITH {BARS_M}, {vote_sql('bars_m', TOL_M)},
 again AS (
   SELECT symbol, ts, n_sources, status, close, 1 AS batch FROM verdicts
   UNION ALL SELECT symbol, ts, n_sources, 'quarantined', NULL, 2 FROM verdicts WHERE year(ts) = 1997 AND status = 'ok')
-SELECT symbol, ts, {R('close')} AS close, n_sources, status FROM (
+SELECT symbol, ts, close, n_sources, status FROM (
   SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY batch DESC) = 1)
 WHERE status <> 'quarantined' AND n_sources >= 2""")
 def canonical_retraction(spark, sf_dir):
@@ -143,7 +143,7 @@ def canonical_retraction(spark, sf_dir):
     later = v.filter((F.year("ts") == 1997) & (F.col("status") == "ok")).select(
         "symbol", "ts", F.lit(None).cast("double").alias("close"), "n_sources", F.lit("quarantined").alias("status"),
         F.to_timestamp(F.lit("2024-01-02")).alias("batch_ts"))
-    return rounded(canonical.vetted(first.unionByName(later)))
+    return canonical.vetted(first.unionByName(later))
 
 
 _ADJUSTED = f"""{DIVIDENDS}, {SPLITS},
@@ -186,12 +186,11 @@ def daily_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_MARKET}
-SELECT symbol, ts, {R('close')} AS close, {R('adv')} AS adv, {R('sigma', 9)} AS sigma
+SELECT symbol, ts, close, {R('adv')} AS adv, {R('sigma', 9)} AS sigma
 FROM market WHERE ts >= DATE '2024-01-05'""")
 def market_frame(spark, sf_dir):
     m = daily_market(spark, sf_dir)
-    return m.select("symbol", "ts", F.round("close", 6).alias("close"), F.round("adv", 6).alias("adv"),
-                    F.round("sigma", 9).alias("sigma"))
+    return m.select("symbol", "ts", "close", F.round("adv", 6).alias("adv"), F.round("sigma", 9).alias("sigma"))
 
 
 @query(f"""WITH {_MARKET}

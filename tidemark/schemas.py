@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 
@@ -50,8 +50,8 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project to a declared schema, in its order and with its types.
+def conform(df: DataFrame, schema: T.StructType, *extra: Column) -> DataFrame:
+    """Project to a declared schema, in its order and with its types, plus extra columns.
 
     Dates given as a number are refused: they would silently be read as days
     since 1970.
@@ -61,4 +61,4 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     for field in schema.fields:
         if isinstance(field.dataType, T.DateType) and isinstance(have[field.name], T.NumericType):
             raise TypeError(f"{field.name} must be a date, timestamp or string column")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *extra)

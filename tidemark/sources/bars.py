@@ -31,7 +31,14 @@ def folder_name(value: str, label: str) -> str:
     return value.strip()
 
 
-def stamp_bars(df: DataFrame, source: str, resolution: str = "1d", arrival: list[str] | None = None) -> DataFrame:
+def batch_name() -> str:
+    """A name that sorts by time of writing."""
+    return f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"
+
+
+def stamp_bars(
+    df: DataFrame, source: str, resolution: str = "1d", arrival: list[str] | None = None, batch: str | None = None
+) -> DataFrame:
     """A batch in the stored schema, one row per key.
 
     Extra columns are dropped. A null symbol or day fails the job, since both
@@ -41,26 +48,24 @@ def stamp_bars(df: DataFrame, source: str, resolution: str = "1d", arrival: list
     source, resolution = folder_name(source, "source"), folder_name(resolution, "resolution")
     require(df, *BAR_INPUT.fieldNames(), *(arrival or []))
     order = [F.col(c).alias(f"_a{i}") for i, c in enumerate(arrival or [])]
-    typed = conform(df.select(*BAR_INPUT.fieldNames()), BAR_INPUT) if not order else None
-    if typed is None:
-        conform(df, BAR_INPUT)  # the type checks
-        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BAR_INPUT.fields], *order)
+    typed = conform(df, BAR_INPUT, *order)
     broken = F.col("symbol").isNull() | F.col("ts").isNull()
     checked = typed.withColumn("symbol", F.when(
         broken, F.raise_error(F.lit("symbol and ts may not be null")).cast("string")).otherwise(F.col("symbol")))
     now = dt.datetime.now(dt.timezone.utc)
-    batch = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"
     unique = newest_wins(checked, ["symbol", "ts"], [f"_a{i}" for i in range(len(order))] + _VALUES)
     return conform(
         unique.withColumns({
             "resolution": F.lit(resolution), "source": F.lit(source),
-            "ingested_at": F.lit(now).cast("timestamp"), "batch": F.lit(batch),
+            "ingested_at": F.lit(now).cast("timestamp"), "batch": F.lit(batch or batch_name()),
         }), BARS)
 
 
-def write_bars(df: DataFrame, path: str, source: str, resolution: str = "1d", arrival: list[str] | None = None) -> None:
-    """Append a batch under ``source=/resolution=`` folders."""
-    append(stamp_bars(df, source, resolution, arrival), path, ["source", "resolution"])
+def write_bars(df: DataFrame, path: str, source: str, resolution: str = "1d", arrival: list[str] | None = None) -> str:
+    """Append a batch under ``source=/resolution=`` folders; returns its name."""
+    batch = batch_name()
+    append(stamp_bars(df, source, resolution, arrival, batch), path, ["source", "resolution"], ["symbol", "ts"])
+    return batch
 
 
 def read_bars(spark: SparkSession, path: str, **window) -> DataFrame:
