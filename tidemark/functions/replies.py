@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.values import number
+from tidemark.functions.values import finite, number
 
 # Fixed values.
 RELATIVE_TOLERANCE = 1e-4
@@ -19,53 +19,60 @@ def split_of(case_id: Column) -> Column:
     return F.when(F.crc32(F.encode(F.trim(case_id), "UTF-8")) % 2 == 0, SPLITS[0]).otherwise(SPLITS[1])
 
 
-def answer_match(prediction: Column, expected: Column) -> Column:
-    """Is the prediction the expected answer? A null prediction is wrong.
+def match_answers(rows: DataFrame, prediction: str, expected: str, out: str = "correct") -> DataFrame:
+    """Add ``out``: is the prediction the expected answer? A null prediction is wrong.
 
     Numbers agree within a relative tolerance; anything else by trimmed,
-    case-insensitive text.
+    case-insensitive text. Parsing and comparing are separate projections, so
+    each text is parsed once per row.
     """
-    p, e = number(prediction), number(expected)
+    parsed = rows.withColumns({"_p": number(F.col(prediction)), "_e": number(F.col(expected))})
+    p, e = F.col("_p"), F.col("_e")
     close = F.abs(p - e) <= RELATIVE_TOLERANCE * F.greatest(F.abs(e), F.lit(ABSOLUTE_FLOOR))
     same = F.lower(F.trim(prediction)) == F.lower(F.trim(expected))
-    return F.coalesce(F.when(p.isNotNull() & e.isNotNull(), close).otherwise(same), F.lit(False))
+    verdict = F.when(finite(p) & finite(e), close).otherwise(same)
+    return parsed.withColumn(out, F.coalesce(verdict, F.lit(False))).drop("_p", "_e")
 
 
-def bare_number(text: Column) -> Column:
-    """A number in the shapes a filing prints, and nothing else.
+def bare_numbers(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: a number in the shapes a filing prints and nothing else, or null.
 
     Currency sign, grouping commas, and a loss as a minus or in parentheses (or
-    both, which is still one loss). Text around the number makes it null.
+    both, which is still one loss). Text around the number makes it null. Any
+    nesting of ``(``, ``-`` and ``$`` may stand in front, closed by as many ``)``.
     """
-    trimmed = F.trim(F.regexp_replace(text, r"\s+", " "))
-    # Any nesting of "(", "-" and "$" in front, closed by as many ")" at the end.
-    head = F.regexp_extract(trimmed, r"^([($\- ]*)", 1)
-    tail = F.regexp_extract(trimmed, r"([) ]*)$", 1)
-    body = F.substr(trimmed, F.length(head) + 1, F.length(trimmed) - F.length(head) - F.length(tail))
-    digits = F.regexp_replace(body, ",", "")
-    balanced = F.regexp_count(head, F.lit(r"\(")) == F.regexp_count(tail, F.lit(r"\)"))
-    shaped = digits.rlike(r"^(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)$")
-    value = F.when(balanced & shaped, number(digits))
-    return F.when(head.rlike(r"[(\-]"), -value).otherwise(value)
-
-
-def parse_reply(content: Column) -> Column:
-    """A model's reply as a struct: value (text), fallback, error.
-
-    A JSON object with a ``value`` key supplies it. Otherwise a bare number is
-    taken and marked as a fallback, and anything else is an error.
+    trimmed = rows.withColumn("_t", F.trim(F.regexp_replace(text, r"\s+", " ")))
+    ends = trimmed.withColumns({
+        "_head": F.regexp_extract("_t", r"^([($\- ]*)", 1), "_tail": F.regexp_extract("_t", r"([) ]*)$", 1)})
+    inner = F.substr(F.col("_t"), F.length("_head") + 1, F.length("_t") - F.length("_head") - F.length("_tail"))
+    digits = ends.withColumn("_d", F.regexp_replace(inner, ",", ""))
+    balanced = F.regexp_count("_head", F.lit(r"\(")) == F.regexp_count("_tail", F.lit(r"\)"))
+    shaped = F.col("_d").rlike(r"^(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)$")
+    sign = F.when(F.col("_head").rlike(r"[(\-]"), -1.0).otherwise(1.0)
+    value = F.when(balanced & shaped, F.col("_d")).try_cast("double")
+    return digits.withColumn(out, sign * value).drop("_t", "_head", "_tail", "_d")
+
+
+def parse_replies(replies: DataFrame, content: str = "reply") -> DataFrame:
+    """Add prediction (text), fallback and error to a table of model replies.
+
+    A JSON object with a ``value`` key supplies the prediction. Otherwise a bare
+    number is taken and marked as a fallback, and anything else is an error.
     """
-    keys = F.json_object_keys(content)
-    is_json = F.try_parse_json(content).isNotNull()
-    has_value = F.coalesce(is_json & F.array_contains(keys, "value"), F.lit(False))
-    rescued = bare_number(content)
+    rows = bare_numbers(replies, content, "_bare").withColumns({
+        "_json": F.try_parse_json(content).isNotNull(),
+        "_keys": F.json_object_keys(content),
+    })
+    has_value = F.coalesce(F.col("_json") & F.array_contains("_keys", "value"), F.lit(False))
     # JSON null is an answer too; its text matches nothing but itself.
     given = F.coalesce(F.get_json_object(content, "$.value"), F.lit("None"))
-    error = F.when(content.isNull(), "no content").when(is_json, "no value key").otherwise("not JSON")
-    return F.struct(
-        F.when(has_value, given).otherwise(rescued.cast("string")).alias("value"),
-        (~has_value & rescued.isNotNull()).alias("fallback"),
-        F.when(~has_value & rescued.isNull(), error).alias("error"),
+    why = F.when(F.col(content).isNull(), "no content").when(F.col("_json"), "no value key").otherwise("not JSON")
+    return (
+        rows.withColumn("_has", has_value)
+        .withColumn("prediction", F.when(F.col("_has"), given).otherwise(F.col("_bare").cast("string")))
+        .withColumn("fallback", ~F.col("_has") & F.col("_bare").isNotNull())
+        .withColumn("error", F.when(~F.col("_has") & F.col("_bare").isNull(), why))
+        .drop("_bare", "_json", "_keys", "_has")
     )
 
 

@@ -25,9 +25,11 @@ def positive(x: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Text to a finite double, else null. Java-only spellings (``1d``) are refused."""
-    value = F.when(text.rlike(_NUMBER), text).try_cast("double")
-    return F.when(finite(value), value)
+    """Text to a double, else null. Java-only spellings (``1d``, ``NaN``) are refused.
+
+    A number too large for a double comes out infinite; test it with :func:`finite`.
+    """
+    return F.when(text.rlike(_NUMBER), text).try_cast("double")
 
 
 def iso_day(text: Column) -> Column:

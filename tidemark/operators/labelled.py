@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.replies import SPLITS, answer_match, parse_reply
+from tidemark.functions.replies import SPLITS, match_answers
 from tidemark.operators.facts import PERIODIC_FORMS, form_matched_durations
 
 # Fixed values.
@@ -92,13 +92,6 @@ def document_url(cik: Column, accn: Column, primary_doc: Column) -> Column:
     return F.concat_ws("/", F.lit(ARCHIVES), cik.cast("string"), F.regexp_replace(accn, "-", ""), primary_doc)
 
 
-def parse_replies(replies: DataFrame, content: str = "reply") -> DataFrame:
-    """Add prediction, fallback and error columns to a table of replies."""
-    return replies.withColumn("_r", parse_reply(F.col(content))).select(
-        *replies.columns, F.col("_r.value").alias("prediction"), F.col("_r.fallback").alias("fallback"),
-        F.col("_r.error").alias("error"))
-
-
 def score_predictions(cases: DataFrame, predictions: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """n, correct and accuracy per model and split.
 
@@ -109,8 +102,8 @@ def score_predictions(cases: DataFrame, predictions: DataFrame, models: DataFram
     """
     names = predictions.select("model") if models is None else models.select("model").unionByName(predictions.select("model"))
     answered = predictions.join(cases.select("case_id", "split", "expected"), "case_id")
-    right = answered.groupBy("model", "split").agg(
-        F.count_if(answer_match(F.col("prediction"), F.col("expected"))).alias("correct"))
+    right = match_answers(answered, "prediction", "expected").groupBy("model", "split").agg(
+        F.count_if("correct").alias("correct"))
     sizes = cases.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     every = F.explode(F.array(*[F.lit(s) for s in SPLITS])).alias("split")
     listed = names.distinct().select("model", every).join(F.broadcast(sizes), "split", "left").withColumn(

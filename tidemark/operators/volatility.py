@@ -19,6 +19,9 @@ MIN_HORIZON = 3
 LAMBDA = 0.94
 DISAGREEMENT = "disagreement"
 
+#: Steps whose contexts one Python group slices out of one stretch of bars.
+STEPS_PER_GROUP = 64
+
 
 def check_walk(window: int, horizon: int) -> None:
     for label, value, low in (("window", window, 2), ("horizon", horizon, MIN_HORIZON)):
@@ -146,36 +149,48 @@ def trailing_forecasts(bars: DataFrame, window: int = WINDOW, horizon: int = HOR
 
 
 def custom_forecasts(
-    bars: DataFrame, name: str, forecast: Callable[[pd.DataFrame], float], window: int = WINDOW, horizon: int = HORIZON
+    bars: DataFrame, name: str, forecast: Callable[[pd.DataFrame], float], window: int = WINDOW, horizon: int = HORIZON,
+    steps_per_group: int = STEPS_PER_GROUP,
 ) -> DataFrame:
     """Forecasts of a caller's ``forecast(context) -> float``.
 
-    ``context`` is a pandas frame of the ``window`` bars before a step, in order.
-    A group is one context, so its size is fixed by ``window``.
+    ``context`` is a pandas frame (ts, close) of the ``window`` bars before a
+    step, in order. A group is the stretch of bars that some consecutive steps
+    look at, ``window + steps_per_group * horizon`` rows at most; its contexts
+    are slices of it, so a bar travels about once instead of once per context.
     """
     if not isinstance(name, str) or not name.strip() or name == DISAGREEMENT:
         raise ValueError("a forecaster needs a name other than the reserved one")
     check_walk(window, horizon)
+    stride = steps_per_group * horizon
     steps = F.floor((F.col("_n") - window) / horizon)
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - window) / horizon) + 1)
-    final = F.least(F.floor(F.col("pos") / horizon), steps - 1)
-    contexts = (
-        _numbered(bars).filter((steps >= 1) & (first <= final))
-        .withColumn("step", F.explode(F.sequence(first, final)))
-        .select("symbol", "step", "ts", "close")
+    # Group g needs rows [g * stride, window + (g + 1) * stride - horizon).
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - window + horizon) / stride))
+    final = F.least(F.floor(F.col("pos") / stride), F.floor((steps - 1) / steps_per_group))
+    stretches = (
+        _numbered(bars).withColumn("steps", steps).filter((F.col("steps") >= 1) & (first <= final))
+        .withColumn("group", F.explode(F.sequence(first, final)))
+        .select("symbol", "group", "pos", "steps", "ts", "close")
     )
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        context = rows.sort_values("ts").reset_index(drop=True)[["ts", "close"]]
-        value = forecast(context)
-        where = f"forecaster {name!r} at {key[0]} step {key[1]}"
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            raise TypeError(f"{where} returned {type(value).__name__}, expected a float")
-        if not math.isfinite(value) or value < 0:
-            raise ValueError(f"{where} returned {value}, expected a finite volatility")
-        return pd.DataFrame({"forecaster": [name], "symbol": [key[0]], "step": [key[1]], "pred": [float(value)]})
-
-    return contexts.groupBy("symbol", "step").applyInPandas(one, "forecaster string, symbol string, step bigint, pred double")
+    def walk(key, rows: pd.DataFrame) -> pd.DataFrame:
+        symbol, group = key
+        rows = rows.sort_values("pos").reset_index(drop=True)
+        bars = rows[["ts", "close"]]
+        mine = range(group * steps_per_group, min((group + 1) * steps_per_group, int(rows["steps"].iloc[0])))
+        preds = []
+        for step in mine:
+            at = step * horizon - group * stride
+            value = forecast(bars.iloc[at:at + window].reset_index(drop=True))
+            where = f"forecaster {name!r} at {symbol} step {step}"
+            if isinstance(value, bool) or not isinstance(value, (int, float)):
+                raise TypeError(f"{where} returned {type(value).__name__}, expected a float")
+            if not math.isfinite(value) or value < 0:
+                raise ValueError(f"{where} returned {value}, expected a finite volatility")
+            preds.append(float(value))
+        return pd.DataFrame({"forecaster": name, "symbol": symbol, "step": list(mine), "pred": preds})
+
+    return stretches.groupBy("symbol", "group").applyInPandas(walk, "forecaster string, symbol string, step bigint, pred double")
 
 
 def forecast_scores(forecasts: DataFrame, actuals: DataFrame, names: list[str]) -> DataFrame:

@@ -103,7 +103,7 @@ _V = "CAST(round(value, 2) AS DOUBLE)"
        event_id % 8 IN (1, 2, 3, 6) AS fallback,
        CASE event_id % 8 WHEN 4 THEN 'not JSON' WHEN 5 THEN 'no value key' END AS error FROM events""")
 def reply_normalise(spark, sf_dir):
-    parsed = labelled.parse_replies(_replies(spark, sf_dir))
+    parsed = replies.parse_replies(_replies(spark, sf_dir))
     value = number(F.col("prediction"))
     return parsed.select("event_id", (F.round(value, 2) + 0.0).alias("answer"),
                          F.when(value.isNull(), F.col("prediction")).alias("words"), "fallback", "error")
@@ -113,7 +113,7 @@ def reply_normalise(spark, sf_dir):
        count(*) FILTER (event_id % 8 IN (4, 5)) AS errors, min(CASE event_id % 8 WHEN 4 THEN 'not JSON' WHEN 5 THEN 'no value key' END) AS first_error
 FROM events GROUP BY 1""")
 def reply_diagnostics(spark, sf_dir):
-    return labelled.reply_diagnostics(labelled.parse_replies(_replies(spark, sf_dir)))
+    return labelled.reply_diagnostics(replies.parse_replies(_replies(spark, sf_dir)))
 
 
 @query("""WITH cases AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split FROM events),
@@ -127,7 +127,7 @@ def answer_match_score(spark, sf_dir):
     r = _replies(spark, sf_dir).withColumn("case_id", F.col("event_id").cast("string"))
     split = F.when(F.col("event_id") % 3 == 0, "holdout").otherwise("dev")
     known = r.select("case_id", "expected", split.alias("split"))
-    predictions = labelled.parse_replies(r.select("model", "case_id", "reply")).select("model", "case_id", "prediction")
+    predictions = replies.parse_replies(r.select("model", "case_id", "reply")).select("model", "case_id", "prediction")
     silent = spark.createDataFrame([("silent",)], "model string")
     return labelled.score_predictions(known, predictions, silent)
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import canonical, facts, signals, universe
 from tidemark.plans import standins
-from tidemark.plans.queries_prices import JUMP_M, PANEL_M, VERDICTS_M, monthly_panel, monthly_verdicts
+from tidemark.plans.queries_prices import (
+    JUMP_M, PANEL_M, VERDICTS_M, monthly_panel, monthly_verdicts, panel_of, stored_verdicts,
+)
 from tidemark.plans.registry import (
     FACTS_Q, FACTS_T, FACTS_Y, TICKERS, R, panel_sql, query, rounded,
 )
@@ -135,15 +137,15 @@ universe AS (
   SEMI JOIN alive a ON t.cik = a.cik AND l.asof = a.asof)"""
 
 
-def universe_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def universe_frame(spark: SparkSession, sf_dir: str, verdicts: DataFrame) -> DataFrame:
     return universe.build_at(
-        monthly_panel(spark, sf_dir), standins.bars_monthly(spark, sf_dir), standins.supplier_filings(spark, sf_dir),
+        panel_of(verdicts), standins.bars_monthly(spark, sf_dir), standins.supplier_filings(spark, sf_dir),
         standins.tickers(spark, sf_dir), asofs(spark, sf_dir), **_SCREEN, forms=("F",), alive_days=30)
 
 
 @query(f"WITH {UNIVERSE} SELECT asof, symbol, cik FROM universe")
 def universe_panel(spark, sf_dir):
-    return universe_frame(spark, sf_dir)
+    return universe_frame(spark, sf_dir, monthly_verdicts(spark, sf_dir))
 
 
 MOMENTUM = f"""{PANEL_M}, {ASOFS},
@@ -157,13 +159,13 @@ momentum AS (
   WHERE NOT EXISTS (SELECT 1 FROM breaks k WHERE k.symbol = a.symbol AND k.ts > g.far AND k.ts <= g.asof))"""
 
 
-def momentum_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.momentum(monthly_panel(spark, sf_dir), asofs(spark, sf_dir), lookback=12, skip=2, last=LAST)
+def momentum_scores(spark: SparkSession, sf_dir: str, verdicts: DataFrame) -> DataFrame:
+    return signals.momentum(panel_of(verdicts), asofs(spark, sf_dir), lookback=12, skip=2, last=LAST)
 
 
 @query(f"WITH {MOMENTUM} SELECT asof, symbol, {R('score', 9)} AS score FROM momentum")
 def signal_momentum(spark, sf_dir):
-    return rounded(momentum_scores(spark, sf_dir), 9)
+    return rounded(momentum_scores(spark, sf_dir, stored_verdicts(spark, sf_dir)), 9)
 
 
 @query(f"""WITH {FACTS_Q}, {ASOFS}, {TICKERS},

@@ -13,9 +13,11 @@ from tidemark.operators.calendar import holds, trading_days
 from tidemark.plans import standins
 from tidemark.plans.queries_facts import MOMENTUM, UNIVERSE, momentum_scores, universe_frame
 from tidemark.plans.queries_prices import (
-    JUMP_D, PANEL_D, PANEL_M, _ADJUSTED, adjusted_dividends, daily_votes, monthly_closes, monthly_panel,
+    JUMP_D, PANEL_D, PANEL_M, _ADJUSTED, adjusted_dividends, closes_of, daily_votes, monthly_closes,
+    monthly_panel, stored_verdicts,
 )
 from tidemark.plans.registry import R, query, rounded
+from tidemark.session import store
 
 # --- long-short ---------------------------------------------------------------------
 
@@ -56,13 +58,14 @@ SERIES = f"{MOMENTUM}, {HOLDS_M}, {_ADJUSTED}, {_legs_sql('momentum', 10, 'adjus
 
 
 def momentum_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = stored_verdicts(spark, sf_dir)
     return longshort.monthly_longshort(
-        monthly_closes(spark, sf_dir), momentum_scores(spark, sf_dir), dividends=adjusted_dividends(spark, sf_dir))
+        closes_of(verdicts), momentum_scores(spark, sf_dir, verdicts), dividends=adjusted_dividends(spark, sf_dir))
 
 
 @query(f"WITH {PANEL_M}, {HOLDS_M} SELECT formed, held_to, symbol, p0, p1 FROM priced")
 def priced_holds(spark, sf_dir):
-    return longshort.priced_holds(monthly_closes(spark, sf_dir))
+    return longshort.priced_holds(closes_of(stored_verdicts(spark, sf_dir)))
 
 
 @query(f"""WITH {MOMENTUM},
@@ -71,7 +74,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY asof ORDER BY score, symbol
 SELECT asof, symbol, CASE WHEN r <= n // 5 THEN 'short' ELSE 'long' END AS leg FROM ranked
 WHERE n // 5 > 0 AND (r <= n // 5 OR r > n - n // 5)""")
 def bucket_legs(spark, sf_dir):
-    return longshort.bucket_legs(longshort.clean_scores(momentum_scores(spark, sf_dir)), 5)
+    return longshort.bucket_legs(longshort.clean_scores(momentum_scores(spark, sf_dir, stored_verdicts(spark, sf_dir))), 5)
 
 
 @query(f"""WITH {PANEL_M}, {HOLDS_M}, {_ADJUSTED}
@@ -91,9 +94,10 @@ def longshort_monthly(spark, sf_dir):
 {HOLDS_M}, {_legs_sql('scores', 3, None, 'universe')}
 SELECT month, {R('ret_ls', 9)} AS ret_ls FROM series""")
 def longshort_universe(spark, sf_dir):
-    names = universe_frame(spark, sf_dir)
+    verdicts = stored_verdicts(spark, sf_dir)
+    names = universe_frame(spark, sf_dir, verdicts)
     scores = names.select("asof", "symbol", (-F.col("cik")).cast("double").alias("score"))
-    return rounded(longshort.monthly_longshort(monthly_closes(spark, sf_dir), scores, 3, universe=names), 9)
+    return rounded(longshort.monthly_longshort(closes_of(verdicts), scores, 3, universe=names), 9)
 
 
 # --- statistics ---------------------------------------------------------------------
@@ -230,13 +234,13 @@ picked AS (
 targets AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY asof) AS weight FROM picked)"""
 
 
-def momentum_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.targets(momentum_scores(spark, sf_dir), monthly_closes(spark, sf_dir), _STRATEGY)
+def momentum_targets(spark: SparkSession, sf_dir: str, verdicts: DataFrame) -> DataFrame:
+    return portfolio.targets(momentum_scores(spark, sf_dir, verdicts), closes_of(verdicts), _STRATEGY)
 
 
 @query(f"WITH {TARGETS} SELECT asof, fill_ts, symbol, {R('weight')} AS weight FROM targets")
 def target_holdings(spark, sf_dir):
-    return rounded(momentum_targets(spark, sf_dir))
+    return rounded(momentum_targets(spark, sf_dir, stored_verdicts(spark, sf_dir)))
 
 
 _FEE = "(abs(delta) * 1e6) * (5.0 / 2 / 1e4 + 0.1 * 0.02 * sqrt(abs(delta) * 1e6 / 1e6))"
@@ -262,7 +266,9 @@ SELECT fill_ts, next_fill, {R('gross', 8)} AS gross, {R('turnover', 8)} AS turno
        {R('exp(sum(ln(1 + gross - cost / 1e6)) OVER (ORDER BY fill_ts))', 8)} AS nav
 FROM gross JOIN traded USING (fill_ts)""")
 def rebalanced_series(spark, sf_dir):
-    s = portfolio.rebalanced_series(momentum_targets(spark, sf_dir), monthly_closes(spark, sf_dir), costs.current_model())
+    verdicts = stored_verdicts(spark, sf_dir)
+    book = store(momentum_targets(spark, sf_dir, verdicts), "targets")
+    s = portfolio.rebalanced_series(book, closes_of(verdicts), costs.current_model())
     return s.select("fill_ts", "next_fill", F.round("gross", 8).alias("gross"), F.round("turnover", 8).alias("turnover"),
                     F.round("cost", 4).alias("cost"), F.round("net", 8).alias("net"), F.round("nav", 8).alias("nav"))
 

@@ -9,6 +9,7 @@ from tidemark.plans import standins
 from tidemark.plans.registry import (
     BARS_D, BARS_M, DIVIDENDS, SPLITS, R, panel_sql, query, rounded, vote_sql,
 )
+from tidemark.session import store
 from tidemark.sources.bars import select_bars
 from tidemark.sources.tables import newest_wins
 
@@ -29,12 +30,28 @@ def monthly_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.verdicts(monthly_votes(spark, sf_dir))
 
 
+def stored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts as a stored table, the form in which later jobs read them.
+
+    For plans that look at the closes several times; the vote runs once.
+    """
+    return store(monthly_verdicts(spark, sf_dir), "verdicts")
+
+
+def closes_of(verdicts: DataFrame) -> DataFrame:
+    return canonical.read_canonical(verdicts, max_jump=JUMP_M, newest=None)
+
+
+def panel_of(verdicts: DataFrame) -> DataFrame:
+    return canonical.canonical_panel(verdicts, max_jump=JUMP_M, newest=None)
+
+
 def monthly_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.read_canonical(monthly_verdicts(spark, sf_dir), max_jump=JUMP_M, newest=None)
+    return closes_of(monthly_verdicts(spark, sf_dir))
 
 
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonical_panel(monthly_verdicts(spark, sf_dir), max_jump=JUMP_M, newest=None)
+    return panel_of(monthly_verdicts(spark, sf_dir))
 
 
 VERDICTS_D = f"{BARS_D}, {vote_sql('bars_d', TOL_D)}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plan shape. Executor counts, memory and the
 #: number of shuffle partitions belong to the cluster and are left alone.
@@ -55,3 +55,14 @@ def scratch(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to a fresh scratch table and read it back.
+
+    For a frame that one plan reads several times: it is computed once, the copy
+    outlives lost executors, and each reader takes only the columns it needs.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.values import among, as_date, iso_day, number, symbol_list, ticker
+from tidemark.functions.values import among, as_date, finite, iso_day, number, positive, symbol_list, ticker
 from tidemark.sources.tables import newest_wins
 
 _ACTIONS = (
@@ -32,7 +32,7 @@ def parse_dividends(pages: DataFrame, column: str = "payload") -> DataFrame:
     rows = each.select(
         *keep, "seq", ticker(F.col("d.symbol")).alias("symbol"), iso_day(F.substring("d.ex_date", 1, 10)).alias("ex_date"),
         number(F.col("d.rate")).alias("rate"), F.coalesce(F.lower("d.special") == "true", F.lit(False)).alias("special"))
-    return rows.filter(F.col("symbol").isNotNull() & F.col("ex_date").isNotNull() & F.col("rate").isNotNull())
+    return rows.filter(F.col("symbol").isNotNull() & F.col("ex_date").isNotNull() & finite(F.col("rate")))
 
 
 def parse_splits(pages: DataFrame, column: str = "payload") -> DataFrame:
@@ -45,7 +45,7 @@ def parse_splits(pages: DataFrame, column: str = "payload") -> DataFrame:
         *keep, "seq", ticker(F.col("s.symbol")).alias("symbol"), iso_day(F.substring("s.ex_date", 1, 10)).alias("ex_date"),
         number(F.col("s.old_rate")).alias("old_rate"), number(F.col("s.new_rate")).alias("new_rate"))
     return rows.filter(
-        F.col("symbol").isNotNull() & F.col("ex_date").isNotNull() & (F.col("old_rate") > 0) & (F.col("new_rate") > 0))
+        F.col("symbol").isNotNull() & F.col("ex_date").isNotNull() & positive(F.col("old_rate")) & positive(F.col("new_rate")))
 
 
 def current_actions(rows: DataFrame, newest: list[str], symbols=None, start=None, end=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.values import cik_number, iso_day, number, ticker, whole
+from tidemark.functions.values import cik_number, finite, iso_day, number, ticker, whole
 from tidemark.sources.tables import newest_wins
 
 _ENTRY = (
@@ -48,7 +48,7 @@ def parse_company_facts(documents: DataFrame, column: str = "payload") -> DataFr
         number(F.col("e.val")).alias("val"), F.coalesce("e.accn", F.lit("")).alias("accn"),
         F.coalesce(whole(F.col("e.fy")), F.lit(0)).alias("fy"), F.coalesce("e.fp", F.lit("")).alias("fp"),
         F.coalesce("e.form", F.lit("")).alias("form"), iso_day(F.col("e.filed")).alias("filed"), seq.alias("seq"))
-    return rows.filter(F.col("filed").isNotNull() & F.col("end").isNotNull() & F.col("val").isNotNull())
+    return rows.filter(F.col("filed").isNotNull() & F.col("end").isNotNull() & finite(F.col("val")))
 
 
 def current_facts(facts: DataFrame, loaded: str = "loaded_at") -> DataFrame:

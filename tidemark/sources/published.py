@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.functions.values import number
+from tidemark.functions.values import finite, number
 from tidemark.schemas import require
 
 # Fixed value.
@@ -35,9 +35,9 @@ def parse_published(raw: DataFrame, name: str) -> DataFrame:
         text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text).try_cast("date")
     month = F.when(day.isNull(), F.raise_error(F.concat(
         F.lit("cannot read date "), F.coalesce(text, F.lit("null")))).cast("date")).otherwise(F.trunc(day, "MM"))
-    values = number(F.col(column).cast("string"))
-    monthly = raw.select(month.alias("month"), values.alias("ret")).groupBy("month").agg(
-        F.count("ret").alias("_n"), F.max("ret").alias("ret"))
+    cells = raw.select(month.alias("month"), number(F.col(column).cast("string")).alias("ret"))
+    usable = F.when(finite(F.col("ret")), F.col("ret"))
+    monthly = cells.groupBy("month").agg(F.count(usable).alias("_n"), F.max(usable).alias("ret"))
     everything = W.partitionBy()
     total, months = F.sum("_n").over(everything), F.count(F.lit(1)).over(everything)
     checked = monthly.select(
