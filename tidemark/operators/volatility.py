@@ -190,7 +190,10 @@ def custom_forecasts(
             preds.append(float(value))
         return pd.DataFrame({"forecaster": name, "symbol": symbol, "step": list(mine), "pred": preds})
 
-    return stretches.groupBy("symbol", "group").applyInPandas(walk, "forecaster string, symbol string, step bigint, pred double")
+    # The adaptive planner sizes tasks by bytes and would put these small, slow groups into a few.
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stretches.repartition(tasks, "symbol", "group")
+    return spread.groupBy("symbol", "group").applyInPandas(walk, "forecaster string, symbol string, step bigint, pred double")
 
 
 def forecast_scores(forecasts: DataFrame, actuals: DataFrame, names: list[str]) -> DataFrame:

@@ -8,10 +8,7 @@ from tidemark.functions.values import among, as_date, finite, iso_day, number, p
 from tidemark.sources.tables import newest_wins
 
 _ACTIONS = (
-    "corporate_actions struct<"
-    "cash_dividends: array<struct<symbol: string, ex_date: string, rate: string, special: string>>, "
-    "forward_splits: array<struct<symbol: string, ex_date: string, old_rate: string, new_rate: string>>, "
-    "reverse_splits: array<struct<symbol: string, ex_date: string, old_rate: string, new_rate: string>>>"
+    "corporate_actions struct<cash_dividends: array<string>, forward_splits: array<string>, reverse_splits: array<string>>"
 )
 _KEY = ["symbol", "ex_date"]
 
@@ -24,11 +21,13 @@ def _pages(pages: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
 def parse_dividends(pages: DataFrame, column: str = "payload") -> DataFrame:
     """Cash dividends of vendor pages; rows without symbol, date or rate are dropped.
 
+    Rows are unpacked as text first, so a malformed one costs only itself.
     ``seq`` is the position in the page. Columns of ``pages`` other than the
     payload (a load stamp, a page number) are kept for :func:`current_actions`.
     """
     parsed, keep = _pages(pages, column)
-    each = parsed.select(*keep, F.posexplode("a.cash_dividends").alias("seq", "d"))
+    texts = parsed.select(*keep, F.posexplode("a.cash_dividends").alias("seq", "text"))
+    each = texts.withColumn("d", F.from_json("text", "symbol string, ex_date string, rate string, special string"))
     rows = each.select(
         *keep, "seq", ticker(F.col("d.symbol")).alias("symbol"), iso_day(F.substring("d.ex_date", 1, 10)).alias("ex_date"),
         number(F.col("d.rate")).alias("rate"), F.coalesce(F.lower("d.special") == "true", F.lit(False)).alias("special"))
@@ -38,9 +37,10 @@ def parse_dividends(pages: DataFrame, column: str = "payload") -> DataFrame:
 def parse_splits(pages: DataFrame, column: str = "payload") -> DataFrame:
     """Forward and reverse splits of vendor pages with positive rates."""
     parsed, keep = _pages(pages, column)
-    empty = F.expr("cast(array() as array<struct<symbol: string, ex_date: string, old_rate: string, new_rate: string>>)")
+    empty = F.expr("cast(array() as array<string>)")
     both = F.concat(F.coalesce("a.forward_splits", empty), F.coalesce("a.reverse_splits", empty))
-    each = parsed.select(*keep, F.posexplode(both).alias("seq", "s"))
+    texts = parsed.select(*keep, F.posexplode(both).alias("seq", "text"))
+    each = texts.withColumn("s", F.from_json("text", "symbol string, ex_date string, old_rate string, new_rate string"))
     rows = each.select(
         *keep, "seq", ticker(F.col("s.symbol")).alias("symbol"), iso_day(F.substring("s.ex_date", 1, 10)).alias("ex_date"),
         number(F.col("s.old_rate")).alias("old_rate"), number(F.col("s.new_rate")).alias("new_rate"))

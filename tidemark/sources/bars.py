@@ -103,21 +103,16 @@ def _usable(rows: DataFrame) -> DataFrame:
 def parse_bar_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Vendor JSON ``{"bars": {SYMBOL: [{t,o,h,l,c,v}, ...]}}`` to bars.
 
-    The session is the date part of ``t``. Values are read as text first so that
-    one malformed bar is skipped instead of losing its payload.
+    The session is the date part of ``t``. Each level is unpacked on its own and
+    the values are read as text, so a malformed bar or symbol is skipped without
+    losing its neighbours.
     """
-    bar = "t string, o string, h string, l string, c string, v string"
-    parsed = F.from_json(F.col(column), f"bars map<string, array<struct<{_struct(bar)}>>>")
-    each = payloads.select(F.explode(parsed["bars"]).alias("symbol", "series"))
-    one = each.select("symbol", F.explode("series").alias("b"))
+    by_symbol = payloads.select(F.explode(F.from_json(F.col(column), "bars map<string, string>")["bars"]).alias("symbol", "series"))
+    texts = by_symbol.select("symbol", F.explode(F.from_json("series", "array<string>")).alias("bar"))
+    one = texts.select("symbol", F.from_json("bar", "t string, o string, h string, l string, c string, v string").alias("b"))
     return _usable(one.select(
         ticker(F.col("symbol")).alias("symbol"), iso_day(F.substring("b.t", 1, 10)).alias("ts"),
-        number(F.col("b.o")).alias("open"), number(F.col("b.h")).alias("high"), number(F.col("b.l")).alias("low"),
-        number(F.col("b.c")).alias("close"), number(F.col("b.v")).alias("volume")))
-
-
-def _struct(ddl: str) -> str:
-    return ", ".join("`{}`: {}".format(*part.split()) for part in ddl.split(", "))
+        *[number(F.col(f"b.{key}")).alias(name) for key, name in zip("ohlcv", _VALUES)]))
 
 
 def reshape_history(history: DataFrame, zone: str, symbol: str = "symbol", at: str = "at") -> DataFrame:

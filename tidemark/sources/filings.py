@@ -8,10 +8,8 @@ from tidemark.functions.values import cik_number, finite, iso_day, number, ticke
 from tidemark.sources.tables import newest_wins
 
 _ENTRY = (
-    "struct<start: string, `end`: string, val: string, accn: string, fy: string, fp: string, "
-    "form: string, filed: string>"
+    "start string, `end` string, val string, accn string, fy string, fp string, form string, filed string"
 )
-_FACTS = f"cik string, facts map<string, map<string, struct<units: map<string, array<{_ENTRY}>>>>>"
 _RECENT = (
     "cik string, filings struct<recent: struct<accessionNumber: array<string>, form: array<string>, "
     "filingDate: array<string>, primaryDocument: array<string>>>"
@@ -21,25 +19,24 @@ _RECENT = (
 def parse_company_facts(documents: DataFrame, column: str = "payload") -> DataFrame:
     """Company-facts documents to fact rows.
 
-    Entries without a readable filing date, period end or value are dropped; an
-    unreadable start becomes null (an instant); missing text is ``""`` and a
+    The nesting is unpacked level by level with the rest kept as text, so a
+    malformed branch or entry is skipped without losing the document. Entries
+    without a readable filing date, period end or value are dropped; an unreadable start becomes null (an instant); missing text is ``""`` and a
     missing year 0. ``seq`` numbers the entries of a document in order, which is
     what breaks the last ties between facts. Extra columns of ``documents``, such
     as a load stamp, are kept.
     """
     keep = [c for c in documents.columns if c != column]
-    doc = documents.select(*keep, F.from_json(F.col(column), _FACTS).alias("d"))
+    doc = documents.select(*keep, F.from_json(F.col(column), "cik string, facts map<string, string>").alias("d"))
     cik = cik_number(F.col("d.cik"))
-    one = doc.filter(cik.isNotNull()).select(*keep, cik.alias("cik"), F.col("d.facts").alias("facts"))
-    by_taxonomy = one.select(*keep, "cik", F.posexplode(F.map_entries("facts")).alias("_p0", "x"))
+    by_taxonomy = doc.filter(cik.isNotNull()).select(
+        *keep, cik.alias("cik"), F.posexplode("d.facts").alias("_p0", "taxonomy", "tags"))
     by_tag = by_taxonomy.select(
-        *keep, "cik", "_p0", F.col("x.key").alias("taxonomy"), F.posexplode(F.map_entries("x.value")).alias("_p1", "y"))
-    by_unit = by_tag.select(
-        *keep, "cik", "taxonomy", "_p0", "_p1", F.col("y.key").alias("tag"),
-        F.posexplode(F.map_entries("y.value.units")).alias("_p2", "z"))
-    entries = by_unit.select(
-        *keep, "cik", "taxonomy", "tag", F.col("z.key").alias("unit"), "_p0", "_p1", "_p2",
-        F.posexplode("z.value").alias("_p3", "e"))
+        *keep, "cik", "taxonomy", "_p0", F.posexplode(F.from_json("tags", "map<string, string>")).alias("_p1", "tag", "body"))
+    units = F.from_json("body", "units map<string, array<string>>")["units"]
+    by_unit = by_tag.select(*keep, "cik", "taxonomy", "tag", "_p0", "_p1", F.posexplode(units).alias("_p2", "unit", "list"))
+    texts = by_unit.select(*keep, "cik", "taxonomy", "tag", "unit", "_p0", "_p1", "_p2", F.posexplode("list").alias("_p3", "text"))
+    entries = texts.withColumn("e", F.from_json("text", _ENTRY))
     # Position in the document, one digit group per nesting level.
     seq = ((F.col("_p0").cast("bigint") * 100_000 + F.col("_p1")) * 1_000 + F.col("_p2")) * 1_000_000 + F.col("_p3")
     rows = entries.select(
@@ -127,7 +124,7 @@ def parse_tickers(documents: DataFrame, column: str = "payload") -> DataFrame:
     Malformed entries are skipped. The pair is the key: a filer may list several
     share classes.
     """
-    entries = F.from_json(F.col(column), "map<string, struct<cik_str: string, ticker: string>>")
-    each = documents.select(F.explode(F.map_values(entries)).alias("e"))
+    texts = documents.select(F.explode(F.from_json(F.col(column), "map<string, string>")).alias("k", "text"))
+    each = texts.select(F.from_json("text", "cik_str string, ticker string").alias("e"))
     rows = each.select(cik_number(F.col("e.cik_str")).alias("cik"), ticker(F.col("e.ticker")).alias("symbol"))
     return rows.filter((F.col("cik") > 0) & F.col("symbol").isNotNull()).distinct()
