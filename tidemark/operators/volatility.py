@@ -173,7 +173,7 @@ def custom_forecasts(
         .select("symbol", "group", "pos", "steps", "ts", "close")
     )
 
-    def walk(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         symbol, group = key
         rows = rows.sort_values("pos").reset_index(drop=True)
         bars = rows[["ts", "close"]]

@@ -184,7 +184,7 @@ def calibration_run(
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return text.select(F.col("value").alias("payload"), F.input_file_name().alias("document"),
                        F.lit(_now()).cast("timestamp").alias("loaded_at"))
 
