@@ -112,8 +112,8 @@ def daily_run(
     """Load and vote the session before ``asof``; returns and logs a summary.
 
     ``landed`` maps a source to its landed bars (symbol, ts, open .. volume), as
-    the parsers return them. Symbols default to the universe as of ``asof``. A
-    failure anywhere leaves no summary behind.
+    the parsers return them. Symbols, a frame or a collection, default to the
+    universe as of ``asof``. A failure anywhere leaves no summary behind.
     """
     end = as_date(asof, "asof")
     day = end - dt.timedelta(days=1)
@@ -124,8 +124,11 @@ def daily_run(
         source = "universe"
     else:
         if isinstance(symbols, (str, bytes)):
-            raise TypeError("symbols must be a collection of strings, not a bare string")
-        names = spark.createDataFrame([(str(s),) for s in symbols], "symbol string")
+            raise TypeError("symbols must be a frame or a collection of strings, not a bare string")
+        if isinstance(symbols, DataFrame):
+            names = symbols.select("symbol")
+        else:
+            names = spark.createDataFrame([(str(s),) for s in symbols], "symbol string")
         source = "argument"
     # One row per listed symbol; stored so that every source sees the same names.
     folder = f"{house.path('runs')}/{end.isoformat()}-{uuid.uuid4().hex[:8]}"
@@ -183,18 +186,22 @@ def calibration_run(
     return report
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str, now: dt.datetime) -> DataFrame:
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return text.select(F.col("value").alias("payload"), F.input_file_name().alias("document"),
-                       F.lit(_now()).cast("timestamp").alias("loaded_at"))
+                       F.lit(now).cast("timestamp").alias("loaded_at"))
 
 
-def _load(spark: SparkSession, house: Warehouse, table: str, documents: DataFrame, rows: DataFrame, cluster_by: list[str]) -> DataFrame:
+def _load(
+    spark: SparkSession, house: Warehouse, table: str, path: str, parse: Callable[[DataFrame], DataFrame], cluster_by: list[str]
+) -> DataFrame:
+    now = _now()
+    documents = _documents(spark, path, now)
+    rows = parse(documents)
     append(rows, house.path(table), cluster_by=cluster_by)
     append(filings.rejected(documents).select("document", "reason", "loaded_at"), house.path(f"{table}_rejects"))
     stored = spark.read.schema(rows.schema).parquet(house.path(table))
-    this_load = stored.join(F.broadcast(documents.select("loaded_at").limit(1)), "loaded_at", "left_semi")
-    return filings.load_summary(documents, this_load, "document")
+    return filings.load_summary(documents, stored.filter(F.col("loaded_at") == F.lit(now).cast("timestamp")), "document")
 
 
 def load_facts(spark: SparkSession, house: Warehouse, path: str) -> DataFrame:
@@ -203,14 +210,12 @@ def load_facts(spark: SparkSession, house: Warehouse, path: str) -> DataFrame:
     Facts are stored in ranges of tags, the filter that every signal reads them
     by. Bad documents are listed under ``facts_rejects`` and do not stop the load.
     """
-    documents = _documents(spark, path)
-    return _load(spark, house, "facts", documents, filings.parse_company_facts(documents), ["tag", "cik", "end"])
+    return _load(spark, house, "facts", path, filings.parse_company_facts, ["tag", "cik", "end"])
 
 
 def load_filings(spark: SparkSession, house: Warehouse, path: str) -> DataFrame:
     """Load a folder of submissions documents; returns rows and status per document."""
-    documents = _documents(spark, path)
-    return _load(spark, house, "filings", documents, filings.parse_submissions(documents), ["filed", "cik"])
+    return _load(spark, house, "filings", path, filings.parse_submissions, ["filed", "cik"])
 
 
 def load_actions(house: Warehouse, pages: DataFrame) -> None:

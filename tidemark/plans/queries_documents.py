@@ -12,7 +12,24 @@ from tidemark.plans.registry import FACTS_Q, R, query, rounded
 from tidemark.sources import cases
 
 
-@query()
+_BLOCKS = "|".join(sorted(markup.BREAKS, key=len, reverse=True))
+
+
+def _replaced(expression: str, *steps: tuple[str, str]) -> str:
+    for pattern, replacement in steps:
+        expression = f"regexp_replace({expression}, '{pattern}', {replacement}, 'g')"
+    return expression
+
+
+# The pages hold no hidden elements, and scripts and styles only inside the head.
+_TEXT = _replaced(
+    "html", ("(?is)<head[ >].*?</head>", "''"), ("(?s)<!.*?>", "''"), ("(?i)</?(td|th)( [^>]*)?/?>", "' '"),
+    (f"(?i)</?({_BLOCKS})( [^>]*)?/?>", "chr(10)"), ("<[a-zA-Z/][^>]*>", "''"))
+_UNESCAPED = _replaced(_TEXT, ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&quot;", "chr(34)"), ("&amp;?", "'&'"))
+_CLEAN = _replaced(_UNESCAPED, ("[ \\t\\f\\v\u00a0\u2000-\u200b]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''"))
+
+
+@query(f"SELECT page_id, url, {_CLEAN} AS text FROM pages")
 def html_text(spark, sf_dir):
     pages = standins.table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", markup.html_to_text(F.col("html")).alias("text"))
@@ -26,12 +43,45 @@ def _printed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "field", F.lit("revenue"))
 
 
-@query()
+# Plain numbers of at least three digits, printed in units: split the text at the
+# digits and look at the characters on both sides of each cut.
+_FOUND = """runs AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(' ' || regexp_replace(text, '[0-9]+', ' \\0 ', 'g') || ' ', ' ([1-9][0-9]{2,8}) ', 1)) AS digits
+  FROM documents),
+cuts AS (SELECT r.doc_id, r.digits, string_split(d.text, r.digits) AS p FROM runs r JOIN documents d USING (doc_id)),
+hits AS (
+  SELECT doc_id, digits, i,
+         list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * length(digits) AS start,
+         right((CASE WHEN i > 1 THEN digits ELSE '' END) || p[i], 6) AS before,
+         left(p[i + 1] || (CASE WHEN i + 1 < len(p) THEN digits ELSE '' END), 2) AS after
+  FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cuts)),
+standing AS (
+  SELECT * FROM hits
+  WHERE NOT regexp_matches(before, '[0-9][,.]?$') AND NOT regexp_matches(after, '^[,.]?[0-9]')
+    AND NOT regexp_matches(rtrim(before, ' 	 $*'), '[(\\-−]$')),
+found AS (SELECT doc_id, digits, CAST(min(start) AS INTEGER) AS start FROM standing GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_FOUND}
+SELECT doc_id, digits, digits AS token, 'units' AS scale, start, start + length(digits) AS "end" FROM found""")
 def number_renderings(spark, sf_dir):
     return renderings.find_renderings(_printed_numbers(spark, sf_dir), ["doc_id", "digits"])
 
 
-@query()
+_RESOLVED = f"""{_FOUND},
+docs AS (SELECT DISTINCT doc_id FROM runs),
+counted AS (SELECT doc_id, count(*) AS n, min(CAST(digits AS DOUBLE)) AS expected, arg_min(digits, CAST(digits AS DOUBLE)) AS token,
+                   arg_min(start, CAST(digits AS DOUBLE)) AS start FROM found GROUP BY 1),
+resolved AS (
+  SELECT doc_id, c.*, CASE WHEN length(d.text) < 2000 THEN 'empty_document' WHEN coalesce(n, 0) = 0 THEN 'no_rendering_in_text'
+                          WHEN n > 1 THEN 'ambiguous_xbrl_value' END AS reason
+  FROM docs JOIN documents d USING (doc_id) LEFT JOIN counted c USING (doc_id))"""
+
+
+@query(f"""WITH {_RESOLVED}
+SELECT 'case-' || doc_id AS case_id, doc_id AS doc_key, 'revenue' AS field, CASE WHEN reason IS NULL THEN expected END AS expected,
+       CASE WHEN reason IS NULL THEN token END AS token, CASE WHEN reason IS NULL THEN 'units' END AS scale,
+       CASE WHEN reason IS NULL THEN start END AS start, CASE WHEN reason IS NULL THEN start + length(token) END AS "end", reason FROM resolved""")
 def resolved_cases(spark, sf_dir):
     """Documents with their numbers as rival candidate values."""
     found = _printed_numbers(spark, sf_dir)
@@ -42,7 +92,7 @@ def resolved_cases(spark, sf_dir):
     return renderings.resolve_values(candidates, documents)
 
 
-@query()
+@query(f"WITH {_RESOLVED} SELECT reason, count(*) AS n FROM resolved WHERE reason IS NOT NULL GROUP BY 1")
 def skip_counts(spark, sf_dir):
     return renderings.skip_counts(resolved_cases(spark, sf_dir))
 
@@ -68,7 +118,13 @@ def excerpts(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.encode(cut, "UTF-8"), 256).alias("digest"))
 
 
-@query()
+# CRC-32 bit by bit: each byte enters as itself followed by seven zero steps.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(id, '')])),
+  lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))), 4294967295::BIGINT)"""
+
+
+@query(f"""WITH c AS (SELECT doc_id, 'case-' || doc_id AS id FROM documents)
+SELECT doc_id, CASE WHEN {_CRC} % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split FROM c""")
 def case_splits(spark, sf_dir):
     d = standins.table(spark, sf_dir, "documents")
     return d.select("doc_id", replies.split_of(F.concat(F.lit("case-"), F.col("doc_id"))).alias("split"))

@@ -290,7 +290,7 @@ SELECT '2024-01-17' AS day, (SELECT count(DISTINCT user_id) FROM events) AS symb
 def job_daily_run(spark, sf_dir):
     house = _house(spark, "daily")
     rows = ohlcv(standins.bars_daily(spark, sf_dir))
-    names = [r[0] for r in rows.select("symbol").distinct().collect()]
+    names = rows.select("symbol").distinct()
     landed = {s: rows.filter(F.col("source") == s).drop("source") for s in _sources(spark, sf_dir)}
     summary = jobs.daily_run(spark, house, "2024-01-18", landed, names, TOL_D)
     logged = events.read_events(spark, house.path("events"), "job.daily")
