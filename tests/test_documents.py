@@ -223,3 +223,19 @@ def test_document_url(spark):
     df = spark.createDataFrame([(320193, "0000320193-20-000010", "a.htm")], "cik long, accn string, doc string")
     url = df.select(labelled.document_url(F.col("cik"), F.col("accn"), F.col("doc"))).first()[0]
     assert re.fullmatch(r"https://.*/320193/000032019320000010/a\.htm", url)
+
+
+def test_predictions_survive_a_failing_model(spark, rows):
+    df = cases.new_cases(spark.createDataFrame(
+        [("a", "5", "revenue", "5.0"), ("b", "boom", "revenue", "5"), ("c", "", "revenue", "x")],
+        "case_id string, doc_text string, field string, expected string"))
+
+    def predict(text, field):
+        if text == "boom":
+            raise RuntimeError("no")
+        return float(text) if text else None
+
+    got = labelled.predict_cases(df, "m", predict)
+    assert rows(got, "case_id", "prediction", "error") == [("a", "5.0", None), ("b", None, "RuntimeError: no"), ("c", None, None)]
+    total = labelled.score_predictions(df, got).agg({"n": "sum", "correct": "sum"}).first()
+    assert sorted(total) == [1, 3]

@@ -46,6 +46,23 @@ def test_daily_run_without_tickers_fails_and_logs_nothing(spark, house):
     assert events.read_events(spark, house.path("events")).count() == 0
 
 
+def test_daily_run_over_the_universe(spark, house):
+    days = [(s, d, p) for s, p in (("GOOD", 50.0), ("PENNY", 1.0)) for d in range(1, 30)]
+    for source in ("one", "two"):
+        bars.write_bars(frame(spark, *days), house.path("bars"), source)
+    jobs.vote_range(spark, house, "2020-01-01", "2020-01-31")
+    tickers = json.dumps({"0": {"cik_str": 1, "ticker": "GOOD"}, "1": {"cik_str": 2, "ticker": "PENNY"}})
+    jobs.load_tickers(house, spark.createDataFrame([(tickers,)], "payload string"))
+    listed = spark.createDataFrame([(c, f"a{c}", "10-K", dt.date(2019, 12, 1), "d", 0, dt.datetime(2020, 1, 1)) for c in (1, 2)],
+                                   "cik long, accn string, form string, filed date, primary_doc string, seq long, loaded_at timestamp")
+    listed.write.parquet(house.path("filings"))
+    landed = {"one": frame(spark, ("GOOD", 30, 51.0), ("PENNY", 30, 1.0))}
+    summary = jobs.daily_run(spark, house, "2020-01-31", landed)
+    assert (summary["symbols"], summary["symbol_source"], summary["one_rows"], summary["ok"]) == (1, "universe", 1, 1)
+    empty = jobs.daily_run(spark, house, "2021-01-31", {})
+    assert empty["empty_universe"] is True and empty["symbols"] == 0
+
+
 def test_a_later_vote_retracts_an_earlier_one(spark, house):
     bars.write_bars(frame(spark, ("A", 2, 10.0)), house.path("bars"), "one")
     jobs.vote_range(spark, house, "2020-01-01", "2020-01-31")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.replies import SPLITS, match_answers
@@ -113,6 +115,31 @@ def score_predictions(cases: DataFrame, predictions: DataFrame, models: DataFram
                       F.coalesce(F.try_divide("correct", "n"), F.lit(0.0)).alias("accuracy"))
 
 
+def predict_cases(cases: DataFrame, model: str, predict: Callable[[str, str], object]) -> DataFrame:
+    """Apply a caller's ``predict(doc_text, field)`` to every case: model, case_id, prediction, error.
+
+    A call that raises gives a null prediction, which scores as wrong, and its
+    message. Cases pass through in Arrow batches, one call per case.
+    """
+    if not isinstance(model, str) or not model.strip():
+        raise ValueError("model must be a non-empty string")
+
+    def run(batches):
+        for batch in batches:
+            answers, errors = [], []
+            for text, field in zip(batch["doc_text"], batch["field"]):
+                try:
+                    value, error = predict(text, field), None
+                except Exception as failure:  # a failing model scores badly, it does not stop the rest
+                    value, error = None, f"{type(failure).__name__}: {failure}"
+                answers.append(None if value is None else str(value))
+                errors.append(error)
+            yield pd.DataFrame({"model": model, "case_id": batch["case_id"], "prediction": answers, "error": errors})
+
+    return cases.select("case_id", "doc_text", "field").mapInPandas(
+        run, "model string, case_id string, prediction string, error string")
+
+
 def reply_diagnostics(parsed: DataFrame) -> DataFrame:
     """Answered, rescued and failed replies per model, with the first error text."""
     return parsed.groupBy("model").agg(

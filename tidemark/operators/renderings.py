@@ -140,6 +140,21 @@ def resolve_values(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def case_excerpts(resolved: DataFrame, documents: DataFrame, max_chars: int = EXCERPT_CHARS) -> DataFrame:
+    """Cases out of :func:`resolve_values`, each with the excerpt around its figure.
+
+    Columns: case_id, doc_key, doc_text, field, expected, scale. A case whose
+    excerpt lost the figure at its trimmed edges is dropped.
+    """
+    cut = excerpt(F.col("text"), F.col("start"), F.col("end"), max_chars)
+    return (
+        resolved.filter(F.col("reason").isNull()).join(documents.select("doc_key", "text"), "doc_key")
+        .withColumn("doc_text", cut)
+        .filter(F.contains("doc_text", "token"))
+        .select("case_id", "doc_key", "doc_text", "field", "expected", "scale")
+    )
+
+
 def skip_counts(resolved: DataFrame) -> DataFrame:
     """Cases per skip reason."""
     return resolved.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -100,16 +100,22 @@ def skip_counts(spark, sf_dir):
 _EXCERPT = 400
 
 
-@query(f"""WITH c AS (
-  SELECT doc_id, text, length(text) AS n, length(text) // 2 AS s, least(length(text) // 2 + 9, length(text)) AS e FROM documents),
-w AS (SELECT *, greatest(0, least(s - {_EXCERPT // 2}, n - {_EXCERPT})) AS low FROM c),
+def _excerpt_sql(source: str) -> str:
+    """CTE ``cut`` with the excerpt around [s, e) of each row of a CTE with doc_id, text, n, s, e."""
+    return f"""w AS (SELECT *, greatest(0, least(s - {_EXCERPT // 2}, n - {_EXCERPT})) AS low FROM {source}),
 x AS (SELECT *, least(n, low + {_EXCERPT}) AS high FROM w),
 y AS (SELECT *, instr(substring(text, low + 1, least(s, low + 200) - low), chr(10)) AS first_break,
              substring(text, greatest(e, high - 200) + 1, high - greatest(e, high - 200)) AS tail FROM x),
-z AS (SELECT doc_id, text, n, CASE WHEN low > 0 AND first_break > 0 THEN low + first_break ELSE low END AS low,
-             CASE WHEN high < n AND contains(tail, chr(10)) THEN high - instr(reverse(tail), chr(10)) ELSE high END AS high FROM y)
-SELECT doc_id, sha256(regexp_replace(CASE WHEN n <= {_EXCERPT} THEN text ELSE substring(text, low + 1, high - low) END,
-                              '^\\s+|\\s+$', '', 'g')) AS digest FROM z""")
+z AS (SELECT * REPLACE (CASE WHEN low > 0 AND first_break > 0 THEN low + first_break ELSE low END AS low,
+             CASE WHEN high < n AND contains(tail, chr(10)) THEN high - instr(reverse(tail), chr(10)) ELSE high END AS high) FROM y),
+cut AS (SELECT *, regexp_replace(CASE WHEN n <= {_EXCERPT} THEN text ELSE substring(text, low + 1, high - low) END,
+                                 '^\\s+|\\s+$', '', 'g') AS excerpt FROM z)"""
+
+
+@query(f"""WITH c AS (
+  SELECT doc_id, text, length(text) AS n, length(text) // 2 AS s, least(length(text) // 2 + 9, length(text)) AS e FROM documents),
+{_excerpt_sql('c')}
+SELECT doc_id, sha256(excerpt) AS digest FROM cut""")
 def excerpts(spark, sf_dir):
     d = standins.table(spark, sf_dir, "documents")
     n = F.length("text")
@@ -118,6 +124,17 @@ def excerpts(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.encode(cut, "UTF-8"), 256).alias("digest"))
 
 
+@query(f"""WITH {_RESOLVED},
+c AS (SELECT r.doc_id, d.text, length(d.text) AS n, r.start AS s, r.start + length(r.token) AS e, r.token, r.expected
+      FROM resolved r JOIN documents d USING (doc_id) WHERE r.reason IS NULL),
+{_excerpt_sql('c')}
+SELECT 'case-' || doc_id AS case_id, excerpt AS doc_text, 'revenue' AS field, expected FROM cut WHERE contains(excerpt, token)""")
+def seeded_cases(spark, sf_dir):
+    resolved = resolved_cases(spark, sf_dir)
+    documents = standins.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "text")
+    return renderings.case_excerpts(resolved, documents, _EXCERPT).select("case_id", "doc_text", "field", "expected")
+
+
 # CRC-32 bit by bit: each byte enters as itself followed by seven zero steps.
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(id, '')])),
   lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))), 4294967295::BIGINT)"""
@@ -269,7 +286,7 @@ def stratified_sample(spark, sf_dir):
 
 
 @query(f"""WITH {FACTS_Q}
-SELECT DISTINCT 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || accn || '/d.htm' AS url FROM facts_q WHERE cik % 10 = 3""")
+SELECT DISTINCT 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || accn || '/d.htm' AS url FROM facts_q""")
 def document_urls(spark, sf_dir):
-    f = standins.facts_quarterly(spark, sf_dir).filter("cik % 10 = 3").select("cik", "accn").distinct()
+    f = standins.facts_quarterly(spark, sf_dir).select("cik", "accn").distinct()
     return f.select(labelled.document_url(F.col("cik"), F.col("accn"), F.lit("d.htm")).alias("url")).distinct()

@@ -180,10 +180,10 @@ def dividends_split_adjusted(spark, sf_dir):
 
 
 @query(f"""WITH {DIVIDENDS} SELECT symbol, ex_date, rate FROM dividends
-WHERE ex_date BETWEEN DATE '1996-03-01' AND DATE '1999-02-28' AND symbol IN ('S1', 'S2', 'S3', 'S4', 'S5')""")
+WHERE ex_date BETWEEN DATE '1996-03-01' AND DATE '1999-02-28'""")
 def dividends_declared(spark, sf_dir):
     return dividends.read_dividends(
-        standins.dividends(spark, sf_dir), None, ["S1", "S2", "S3", "S4", "S5"], "1996-03-01", "1999-02-28").drop("special")
+        standins.dividends(spark, sf_dir), None, start="1996-03-01", end="1999-02-28").drop("special")
 
 
 _MARKET = f"""{PANEL_D},

@@ -204,14 +204,16 @@ def _store_daily_bars(spark: SparkSession, sf_dir: str, house: jobs.Warehouse) -
 
 
 @query(f"""WITH {BARS_D}
-SELECT symbol, ts, source, close + CASE WHEN day(ts) % 3 = 0 THEN 1.0 ELSE 0.0 END AS close FROM bars_d WHERE source = 'click'""")
+SELECT symbol, ts, source, close + CASE WHEN day(ts) % 3 = 0 THEN 1.0 ELSE 0.0 END AS close FROM bars_d""")
 def bars_store(spark, sf_dir):
-    """Two appended batches of one source and a read of it."""
+    """A batch of every source, then corrections of every third day, and a read."""
     house = _house(spark, "bars")
-    rows = ohlcv(standins.bars_daily(spark, sf_dir)).filter("source = 'click'")
-    bars.write_bars(rows, house.path("bars"), "click")
-    bars.write_bars(rows.filter(F.dayofmonth("ts") % 3 == 0).withColumn("close", F.col("close") + 1.0), house.path("bars"), "click")
-    return bars.read_bars(spark, house.path("bars"), source="click").select("symbol", "ts", "source", "close")
+    _store_daily_bars(spark, sf_dir, house)
+    rows = ohlcv(standins.bars_daily(spark, sf_dir)).filter(F.dayofmonth("ts") % 3 == 0)
+    for source in _sources(spark, sf_dir):
+        some = rows.filter(F.col("source") == source).withColumn("close", F.col("close") + 1.0)
+        bars.write_bars(some, house.path("bars"), source)
+    return bars.read_bars(spark, house.path("bars")).select("symbol", "ts", "source", "close")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
