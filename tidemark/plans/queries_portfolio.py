@@ -109,7 +109,8 @@ b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
 
 
 @query(f"""WITH {SERIES}
-SELECT count(*) AS n, {R('avg(ret_ls) / stddev_samp(ret_ls) * sqrt(12)', 7)} AS sharpe FROM series""")
+SELECT count(*) AS n, coalesce(CASE WHEN min(ret_ls) <> max(ret_ls)
+       THEN {R('avg(ret_ls) / stddev_samp(ret_ls) * sqrt(12)', 7)} END, 0.0) AS sharpe FROM series""")
 def sharpe_longshort(spark, sf_dir):
     return rounded(statistics.sharpe(momentum_series(spark, sf_dir), "ret_ls"), 7)
 
