@@ -79,11 +79,12 @@ def at_dates(rows: DataFrame, points: DataFrame, point: str, first: str, last: s
     test. The rows are repeated only for the months they are valid in, which for
     monthly points is also the size of the result.
 
-    ``points`` are dates, a fixed number of rows per calendar day at most, so
-    they are broadcast: shuffling the rows by month would pile them onto as many
+    ``points`` hold dates and at most a small fixed label beside them. Made
+    distinct, they have a few rows per calendar day whatever is passed in, and
+    are broadcast: shuffling the rows by month would pile them onto as many
     tasks as there are months.
     """
-    keyed = points.withColumn("_month", F.trunc(point, "MM"))
+    keyed = points.distinct().withColumn("_month", F.trunc(point, "MM"))
     return (
         spread_over_months(rows, first, last)
         .join(F.broadcast(keyed), "_month")

@@ -141,14 +141,15 @@ def drift_orders(
     """
     lines = holdings.select("account", "symbol", "qty").join(
         book.select("account", "symbol", "weight"), ["account", "symbol"], "full")
-    priced = lines.join(prices.select("symbol", "close"), "symbol").select(
+    quoted = prices.filter(positive(F.col("close"))).select("symbol", "close")
+    priced = lines.join(quoted, "symbol").select(
         "account", "symbol", "close", F.coalesce("qty", F.lit(0.0)).alias("qty"),
         F.coalesce("weight", F.lit(0.0)).alias("weight"))
     worth = priced.groupBy("account").agg(F.sum(F.col("qty") * F.col("close")).alias("_worth"))
     value = worth.join(cash, "account", "left").select(
         "account", (F.col("_worth") + F.coalesce("cash", F.lit(0.0))).alias("portfolio"))
     current = F.try_divide(F.col("qty") * F.col("close"), F.col("portfolio"))
-    delta = F.col("weight") * F.col("portfolio") / F.col("close") - F.col("qty")
+    delta = F.try_divide(F.col("weight") * F.col("portfolio"), F.col("close")) - F.col("qty")
     return (
         priced.join(value.filter(F.col("portfolio") > 0), "account")
         .filter(F.abs(F.col("weight") - current) >= drift_band)

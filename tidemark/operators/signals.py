@@ -117,7 +117,7 @@ def issuance(
         .withColumn("_prefer", -F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag")))
     )
     chosen = newest_wins(pairs, ["asof", "cik"], ["_prefer"])
-    return finalise(chosen.withColumn("score", -F.ln(F.col("now") / F.col("then"))).join(tickers, "cik"))
+    return finalise(chosen.withColumn("score", -F.ln(F.try_divide("now", "then"))).join(tickers, "cik"))
 
 
 def accruals(
@@ -161,7 +161,7 @@ def accruals(
     change = {n: F.col(n) - F.col(f"p.{n}") for n in tags}
     base = (F.col("ta") + F.col("p.ta")) / 2
     scored = pairs.filter(finite(base) & (base > 0)).withColumn(
-        "score", -((change["ca"] - change["cash"] - change["cl"]) / base))
+        "score", -F.try_divide(change["ca"] - change["cash"] - change["cl"], base))
     return finalise(scored.join(tickers, "cik"))
 
 
@@ -205,6 +205,6 @@ def earnings_surprise(
         .filter(F.col("_later").isNull() & (F.col("_n") >= MIN_HISTORY)
                 & (F.col("filed") >= F.date_sub("asof", window_days))
                 & finite(F.col("scale")) & (F.col("scale") > 0))
-        .withColumn("score", F.col("diff") / F.col("scale"))
+        .withColumn("score", F.try_divide("diff", "scale"))
     )
     return finalise(scored.join(tickers, "cik"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.values import among, as_date, finite, iso_day, number, positive, symbol_list, ticker
 from tidemark.sources.tables import newest_wins
+from tidemark.sources.unpack import object_list
 
-_ACTIONS = (
-    "corporate_actions struct<cash_dividends: array<string>, forward_splits: array<string>, reverse_splits: array<string>>"
-)
+_ACTIONS = "corporate_actions struct<cash_dividends: string, forward_splits: string, reverse_splits: string>"
+_DIVIDEND = ["symbol", "ex_date", "rate", "special"]
+_SPLIT = ["symbol", "ex_date", "old_rate", "new_rate"]
 _KEY = ["symbol", "ex_date"]
 
 
@@ -26,8 +27,7 @@ def parse_dividends(pages: DataFrame, column: str = "payload") -> DataFrame:
     payload (a load stamp, a page number) are kept for :func:`current_actions`.
     """
     parsed, keep = _pages(pages, column)
-    texts = parsed.select(*keep, F.posexplode("a.cash_dividends").alias("seq", "text"))
-    each = texts.withColumn("d", F.from_json("text", "symbol string, ex_date string, rate string, special string"))
+    each = parsed.select(*keep, F.posexplode(object_list(F.col("a.cash_dividends"), _DIVIDEND)).alias("seq", "d"))
     rows = each.select(
         *keep, "seq", ticker(F.col("d.symbol")).alias("symbol"), iso_day(F.substring("d.ex_date", 1, 10)).alias("ex_date"),
         number(F.col("d.rate")).alias("rate"), F.coalesce(F.lower("d.special") == "true", F.lit(False)).alias("special"))
@@ -37,10 +37,9 @@ def parse_dividends(pages: DataFrame, column: str = "payload") -> DataFrame:
 def parse_splits(pages: DataFrame, column: str = "payload") -> DataFrame:
     """Forward and reverse splits of vendor pages with positive rates."""
     parsed, keep = _pages(pages, column)
-    empty = F.expr("cast(array() as array<string>)")
-    both = F.concat(F.coalesce("a.forward_splits", empty), F.coalesce("a.reverse_splits", empty))
-    texts = parsed.select(*keep, F.posexplode(both).alias("seq", "text"))
-    each = texts.withColumn("s", F.from_json("text", "symbol string, ex_date string, old_rate string, new_rate string"))
+    lists = [object_list(F.col(f"a.{name}"), _SPLIT) for name in ("forward_splits", "reverse_splits")]
+    both = F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+    each = parsed.select(*keep, F.posexplode(both).alias("seq", "s"))
     rows = each.select(
         *keep, "seq", ticker(F.col("s.symbol")).alias("symbol"), iso_day(F.substring("s.ex_date", 1, 10)).alias("ex_date"),
         number(F.col("s.old_rate")).alias("old_rate"), number(F.col("s.new_rate")).alias("new_rate"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions.values import among, as_date, finite, iso_day, number, symbol_list, ticker
 from tidemark.schemas import BAR_INPUT, BARS, conform, require
 from tidemark.sources.tables import append, newest_wins, read
+from tidemark.sources.unpack import object_list
 
 # Fixed values.
 BAR_KEY = ["symbol", "ts", "resolution", "source"]
@@ -108,8 +109,7 @@ def parse_bar_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
     losing its neighbours.
     """
     by_symbol = payloads.select(F.explode(F.from_json(F.col(column), "bars map<string, string>")["bars"]).alias("symbol", "series"))
-    texts = by_symbol.select("symbol", F.explode(F.from_json("series", "array<string>")).alias("bar"))
-    one = texts.select("symbol", F.from_json("bar", "t string, o string, h string, l string, c string, v string").alias("b"))
+    one = by_symbol.select("symbol", F.explode(object_list(F.col("series"), list("tohlcv"))).alias("b"))
     return _usable(one.select(
         ticker(F.col("symbol")).alias("symbol"), iso_day(F.substring("b.t", 1, 10)).alias("ts"),
         *[number(F.col(f"b.{key}")).alias(name) for key, name in zip("ohlcv", _VALUES)]))

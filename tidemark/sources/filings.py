@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.values import cik_number, finite, iso_day, number, ticker, whole
 from tidemark.sources.tables import newest_wins
+from tidemark.sources.unpack import object_lists
 
-_ENTRY = (
-    "start string, `end` string, val string, accn string, fy string, fp string, form string, filed string"
-)
+_ENTRY = ["start", "end", "val", "accn", "fy", "fp", "form", "filed"]
 _RECENT = (
     "cik string, filings struct<recent: struct<accessionNumber: array<string>, form: array<string>, "
     "filingDate: array<string>, primaryDocument: array<string>>>"
@@ -33,10 +32,10 @@ def parse_company_facts(documents: DataFrame, column: str = "payload") -> DataFr
         *keep, cik.alias("cik"), F.posexplode("d.facts").alias("_p0", "taxonomy", "tags"))
     by_tag = by_taxonomy.select(
         *keep, "cik", "taxonomy", "_p0", F.posexplode(F.from_json("tags", "map<string, string>")).alias("_p1", "tag", "body"))
-    units = F.from_json("body", "units map<string, array<string>>")["units"]
+    units = object_lists(F.col("body"), "units", _ENTRY)
     by_unit = by_tag.select(*keep, "cik", "taxonomy", "tag", "_p0", "_p1", F.posexplode(units).alias("_p2", "unit", "list"))
-    texts = by_unit.select(*keep, "cik", "taxonomy", "tag", "unit", "_p0", "_p1", "_p2", F.posexplode("list").alias("_p3", "text"))
-    entries = texts.withColumn("e", F.from_json("text", _ENTRY))
+    entries = by_unit.select(
+        *keep, "cik", "taxonomy", "tag", "unit", "_p0", "_p1", "_p2", F.posexplode("list").alias("_p3", "e"))
     # Position in the document, one digit group per nesting level.
     seq = ((F.col("_p0").cast("bigint") * 100_000 + F.col("_p1")) * 1_000 + F.col("_p2")) * 1_000_000 + F.col("_p3")
     rows = entries.select(
