@@ -174,6 +174,46 @@ def test_a_skipped_quarter_breaks_the_seasonal_difference(spark):
     assert got == want
 
 
+def brute_surprise(data, asof):
+    """The score per filer straight from the definition, on the whole history."""
+    out = {}
+    for cik in {r[0] for r in data}:
+        best = {}
+        for r in data:
+            if r[0] == cik and r[7] <= asof and 80 <= (r[3] - r[2]).days <= 100:
+                best[r[3]] = max(best.get(r[3], (dt.date.min, "", 0)), (r[7], r[5], r[4]))
+        ends = sorted(best)
+        diffs = [(best[e][2] - best[ends[i - 4]][2], best[e][0]) for i, e in enumerate(ends)
+                 if i >= 4 and 330 <= (e - ends[i - 4]).days <= 400]
+        prior = [d for d, _ in diffs[:-1]][-8:]
+        if len(prior) >= 4 and diffs[-1][1] >= asof - dt.timedelta(days=60) and statistics.stdev(prior) > 0:
+            out[f"S{cik}"] = diffs[-1][0] / statistics.stdev(prior)
+    return out
+
+
+def test_surprise_equals_the_definition_with_gaps_and_restatements(spark):
+    import random
+
+    rnd = random.Random(23)
+    data = []
+    for cik in range(1, 31):
+        for i in range(36):
+            if rnd.random() < 0.06 * (cik % 3):
+                continue  # a quarter never filed
+            start, end = quarter(i)
+            # Some filers are so late that quarters become known out of order.
+            filed = end + dt.timedelta(days=rnd.randint(20, 80 if cik % 5 else 200))
+            data.append((cik, "NetIncomeLoss", start, end, rnd.randint(50, 150), f"a{i:02d}", "10-Q", filed))
+            if rnd.random() < 0.15:
+                again = filed + dt.timedelta(days=rnd.randint(1, 400))
+                data.append((cik, "NetIncomeLoss", start, end, rnd.randint(50, 150), f"b{i:02d}", "10-Q", again))
+    asofs = [D(2018, 1, 31) + dt.timedelta(days=83 * i) for i in range(45)]
+    t = tickers(spark, *[(i, f"S{i}") for i in range(1, 31)])
+    got = score(signals.earnings_surprise(fact(spark, data), t, signals.asof_frame(spark, asofs), last=D(2029, 1, 1)))
+    want = {(a, s): pytest.approx(v) for a in asofs for s, v in brute_surprise(data, a).items()}
+    assert len(want) > 300 and got == want
+
+
 def test_later_filings_change_no_score(spark):
     data = quarters(1, [100, 100, 100, 100, 110, 108, 112, 110, 165])
     asof = quarter(8)[1] + dt.timedelta(days=50)

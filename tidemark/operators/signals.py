@@ -172,10 +172,13 @@ def earnings_surprise(
 ) -> DataFrame:
     """Newest seasonal difference over the spread of the up to eight before it.
 
-    Null differences leave before the second window, so its eight rows are the
-    eight previous usable differences. A date is only evaluated for filers with
-    a filing inside the drift window, which any scored filer needs; a group
-    holds at most one row per quarter end.
+    A date is only evaluated for filers with a filing inside the drift window,
+    which any scored filer needs. A regular filer (no quarter missing, filed in
+    order) has a difference for every quarter from the fifth on, so its score
+    rests on the newest thirteen quarters; each is carried forward until thirteen
+    later ones are known, and the repetition does not grow with the length of
+    the history. Other filers keep their whole history, since a gap can push the
+    differences any distance back.
     """
     if isinstance(window_days, bool) or not isinstance(window_days, int) or window_days < 1:
         raise ValueError("window_days must be a positive int")
@@ -184,27 +187,48 @@ def earnings_surprise(
         & F.datediff("end", "start").between(*QUARTER_DAYS)
     )
     daily = newest_wins(quarters, ["cik", "end", "filed"], ["accn", "taxonomy", "unit", "seq"])
+    per_quarter = W.partitionBy("cik", "end")
+    versions = daily.select("cik", "end", "val", "filed", F.lead("filed").over(per_quarter.orderBy("filed")).alias("_next"))
+
+    known = daily.groupBy("cik", "end").agg(F.min("filed").alias("_known"))
+    by_end = W.partitionBy("cik").orderBy("end")
+    gap = F.datediff("end", F.lag("end", SEASONAL_LAG).over(by_end))
+    odd = (gap.isNotNull() & ~gap.between(*year_gap)) | (F.col("_known") < F.lag("_known").over(by_end))
+    needed = SEASONAL_LAG + HISTORY + 1
+    expiry = known.select(
+        "cik", "end", F.coalesce(odd, F.lit(False)).alias("_odd"), F.lead("_known", needed).over(by_end).alias("_later")
+    ).select("cik", "end", F.when(~F.max("_odd").over(W.partitionBy("cik")), F.col("_later")).alias("_expiry"))
+    spans = versions.join(expiry, ["cik", "end"]).withColumn(
+        "_until", F.least(F.date_sub("_next", 1), F.date_sub("_expiry", 1), F.lit(as_date(last, "last"))))
+
     dates = asofs.select("asof")
-    following = F.lead("filed").over(W.partitionBy("cik", "end").orderBy("filed"))
-    versions = daily.select("cik", "end", "val", "filed", following.alias("_next")).withColumn(
-        "_until", F.coalesce(F.date_sub("_next", 1), F.lit(as_date(last, "last"))))
-    recent = at_dates(
+    lately = at_dates(
         quarters.select("cik", "filed").distinct().withColumn("_until", F.date_add("filed", window_days)),
         dates, "asof", "filed", "_until").select("asof", "cik")
-    history = at_dates(versions, dates, "asof", "filed", "_until").join(recent, ["asof", "cik"], "left_semi")
+    history = at_dates(spans, dates, "asof", "filed", "_until").join(lately, ["asof", "cik"], "left_semi")
+    scored = (
+        _surprises(history, year_gap)
+        .filter((F.col("_n") >= MIN_HISTORY) & (F.col("filed") >= F.date_sub("asof", window_days))
+                & finite(F.col("scale")) & (F.col("scale") > 0))
+        .withColumn("score", F.try_divide("diff", "scale"))
+    )
+    return finalise(scored.join(tickers, "cik"))
+
+
+def _surprises(history: DataFrame, year_gap: tuple[int, int]) -> DataFrame:
+    """The newest seasonal difference per (asof, cik) with the scale and number of those before it.
 
+    Null differences leave before the second window, so its eight rows are the
+    eight previous usable differences. A group has one row per quarter end.
+    """
     by_end = W.partitionBy("asof", "cik").orderBy("end")
     gap = F.datediff("end", F.lag("end", SEASONAL_LAG).over(by_end))
     diff = F.when(gap.between(*year_gap), F.col("val") - F.lag("val", SEASONAL_LAG).over(by_end))
     before = by_end.rowsBetween(-HISTORY, -1)
-    scored = (
+    return (
         history.withColumn("diff", diff)
         .filter(F.col("diff").isNotNull())
         .select("asof", "cik", "filed", "diff", F.stddev_samp("diff").over(before).alias("scale"),
                 F.count("diff").over(before).alias("_n"), F.lead("end").over(by_end).alias("_later"))
-        .filter(F.col("_later").isNull() & (F.col("_n") >= MIN_HISTORY)
-                & (F.col("filed") >= F.date_sub("asof", window_days))
-                & finite(F.col("scale")) & (F.col("scale") > 0))
-        .withColumn("score", F.try_divide("diff", "scale"))
+        .filter(F.col("_later").isNull()).drop("_later")
     )
-    return finalise(scored.join(tickers, "cik"))
