@@ -239,6 +239,19 @@ def test_versions_equal_the_single_date_read(spark):
     assert got == want
 
 
+def test_naming_the_first_date_changes_nothing(spark):
+    asof = quarter(8)[1] + dt.timedelta(days=50)
+    t, frame = tickers(spark, (1, "S")), signals.asof_frame(spark, [asof])
+    for signal, data in (
+        (signals.earnings_surprise, quarters(1, [100, 100, 100, 100, 110, 108, 112, 110, 165])),
+        (signals.accruals, sheet(1, D(2018, 12, 31), 100, 20, 50, 1000, D(2019, 3, 1)) + sheet(1, D(2019, 12, 31), 150, 30, 60, 1200, D(2020, 3, 1))),
+        (signals.issuance, [(1, A, None, D(2019, 3, 31), 100, "a", "10-Q", D(2019, 5, 1)), (1, A, None, D(2020, 3, 31), 110, "b", "10-Q", D(2020, 4, 1))]),
+    ):
+        df = fact(spark, data)
+        wide = score(signal(df, t, frame, last=D(2030, 1, 1)))
+        assert len(wide) == 1 and score(signal(df, t, frame, last=asof, first=asof)) == wide
+
+
 def test_alive_bounds(spark):
     asof = D(2020, 6, 30)
     data = [(1, "10-K", asof), (2, "10-Q", asof - dt.timedelta(days=456)), (3, "10-Q", asof - dt.timedelta(days=457)),

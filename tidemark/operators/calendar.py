@@ -66,13 +66,7 @@ def days_of_holds(periods: DataFrame) -> DataFrame:
     return periods.select(F.explode(each).alias("day"), "formed", "held_to")
 
 
-def spread_over_months(rows: DataFrame, first: str, last: str) -> DataFrame:
-    """Repeat each row once per month of ``[first, last]`` under ``_month``."""
-    months = F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))
-    return rows.filter(F.col(first) <= F.col(last)).withColumn("_month", F.explode(months))
-
-
-def at_dates(rows: DataFrame, points: DataFrame, point: str, first: str, last: str) -> DataFrame:
+def at_dates(rows: DataFrame, points: DataFrame, point: str, first: str, last: str, since=None) -> DataFrame:
     """Rows valid at each date: ``first <= point <= last``.
 
     A range join written as an equality join on the month plus a residual range
@@ -83,10 +77,16 @@ def at_dates(rows: DataFrame, points: DataFrame, point: str, first: str, last: s
     distinct, they have a few rows per calendar day whatever is passed in, and
     are broadcast: shuffling the rows by month would pile them onto as many
     tasks as there are months.
+
+    ``since``, a date no point lies before, keeps long spans from being repeated
+    for months that nobody asks about.
     """
+    lower = F.col(first) if since is None else F.greatest(F.col(first), F.lit(since))
+    months = F.sequence(F.trunc(lower, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))
     keyed = points.distinct().withColumn("_month", F.trunc(point, "MM"))
     return (
-        spread_over_months(rows, first, last)
+        rows.filter((F.col(first) <= F.col(last)) & (lower <= F.col(last)))
+        .withColumn("_month", F.explode(months))
         .join(F.broadcast(keyed), "_month")
         .filter((F.col(point) >= F.col(first)) & (F.col(point) <= F.col(last)))
         .drop("_month")

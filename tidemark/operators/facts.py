@@ -53,17 +53,21 @@ def fact_versions(facts: DataFrame, tags: Sequence[str]) -> DataFrame:
     )
 
 
-def facts_at(facts: DataFrame, tags: Sequence[str], points: DataFrame, point: str, last, max_age: int | None = None) -> DataFrame:
+def facts_at(
+    facts: DataFrame, tags: Sequence[str], points: DataFrame, point: str, last, max_age: int | None = None, since=None
+) -> DataFrame:
     """:func:`latest_facts` for many dates at once.
 
-    ``last`` is the final date of the study and closes the open versions.
+    ``last`` is the final date of the study and closes the open versions;
+    ``since``, if given, is its first date.
     ``max_age`` drops an answer filed more than that many days before the date.
     """
-    versions = fact_versions(facts, tags)
-    until = F.coalesce("valid_to", F.lit(as_date(last, "last")))
+    final = F.lit(as_date(last, "last"))
+    versions = fact_versions(facts.filter(F.col("filed") <= final), tags)
+    until = F.coalesce("valid_to", final)
     if max_age is not None:
         until = F.least(until, F.date_add("filed", max_age))
-    return at_dates(versions.withColumn("_until", until), points, point, "filed", "_until").drop("_until", "valid_to")
+    return at_dates(versions.withColumn("_until", until), points, point, "filed", "_until", since).drop("_until", "valid_to")
 
 
 def restated(facts: DataFrame, key: Sequence[str] = ("cik", "tag", "end")) -> DataFrame:

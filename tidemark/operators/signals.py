@@ -2,11 +2,13 @@
 
 Every signal takes a DataFrame ``asofs`` with one row per formation date and
 returns asof, symbol, score. Nothing dated after a formation date can change its
-scores.
+scores. ``last``, and ``first`` if given, bound the formation dates; they keep facts
+from being carried over months in which there are none.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -94,7 +96,7 @@ def momentum(
 
 def issuance(
     facts: DataFrame, tickers: DataFrame, asofs: DataFrame, last, tags: Sequence[str] = SHARE_TAGS,
-    lookback_days: int = ISSUANCE_DAYS, max_age: int = MAX_FACT_AGE,
+    lookback_days: int = ISSUANCE_DAYS, max_age: int = MAX_FACT_AGE, first=None,
 ) -> DataFrame:
     """Minus the log growth of the share count over a year.
 
@@ -106,7 +108,8 @@ def issuance(
         F.struct(F.lit("then").alias("end"), F.date_sub("asof", lookback_days).alias("point")),
     ))
     points = asofs.select("asof", ends.alias("p")).select("asof", F.col("p.end").alias("at"), "p.point")
-    counts = facts_at(facts, tags, points, "point", last, max_age).filter(
+    since = None if first is None else as_date(first, "first") - dt.timedelta(days=lookback_days)
+    counts = facts_at(facts, tags, points, "point", last, max_age, since).filter(
         finite(F.col("val")) & (F.col("val") > 0)
     )
     pairs = (
@@ -122,7 +125,7 @@ def issuance(
 
 def accruals(
     facts: DataFrame, tickers: DataFrame, asofs: DataFrame, last, tags: dict[str, str] = BALANCE_TAGS,
-    form: str = ANNUAL_FORM, year_gap: tuple[int, int] = YEAR_GAP_DAYS,
+    form: str = ANNUAL_FORM, year_gap: tuple[int, int] = YEAR_GAP_DAYS, first=None,
 ) -> DataFrame:
     """Minus the change in non-cash working capital over average total assets.
 
@@ -132,7 +135,9 @@ def accruals(
     the day two later ones are complete. The dates it is repeated for are then a
     few years at most, whatever the length of the study.
     """
-    lines = facts.filter(F.col("tag").isin(*tags.values()) & (F.col("form") == form) & finite(F.col("val")))
+    lines = facts.filter(
+        F.col("tag").isin(*tags.values()) & (F.col("form") == form) & finite(F.col("val"))
+        & (F.col("filed") <= F.lit(as_date(last, "last"))))
     daily = newest_wins(lines, ["cik", "end", "tag", "filed"], ["accn", "taxonomy", "unit", "seq"])
     wide = daily.groupBy("cik", "end", "filed").agg(
         *[F.max(F.when(F.col("tag") == tag, F.col("val"))).alias(name) for name, tag in tags.items()]
@@ -151,7 +156,8 @@ def accruals(
     spans = sheets.join(expiry, ["cik", "end"]).withColumn(
         "_until", F.least(F.date_sub("_next", 1), F.date_sub("_expiry", 1), F.lit(as_date(last, "last"))))
 
-    seen = at_dates(spans, asofs.select("asof"), "asof", "filed", "_until")
+    since = None if first is None else as_date(first, "first")
+    seen = at_dates(spans, asofs.select("asof"), "asof", "filed", "_until", since)
     newest = W.partitionBy("asof", "cik").orderBy(F.col("end").desc())
     prior = F.lead(F.struct("end", *tags)).over(newest)
     pairs = (
@@ -168,7 +174,7 @@ def accruals(
 def earnings_surprise(
     facts: DataFrame, tickers: DataFrame, asofs: DataFrame, last, window_days: int = DRIFT_DAYS,
     tag: str = EARNINGS_TAG, forms: Sequence[str] = PERIODIC_FORMS,
-    year_gap: tuple[int, int] = YEAR_GAP_DAYS,
+    year_gap: tuple[int, int] = YEAR_GAP_DAYS, first=None,
 ) -> DataFrame:
     """Newest seasonal difference over the spread of the up to eight before it.
 
@@ -184,7 +190,7 @@ def earnings_surprise(
         raise ValueError("window_days must be a positive int")
     quarters = facts.filter(
         (F.col("tag") == tag) & F.col("form").isin(*forms) & finite(F.col("val"))
-        & F.datediff("end", "start").between(*QUARTER_DAYS)
+        & F.datediff("end", "start").between(*QUARTER_DAYS) & (F.col("filed") <= F.lit(as_date(last, "last")))
     )
     daily = newest_wins(quarters, ["cik", "end", "filed"], ["accn", "taxonomy", "unit", "seq"])
     per_quarter = W.partitionBy("cik", "end")
@@ -201,11 +207,11 @@ def earnings_surprise(
     spans = versions.join(expiry, ["cik", "end"]).withColumn(
         "_until", F.least(F.date_sub("_next", 1), F.date_sub("_expiry", 1), F.lit(as_date(last, "last"))))
 
-    dates = asofs.select("asof")
+    dates, since = asofs.select("asof"), None if first is None else as_date(first, "first")
     lately = at_dates(
         quarters.select("cik", "filed").distinct().withColumn("_until", F.date_add("filed", window_days)),
-        dates, "asof", "filed", "_until").select("asof", "cik")
-    history = at_dates(spans, dates, "asof", "filed", "_until").join(lately, ["asof", "cik"], "left_semi")
+        dates, "asof", "filed", "_until", since).select("asof", "cik")
+    history = at_dates(spans, dates, "asof", "filed", "_until", since).join(lately, ["asof", "cik"], "left_semi")
     scored = (
         _surprises(history, year_gap)
         .filter((F.col("_n") >= MIN_HISTORY) & (F.col("filed") >= F.date_sub("asof", window_days))
