@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import catalog
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:

@@ -4,13 +4,13 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemark.operators import lots
-from tidemark.plans import standins
+from tidemark.plans import catalog, standins
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_pairing_of_whole_tables(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan

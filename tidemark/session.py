@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,23 +49,13 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def scratch(spark: SparkSession, label: str) -> str:
     """A path, not yet in use, for a table that cuts lineage.
 
-    Lives under the shared folder named by ``spark.checkpoint.dir``. Only a local
-    session that names none falls back to a temporary folder; on a cluster that
-    is an error, because executors could not see each other's files.
+    Lives under the shared folder named by ``spark.checkpoint.dir``, or else under
+    the session's warehouse, which every executor of a cluster sees as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = _local_scratch()
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@lru_cache(maxsize=1)
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to a fresh scratch table and read it back.
 
