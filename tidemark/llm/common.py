@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import configure, store
 
-#: Rows of one Arrow batch. Texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Texts can be long, so batches are kept short.
+BATCH_ROWS = 256
+BATCH_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """The package's settings, and batches that fit long texts."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -99,3 +101,28 @@ def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """One partition as a table; for partitions whose size the exchange bounds."""
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got) if got else None
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of rows with equal values in the first ``keys`` (integer) columns; input sorted by them.
+
+    One group is held at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        if held and (columns[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(cuts, cuts[1:]):
+            if low:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+        last = columns[-1]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, langid, lines, packing, pii, simhash, toxicity, vectors, warc
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
+from tidemark.session import store
 
 
 @query()
@@ -14,3 +16,152 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(sql=r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, list_aggregate(w[i:i + least(10, len(w)) - 1], 'string_agg', ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+gram AS (
+  SELECT r, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, n, i, item FROM gram JOIN win USING (n, gram)),
+pos AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)""")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window, and the items found."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document and the words that give it away."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = {k: F.col(f"base.{k}") for k in pii.KINDS}
+    return found.select(
+        "doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base.items()],
+        F.sha2(pii.span_list(base), 256).alias("base_sha256"),
+        pii.span_list(base | {pii.TERM: F.col("terms")}).alias("spans"))
+
+
+def _remainder(key: str, of: int):
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
+
+
+@query()
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of the documents is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    found = langid.identify(docs.select("doc_id", "text", "lang"), ~held_out, name="found")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"),
+                        F.col("found.score").alias("score"), F.col("found.ambiguous").alias("ambiguous"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third of the documents is never learned from."""
+    held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False))
+    found = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"),
+                              ~held_out, name="score")
+    return found.select("doc_id", held_out.alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query(sql="""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r, r AS o FROM v UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a),
+comp AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.o GROUP BY reach.r),
+deg AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN comp USING (r) LEFT JOIN deg USING (r)""")
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every vector."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+first AS (SELECT body, max(page_id) AS response FROM p GROUP BY body),
+d AS (SELECT p.page_id, p.body, first.response, sha1(p.body) AS h FROM p JOIN first USING (body))
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+         ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM d""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a WARC archive and read back."""
+    archives = store(warc.write(table(spark, sf_dir, "pages")), "warc")
+    return warc.read(archives, payloads=False).filter("problem IS NULL").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(sql="""
+WITH line AS (
+  SELECT doc_id, text, i - 1 AS line, parts[i] AS raw
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents)),
+words AS (
+  SELECT doc_id, text, line, raw,
+         list_distinct(regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM line),
+own AS (SELECT doc_id, line, list_sort(w) AS w FROM words WHERE len(w) > 0),
+sets AS (SELECT row_number() OVER () AS s, w, len(w) AS n, min(doc_id * 1000000 + line) AS at FROM own GROUP BY w),
+tok AS (SELECT s, n, unnest(w) AS t FROM sets),
+df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+ranked AS (SELECT s, n, t, row_number() OVER (PARTITION BY s ORDER BY c, t) AS p FROM tok JOIN df USING (t)),
+pre AS (SELECT s, n, t FROM ranked WHERE p <= n - ((4 * n + 4) // 5) + 1),
+pair AS (SELECT DISTINCT a.s AS a, b.s AS b FROM pre a JOIN pre b USING (t) WHERE a.s < b.s AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+hit AS (
+  SELECT a, b, x.at AS xa, y.at AS ya FROM pair JOIN sets x ON x.s = a JOIN sets y ON y.s = b
+  WHERE 5 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+gone AS (SELECT CASE WHEN xa < ya THEN b ELSE a END AS s FROM hit GROUP BY 1),
+out AS (
+  SELECT own.doc_id, own.line FROM own JOIN sets USING (w) LEFT JOIN gone USING (s)
+  WHERE gone.s IS NOT NULL OR own.doc_id * 1000000 + own.line <> sets.at),
+n AS (SELECT doc_id, count(*) AS n_lines FROM own GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed FROM out GROUP BY doc_id),
+kept AS (
+  SELECT line.doc_id, string_agg(raw, chr(10) ORDER BY line.line) AS body FROM line ANTI JOIN out USING (doc_id, line) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier similar line removes."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("_lines.lines").alias("n_lines"), F.size("_lines.removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
