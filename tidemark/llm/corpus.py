@@ -1,7 +1,8 @@
 """Documents kept once, compressed and bucketed, for operators that come back to the texts.
 
-A document is named by (doc, mark): its key as a long and a hash of its text. Rows equal in
-both are repeats of one document and are treated alike. Texts are compressed with Zstandard
+A document is named by (doc, copy): its key as a long and, should several texts share the key,
+their number in the order of a hash. Rows equal in key and text are repeats of one document and
+are treated alike. Texts are compressed with Zstandard
 and the table is bucketed by ``doc``, so they cross the network once however often findings
 are joined back to them.
 """
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import scratch
 
@@ -45,17 +46,18 @@ def texts(bodies: pa.Array) -> pa.Array:
 
 
 class Corpus:
-    """``docs`` as a bucketed table (doc, mark, body, row): ``row`` holds all columns but the text."""
+    """``docs`` as a bucketed table (doc, copy, body, row): ``row`` holds all columns but the text."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         spark = docs.sparkSession
-        self.text, self.columns = text, docs.columns
         self.name = f"corpus_{uuid.uuid4().hex}"
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc")
         rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
         rows = docs.select(doc, F.xxhash64(text).alias("mark"), _packed(F.col(text)).alias("body"), rest)
-        (rows.repartition(self.buckets, "doc").write.bucketBy(self.buckets, "doc").sortBy("doc")
+        order = Window.partitionBy("doc").orderBy("mark")
+        dealt = rows.repartition(self.buckets, "doc").withColumn("copy", F.dense_rank().over(order) - 1).drop("mark")
+        (dealt.write.bucketBy(self.buckets, "doc").sortBy("doc")
          .option("path", scratch(spark, "corpus")).format("parquet").saveAsTable(self.name))
         self.frame = spark.table(self.name)
 
@@ -64,18 +66,13 @@ class Corpus:
         self.frame.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def joined(self, found: DataFrame, how: str = "inner", row: bool = False) -> DataFrame:
-        """(doc, mark, body, [row,] and the columns of ``found``), joined by (doc, mark)."""
+        """(doc, copy, body, [row,] and the columns of ``found``), joined by (doc, copy)."""
         own = self.frame if row else self.frame.drop("row")
-        return own.join(found, ["doc", "mark"], how)
-
-    def rebuilt(self, texts_: DataFrame) -> DataFrame:
-        """The original columns from (row, text)."""
-        return texts_.select(*[
-            F.col("text").alias(c) if c == self.text else F.col(f"row.`{c}`").alias(c) for c in self.columns])
+        return own.join(found, ["doc", "copy"], how)
 
 
 def by_document(run: Callable[[list, pa.Array, pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A ``mapInArrow`` function over (doc, mark, body, ...) whose texts are unpacked; null texts come as null."""
+    """A ``mapInArrow`` function over (doc, copy, body, ...) whose texts are unpacked; null texts come as null."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import common
-from tidemark.llm.corpus import Corpus, by_document
+from tidemark.llm.corpus import Corpus, by_document, texts
 from tidemark.llm.hashing import LOWER, NOT_SPACE, mix, signed, word_bounds, word_hashes
 from tidemark.session import store
 
@@ -33,11 +33,12 @@ TABLE = 1 << 20
 SLICES = 64
 HOT_COUNT = 100_000
 CANDIDATES = 48
+_PLACE = ["doc", "copy", "line"]
 #: Groups beyond this size are compared block by block.
 GROUP_ROWS = 1500
 
 _WORD_BITS = np.uint64(40)
-_ROW = [("tok", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("even", "<u8"), ("odd", "<u8")]
+_ROW = [("tok", "<u8"), ("doc", "<i8"), ("copy", "<u4"), ("line", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("even", "<u8"), ("odd", "<u8")]
 
 
 class Lines:
@@ -79,31 +80,31 @@ def _token_slots(tokens: np.ndarray) -> np.ndarray:
 
 
 def survey(corpus: Corpus) -> DataFrame:
-    """One pass: a row per line with words (doc, mark, line, signature), and the task's rarity counts in slices."""
+    """One pass: a row per line with words (doc, copy, line, signature), and the task's rarity counts in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TABLE, np.int32)
-        names = ["doc", "mark", "line", "signature", "slice", "counts"]
+        names = ["doc", "copy", "line", "signature", "slice", "counts"]
 
-        def rows(texts: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def rows(own: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal counts
-            found = Lines(texts)
+            found = Lines(own)
             counts += np.bincount(_slots(found.hashes), minlength=TABLE).astype(np.int32)
             n = len(found.row)
-            doc, mark = (batch.column(k).to_numpy()[found.row] for k in (0, 1))
+            doc, copy = (batch.column(k).to_numpy()[found.row] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(mark), pa.array(found.number.astype(np.int32)), pa.array(signed(found.signatures())),
+                [pa.array(doc), pa.array(copy), pa.array(found.number.astype(np.int32)), pa.array(signed(found.signatures())),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
 
         yield from by_document(rows)(batches)
         if counts.any():
             parts = counts.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+                [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
                 + [pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    return store(corpus.frame.select("doc", "mark", "body").mapInArrow(
-        run, "doc long, mark long, line int, signature long, slice int, counts binary"), "lines")
+    return store(corpus.frame.select("doc", "copy", "body").mapInArrow(
+        run, "doc long, copy int, line int, signature long, slice int, counts binary"), "lines")
 
 
 def rarity(surveyed: DataFrame) -> np.ndarray:
@@ -129,7 +130,7 @@ def prefix_length(size):
     return size - (4 * size + 4) // 5 + 1
 
 
-def prefixes(found: Lines, wanted: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def prefixes(found: Lines, wanted: np.ndarray, counts: np.ndarray, doc: np.ndarray, copy: np.ndarray) -> np.ndarray:
     """The joined rows of the ``wanted`` lines: a row per prefix word that some other line has."""
     out = []
     chosen = np.flatnonzero(wanted)
@@ -158,7 +159,8 @@ def prefixes(found: Lines, wanted: np.ndarray, counts: np.ndarray, doc: np.ndarr
         own = line[keep]
         rows = np.empty(len(own), _ROW)
         rows["tok"], rows["size"], rows["pos"] = token[keep], size[own], place[keep]
-        rows["doc"], rows["line"] = doc[found.row[part[own]]], found.number[part[own]]
+        rows["doc"], rows["copy"] = doc[found.row[part[own]]], copy[found.row[part[own]]]
+        rows["line"] = found.number[part[own]]
         rows["even"], rows["odd"] = even[own], odd[own]
         out.append(rows)
     return np.concatenate(out) if out else np.empty(0, _ROW)
@@ -225,12 +227,12 @@ def pairs_of(rows: np.ndarray, wanted: np.ndarray | None, limit: int | None) ->
     large = np.repeat(np.diff(cut) > GROUP_ROWS, np.diff(cut))
     found, cut_off = [], []
 
-    def directed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(later, earlier); lines of equal place (repeated keys) go both ways."""
-        after = (rows["doc"][i] > rows["doc"][j]) | ((rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] > rows["line"][j]))
-        same = (rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] == rows["line"][j])
-        later, earlier = np.where(after, i, j), np.where(after, j, i)
-        return np.concatenate((later, i[same])), np.concatenate((earlier, j[same]))
+    # The documents' order as a number; rows of one line share it.
+    when = np.lexsort([rows[k] for k in ("line", "copy", "doc")])
+    moved = np.concatenate([[False], np.logical_or.reduce([rows[k][when][1:] != rows[k][when][:-1] for k in ("line", "copy", "doc")])]) \
+        if n else np.zeros(0, bool)
+    turn = np.empty(n, np.int64)
+    turn[when] = np.cumsum(moved)
 
     active, step = np.flatnonzero(~large), 1
     while len(active):
@@ -241,19 +243,20 @@ def pairs_of(rows: np.ndarray, wanted: np.ndarray | None, limit: int | None) ->
         crossing = ((rows["size"][active] & _CROSS) == 0) | ((rows["size"][active] ^ rows["size"][mate]) & _RIGHT != 0)
         ok = np.flatnonzero(crossing & _similar(rows[active], rows[mate])) if len(active) else []
         if len(ok):
-            found.append(directed(active[ok], mate[ok]))
+            i, j = active[ok], mate[ok]
+            found.append((np.where(turn[i] > turn[j], i, j), np.where(turn[i] > turn[j], j, i)))
         step += 1
     for low, high in zip(cut[:-1], cut[1:]):
         if high - low > GROUP_ROWS:
-            for later, earlier, more in _blocks(rows, low, high, limit, None if wanted is None else wanted[order]):
-                found.append((later, earlier))
-                cut_off.append(more)
+            for later, earlier, more in _blocks(rows[low:high], turn[low:high], limit, None if wanted is None else wanted[order][low:high]):
+                found.append((low + later, low + earlier))
+                cut_off.append(low + more)
     later, earlier = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
     if wanted is not None:
         keep = wanted[order][later]
         later, earlier = later[keep], earlier[keep]
     if limit is not None and len(later):
-        by = np.lexsort((rows["line"][earlier], rows["doc"][earlier], later))
+        by = np.lexsort((turn[earlier], later))
         later, earlier = later[by], earlier[by]
         first = np.flatnonzero(np.concatenate(([True], later[1:] != later[:-1])))
         place = np.arange(len(later)) - np.repeat(first, np.diff(np.concatenate((first, [len(later)]))))
@@ -263,20 +266,18 @@ def pairs_of(rows: np.ndarray, wanted: np.ndarray | None, limit: int | None) ->
     return order[later], order[earlier], order[more]
 
 
-def _blocks(rows: np.ndarray, low: int, high: int, limit: int | None,
+def _blocks(rows: np.ndarray, turn: np.ndarray, limit: int | None,
             wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """A large group: each line against the earlier ones, earliest first, block by block."""
-    by = low + np.lexsort((rows["line"][low:high], rows["doc"][low:high]))
-    own = rows[by]
+    by = np.argsort(turn, kind="stable")
+    own, turn = rows[by], turn[by]
     size = (own["size"] & _SIZE_BITS).astype(np.int64)
-    moved = np.concatenate(([False], (own["doc"][1:] != own["doc"][:-1]) | (own["line"][1:] != own["line"][:-1])))
-    turn = np.cumsum(moved)
     cross, right = (own["size"] & _CROSS) != 0, (own["size"] & _RIGHT) != 0
     lines = np.arange(len(by)) if wanted is None else np.flatnonzero(wanted[by])
     height = max(1, (1 << 22) // len(by))
     for at in range(0, len(lines), height):
         part = lines[at:at + height, None]
-        ok = (turn[None] <= turn[part]) & (np.arange(len(by))[None] != part)
+        ok = turn[None] < turn[part]
         ok &= (5 * size[None] >= 4 * size[part]) & (5 * size[part] >= 4 * size[None])
         ok &= ~cross[part] | (right[None] != right[part])
         a, b = np.nonzero(ok)
@@ -293,16 +294,16 @@ def _blocks(rows: np.ndarray, low: int, high: int, limit: int | None,
 
 
 def candidates(corpus: Corpus, firsts: DataFrame, counts: np.ndarray, limit: int | None, only: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (doc, line, by_doc, by_line), ``by`` the earlier line; a null ``by`` marks a line that has more.
+    """Candidate pairs (doc, copy, line, by_doc, by_copy, by_line), ``by`` the earlier line; a null one marks a line that has more.
 
-    ``firsts`` (doc, mark, lines) names the lines that take part; ``only`` (doc, mark,
+    ``firsts`` (doc, copy, lines) names the lines that take part; ``only`` (doc, copy,
     searched), if given, those whose earlier matches are sought.
     """
     spark = firsts.sparkSession
     targets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = corpus.joined(firsts)
     seek = only is not None
-    rows = rows.join(only, ["doc", "mark"], "left") if seek else rows.withColumn("searched", F.lit(None).cast("array<int>"))
+    rows = rows.join(only, ["doc", "copy"], "left") if seek else rows.withColumn("searched", F.lit(None).cast("array<int>"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -314,18 +315,18 @@ def candidates(corpus: Corpus, firsts: DataFrame, counts: np.ndarray, limit: int
             yield pa.RecordBatch.from_pydict({
                 "target": pa.array([t for t, _ in got], pa.int32()), "rows": pa.array([b for _, b in got], pa.binary())})
 
-        def run(texts: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def run(own: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            found = Lines(texts)
+            found = Lines(own)
             wanted, sought = np.zeros(len(found.row), bool), np.zeros(len(found.row), bool)
             edge = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
             for name, flags in (("lines", wanted), ("searched", sought)):
                 for r, chosen in enumerate(batch.column(name).to_pylist()):
                     low, high = edge[r], edge[r + 1]
                     flags[low:high] = np.isin(found.number[low:high], chosen or [])
-            doc = batch.column("doc").to_numpy()
+            doc, copy = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
             for flag, part in ((np.uint32(0), wanted & ~sought), (_WANTED, wanted & sought)):
-                got = prefixes(found, part, counts, doc)
+                got = prefixes(found, part, counts, doc, copy)
                 got["pos"] |= flag
                 held.append(got)
                 size += len(got)
@@ -343,79 +344,79 @@ def candidates(corpus: Corpus, firsts: DataFrame, counts: np.ndarray, limit: int
             sought = (every["pos"] & _WANTED) != 0
             every["pos"] &= ~_WANTED
             later, earlier, more = pairs_of(every, sought if seek else None, limit)
-            pair = np.unique(np.stack([
-                every["doc"][later], every["line"][later].astype(np.int64),
-                every["doc"][earlier], every["line"][earlier].astype(np.int64)], axis=1), axis=0)
+            names = [f"{by}{k}" for by in ("", "by_") for k in _PLACE]
+            pair = np.unique(np.stack([every[k][at].astype(np.int64) for at in (later, earlier) for k in _PLACE], axis=1), axis=0)
             for at in range(0, len(pair), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pair[at:at + 100_000].T], ["doc", "line", "by_doc", "by_line"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in pair[at:at + 100_000].T], names)
             if len(more):
-                flagged = np.unique(np.stack([every["doc"][more], every["line"][more].astype(np.int64)], axis=1), axis=0)
-                none = pa.nulls(len(flagged), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in flagged.T] + [none, none], ["doc", "line", "by_doc", "by_line"])
+                flagged = np.unique(np.stack([every[k][more].astype(np.int64) for k in _PLACE], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.copy()) for c in flagged.T] + [pa.nulls(len(flagged), pa.int64())] * 3, names)
 
-    dealt = rows.select("doc", "mark", "body", "lines", "searched").mapInArrow(emit, "target int, rows binary")
+    dealt = rows.select("doc", "copy", "body", "lines", "searched").mapInArrow(emit, "target int, rows binary")
     pairs = dealt.repartition("target").sortWithinPartitions("target").mapInArrow(
-        search, "doc long, line long, by_doc long, by_line long")
+        search, "doc long, copy long, line long, by_doc long, by_copy long, by_line long")
     return store(pairs.distinct(), "candidates")
 
 
 def verified(corpus: Corpus, pairs: DataFrame) -> DataFrame:
-    """(doc, mark, line) of lines with a verified earlier match among ``pairs``."""
+    """(doc, copy, line) of lines with a verified earlier match among ``pairs``."""
     pairs = pairs.filter("by_doc IS NOT NULL")
-    needed = pairs.select("doc", "line").union(pairs.select("by_doc", "by_line")).groupBy("doc").agg(
+    needed = pairs.select(*_PLACE).union(pairs.select("by_doc", "by_copy", "by_line")).groupBy("doc", "copy").agg(
         F.collect_set("line").alias("lines"))
 
-    def run(texts: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = Lines(texts)
+    def run(own: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = Lines(own)
         edge = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
         after = np.concatenate((found.first[1:], [len(found.starts)]))
         rows = []
-        for r, (doc, mark, chosen) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc", "mark", "lines")))):
+        for r, (doc, copy, chosen) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc", "copy", "lines")))):
             for at in (edge[r] + np.flatnonzero(np.isin(found.number[edge[r]:edge[r + 1]], chosen))).tolist():
                 words = np.unique(found.hashes[found.first[at]:after[at]])
-                rows.append((doc, mark, int(found.number[at]), signed(words)))
+                rows.append((doc, copy, int(found.number[at]), signed(words)))
         if rows:
-            doc, mark, line, words = zip(*rows)
+            doc, copy, line, words = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(line, pa.int64()),
-                 pa.array(words, pa.list_(pa.int64()))], ["doc", "mark", "line", "words"])
+                [pa.array(doc, pa.int64()), pa.array(copy, pa.int32()), pa.array(line, pa.int64()),
+                 pa.array(words, pa.list_(pa.int64()))], ["doc", "copy", "line", "words"])
 
-    own = corpus.frame.select("doc", "mark", "body").join(needed, "doc")
-    sets = store(own.mapInArrow(by_document(run), "doc long, mark long, line long, words array<long>").distinct(), "sets")
+    own = corpus.joined(needed).select("doc", "copy", "body", "lines")
+    sets = store(own.mapInArrow(by_document(run), "doc long, copy int, line long, words array<long>").dropDuplicates(_PLACE), "sets")
     by = sets.select(*[F.col(c).alias(f"by_{c}") for c in sets.columns])
-    both = pairs.join(sets, ["doc", "line"]).join(by, ["by_doc", "by_line"])
+    both = pairs.join(sets, _PLACE).join(by, ["by_doc", "by_copy", "by_line"])
     shared = F.size(F.array_intersect("words", "by_words"))
-    earlier = F.struct("by_doc", "by_mark", "by_line") < F.struct("doc", "mark", "line")
     alike = 5 * shared >= 4 * (F.size("words") + F.size("by_words") - shared)
-    return both.filter(earlier & alike).select("doc", "mark", "line").distinct()
+    return both.filter(alike).select("doc", "copy", "line").distinct()
 
 
 def removals(corpus: Corpus) -> DataFrame:
-    """(doc, mark, lines, removed): per document with words, its number of worded lines and the numbers of those that go."""
+    """(doc, copy, lines, removed): per document with words, its number of worded lines and the numbers of those that go."""
     surveyed = survey(corpus)
     counts = rarity(surveyed)
-    lines = surveyed.filter("slice IS NULL").select("doc", "mark", "line", "signature")
-    place = F.struct("doc", "mark", "line")
+    lines = surveyed.filter("slice IS NULL").select("doc", "copy", "line", "signature")
+    place = F.struct(*_PLACE)
     firsts = store(lines.groupBy("signature").agg(F.min(place).alias("at"), F.count("*").alias("n")), "firsts")
-    own = store(firsts.groupBy("at.doc", "at.mark").agg(F.collect_list("at.line").alias("lines")), "first_lines")
+    own = store(firsts.groupBy("at.doc", "at.copy").agg(F.collect_list("at.line").alias("lines")), "first_lines")
     pairs = candidates(corpus, own, counts, CANDIDATES)
     matched = store(verified(corpus, pairs), "matched")
     # Lines with more candidates than were reported, none of which matched, are searched again without the limit.
-    rest = pairs.filter("by_doc IS NULL").select("doc", "line").join(matched.select("doc", "line"), ["doc", "line"], "left_anti")
-    rest = store(rest.join(own.select("doc", "mark"), "doc").groupBy("doc", "mark").agg(
+    rest = pairs.filter("by_doc IS NULL").select(*_PLACE).join(matched, _PLACE, "left_anti")
+    rest = store(rest.groupBy("doc", "copy").agg(
         F.collect_set(F.col("line").cast("int")).alias("searched")), "rest")
     if not rest.isEmpty():
         again = candidates(corpus, own, counts, None, rest)
         matched = store(matched.union(verified(corpus, again)).distinct(), "matched")
-    gone = matched.select(F.struct("doc", "mark", F.col("line").cast("int").alias("line")).alias("at"), F.lit(True).alias("gone"))
+    gone = matched.select(F.struct("doc", F.col("copy").cast("int").alias("copy"), F.col("line").cast("int").alias("line")).alias("at"), F.lit(True).alias("gone"))
     decided = firsts.join(gone, "at", "left").filter("gone OR n > 1").select("signature", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = lines.join(decided, "signature").filter(F.col("gone") | (place != F.col("at")))
-    removed = out.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    removed = out.groupBy("doc", "copy").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     return removed
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines that an earlier line matches; adds ``_lines``: (lines with words, removed numbers).
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: str | None = None) -> DataFrame:
+    """``docs`` without the lines that an earlier line matches.
+
+    ``report`` names a column to add: (lines with words, numbers of the removed lines).
 
     Lines end at line feeds and are numbered from 0 in each text; blank lines have no
     words, never match and stay. Null and empty texts stay as they are. Documents are
@@ -426,12 +427,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     through.
     """
     corpus = Corpus(docs, key, text)
-    own = corpus.joined(removals(corpus), "left", row=True).select("doc", "mark", "body", "removed", "row")
+    own = corpus.joined(removals(corpus), "left", row=True).select("doc", "copy", "body", "removed", "row")
 
     @F.arrow_udf("struct<text:string,lines:long,removed:array<int>>")
     def cut(bodies: pa.Array, removed: pa.Array) -> pa.Array:
-        from tidemark.llm.corpus import texts
-
         out = []
         for raw, gone in zip(texts(bodies).to_pylist(), removed.to_pylist()):
             if raw is None:
@@ -444,7 +443,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("removed", pa.list_(pa.int32()))]))
 
     done = store(own.select("row", cut("body", "removed").alias("cut")).select(
-        "row", F.col("cut.text").alias("text"), F.struct("cut.lines", "cut.removed").alias("_lines")), "deduped")
+        "row", F.col("cut.text").alias("text"), F.struct("cut.lines", "cut.removed").alias("report")), "deduped")
     corpus.drop()
     rebuilt = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*rebuilt, "_lines")
+    return done.select(*rebuilt, *([F.col("report").alias(report)] if report else []))

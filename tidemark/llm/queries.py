@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, langid, lines, packing, pii, simhash, toxicity, vectors, warc
+from tidemark.llm import decontaminate, langid, lines, packing, pii, simhash, substrings, toxicity, vectors, warc
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 from tidemark.session import store
@@ -161,7 +161,35 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)""")
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that an earlier similar line removes."""
-    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report="_lines")
     return found.select(
         "doc_id", F.col("_lines.lines").alias("n_lines"), F.size("_lines.removed").cast("long").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(sql="""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS p FROM d)),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+step AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+run AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM step),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b, r FROM run GROUP BY doc_id, r),
+gap AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y, a FROM span
+  UNION ALL SELECT doc_id, max(b), NULL, max(b) FROM span GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN y IS NULL THEN substr(h, 2 * x + 1) ELSE substr(h, 2 * x + 1, 2 * (y - x)) END, '' ORDER BY a) AS k
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a string of 100 bytes from earlier."""
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
