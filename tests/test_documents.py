@@ -108,15 +108,35 @@ def test_excerpt(spark):
 
 def test_resolving_candidates(spark):
     pad = "x " * 1500
-    docs = spark.createDataFrame([("d1", f"net sales 5,412 {pad}"), ("d2", f"5,412 and 6,000 {pad}"), ("d3", f"nothing {pad}"), ("d4", "5,412")],
-                                 "doc_key string, text string")
-    cands = spark.createDataFrame([(f"c{i}", f"d{i}", "revenue", [5412.0, 6000.0]) for i in range(1, 6)],
+    docs = spark.createDataFrame(
+        [("d1", f"net sales 5,412 {pad}"), ("d2", f"5,412 and 6,000 {pad}"), ("d3", f"nothing {pad}"), ("d4", "5,412"), ("d6", " \n"), ("d7", None)],
+        "doc_key string, text string")
+    cands = spark.createDataFrame([(f"c{i}", f"d{i}", "revenue", [5412.0, 6000.0]) for i in range(1, 8)],
                                   "case_id string, doc_key string, field string, values array<double>")
-    got = {r["case_id"]: (r["expected"], r["reason"]) for r in renderings.resolve_values(cands, docs).collect()}
-    assert got == {"c1": (5412.0, None), "c2": (None, "ambiguous_xbrl_value"), "c3": (None, "no_rendering_in_text"),
-                   "c4": (None, "empty_document"), "c5": (None, "fetch_failed")}
-    counts = {r["reason"]: r["n"] for r in renderings.skip_counts(renderings.resolve_values(cands, docs)).collect()}
-    assert counts == dict.fromkeys(("ambiguous_xbrl_value", "no_rendering_in_text", "empty_document", "fetch_failed"), 1)
+    resolved = renderings.resolve_values(cands, docs)
+    got = {r["case_id"]: (r["expected"], r["reason"]) for r in resolved.collect()}
+    # However short a text is, it is searched.
+    assert got == {"c1": (5412.0, None), "c2": (None, "ambiguous_xbrl_value"), "c3": (None, "no_rendering_in_text"), "c4": (5412.0, None),
+                   "c5": (None, "fetch_failed"), "c6": (None, "empty_document"), "c7": (None, "empty_document")}
+    counts = {r["reason"]: r["n"] for r in renderings.skip_counts(renderings.with_excerpts(resolved, docs)).collect()}
+    assert counts == {"ambiguous_xbrl_value": 1, "no_rendering_in_text": 1, "fetch_failed": 1, "empty_document": 2}
+
+
+def test_every_candidate_is_a_case_or_has_one_reason(spark):
+    docs = spark.createDataFrame([("d1", "sales 5,412 up"), ("d2", "x " * 50 + "5,412 y" + " z" * 50)], "doc_key string, text string")
+    cands = spark.createDataFrame([("c1", "d1", "revenue", [5412.0]), ("c2", "d2", "revenue", [5412.0]), ("c3", "d3", "revenue", [1.0])],
+                                  "case_id string, doc_key string, field string, values array<double>")
+    closed = renderings.with_excerpts(renderings.resolve_values(cands, docs), docs, max_chars=3)
+    assert {r["case_id"]: r["reason"] for r in closed.collect()} == {"c1": "excerpt_lost_figure", "c2": "excerpt_lost_figure", "c3": "fetch_failed"}
+    kept = renderings.case_excerpts(renderings.resolve_values(cands, docs), docs, max_chars=40)
+    assert {r["case_id"] for r in kept.collect()} == {"c1", "c2"}
+
+
+def test_numbers_beyond_exact_doubles_and_short_ones(spark):
+    assert find(spark, "id 12345678901234567890 end", 12345678901234567890) is None
+    assert find(spark, "5 and 12", 12) is None
+    df = spark.createDataFrame([(1, "5 and 12", 12.0, "")], "id int, text string, value double, field string")
+    assert renderings.find_renderings(df, ["id"], min_digits=2).first()["token"] == "12"
 
 
 def test_splits(spark):

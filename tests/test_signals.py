@@ -71,6 +71,21 @@ def test_a_break_hides_the_far_price(spark):
     assert set(s for _, s in got) == {"Y"}
 
 
+def test_days_that_a_break_hides_leave_the_grid(spark):
+    day = {n: D(2021, 3, n) for n in range(1, 9)}
+    # A is cut off from day 6 on; days 2 and 4 are A's alone.
+    closes = [("A", day[n], 10.0 if n < 6 else 100.0) for n in day] + [("B", day[n], float(n)) for n in (1, 3, 5, 6, 7, 8)]
+    df = spark.createDataFrame(closes, "symbol string, ts date, close double").selectExpr(
+        "*", "CASE WHEN symbol = 'A' AND ts < DATE '2021-03-06' THEN DATE '2021-03-06' END AS next_break")
+    asofs = signals.asof_frame(spark, [day[5], day[8]])
+    got = score(signals.momentum(df, asofs, 6, 1, last=day[8]))
+    assert got == {(day[8], "B"): pytest.approx(7.0)}
+    # Before the break is known, all days count.
+    got = score(signals.momentum(df, asofs, 5, 1, last=day[8]))
+    assert got[day[5], "B"] == pytest.approx(4.0) and got[day[5], "A"] == 0.0
+    assert got[day[8], "B"] == pytest.approx(8 / 3 - 1)
+
+
 A, B = signals.SHARE_TAGS
 
 

@@ -81,6 +81,9 @@ def at_dates(rows: DataFrame, points: DataFrame, point: str, first: str, last: s
     ``since``, a date no point lies before, keeps long spans from being repeated
     for months that nobody asks about.
     """
+    kinds = [kind for _, kind in points.dtypes]
+    if any(kind not in ("date", "string") for kind in kinds) or kinds.count("string") > 1:
+        raise ValueError(f"points may hold dates and one label, got {points.dtypes}")
     lower = F.col(first) if since is None else F.greatest(F.col(first), F.lit(since))
     months = F.sequence(F.trunc(lower, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))
     keyed = points.distinct().withColumn("_month", F.trunc(point, "MM"))

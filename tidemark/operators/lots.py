@@ -11,7 +11,7 @@ from tidemark.functions.costs import LONG_TERM_DAYS, TAX_LONG, TAX_SHORT, tax_du
 # Fixed value.
 QTY_EPS = 1e-9
 
-#: Target number of fills in one window of the sweep.
+#: Target number of fills in one window of the sweep; the lots are the same for any number.
 ROWS_PER_BUCKET = 100_000
 
 BOOK = ["account", "symbol"]
@@ -87,12 +87,13 @@ def match_lots(fills: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Data
     length = F.least("_next", "b.to", "s.to") - F.col("_at")
     matched = swept.filter(F.col("b").isNotNull() & F.col("s").isNotNull()).withColumn("_qty", length)
     return (
-        matched.filter(F.col("_qty") > QTY_EPS)
-        # Pieces of one pair on two sides of a cut come back together here.
+        matched.filter(F.col("_qty") > 0)
+        # Pieces of one pair on two sides of a cut come back together here; only then is a sliver told from a lot.
         .groupBy(*BOOK, F.col("s.day").alias("sell_day"), F.col("s.seq").alias("sell_seq"),
                  F.col("b.day").alias("buy_day"), F.col("b.seq").alias("buy_seq"),
                  F.col("s.price").alias("sell_price"), F.col("b.price").alias("buy_price"))
         .agg(F.sum("_qty").alias("qty"))
+        .filter(F.col("qty") > QTY_EPS)
         .withColumn("gain", F.col("qty") * (F.col("sell_price") - F.col("buy_price")))
         .withColumn("long_term", F.datediff("sell_day", "buy_day") > LONG_TERM_DAYS)
         .withColumn("out_of_order", F.col("sell_day") < F.col("buy_day"))

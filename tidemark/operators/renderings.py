@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # Fixed values.
 SCALES = {"units": 1.0, "thousands": 1e3, "millions": 1e6}
 PLACES = (0, 1, 2)
-MIN_DIGITS = 3
+MIN_DIGITS = 3  # default of a parameter: shorter forms match anything
 CONTEXT_CHARS = 2500
 EXCERPT_CHARS = 6000
 SNAP_CHARS = 200
-MIN_DOCUMENT_CHARS = 2000
 SIGN_CHARS = 6
 KEYWORDS = {
     "revenue": ["revenue", "net sales", "total revenue", "statements of operations", "statements of income", "cost of"],
@@ -20,74 +19,88 @@ KEYWORDS = {
 }
 
 
-def scaled_tokens(value: Column) -> Column:
+#: Beyond this a double is no exact whole number any more.
+EXACT_BELOW = 2.0**53
+
+
+def scaled_tokens(value: Column, min_digits: int = MIN_DIGITS) -> Column:
     """Every exact way to print a number: array of (order, scale, token).
 
     Units, thousands, millions; zero to two decimals; grouped, then plain. A
-    rounded form is not exact and is left out, as are tokens below three digits.
+    rounded form is not exact and is left out, as are tokens of fewer than
+    ``min_digits`` digits and numbers too large for a double to hold exactly.
     """
     forms, order = [], 0
     for scale, unit in SCALES.items():
         scaled = F.abs(value) / unit
         for places in PLACES:
             rounded = F.bround(scaled, places)
-            exact = F.abs(rounded - scaled) <= F.abs(scaled) * 1e-12 + 1e-9
+            exact = (F.abs(rounded - scaled) <= F.abs(scaled) * 1e-12 + 1e-9) & (F.abs(value) < EXACT_BELOW)
             grouped = F.format_number(rounded, places)
             for token in (grouped, F.regexp_replace(grouped, ",", "")):
-                long_enough = F.length(F.regexp_replace(token, "[^0-9]", "")) >= MIN_DIGITS
+                long_enough = F.length(F.regexp_replace(token, "[^0-9]", "")) >= min_digits
                 forms.append(F.when(exact & long_enough, F.struct(
                     F.lit(order).alias("order"), F.lit(scale).alias("scale"), token.alias("token"))))
                 order += 1
     return F.filter(F.array(*forms), lambda t: t.isNotNull())
 
 
-def find_renderings(cases: DataFrame, key: list[str], text: str = "text", value: str = "value", field: str = "field") -> DataFrame:
+def printed_numbers(text: Column) -> Column:
+    """Every number a text prints: array of (token, start, negative), 0-based.
+
+    A number is a run of digits with single commas or points inside, so each one
+    stands alone. It is negative behind a minus sign or an opening parenthesis,
+    with blanks, a currency sign or an asterisk between. One pass finds the
+    numbers and one the pieces between them, whose lengths give the places.
+    """
+    numbers = F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))
+    pieces = F.split(text, _NUMBER, -1)
+    kind = "array<struct<token:string,start:int,negative:boolean>>"
+
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["piece"])
+        # What stands before: the piece, or a number and a short piece.
+        before = F.concat(state["last"], pair["piece"])
+        near = F.regexp_replace(F.right(before, F.lit(SIGN_CHARS)), "[ \\t\\u00A0$*]+$", "")
+        one = F.struct(pair["token"].alias("token"), start.alias("start"), near.rlike("[(\\-\\u2212]$").alias("negative"))
+        return F.struct((start + F.length(pair["token"])).alias("at"), F.right(pair["token"], F.lit(SIGN_CHARS)).alias("last"),
+                        F.concat(state["found"], F.array(one)).alias("found"))
+
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(numbers)), numbers,
+                       lambda piece, token: F.struct(piece.alias("piece"), token.alias("token")))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(kind).alias("found"))
+    return F.when(F.size(numbers) > 0, F.aggregate(pairs, begin, step, lambda s: s["found"])).otherwise(F.array().cast(kind))
+
+
+_NUMBER = r"[0-9]++(?:[,.][0-9]++)*+"
+
+
+def find_renderings(cases: DataFrame, key: list[str], text: str = "text", value: str = "value", field: str = "field",
+                    min_digits: int = MIN_DIGITS) -> DataFrame:
     """Where a document prints a value with its sign, one row per case that does.
 
     Adds token, scale, start and end (0-based, end exclusive). The first form
     with a correctly signed occurrence wins; among its occurrences the one with
     most of the field's keywords around it, then the earliest. All occurrences
-    in the whole text are considered.
-
-    An occurrence stands alone: no digit, and no digit with a separator, touches
-    it. Splitting the text at the token gives the positions without leaving the
-    JVM.
+    in the whole text are considered; each text's numbers are read once, whatever
+    the number of forms.
     """
-    tokens = cases.select(*key, field, value, text, F.explode(scaled_tokens(F.col(value))).alias("_t"))
-    pattern = F.concat(
-        F.lit(r"(?<![0-9])(?<![0-9][,.])\Q"), F.col("_t.token"), F.lit(r"\E(?![,.]?[0-9])"))
-    hits = (
-        tokens.filter(F.instr(F.col(text), F.col("_t.token")) > 0)
-        .withColumn("_parts", F.split(F.col(text), pattern, -1))
-        .filter(F.size("_parts") > 1)
-    )
-    # Start of occurrence i: the lengths of the pieces before it and the tokens between them.
-    step = F.length("_t.token")
-    starts = F.aggregate(
-        F.slice("_parts", F.lit(1), F.size("_parts") - 1),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("found")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.length(part) + step).alias("at"),
-            F.concat(acc["found"], F.array(acc["at"] + F.length(part))).alias("found")),
-        lambda acc: acc["found"],
-    )
-    placed = hits.select(*key, field, value, text, "_t", F.explode(starts).alias("start"))
-    from_char = F.greatest(F.lit(0), F.col("start") - SIGN_CHARS)
-    before = F.regexp_replace(
-        F.substr(F.col(text), from_char + 1, F.col("start") - from_char), "[ \\t\\u00A0$*]+$", "")
-    sign = F.when(before.rlike("[(\\-\\u2212]$"), -1).otherwise(1)
-    wanted = F.when(F.col(value) < 0, -1).otherwise(1)
-    window_from = F.greatest(F.lit(0), F.col("start") - CONTEXT_CHARS)
-    window = F.lower(F.substr(F.col(text), window_from + 1, F.col("start") + CONTEXT_CHARS - window_from))
+    read = cases.select(
+        *key, field, value, text, scaled_tokens(F.col(value), min_digits).alias("_forms"), printed_numbers(F.col(text)).alias("_numbers"))
+    fits = F.filter("_numbers", lambda n: (n["negative"] == (F.col(value) < 0)) & F.exists("_forms", lambda t: t["token"] == n["token"]))
+    placed = read.withColumn("_n", F.explode(fits)).withColumn(
+        "_t", F.element_at(F.filter("_forms", lambda t: t["token"] == F.col("_n.token")), 1))
+    start = F.col("_n.start")
+    window_from = F.greatest(F.lit(0), start - CONTEXT_CHARS)
+    window = F.lower(F.substr(F.col(text), window_from + 1, start + CONTEXT_CHARS - window_from))
     score = F.lit(0)
     for name, words in KEYWORDS.items():
         seen = sum((F.when(F.contains(window, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
         score = F.when(F.col(field) == name, seen).otherwise(score)
     best = W.partitionBy(*key).orderBy("_t.order", F.col("_score").desc(), "start")
     return (
-        placed.filter(sign == wanted)
         # The text stays behind: the ranking carries positions only.
-        .select(*key, "_t", "start", score.alias("_score"))
+        placed.select(*key, "_t", start.alias("start"), score.alias("_score"))
         .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == 1)
         .select(*key, F.col("_t.token").alias("token"), F.col("_t.scale").alias("scale"), "start",
                 (F.col("start") + F.length("_t.token")).alias("end"))
@@ -118,43 +131,50 @@ def resolve_values(candidates: DataFrame, documents: DataFrame) -> DataFrame:
 
     ``candidates``: case_id, doc_key, field, values (array). ``documents``:
     doc_key, text. Exactly one printed value makes a case; otherwise ``reason``
-    says why not. Columns: case_id, doc_key, field, expected, token, scale,
-    start, end, reason.
+    says why not. Every document with any text is searched, however short.
+    Columns: case_id, doc_key, field, expected, token, scale, start, end, reason.
     """
     each = candidates.withColumn("value", F.explode("values")).select("case_id", "doc_key", "field", "value")
-    texts = documents.select("doc_key", "text", (F.length("text") < MIN_DOCUMENT_CHARS).alias("_short"))
-    found = find_renderings(each.join(texts.filter(~F.col("_short")), "doc_key"), ["case_id", "value"])
+    blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    texts = documents.select("doc_key", "text", blank.alias("_blank"))
+    found = find_renderings(each.join(texts.filter(~F.col("_blank")), "doc_key"), ["case_id", "value"])
     per_case = found.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.struct("value", "token", "scale", "start", "end")).alias("hit"))
     reason = (
-        F.when(F.col("_short").isNull(), "fetch_failed").when(F.col("_short"), "empty_document")
+        F.when(F.col("_blank").isNull(), "fetch_failed").when(F.col("_blank"), "empty_document")
         .when(F.coalesce("_n", F.lit(0)) == 0, "no_rendering_in_text").when(F.col("_n") > 1, "ambiguous_xbrl_value")
     )
     hit = F.when(reason.isNull(), F.col("hit"))
     return (
         candidates.select("case_id", "doc_key", "field")
-        .join(texts.select("doc_key", "_short"), "doc_key", "left").join(per_case, "case_id", "left")
+        .join(texts.select("doc_key", "_blank"), "doc_key", "left").join(per_case, "case_id", "left")
         .select("case_id", "doc_key", "field", hit["value"].alias("expected"), hit["token"].alias("token"),
                 hit["scale"].alias("scale"), hit["start"].alias("start"), hit["end"].alias("end"), reason.alias("reason"))
     )
 
 
-def case_excerpts(resolved: DataFrame, documents: DataFrame, max_chars: int = EXCERPT_CHARS) -> DataFrame:
-    """Cases out of :func:`resolve_values`, each with the excerpt around its figure.
+def with_excerpts(resolved: DataFrame, documents: DataFrame, max_chars: int = EXCERPT_CHARS) -> DataFrame:
+    """All rows of :func:`resolve_values` with ``doc_text``, the excerpt around the figure.
 
-    Columns: case_id, doc_key, doc_text, field, expected, scale. A case whose
-    excerpt lost the figure at its trimmed edges is dropped.
+    A case whose excerpt lost the figure at its trimmed edges gets the reason
+    ``excerpt_lost_figure``, so every candidate ends as a case or with one reason.
     """
     cut = excerpt(F.col("text"), F.col("start"), F.col("end"), max_chars)
-    return (
-        resolved.filter(F.col("reason").isNull()).join(documents.select("doc_key", "text"), "doc_key")
-        .withColumn("doc_text", cut)
-        .filter(F.contains("doc_text", "token"))
-        .select("case_id", "doc_key", "doc_text", "field", "expected", "scale")
-    )
+    # Only resolved cases need their text; the others pass by.
+    cases = resolved.filter(F.col("reason").isNull()).join(documents.select("doc_key", "text"), "doc_key").withColumn("doc_text", cut)
+    kept = F.contains("doc_text", "token")
+    cases = cases.select(
+        *[c for c in resolved.columns if c != "reason"], F.when(~kept, "excerpt_lost_figure").alias("reason"), F.when(kept, F.col("doc_text")).alias("doc_text"))
+    return cases.unionByName(resolved.filter(F.col("reason").isNotNull()).withColumn("doc_text", F.lit(None).cast("string")))
+
+
+def case_excerpts(resolved: DataFrame, documents: DataFrame, max_chars: int = EXCERPT_CHARS) -> DataFrame:
+    """The cases of :func:`with_excerpts`: case_id, doc_key, doc_text, field, expected, scale."""
+    return with_excerpts(resolved, documents, max_chars).filter(F.col("reason").isNull()).select(
+        "case_id", "doc_key", "doc_text", "field", "expected", "scale")
 
 
 def skip_counts(resolved: DataFrame) -> DataFrame:
-    """Cases per skip reason."""
+    """Cases per skip reason; give it the rows of :func:`with_excerpts` for all of them."""
     return resolved.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.values import as_date, finite
-from tidemark.operators.calendar import at_dates, numbered_days, trading_days
+from tidemark.operators.calendar import at_dates
 from tidemark.operators.facts import PERIODIC_FORMS, QUARTER_DAYS, facts_at
 from tidemark.sources.tables import newest_wins
 
@@ -67,23 +67,27 @@ def momentum(
 ) -> DataFrame:
     """Return from the ``lookback``-th to the ``skip``-th most recent trading day.
 
-    ``panel`` holds closes with ``next_break``. Its distinct days are the trading
-    grid, and both prices have to exist and be visible at the formation date.
-    The grid of wanted days has two rows per formation date and is broadcast, so
-    the panel is scanned once and shuffled once, already reduced to those days.
+    ``panel`` holds closes with ``next_break``. The trading days of a formation date
+    are the days on which some row is visible then: a day all of whose rows lie
+    before a level break no longer counts once the break is known. Both prices have
+    to exist and be visible at the formation date. Days and the two wanted ones per
+    formation date are calendar-sized; the panel is scanned once for the days and
+    once for the prices, already reduced to the wanted days.
     """
-    days = numbered_days(trading_days(panel))
     end = F.current_date() if last is None else F.lit(as_date(last, "last"))
-    spans = days.withColumn("_until", F.coalesce(F.date_sub("next_ts", 1), F.greatest(end, F.col("ts"))))
-    placed = at_dates(spans, asofs.select("asof"), "asof", "ts", "_until").select("asof", F.col("pos").alias("_at"))
-    wanted = placed.filter(F.col("_at") >= lookback).select(
-        "asof",
-        F.explode(F.array(
-            F.struct((F.col("_at") - (lookback - 1)).alias("pos"), F.lit("far").alias("end")),
-            F.struct((F.col("_at") - (skip - 1)).alias("pos"), F.lit("near").alias("end")),
-        )).alias("w"),
-    ).select("asof", "w.pos", "w.end")
-    grid = F.broadcast(wanted).join(days.select("pos", "ts"), "pos").select("asof", "ts", "end")
+    days = panel.groupBy("ts").agg(
+        F.max("next_break").alias("_gone"), F.max(F.col("next_break").isNull()).alias("_stays"))
+    # A day is out of reach once ``lookback`` days that stay visible have followed it.
+    order = W.orderBy("ts")
+    days = days.withColumn("_n", F.sum(F.col("_stays").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    beyond = days.filter("_stays").select((F.col("_n") - lookback).alias("_n"), F.date_sub("ts", 1).alias("_beyond"))
+    spans = days.join(F.broadcast(beyond), "_n", "left").select("ts", F.least(
+        F.greatest(end, F.col("ts")), F.when(~F.col("_stays"), F.date_sub("_gone", 1)), F.col("_beyond")).alias("_until"))
+    recent = at_dates(spans, asofs.select("asof"), "asof", "ts", "_until").withColumn(
+        "_back", F.row_number().over(W.partitionBy("asof").orderBy(F.col("ts").desc())))
+    marked = recent.filter(F.col("_back").isin(lookback, skip)).withColumn(
+        "_ends", F.array_compact(F.array(F.when(F.col("_back") == lookback, "far"), F.when(F.col("_back") == skip, "near"))))
+    grid = marked.select("asof", "ts", F.explode("_ends").alias("end"))
     prices = panel.join(F.broadcast(grid), "ts").filter(
         F.col("next_break").isNull() | (F.col("next_break") > F.col("asof"))
     )

@@ -36,80 +36,135 @@ def html_text(spark, sf_dir):
 
 
 def _printed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every number of three to nine digits that a document contains, as a value to find again."""
+    """Every run of digits in a document as a value to find again.
+
+    By document, the run is the value itself, its thousands or its millions, the
+    value is negative, or has a decimal; fields take turns too.
+    """
     d = standins.table(spark, sf_dir, "documents").select("doc_id", "text")
-    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![0-9])([1-9][0-9]{2,8})(?![0-9])"), 1))
-    return d.withColumn("digits", F.explode(runs)).withColumn("value", F.col("digits").cast("double")).withColumn(
-        "field", F.lit("revenue"))
-
-
-# Plain numbers of at least three digits, printed in units: split the text at the
-# digits and look at the characters on both sides of each cut.
-_FOUND = """runs AS (
-  SELECT DISTINCT doc_id, unnest(regexp_extract_all(' ' || regexp_replace(text, '[0-9]+', ' \\0 ', 'g') || ' ', ' ([1-9][0-9]{2,8}) ', 1)) AS digits
-  FROM documents),
-cuts AS (SELECT r.doc_id, r.digits, string_split(d.text, r.digits) AS p FROM runs r JOIN documents d USING (doc_id)),
-hits AS (
-  SELECT doc_id, digits, i,
-         list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * length(digits) AS start,
-         right((CASE WHEN i > 1 THEN digits ELSE '' END) || p[i], 6) AS before,
-         left(p[i + 1] || (CASE WHEN i + 1 < len(p) THEN digits ELSE '' END), 2) AS after
-  FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cuts)),
-standing AS (
-  SELECT * FROM hits
-  WHERE NOT regexp_matches(before, '[0-9][,.]?$') AND NOT regexp_matches(after, '^[,.]?[0-9]')
-    AND NOT regexp_matches(rtrim(before, ' 	 $*'), '[(\\-−]$')),
-found AS (SELECT doc_id, digits, CAST(min(start) AS INTEGER) AS start FROM standing GROUP BY 1, 2)"""
-
-
-@query(f"""WITH {_FOUND}
-SELECT doc_id, digits, digits AS token, 'units' AS scale, start, start + length(digits) AS "end" FROM found""")
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), 0))
+    kind, n = F.col("doc_id") % 6, F.col("digits").cast("double")
+    value = F.when(kind == 1, n * 1000).when(kind == 2, n * 1000000).when(kind == 3, -n).when(kind == 4, n / 10).otherwise(n)
+    turn = (F.col("doc_id") % 4).cast("int")
+    names = F.array(F.lit("revenue"), F.lit("net income"), F.lit("shares outstanding"), F.lit("other"))
+    return d.withColumn("digits", F.explode(runs)).withColumn("value", value).withColumn("field", F.element_at(names, turn + 1))
+
+
+def _keyword_score(window: str) -> str:
+    cases = [f"WHEN '{field}' THEN " + " + ".join(f"contains({window}, '{w}')::INTEGER" for w in words)
+             for field, words in renderings.KEYWORDS.items()]
+    return f"(CASE field {' '.join(cases)} ELSE 0 END)"
+
+
+# All numbers of a text with their places, from the pieces between them; then the forms of each value by equality.
+_SPOTS = """numbers AS (
+  SELECT doc_id, text, unnest(range(1, len(nums) + 1)) AS i, nums, pieces FROM (
+    SELECT doc_id, text, regexp_extract_all(text, '[0-9]+(?:[,.][0-9]+)*') AS nums,
+           regexp_split_to_array(text, '[0-9]+(?:[,.][0-9]+)*') AS pieces FROM documents)),
+spots AS (
+  SELECT doc_id, text, nums[i] AS token,
+         CAST(sum(length(pieces[i])) OVER w + sum(length(nums[i])) OVER w - length(nums[i]) AS INTEGER) AS start
+  FROM numbers WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+signed AS (
+  SELECT doc_id, token, start, text,
+         regexp_matches(rtrim(substring(text, greatest(0, start - 6) + 1, start - greatest(0, start - 6)), ' 	 $*'), '[(\\-−]$') AS negative
+  FROM spots)"""
+
+
+def _forms(source: str) -> str:
+    """CTE ``forms``: (keys of ``source``, ord, scale, token) for every exact form of ``value``."""
+    rows, order = [], 0
+    for scale, unit in renderings.SCALES.items():
+        for places in renderings.PLACES:
+            scaled = f"(abs(value) / {unit:.1f})"
+            rounded = f"round_even({scaled}, {places})"
+            grouped = f"format('{{:,.{places}f}}', {rounded})"
+            for token in (grouped, f"replace({grouped}, ',', '')"):
+                rows.append(f"SELECT *, {order} AS ord, '{scale}' AS scale, {token} AS token FROM {source} "
+                            f"WHERE abs({rounded} - {scaled}) <= {scaled} * 1e-12 + 1e-9 AND abs(value) < 9007199254740992")
+                order += 1
+    return f"forms AS (SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE length(regexp_replace(token, '[^0-9]', '', 'g')) >= 3)"
+
+
+def _found(values: str) -> str:
+    """CTE ``found``: the best occurrence of every (doc_id, digits) of a CTE of values."""
+    window = "lower(substring(text, greatest(0, start - 2500) + 1, start + 2500 - greatest(0, start - 2500)))"
+    return f"""{_forms(values)},
+hits AS (SELECT f.doc_id, f.digits, f.value, f.field, f.ord, f.scale, f.token, s.start, {_keyword_score(window)} AS score
+         FROM forms f JOIN signed s ON f.doc_id = s.doc_id AND f.token = s.token AND s.negative = (f.value < 0)),
+found AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, digits ORDER BY ord, score DESC, start) = 1)"""
+
+
+_RUNS = "runs AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS digits FROM documents)"
+_VALUES = """vals AS (
+  SELECT doc_id, digits, CASE doc_id % 6 WHEN 1 THEN n * 1000 WHEN 2 THEN n * 1000000 WHEN 3 THEN -n WHEN 4 THEN n / 10 ELSE n END AS value,
+         ['revenue', 'net income', 'shares outstanding', 'other'][doc_id % 4 + 1] AS field
+  FROM (SELECT *, CAST(digits AS DOUBLE) AS n FROM runs))"""
+
+
+@query(f"""WITH {_RUNS}, {_VALUES}, {_SPOTS}, {_found('vals')}
+SELECT doc_id, digits, token, scale, start, CAST(start + length(token) AS INTEGER) AS "end" FROM found""")
 def number_renderings(spark, sf_dir):
     return renderings.find_renderings(_printed_numbers(spark, sf_dir), ["doc_id", "digits"])
 
 
-_RESOLVED = f"""{_FOUND},
+_EXCERPT = 400
+
+
+def _excerpt_sql(source: str) -> str:
+    """CTE ``cut`` with the excerpt around [s, e) of each row of a CTE with doc_id, text, n, s, e."""
+    return f"""w AS (SELECT *, greatest(0, least(s - {_EXCERPT // 2}, n - {_EXCERPT})) AS low FROM {source}),
+x AS (SELECT *, least(n, low + {_EXCERPT}) AS high FROM w),
+y AS (SELECT *, instr(substring(text, low + 1, least(s, low + 200) - low), chr(10)) AS first_break,
+             substring(text, greatest(e, high - 200) + 1, high - greatest(e, high - 200)) AS tail FROM x),
+z AS (SELECT * REPLACE (CASE WHEN low > 0 AND first_break > 0 THEN low + first_break ELSE low END AS low,
+             CASE WHEN high < n AND contains(tail, chr(10)) THEN high - instr(reverse(tail), chr(10)) ELSE high END AS high) FROM y),
+cut AS (SELECT *, regexp_replace(CASE WHEN n <= {_EXCERPT} THEN text ELSE substring(text, low + 1, high - low) END,
+                                 '^\\s+|\\s+$', '', 'g') AS excerpt FROM z)"""
+
+
+# The numbers of a document as rival values of one case; equal numbers are one value.
+_RESOLVED = f"""{_RUNS},
+rivals AS (SELECT doc_id, CAST(n AS VARCHAR) AS digits, n AS value, 'revenue' AS field
+           FROM (SELECT DISTINCT doc_id, CAST(digits AS DOUBLE) AS n FROM runs)),
+{_SPOTS}, {_found('rivals')},
 docs AS (SELECT DISTINCT doc_id FROM runs),
-counted AS (SELECT doc_id, count(*) AS n, min(CAST(digits AS DOUBLE)) AS expected, arg_min(digits, CAST(digits AS DOUBLE)) AS token,
-                   arg_min(start, CAST(digits AS DOUBLE)) AS start FROM found GROUP BY 1),
+counted AS (SELECT doc_id, count(*) AS n, min(value) AS expected, arg_min(token, value) AS token, arg_min(scale, value) AS scale,
+                   arg_min(start, value) AS start FROM found GROUP BY 1),
 resolved AS (
-  SELECT doc_id, c.*, CASE WHEN length(d.text) < 2000 THEN 'empty_document' WHEN coalesce(n, 0) = 0 THEN 'no_rendering_in_text'
-                          WHEN n > 1 THEN 'ambiguous_xbrl_value' END AS reason
-  FROM docs JOIN documents d USING (doc_id) LEFT JOIN counted c USING (doc_id))"""
+  SELECT doc_id, c.*, d.text, CASE WHEN NOT regexp_matches(d.text, '\\S') THEN 'empty_document' WHEN coalesce(c.n, 0) = 0 THEN 'no_rendering_in_text'
+                          WHEN c.n > 1 THEN 'ambiguous_xbrl_value' END AS reason
+  FROM docs JOIN documents d USING (doc_id) LEFT JOIN counted c USING (doc_id)),
+c AS (SELECT doc_id, text, length(text) AS n, start AS s, start + length(token) AS e, token, scale, expected FROM resolved WHERE reason IS NULL),
+{_excerpt_sql('c')},
+closed AS (SELECT doc_id, reason FROM resolved WHERE reason IS NOT NULL
+           UNION ALL SELECT doc_id, CASE WHEN NOT contains(excerpt, token) THEN 'excerpt_lost_figure' END FROM cut)"""
 
 
 @query(f"""WITH {_RESOLVED}
 SELECT 'case-' || doc_id AS case_id, doc_id AS doc_key, 'revenue' AS field, CASE WHEN reason IS NULL THEN expected END AS expected,
-       CASE WHEN reason IS NULL THEN token END AS token, CASE WHEN reason IS NULL THEN 'units' END AS scale,
-       CASE WHEN reason IS NULL THEN start END AS start, CASE WHEN reason IS NULL THEN start + length(token) END AS "end", reason FROM resolved""")
+       CASE WHEN reason IS NULL THEN token END AS token, CASE WHEN reason IS NULL THEN scale END AS scale,
+       CASE WHEN reason IS NULL THEN start END AS start, CASE WHEN reason IS NULL THEN CAST(start + length(token) AS INTEGER) END AS "end", reason FROM resolved""")
 def resolved_cases(spark, sf_dir):
     """Documents with their numbers as rival candidate values."""
-    found = _printed_numbers(spark, sf_dir)
+    found = _printed_numbers(spark, sf_dir).withColumn("value", F.col("digits").cast("double"))
     candidates = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("value")).alias("values")).select(
         F.concat(F.lit("case-"), F.col("doc_id")).alias("case_id"), F.col("doc_id").alias("doc_key"),
         F.lit("revenue").alias("field"), "values")
-    documents = standins.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "text")
-    return renderings.resolve_values(candidates, documents)
+    return renderings.resolve_values(candidates, _documents(spark, sf_dir))
 
 
-@query(f"WITH {_RESOLVED} SELECT reason, count(*) AS n FROM resolved WHERE reason IS NOT NULL GROUP BY 1")
-def skip_counts(spark, sf_dir):
-    return renderings.skip_counts(resolved_cases(spark, sf_dir))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standins.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "text")
 
 
-_EXCERPT = 400
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return renderings.with_excerpts(resolved_cases(spark, sf_dir), _documents(spark, sf_dir), _EXCERPT)
 
 
-def _excerpt_sql(source: str) -> str:
-    """CTE ``cut`` with the excerpt around [s, e) of each row of a CTE with doc_id, text, n, s, e."""
-    return f"""w AS (SELECT *, greatest(0, least(s - {_EXCERPT // 2}, n - {_EXCERPT})) AS low FROM {source}),
-x AS (SELECT *, least(n, low + {_EXCERPT}) AS high FROM w),
-y AS (SELECT *, instr(substring(text, low + 1, least(s, low + 200) - low), chr(10)) AS first_break,
-             substring(text, greatest(e, high - 200) + 1, high - greatest(e, high - 200)) AS tail FROM x),
-z AS (SELECT * REPLACE (CASE WHEN low > 0 AND first_break > 0 THEN low + first_break ELSE low END AS low,
-             CASE WHEN high < n AND contains(tail, chr(10)) THEN high - instr(reverse(tail), chr(10)) ELSE high END AS high) FROM y),
-cut AS (SELECT *, regexp_replace(CASE WHEN n <= {_EXCERPT} THEN text ELSE substring(text, low + 1, high - low) END,
-                                 '^\\s+|\\s+$', '', 'g') AS excerpt FROM z)"""
+@query(f"WITH {_RESOLVED} SELECT reason, count(*) AS n FROM closed WHERE reason IS NOT NULL GROUP BY 1")
+def skip_counts(spark, sf_dir):
+    return renderings.skip_counts(_closed(spark, sf_dir))
 
 
 @query(f"""WITH c AS (
@@ -124,15 +179,10 @@ def excerpts(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.encode(cut, "UTF-8"), 256).alias("digest"))
 
 
-@query(f"""WITH {_RESOLVED},
-c AS (SELECT r.doc_id, d.text, length(d.text) AS n, r.start AS s, r.start + length(r.token) AS e, r.token, r.expected
-      FROM resolved r JOIN documents d USING (doc_id) WHERE r.reason IS NULL),
-{_excerpt_sql('c')}
-SELECT 'case-' || doc_id AS case_id, excerpt AS doc_text, 'revenue' AS field, expected FROM cut WHERE contains(excerpt, token)""")
+@query(f"""WITH {_RESOLVED}
+SELECT 'case-' || doc_id AS case_id, excerpt AS doc_text, 'revenue' AS field, expected, scale FROM cut WHERE contains(excerpt, token)""")
 def seeded_cases(spark, sf_dir):
-    resolved = resolved_cases(spark, sf_dir)
-    documents = standins.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "text")
-    return renderings.case_excerpts(resolved, documents, _EXCERPT).select("case_id", "doc_text", "field", "expected")
+    return renderings.case_excerpts(resolved_cases(spark, sf_dir), _documents(spark, sf_dir), _EXCERPT).drop("doc_key")
 
 
 # CRC-32 bit by bit: each byte enters as itself followed by seven zero steps.

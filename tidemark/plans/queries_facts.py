@@ -149,10 +149,12 @@ def universe_panel(spark, sf_dir):
 
 
 MOMENTUM = f"""{PANEL_M}, {ASOFS},
-days AS (SELECT ts, row_number() OVER (ORDER BY ts) AS pos FROM (SELECT DISTINCT ts FROM panel)),
-placed AS (SELECT asof, max(pos) AS pos FROM asofs JOIN days ON ts <= asof GROUP BY 1),
+seen_days AS (
+  SELECT DISTINCT asof, p.ts FROM asofs JOIN panel p ON p.ts <= asof
+  WHERE NOT EXISTS (SELECT 1 FROM breaks b WHERE b.symbol = p.symbol AND b.ts > p.ts AND b.ts <= asof)),
+placed AS (SELECT asof, ts, row_number() OVER (PARTITION BY asof ORDER BY ts DESC) AS back FROM seen_days),
 grid AS (
-  SELECT p.asof, f.ts AS far, n.ts AS near FROM placed p JOIN days f ON f.pos = p.pos - 11 JOIN days n ON n.pos = p.pos - 1),
+  SELECT f.asof, f.ts AS far, n.ts AS near FROM placed f JOIN placed n ON f.asof = n.asof WHERE f.back = 12 AND n.back = 2),
 momentum AS (
   SELECT g.asof, a.symbol, b.close / a.close - 1 AS score
   FROM grid g JOIN panel a ON a.ts = g.far JOIN panel b ON b.ts = g.near AND a.symbol = b.symbol

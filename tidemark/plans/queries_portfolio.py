@@ -170,12 +170,15 @@ FILLS = """fills AS (
 placed AS (
   SELECT *, sum(qty) OVER (PARTITION BY account, symbol, is_buy
     ORDER BY day, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS hi FROM fills),
+cells AS (
+  SELECT *, hi - qty AS lo, unnest(range(CAST(floor((hi - qty) / 500) AS BIGINT), CAST(ceil(hi / 500) AS BIGINT))) AS cell FROM placed),
 lots AS (
   SELECT s.account, s.symbol, s.day AS sell_day, s.l_orderkey AS sell_order, s.l_linenumber AS sell_line,
          b.day AS buy_day, b.l_orderkey AS buy_order, b.l_linenumber AS buy_line,
-         least(s.hi, b.hi) - greatest(s.hi - s.qty, b.hi - b.qty) AS qty, s.price AS sell_price, b.price AS buy_price
-  FROM placed s JOIN placed b ON s.account = b.account AND s.symbol = b.symbol AND NOT s.is_buy AND b.is_buy
-       AND s.hi > b.hi - b.qty AND b.hi > s.hi - s.qty)"""
+         least(s.hi, b.hi) - greatest(s.lo, b.lo) AS qty, s.price AS sell_price, b.price AS buy_price
+  FROM (SELECT * FROM cells WHERE NOT is_buy) s JOIN (SELECT * FROM cells WHERE is_buy) b
+    ON s.account = b.account AND s.symbol = b.symbol AND s.cell = b.cell
+  WHERE s.hi > b.lo AND b.hi > s.lo AND s.cell = CAST(floor(greatest(s.lo, b.lo) / 500) AS BIGINT))"""
 
 
 @query(f"""WITH {FILLS}
