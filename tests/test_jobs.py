@@ -47,16 +47,16 @@ def test_daily_run_without_tickers_fails_and_logs_nothing(spark, house):
 
 
 def test_daily_run_over_the_universe(spark, house):
-    days = [(s, d, p) for s, p in (("GOOD", 50.0), ("PENNY", 1.0)) for d in range(1, 30)]
+    days = [(s, d, p) for s, p in (("LIQUID", 84.0), ("CHEAP", 0.4)) for d in range(1, 30)]
     for source in ("one", "two"):
         bars.write_bars(frame(spark, *days), house.path("bars"), source)
     jobs.vote_range(spark, house, "2020-01-01", "2020-01-31")
-    tickers = json.dumps({"0": {"cik_str": 1, "ticker": "GOOD"}, "1": {"cik_str": 2, "ticker": "PENNY"}})
+    tickers = json.dumps({"0": {"cik_str": 1, "ticker": "LIQUID"}, "1": {"cik_str": 2, "ticker": "CHEAP"}})
     jobs.load_tickers(house, spark.createDataFrame([(tickers,)], "payload string"))
     listed = spark.createDataFrame([(c, f"a{c}", "10-K", dt.date(2019, 12, 1), "d", 0, dt.datetime(2020, 1, 1)) for c in (1, 2)],
                                    "cik long, accn string, form string, filed date, primary_doc string, seq long, loaded_at timestamp")
     listed.write.parquet(house.path("filings"))
-    landed = {"one": frame(spark, ("GOOD", 30, 51.0), ("PENNY", 30, 1.0))}
+    landed = {"one": frame(spark, ("LIQUID", 30, 83.5), ("CHEAP", 30, 0.4))}
     summary = jobs.daily_run(spark, house, "2020-01-31", landed)
     assert (summary["symbols"], summary["symbol_source"], summary["one_rows"], summary["ok"]) == (1, "universe", 1, 1)
     empty = jobs.daily_run(spark, house, "2021-01-31", {})
@@ -113,6 +113,11 @@ def test_loading_documents(spark, house, tmp_path):
     jobs.load_facts(spark, house, str(first))
     assert [r["val"] for r in house.facts(spark).collect()] == [12.0]
 
+    # A filter on tags reaches the one scan of the facts; the load stamps come from their own table.
+    plan = house.facts(spark).filter("tag = 'Assets'")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 2 and sum("EqualTo(tag,Assets)" in line for line in scans) == 1
+
     folder = tmp_path / "subs"
     folder.mkdir()
     (folder / "1.json").write_text(json.dumps({"cik": 1, "filings": {"recent": {

@@ -209,7 +209,7 @@ def test_left_panel(spark, rows):
                                     (i, "B", D(2020, 1, 9), D(2020, 1, 3), 3.0))]
 
 
-@pytest.mark.parametrize("kwargs", [{"n_long": 0}, {"rebalance": "yearly"}, {"drift_band": 1.0}, {"name": " "}])
+@pytest.mark.parametrize("kwargs", [{"n_long": 0}, {"rebalance": "yearly"}, {"n_long": True}, {"name": " "}])
 def test_strategy_is_checked(kwargs):
     with pytest.raises(ValueError):
         portfolio.Strategy(**({"name": "s", "n_long": 1} | kwargs))

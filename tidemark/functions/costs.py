@@ -17,6 +17,13 @@ TAX_LONG = 0.15
 LONG_TERM_DAYS = 365
 
 
+def not_negative(value: float, label: str) -> float:
+    """A finite number from zero on, or an error that names it."""
+    if type(value) not in (int, float) or not 0 <= value < math.inf:
+        raise ValueError(f"{label} must be a finite number from 0 on, got {value!r}")
+    return value
+
+
 @dataclass(frozen=True)
 class CostModel:
     """Half the spread plus square-root impact, one way, in dollars.
@@ -30,17 +37,11 @@ class CostModel:
     spread_bps: float = SPREAD_BPS
 
     def __post_init__(self) -> None:
-        if not isinstance(self.version, str):
-            raise TypeError("version must be a string")
-        if not self.version.strip():
-            raise ValueError("version must not be blank")
+        if not isinstance(self.version, str) or not self.version.strip():
+            raise ValueError("a cost model needs the version of its calibration")
         object.__setattr__(self, "version", self.version.strip())
         for label in ("k", "spread_bps"):
-            value = getattr(self, label)
-            if isinstance(value, bool) or not isinstance(value, (int, float)):
-                raise TypeError(f"{label} must be a number")
-            if not math.isfinite(value) or value < 0:
-                raise ValueError(f"{label} must be finite and not negative")
+            not_negative(getattr(self, label), label)
 
     def estimate(self, price: Column, qty: Column, adv: Column, sigma: Column) -> Column:
         """Cost of trading ``qty`` shares; the sign of ``qty`` does not matter."""

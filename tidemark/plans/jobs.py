@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from tidemark.functions.values import as_date
 from tidemark.operators import canonical, longshort, statistics, universe, vote
 from tidemark.operators.calendar import holds, trading_days
 from tidemark.operators.dividends import read_dividends
+from tidemark.session import store
 from tidemark.sources import actions, bars as bar_table, events, filings
 from tidemark.sources.tables import append, read
 
@@ -36,7 +38,9 @@ class Warehouse:
 
     def facts(self, spark: SparkSession) -> DataFrame:
         stored = read(spark, self.path("facts"), T.StructType(schemas.FACTS.fields + _LOADED))
-        return filings.current_facts(stored).drop("loaded_at")
+        # The stamps have a table of their own, so a filter on tags reaches the only scan of the facts.
+        loads = read(spark, self.path("facts_loads"), T.StructType([schemas.FACTS["cik"], *_LOADED]))
+        return filings.current_facts(stored, loads=loads).drop("loaded_at")
 
     def filings(self, spark: SparkSession) -> DataFrame:
         extra = [T.StructField("seq", T.LongType()), *_LOADED]
@@ -135,12 +139,15 @@ def daily_run(
     names.distinct().write.parquet(folder)
     names = spark.read.schema("symbol string").parquet(folder)
     n_symbols = names.count()
-    counts = {}
-    for name, frame in sorted(landed.items()):
-        wanted = frame.filter(F.col("ts") == F.lit(day)).join(names, "symbol", "left_semi")
-        batch = bar_table.write_bars(wanted, house.path("bars"), name)
-        written = read(spark, house.path("bars"), schemas.BARS)
-        counts[f"{name}_rows"] = written.filter((F.col("source") == name) & (F.col("batch") == batch)).count()
+    counts = dict.fromkeys((f"{source_}_rows" for source_ in sorted(landed)), 0)
+    if landed:
+        every = reduce(DataFrame.unionByName, [
+            frame.select(*schemas.BAR_INPUT.fieldNames(), F.lit(bar_table.folder_name(name, "source")).alias("source"))
+            for name, frame in sorted(landed.items())])
+        wanted = every.filter(F.col("ts") == F.lit(day)).join(names, "symbol", "left_semi")
+        batch = bar_table.write_bars(wanted, house.path("bars"))
+        written = read(spark, house.path("bars"), schemas.BARS).filter(F.col("batch") == batch)
+        counts |= {f"{r['source']}_rows": r["count"] for r in written.groupBy("source").count().collect()}
     stored = vote_range(spark, house, day, day, tol)
     verdicts = vote.verdict_counts(stored).first()
     summary = {
@@ -186,36 +193,35 @@ def calibration_run(
     return report
 
 
-def _documents(spark: SparkSession, path: str, now: dt.datetime) -> DataFrame:
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return text.select(F.col("value").alias("payload"), F.input_file_name().alias("document"),
-                       F.lit(now).cast("timestamp").alias("loaded_at"))
-
-
 def _load(
-    spark: SparkSession, house: Warehouse, table: str, path: str, parse: Callable[[DataFrame], DataFrame], cluster_by: list[str]
+    spark: SparkSession, house: Warehouse, table: str, path: str, entries: Callable[[DataFrame], DataFrame], cluster_by: list[str],
+    lines: bool,
 ) -> DataFrame:
-    now = _now()
-    documents = _documents(spark, path, now)
-    rows = parse(documents)
-    append(rows, house.path(table), cluster_by=cluster_by)
-    append(filings.rejected(documents).select("document", "reason", "loaded_at"), house.path(f"{table}_rejects"))
-    stored = spark.read.schema(rows.schema).parquet(house.path(table))
-    return filings.load_summary(documents, stored.filter(F.col("loaded_at") == F.lit(now).cast("timestamp")), "document")
-
-
-def load_facts(spark: SparkSession, house: Warehouse, path: str) -> DataFrame:
-    """Load a folder of company-facts documents; returns rows and status per document.
-
-    Facts are stored in ranges of tags, the filter that every signal reads them
+    """Parse every document once into a staged table; rows, rejects, stamps and the summary come out of that."""
+    text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True)
+    name = F.concat_ws("#", F.input_file_name(), F.sha2("value", 256)) if lines else F.input_file_name()
+    documents = text.select(F.col("value").alias("payload"), name.alias("document"), F.lit(_now()).cast("timestamp").alias("loaded_at"))
+    documents = documents.withColumn("reason", filings.reject_reason())
+    staged = store(entries(documents), f"staged-{table}")
+    rows = staged.filter(F.col("ok") & F.col("reason").isNull())
+    append(rows.drop("reason", "entry", "ok"), house.path(table), cluster_by=cluster_by)
+    append(rows.select("cik", "loaded_at").distinct(), house.path(f"{table}_loads"))
+    append(staged.filter(F.col("reason").isNotNull()).select("document", "reason", "loaded_at").distinct(), house.path(f"{table}_rejects"))
+    return filings.load_summary(staged, "document")
+
+
+def load_facts(spark: SparkSession, house: Warehouse, path: str, lines: bool = False) -> DataFrame:
+    """Load a folder of company-facts documents; returns rows, skipped entries and status per document.
+
+    A document is a file, or a line with ``lines``. Facts are stored in ranges of tags, the filter that every signal reads them
     by. Bad documents are listed under ``facts_rejects`` and do not stop the load.
     """
-    return _load(spark, house, "facts", path, filings.parse_company_facts, ["tag", "cik", "end"])
+    return _load(spark, house, "facts", path, lambda d: filings.fact_entries(d, every=True), ["tag", "cik", "end"], lines)
 
 
-def load_filings(spark: SparkSession, house: Warehouse, path: str) -> DataFrame:
-    """Load a folder of submissions documents; returns rows and status per document."""
-    return _load(spark, house, "filings", path, filings.parse_submissions, ["filed", "cik"])
+def load_filings(spark: SparkSession, house: Warehouse, path: str, lines: bool = False) -> DataFrame:
+    """Load a folder of submissions documents; returns rows, skipped entries and status per document."""
+    return _load(spark, house, "filings", path, lambda d: filings.filing_entries(d, every=True), ["filed", "cik"], lines)
 
 
 def load_actions(house: Warehouse, pages: DataFrame) -> None:

@@ -21,7 +21,10 @@ def _replaced(expression: str, *steps: tuple[str, str]) -> str:
     return expression
 
 
-# The pages hold no hidden elements, and scripts and styles only inside the head.
+# Scripts and styles stand only inside the head. The hidden elements that the query adds
+# leave no trace, so the twin reads the pages as they are.
+_UNSEEN = ('<div class="x" style="color:red; Display : none">a<div>b</div><br>c</div>'
+           "<ix:header>7<ix:hidden>8</ix:hidden><p>9</ix:header>")
 _TEXT = _replaced(
     "html", ("(?is)<head[ >].*?</head>", "''"), ("(?s)<!.*?>", "''"), ("(?i)</?(td|th)( [^>]*)?/?>", "' '"),
     (f"(?i)</?({_BLOCKS})( [^>]*)?/?>", "chr(10)"), ("<[a-zA-Z/][^>]*>", "''"))
@@ -31,7 +34,7 @@ _CLEAN = _replaced(_UNESCAPED, ("[ \\t\\f\\v\u00a0\u2000-\u200b]+", "' '"), (" *
 
 @query(f"SELECT page_id, url, {_CLEAN} AS text FROM pages")
 def html_text(spark, sf_dir):
-    pages = standins.table(spark, sf_dir, "pages")
+    pages = standins.table(spark, sf_dir, "pages").withColumn("html", F.replace(F.col("html"), F.lit("</p>"), F.lit(_UNSEEN + "</p>")))
     return pages.select("page_id", "url", markup.html_to_text(F.col("html")).alias("text"))
 
 

@@ -223,7 +223,7 @@ def annual_tax(spark, sf_dir):
 
 # --- portfolios ---------------------------------------------------------------------
 
-_STRATEGY = portfolio.Strategy("momentum", 7, "monthly", 0.02)
+_STRATEGY = portfolio.Strategy("momentum", 7, "monthly")
 
 TARGETS = f"""{MOMENTUM},
 caldays AS (SELECT DISTINCT ts FROM truncated),

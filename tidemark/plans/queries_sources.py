@@ -27,9 +27,14 @@ def ohlcv(rows: DataFrame) -> DataFrame:
 # --- parsers ------------------------------------------------------------------------
 
 
+def _by_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly bars of all vendors; a symbol carries its vendor's name."""
+    return standins.bars_monthly(spark, sf_dir).withColumn("symbol", F.concat_ws("-", "symbol", "source"))
+
+
 def _vendor_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vendor page per symbol and year, with a bad bar for the months divisible by five."""
-    b = standins.bars_monthly(spark, sf_dir).filter("source = 'R'")
+    b = _by_vendor(spark, sf_dir)
     price = F.when(F.month("ts") % 5 == 0, F.lit("n/a")).otherwise(F.col("close").cast("string"))
     bar = F.struct(F.concat(F.col("ts").cast("string"), F.lit("T05:00:00Z")).alias("t"), price.alias("o"), price.alias("h"),
                    price.alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
@@ -38,14 +43,14 @@ def _vendor_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.to_json(F.struct(body.alias("bars"))).alias("payload"))
 
 
-@query(f"WITH {BARS_M} SELECT symbol, ts, close, volume FROM bars_m WHERE source = 'R' AND month(ts) % 5 <> 0")
+@query(f"WITH {BARS_M} SELECT symbol || '-' || source AS symbol, ts, close, volume FROM bars_m WHERE month(ts) % 5 <> 0")
 def parse_bar_json(spark, sf_dir):
     return bars.parse_bar_json(_vendor_payloads(spark, sf_dir)).select("symbol", "ts", "close", "volume")
 
 
-@query(f"""WITH {BARS_M} SELECT symbol, ts - 1 AS ts, close, volume FROM bars_m WHERE source = 'A' AND month(ts) <> 7""")
+@query(f"""WITH {BARS_M} SELECT symbol || '-' || source AS symbol, ts - 1 AS ts, close, volume FROM bars_m WHERE month(ts) <> 7""")
 def reshape_history(spark, sf_dir):
-    b = standins.bars_monthly(spark, sf_dir).filter("source = 'A'")
+    b = _by_vendor(spark, sf_dir)
     price = F.when(F.month("ts") != 7, F.col("close")).otherwise(F.lit(float("nan")))
     history = b.select(F.lower("symbol").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), price.alias("Open"),
                        price.alias("High"), price.alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
@@ -53,9 +58,9 @@ def reshape_history(spark, sf_dir):
     return bars.reshape_history(history, "America/New_York").select("symbol", "ts", "close", "volume")
 
 
-@query(f"""WITH {BARS_M} SELECT symbol, ts, close, volume FROM bars_m WHERE source = 'N' AND month(ts) NOT IN (3, 6, 9)""")
+@query(f"""WITH {BARS_M} SELECT symbol || '-' || source AS symbol, ts, close, volume FROM bars_m WHERE month(ts) NOT IN (3, 6, 9)""")
 def parse_dump(spark, sf_dir):
-    b = standins.bars_monthly(spark, sf_dir).filter("source = 'N'")
+    b = _by_vendor(spark, sf_dir)
     day = F.date_format("ts", "yyyyMMdd")
     month = F.month("ts")
     line = F.concat_ws(
@@ -69,13 +74,12 @@ def parse_dump(spark, sf_dir):
 
 def company_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One company-facts document per supplier, restatements included; some entries unusable."""
-    f = standins.facts_total(spark, sf_dir).filter("cik > 0")
+    f = standins.facts_total(spark, sf_dir)
     entry = F.struct(
         F.when(F.quarter("end") != 2, F.col("start").cast("string")).otherwise("unknown").alias("start"),
         F.col("end").cast("string").alias("end"), F.col("val"), "accn", F.year("end").alias("fy"), F.lit("Q").alias("fp"), "form",
         F.when(F.year("end") == 1997, F.lit("")).otherwise(F.col("filed").cast("string")).alias("filed"))
     units = F.create_map(F.lit("USD"), F.sort_array(F.collect_list(entry)))
-    tags = F.create_map(F.col("tag"), F.struct(units.alias("units")))
     return f.groupBy("cik", "tag").agg(units.alias("u")).select(
         "cik", F.to_json(F.struct(
             F.concat(F.lit("CIK000"), F.col("cik")).alias("cik"),
@@ -92,11 +96,11 @@ def parse_company_facts(spark, sf_dir):
 
 
 def submission_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One submissions document per customer; the documents array is missing for some."""
-    o = standins.table(spark, sf_dir, "orders").filter("o_custkey > 0")
+    """Submissions documents in shards, one per customer and quarter; the documents array is missing for some."""
+    o = standins.table(spark, sf_dir, "orders")
     row = F.struct(F.col("o_orderkey"), F.concat(F.lit(" A-"), F.col("o_orderkey")).alias("accn"), F.col("o_orderstatus"),
                    F.when(F.month("o_orderdate") == 2, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("filed"))
-    per = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    per = o.groupBy("o_custkey", F.trunc("o_orderdate", "quarter").alias("shard")).agg(F.sort_array(F.collect_list(row)).alias("r"))
     docs = F.when(F.col("o_custkey") % 4 != 0, F.transform("r", lambda x: F.concat(F.lit("d"), x["o_orderkey"].cast("string"))))
     recent = F.struct(F.col("r.accn").alias("accessionNumber"), F.col("r.o_orderstatus").alias("form"),
                       F.col("r.filed").alias("filingDate"), docs.alias("primaryDocument"))
@@ -113,10 +117,10 @@ def parse_submissions(spark, sf_dir):
 
 @query("""SELECT o_custkey AS cik, 'A-' || o_orderkey AS accn,
        CASE WHEN month(o_orderdate) <> 2 THEN o_orderstatus ELSE o_orderstatus || '/A' END AS form,
-       CAST(o_orderdate AS DATE) + CASE WHEN month(o_orderdate) <> 2 THEN 1 ELSE 0 END AS filed FROM orders WHERE o_custkey > 0""")
+       CAST(o_orderdate AS DATE) + CASE WHEN month(o_orderdate) <> 2 THEN 1 ELSE 0 END AS filed FROM orders""")
 def filings_merge(spark, sf_dir):
     """A second, amended load of every filing outside February replaces the first."""
-    o = standins.filings(spark, sf_dir).filter("cik > 0").withColumn("accn", F.concat(F.lit("A-"), "accn")).withColumn("seq", F.lit(0))
+    o = standins.filings(spark, sf_dir).withColumn("accn", F.concat(F.lit("A-"), "accn")).withColumn("seq", F.lit(0))
     first = o.withColumn("form", F.concat("form", F.lit("/A"))).withColumn("loaded_at", F.lit(1))
     second = o.filter(F.month("filed") != 2).withColumn("filed", F.date_add("filed", 1)).withColumn("loaded_at", F.lit(2))
     return filings.current_filings(first.unionByName(second)).select("cik", "accn", "form", "filed")
@@ -133,7 +137,7 @@ def parse_tickers(spark, sf_dir):
 
 
 def action_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vendor page per ship date: dividends, splits split over both lists, some rows unusable."""
+    """Vendor pages of a ship date, cut by symbol: dividends, splits split over both lists, some rows unusable."""
     d = standins.dividends(spark, sf_dir).select(
         "ex_date", F.struct(F.lower("symbol").alias("symbol"), F.concat(F.col("ex_date").cast("string"), F.lit("T00:00:00Z")).alias("ex_date"),
                             F.when(F.month("ex_date") == 5, F.lit("NaN")).otherwise(F.col("rate").cast("string")).alias("rate"),
@@ -143,7 +147,7 @@ def action_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.when(F.month("ex_date") == 4, 0.0).otherwise(F.col("old_rate")).alias("old_rate"), "new_rate").alias("s"))
     both = d.select("ex_date", "d", F.lit(None).cast(s.schema["s"].dataType).alias("s")).unionByName(
         s.select("ex_date", F.lit(None).cast(d.schema["d"].dataType).alias("d"), "s"))
-    page = both.groupBy("ex_date").agg(F.collect_list("d").alias("d"), F.collect_list("s").alias("s"))
+    page = both.groupBy("ex_date", F.pmod(F.xxhash64(F.upper(F.coalesce("d.symbol", "s.symbol"))), F.lit(64))).agg(F.collect_list("d").alias("d"), F.collect_list("s").alias("s"))
     up = F.filter("s", lambda x: x["new_rate"] > 1)
     down = F.filter("s", lambda x: x["new_rate"] <= 1)
     return page.select(F.to_json(F.struct(F.struct(
@@ -190,17 +194,9 @@ def _house(spark: SparkSession, label: str) -> jobs.Warehouse:
     return jobs.Warehouse(scratch(spark, label))
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The vendors of the daily bars, one per kind of event."""
-    kinds = standins.table(spark, sf_dir, "events").select("event_type").distinct()
-    return sorted(row[0] for row in kinds.collect())
-
-
 def _store_daily_bars(spark: SparkSession, sf_dir: str, house: jobs.Warehouse) -> None:
-    """The daily bars, stored source by source as vendors deliver them."""
-    rows = ohlcv(standins.bars_daily(spark, sf_dir))
-    for source in _sources(spark, sf_dir):
-        bars.write_bars(rows.filter(F.col("source") == source), house.path("bars"), source)
+    """The daily bars of all vendors, stored in one job."""
+    bars.write_bars(ohlcv(standins.bars_daily(spark, sf_dir)), house.path("bars"))
 
 
 @query(f"""WITH {BARS_D}
@@ -209,10 +205,8 @@ def bars_store(spark, sf_dir):
     """A batch of every source, then corrections of every third day, and a read."""
     house = _house(spark, "bars")
     _store_daily_bars(spark, sf_dir, house)
-    rows = ohlcv(standins.bars_daily(spark, sf_dir)).filter(F.dayofmonth("ts") % 3 == 0)
-    for source in _sources(spark, sf_dir):
-        some = rows.filter(F.col("source") == source).withColumn("close", F.col("close") + 1.0)
-        bars.write_bars(some, house.path("bars"), source)
+    some = ohlcv(standins.bars_daily(spark, sf_dir)).filter(F.dayofmonth("ts") % 3 == 0)
+    bars.write_bars(some.withColumn("close", F.col("close") + 1.0), house.path("bars"))
     return bars.read_bars(spark, house.path("bars")).select("symbol", "ts", "source", "close")
 
 
@@ -272,14 +266,10 @@ def job_incremental_vote(spark, sf_dir):
     """Bars of half the symbols are streamed and voted, then the rest and a correction."""
     house = _house(spark, "stream")
     rows = ohlcv(standins.bars_daily(spark, sf_dir))
-    sources = _sources(spark, sf_dir)
-    early = F.dayofmonth("ts") <= 15
-    for source in sources:
-        wrong = rows.filter((F.col("source") == source) & early).withColumn("close", F.col("close") * 1.5)
-        bars.write_bars(wrong, house.path("bars"), source)
+    wrong = rows.filter(F.dayofmonth("ts") <= 15).withColumn("close", F.col("close") * 1.5)
+    bars.write_bars(wrong, house.path("bars"))
     revote_new_bars(spark, house, house.path("checkpoint"), TOL_D)
-    for source in sources:
-        bars.write_bars(rows.filter(F.col("source") == source), house.path("bars"), source)
+    bars.write_bars(rows, house.path("bars"))
     revote_new_bars(spark, house, house.path("checkpoint"), TOL_D)
     return canonical.newest_wins(house.verdicts(spark), ["symbol", "ts"], ["batch_ts", "batch"]).select(
         "symbol", "ts", "n_sources", "status", "close")
@@ -293,7 +283,8 @@ def job_daily_run(spark, sf_dir):
     house = _house(spark, "daily")
     rows = ohlcv(standins.bars_daily(spark, sf_dir))
     names = rows.select("symbol").distinct()
-    landed = {s: rows.filter(F.col("source") == s).drop("source") for s in _sources(spark, sf_dir)}
+    vendors = [r[0] for r in rows.select("source").distinct().collect()]
+    landed = {s: rows.filter(F.col("source") == s).drop("source") for s in vendors}
     summary = jobs.daily_run(spark, house, "2024-01-18", landed, names, TOL_D)
     logged = events.read_events(spark, house.path("events"), "job.daily")
     number = {k: F.get_json_object("payload", f"$.{k}").cast("bigint") for k in summary if isinstance(summary[k], int) and not isinstance(summary[k], bool)}
@@ -303,16 +294,50 @@ def job_daily_run(spark, sf_dir):
 
 
 @query(f"""WITH {FACTS_T}
-SELECT cik, count(*) AS rows, 'loaded' AS status FROM facts_t WHERE cik > 0 AND year("end") <> 1997 GROUP BY 1
-UNION ALL SELECT s_suppkey + 1000000, 0, 'failed' FROM supplier WHERE s_suppkey % 7 = 0
-UNION ALL SELECT s_suppkey + 2000000, 0, 'empty' FROM supplier WHERE s_suppkey % 7 = 1""")
+SELECT cik, count(*) FILTER (cik > 0 AND year("end") <> 1997) AS rows, count(*) FILTER (cik = 0 OR year("end") = 1997) AS skipped,
+       CASE WHEN cik = 0 THEN 'failed' WHEN count(*) FILTER (year("end") <> 1997) > 0 THEN 'loaded' ELSE 'empty' END AS status
+FROM facts_t GROUP BY 1
+UNION ALL SELECT s_suppkey + 1000000, 0, 0, 'failed' FROM supplier WHERE s_suppkey % 7 = 0
+UNION ALL SELECT s_suppkey + 2000000, 0, 0, 'empty' FROM supplier WHERE s_suppkey % 7 = 1""")
 def load_summary(spark, sf_dir):
     docs = company_documents(spark, sf_dir)
     s = standins.table(spark, sf_dir, "supplier")
     bad = s.filter("s_suppkey % 7 = 0").select((F.col("s_suppkey") + 1000000).alias("cik"), F.lit("{broken").alias("payload"))
     empty = s.filter("s_suppkey % 7 = 1").select((F.col("s_suppkey") + 2000000).alias("cik"), F.lit('{"cik": 5, "facts": {}}').alias("payload"))
-    documents = docs.unionByName(bad).unionByName(empty).withColumnRenamed("cik", "document")
-    return filings.load_summary(documents, filings.parse_company_facts(documents), "document").withColumnRenamed("document", "cik")
+    documents = docs.unionByName(bad).unionByName(empty).withColumnRenamed("cik", "document").withColumn("reason", filings.reject_reason())
+    return filings.load_summary(filings.fact_entries(documents, every=True), "document").withColumnRenamed("document", "cik")
+
+
+def _landed_files(documents: DataFrame, label: str) -> str:
+    """Documents (name, payload) as text files, one each, under a folder that is returned."""
+    folder = scratch(documents.sparkSession, label)
+    documents.write.partitionBy("name").text(folder)
+    return folder
+
+
+@query(f"""WITH {FACTS_T}
+SELECT cik, tag, start, "end", val, filed, rows, skipped FROM (
+  SELECT cik, 'TOTAL' AS tag, CASE WHEN quarter("end") <> 2 THEN start END AS start, "end", val, filed FROM facts_t WHERE year("end") <> 1997 AND cik > 0)
+CROSS JOIN (SELECT count(*) FILTER (cik > 0 AND year("end") <> 1997) AS rows, count(*) FILTER (cik = 0 OR year("end") = 1997) AS skipped FROM facts_t)""")
+def job_load_facts(spark, sf_dir):
+    """Company-facts files loaded twice, read back by tag, with the summary of the second load."""
+    house = _house(spark, "facts")
+    files = _landed_files(company_documents(spark, sf_dir).withColumnRenamed("cik", "name"), "facts-files")
+    jobs.load_facts(spark, house, files)
+    total = jobs.load_facts(spark, house, files).agg(F.sum("rows"), F.sum("skipped")).first()
+    facts = house.facts(spark).filter("tag = 'TOTAL'").select("cik", "tag", "start", "end", "val", "filed")
+    return facts.withColumns({"rows": F.lit(total[0]), "skipped": F.lit(total[1])})
+
+
+@query("""SELECT o_custkey AS cik, 'A-' || o_orderkey AS accn, o_orderstatus AS form, CAST(o_orderdate AS DATE) AS filed
+FROM orders WHERE o_custkey > 0 AND month(o_orderdate) <> 2""")
+def job_load_filings(spark, sf_dir):
+    """Files of submissions shards, a shard a line, loaded and read back."""
+    house = _house(spark, "filings")
+    folder = scratch(spark, "filings-files")
+    submission_documents(spark, sf_dir).select("payload").write.text(folder)
+    jobs.load_filings(spark, house, folder, lines=True)
+    return house.filings(spark).select("cik", "accn", "form", "filed")
 
 
 @query(f"""WITH {PANEL_M}, {HOLDS_M},

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A repeated key of a JSON object keeps its first place and its last value.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Ranked filters up to this cap also run before the exchange, which is what
     # keeps a stratum with most of the rows from travelling to one task.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",

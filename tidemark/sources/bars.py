@@ -38,32 +38,38 @@ def batch_name() -> str:
 
 
 def stamp_bars(
-    df: DataFrame, source: str, resolution: str = "1d", arrival: list[str] | None = None, batch: str | None = None
+    df: DataFrame, source: str | None = None, resolution: str = "1d", arrival: list[str] | None = None, batch: str | None = None
 ) -> DataFrame:
     """A batch in the stored schema, one row per key.
 
+    Without ``source`` the column of that name says whose bar each row is, so the
+    bars of all vendors are stamped, and written, together.
+
     Extra columns are dropped. A null symbol or day fails the job, since both
     are part of the key. Of duplicates inside the batch the last one by
     ``arrival`` stays; the values themselves break remaining ties.
     """
-    source, resolution = folder_name(source, "source"), folder_name(resolution, "resolution")
-    require(df, *BAR_INPUT.fieldNames(), *(arrival or []))
+    resolution = folder_name(resolution, "resolution")
+    require(df, *BAR_INPUT.fieldNames(), *([] if source else ["source"]), *(arrival or []))
     order = [F.col(c).alias(f"_a{i}") for i, c in enumerate(arrival or [])]
-    typed = conform(df, BAR_INPUT, *order)
+    owner = F.lit(folder_name(source, "source")) if source else F.when(
+        F.coalesce(F.trim("source").rlike(f"^{_SAFE.pattern}$"), F.lit(False)), F.trim("source")).otherwise(
+        F.raise_error(F.lit("source may hold letters, digits and ._- only")).cast("string"))
+    typed = conform(df, BAR_INPUT, owner.alias("_source"), *order)
     broken = F.col("symbol").isNull() | F.col("ts").isNull()
     checked = typed.withColumn("symbol", F.when(
         broken, F.raise_error(F.lit("symbol and ts may not be null")).cast("string")).otherwise(F.col("symbol")))
     now = dt.datetime.now(dt.timezone.utc)
-    unique = newest_wins(checked, ["symbol", "ts"], [f"_a{i}" for i in range(len(order))] + _VALUES)
+    unique = newest_wins(checked, ["_source", "symbol", "ts"], [f"_a{i}" for i in range(len(order))] + _VALUES)
     return conform(
         unique.withColumns({
-            "resolution": F.lit(resolution), "source": F.lit(source),
+            "resolution": F.lit(resolution), "source": F.col("_source"),
             "ingested_at": F.lit(now).cast("timestamp"), "batch": F.lit(batch or batch_name()),
         }), BARS)
 
 
-def write_bars(df: DataFrame, path: str, source: str, resolution: str = "1d", arrival: list[str] | None = None) -> str:
-    """Append a batch under ``source=/resolution=`` folders; returns its name."""
+def write_bars(df: DataFrame, path: str, source: str | None = None, resolution: str = "1d", arrival: list[str] | None = None) -> str:
+    """Append a batch under ``source=/resolution=`` folders, of one vendor or of all; returns its name."""
     batch = batch_name()
     append(stamp_bars(df, source, resolution, arrival, batch), path, ["source", "resolution"], ["symbol", "ts"])
     return batch

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.values import cik_number, finite, iso_day, number, ticker, whole
 from tidemark.sources.tables import newest_wins
-from tidemark.sources.unpack import object_lists
+from tidemark.sources.unpack import members, object_lists, unrepeated
 
 _ENTRY = ["start", "end", "val", "accn", "fy", "fp", "form", "filed"]
 _RECENT = (
@@ -15,58 +15,78 @@ _RECENT = (
 )
 
 
-def parse_company_facts(documents: DataFrame, column: str = "payload") -> DataFrame:
-    """Company-facts documents to fact rows.
+# Bits of a position in a document, level by level: taxonomy, tag, unit, entry.
+_POSITION_BITS = (8, 20, 12, 23)
 
-    The nesting is unpacked level by level with the rest kept as text, so a
-    malformed branch or entry is skipped without losing the document. Entries
-    without a readable filing date, period end or value are dropped; an unreadable start becomes null (an instant); missing text is ``""`` and a
-    missing year 0. ``seq`` numbers the entries of a document in order, which is
-    what breaks the last ties between facts. Extra columns of ``documents``, such
-    as a load stamp, are kept.
+
+def _position(*levels: str) -> Column:
+    """One number that orders positions; a document too wide for it fails instead of wrapping."""
+    packed = F.lit(0).cast("bigint")
+    wide = F.lit(False)
+    for name, bits in zip(levels, _POSITION_BITS):
+        packed = F.shiftleft(packed, bits) + F.col(name)
+        wide = wide | (F.col(name) >= 1 << bits)
+    return F.when(wide, F.raise_error(F.lit("a company-facts document has too many members")).cast("bigint")).otherwise(packed)
+
+
+def fact_entries(documents: DataFrame, column: str = "payload", every: bool = False) -> DataFrame:
+    """Entries of company-facts documents, usable ones marked ``ok``.
+
+    With ``every``, a document or branch without entries leaves a row with
+    ``entry`` false, so one pass serves rows, counts and reasons.
     """
+    explode = F.posexplode_outer if every else F.posexplode
     keep = [c for c in documents.columns if c != column]
     doc = documents.select(*keep, F.from_json(F.col(column), "cik string, facts map<string, string>").alias("d"))
-    cik = cik_number(F.col("d.cik"))
-    by_taxonomy = doc.filter(cik.isNotNull()).select(
-        *keep, cik.alias("cik"), F.posexplode("d.facts").alias("_p0", "taxonomy", "tags"))
-    by_tag = by_taxonomy.select(
-        *keep, "cik", "taxonomy", "_p0", F.posexplode(F.from_json("tags", "map<string, string>")).alias("_p1", "tag", "body"))
+    named = doc.select(*keep, cik_number(F.col("d.cik")).alias("cik"), unrepeated(F.col("d.facts")).alias("facts"))
+    if not every:
+        named = named.filter(F.col("cik") > 0)
+    by_taxonomy = named.select(*keep, "cik", explode("facts").alias("_p0", "taxonomy", "tags"))
+    by_tag = by_taxonomy.select(*keep, "cik", "taxonomy", "_p0", explode(members(F.col("tags"))).alias("_p1", "tag", "body"))
     units = object_lists(F.col("body"), "units", _ENTRY)
-    by_unit = by_tag.select(*keep, "cik", "taxonomy", "tag", "_p0", "_p1", F.posexplode(units).alias("_p2", "unit", "list"))
-    entries = by_unit.select(
-        *keep, "cik", "taxonomy", "tag", "unit", "_p0", "_p1", "_p2", F.posexplode("list").alias("_p3", "e"))
-    # Position in the document, one digit group per nesting level.
-    seq = ((F.col("_p0").cast("bigint") * 100_000 + F.col("_p1")) * 1_000 + F.col("_p2")) * 1_000_000 + F.col("_p3")
+    by_unit = by_tag.select(*keep, "cik", "taxonomy", "tag", "_p0", "_p1", explode(units).alias("_p2", "unit", "list"))
+    entries = by_unit.select(*keep, "cik", "taxonomy", "tag", "unit", "_p0", "_p1", "_p2", explode("list").alias("_p3", "e"))
     rows = entries.select(
         *keep, "cik", "taxonomy", "tag", "unit",
         iso_day(F.col("e.start")).alias("start"), iso_day(F.col("e.end")).alias("end"),
         number(F.col("e.val")).alias("val"), F.coalesce("e.accn", F.lit("")).alias("accn"),
         F.coalesce(whole(F.col("e.fy")), F.lit(0)).alias("fy"), F.coalesce("e.fp", F.lit("")).alias("fp"),
-        F.coalesce("e.form", F.lit("")).alias("form"), iso_day(F.col("e.filed")).alias("filed"), seq.alias("seq"))
-    return rows.filter(F.col("filed").isNotNull() & F.col("end").isNotNull() & finite(F.col("val")))
+        F.coalesce("e.form", F.lit("")).alias("form"), iso_day(F.col("e.filed")).alias("filed"),
+        _position("_p0", "_p1", "_p2", "_p3").alias("seq"), F.col("_p3").isNotNull().alias("entry"))
+    ok = (F.col("cik") > 0) & F.col("entry") & F.col("filed").isNotNull() & F.col("end").isNotNull() & finite(F.col("val"))
+    return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
-def current_facts(facts: DataFrame, loaded: str = "loaded_at") -> DataFrame:
+def parse_company_facts(documents: DataFrame, column: str = "payload") -> DataFrame:
+    """Company-facts documents to fact rows.
+
+    The nesting is unpacked level by level with the rest kept as text, so a
+    malformed branch or entry is skipped without losing the document. Entries
+    without a readable filing date, period end or value are dropped, as are
+    documents without a positive filer number; an unreadable start becomes null
+    (an instant); missing text is ``""`` and a missing year 0. Of a repeated tag
+    the last one counts. ``seq`` numbers the entries of a document in order,
+    which is what breaks the last ties between facts. Extra columns of
+    ``documents``, such as a load stamp, are kept.
+    """
+    return fact_entries(documents, column).filter("ok").drop("ok", "entry")
+
+
+def current_facts(facts: DataFrame, loaded: str = "loaded_at", loads: DataFrame | None = None) -> DataFrame:
     """Facts of each filer's newest document.
 
     A document is the whole record of a filer, so a newer one replaces the older
     one entirely; one that yielded no rows is not in the table and replaces
     nothing. The newest stamp per filer is found with map-side partials, and a
-    filer with very many facts is split by the adaptive skew join.
+    filer with very many facts is split by the adaptive skew join. ``loads``, a
+    table of (cik, load stamp), spares the look over all facts for the stamps.
     """
-    newest = facts.groupBy("cik").agg(F.max(loaded).alias(loaded))
+    newest = (facts if loads is None else loads).groupBy("cik").agg(F.max(loaded).alias(loaded))
     return facts.join(newest, ["cik", loaded], "left_semi")
 
 
-def parse_submissions(documents: DataFrame, column: str = "payload", expected: str | None = None) -> DataFrame:
-    """Submissions documents to filing rows.
-
-    The parallel arrays are matched by position; one that is missing or short
-    leaves nulls instead of dropping filings. Filings without an accession number
-    or a readable date are dropped. With ``expected``, a column of filer numbers,
-    a document of another filer fails the job.
-    """
+def filing_entries(documents: DataFrame, column: str = "payload", expected: str | None = None, every: bool = False) -> DataFrame:
+    """Entries of submissions documents, usable ones marked ``ok``; ``every`` as in :func:`fact_entries`."""
     keep = [c for c in documents.columns if c not in (column, expected)]
     parsed = documents.select(
         *keep, F.from_json(F.col(column), _RECENT).alias("d"),
@@ -81,11 +101,25 @@ def parse_submissions(documents: DataFrame, column: str = "payload", expected: s
     names = ["accessionNumber", "form", "filingDate", "primaryDocument"]
     empty = F.expr("cast(array() as array<string>)")
     zipped = F.arrays_zip(*[F.coalesce(recent[n], empty).alias(n) for n in names])
-    each = parsed.select(*keep, cik.alias("cik"), F.posexplode(zipped).alias("seq", "f"))
+    explode = F.posexplode_outer if every else F.posexplode
+    each = parsed.select(*keep, cik.alias("cik"), explode(zipped).alias("seq", "f"))
     rows = each.select(
         *keep, "cik", F.trim("f.accessionNumber").alias("accn"), F.coalesce("f.form", F.lit("")).alias("form"),
-        iso_day(F.col("f.filingDate")).alias("filed"), F.coalesce("f.primaryDocument", F.lit("")).alias("primary_doc"), "seq")
-    return rows.filter(F.col("cik").isNotNull() & (F.col("accn") != "") & F.col("filed").isNotNull())
+        iso_day(F.col("f.filingDate")).alias("filed"), F.coalesce("f.primaryDocument", F.lit("")).alias("primary_doc"), "seq",
+        F.col("seq").isNotNull().alias("entry"))
+    ok = (F.col("cik") > 0) & (F.col("accn") != "") & F.col("filed").isNotNull()
+    return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def parse_submissions(documents: DataFrame, column: str = "payload", expected: str | None = None) -> DataFrame:
+    """Submissions documents to filing rows.
+
+    The parallel arrays are matched by position; one that is missing or short
+    leaves nulls instead of dropping filings. Filings without an accession number,
+    a readable date or a positive filer number are dropped. With ``expected``, a
+    column of filer numbers, a document of another filer fails the job.
+    """
+    return filing_entries(documents, column, expected).filter("ok").drop("ok", "entry")
 
 
 def current_filings(rows: DataFrame, loaded: str | None = "loaded_at") -> DataFrame:
@@ -94,27 +128,30 @@ def current_filings(rows: DataFrame, loaded: str | None = "loaded_at") -> DataFr
     return newest_wins(rows, ["cik", "accn"], newest).select("cik", "accn", "form", "filed", "primary_doc")
 
 
-def rejected(documents: DataFrame, column: str = "payload") -> DataFrame:
-    """Documents that are not JSON objects with a filer number."""
+def reject_reason(column: str = "payload") -> Column:
+    """Why a text is no document: not a JSON object, or without a filer number; else null."""
     keys = F.json_object_keys(F.col(column))
     cik = cik_number(F.get_json_object(F.col(column), "$.cik"))
-    reason = F.when(F.coalesce(keys, F.expr("cast(null as array<string>)")).isNull(), "not a JSON object").when(
+    return F.when(F.coalesce(keys, F.expr("cast(null as array<string>)")).isNull(), "not a JSON object").when(
         cik.isNull() | (cik <= 0), "no filer number")
-    return documents.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def load_summary(documents: DataFrame, rows: DataFrame, name: str, column: str = "payload") -> DataFrame:
-    """One row per document: rows loaded and status (loaded, empty or failed).
+def rejected(documents: DataFrame, column: str = "payload") -> DataFrame:
+    """Documents that are not JSON objects with a filer number."""
+    return documents.withColumn("reason", reject_reason(column)).filter(F.col("reason").isNotNull())
+
+
+def load_summary(entries: DataFrame, name: str) -> DataFrame:
+    """One row per document: rows loaded, entries skipped and status (loaded, empty or failed).
 
-    ``name`` identifies a document in both tables.
+    ``entries`` come from :func:`fact_entries` or :func:`filing_entries` with
+    ``every``, with a ``reason`` beside them; ``name`` identifies a document.
     """
-    failed = rejected(documents, column).select(name, F.lit(True).alias("_failed"))
-    loaded = rows.groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
-    status = F.when(F.col("_failed"), "failed").when(F.col("rows") > 0, "loaded").otherwise("empty")
-    return (
-        documents.select(name).join(failed, name, "left").join(loaded, name, "left")
-        .select(name, F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
-    )
+    counts = entries.groupBy(name).agg(
+        F.sum(F.col("ok").cast("bigint")).alias("rows"), F.sum((F.col("entry") & ~F.col("ok")).cast("bigint")).alias("skipped"),
+        F.max("reason").alias("_reason"))
+    status = F.when(F.col("_reason").isNotNull(), "failed").when(F.col("rows") > 0, "loaded").otherwise("empty")
+    return counts.select(name, "rows", "skipped", status.alias("status"))
 
 
 def parse_tickers(documents: DataFrame, column: str = "payload") -> DataFrame:

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def members(text: Column, schema: str = "map<string, string>") -> Column:
+    """A JSON object as a map; of a repeated member the last value counts."""
+    return unrepeated(F.from_json(text, schema))
+
+
+def unrepeated(parsed: Column) -> Column:
+    """The map that a parser returned, rebuilt so that the session's rule for repeated keys applies."""
+    return F.map_from_entries(F.map_entries(parsed))
+
+
 def object_list(text: Column, fields: list[str]) -> Column:
     """A JSON list to an array of structs of text; elements that are no objects become empty structs.
 
@@ -20,7 +30,7 @@ def object_lists(text: Column, name: str, fields: list[str]) -> Column:
     """The member ``name`` of a JSON object, a map from keys to lists of objects."""
     whole = F.from_json(text, f"`{name}` map<string, array<struct<{_struct(fields)}>>>")[name]
     parts = F.from_json(text, f"`{name}` map<string, array<string>>")[name]
-    return F.coalesce(whole, F.transform_values(parts, lambda _, texts: _each(texts, fields)))
+    return unrepeated(F.coalesce(whole, F.transform_values(parts, lambda _, texts: _each(texts, fields))))
 
 
 def _each(texts: Column, fields: list[str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators import vote
 from tidemark.plans.jobs import Warehouse, log_dissent, write_verdicts
 from tidemark.schemas import BARS
+from tidemark.session import store
 from tidemark.sources.bars import read_bars
 
 
@@ -23,7 +24,8 @@ def revote_new_bars(spark: SparkSession, house: Warehouse, checkpoint: str, tol:
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def revote(new: DataFrame, number: int) -> None:
-        touched = new.filter(F.col("resolution") == "1d").select("symbol", "ts").distinct()
+        # Stored, as the span and the vote both need the keys.
+        touched = store(new.filter(F.col("resolution") == "1d").select("symbol", "ts").distinct(), "touched")
         # The span of days is two values; it lets the scan skip row groups.
         span = touched.agg(F.min("ts"), F.max("ts")).first()
         if span[0] is None:
