@@ -69,6 +69,19 @@ def test_scores_and_disagreement(spark):
     assert vol.forecast_scores(oracle, actuals, ["oracle"]).count() == 1
 
 
+def test_one_pass_scores_like_the_joined_tables(spark):
+    bars, _ = walk(spark, {"A": 100, "B": 61, "SHORT": 20})
+    lambdas = {"fast": 0.9, "slow": 0.97}
+    for window, horizon in ((24, 3), (10, 4), (8, 1)):
+        wide = vol.walk_forward(bars, lambdas, window, horizon)
+        names = ["fast", "slow", "trailing", "none"]
+        long = vol.built_in_forecasts(bars, lambdas, window, horizon)
+        want = {r["forecaster"]: (r["n"], r["mae"]) for r in vol.forecast_scores(long, vol.realized_targets(bars, window, horizon), names).collect()}
+        got = {r["forecaster"]: (r["n"], r["mae"]) for r in vol.score_walk(wide, names).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
 def test_realized_vol_of_short_series(spark):
     bars, series = walk(spark, {"A": 30, "TWO": 2})
     got = {r["symbol"]: r["realized_vol"] for r in vol.realized_vol(bars).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.values import finite, positive
@@ -21,11 +23,12 @@ def clean_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def bucket_legs(scores: DataFrame, n_buckets: int) -> DataFrame:
-    """Top and bottom ``floor(n / n_buckets)`` names per date: asof, symbol, leg.
+def bucket_legs(scores: DataFrame, n_buckets: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Top and bottom ``floor(n / n_buckets)`` names per date: asof, symbol, leg and the ``carry`` columns.
 
     Ties go by symbol. ``ntile`` would not do: it spreads the remainder over the
-    buckets. A date's cross-section is one row per listed symbol.
+    buckets. A date's cross-section is one row per listed symbol, which bounds
+    what a task ranks, however long the study is.
     """
     if isinstance(n_buckets, bool) or not isinstance(n_buckets, int):
         raise TypeError("n_buckets must be an int")
@@ -33,16 +36,21 @@ def bucket_legs(scores: DataFrame, n_buckets: int) -> DataFrame:
         raise ValueError("n_buckets must be at least 2")
     section = W.partitionBy("asof")
     ranked = scores.select(
-        "asof", "symbol",
+        "asof", "symbol", *carry,
         F.row_number().over(section.orderBy("score", "symbol")).alias("_rank"),
         F.count(F.lit(1)).over(section).alias("_n"),
     )
     width = F.floor(F.col("_n") / n_buckets)
     leg = F.when(F.col("_rank") <= width, "short").when(F.col("_rank") > F.col("_n") - width, "long")
-    return ranked.select("asof", "symbol", leg.alias("leg")).filter(F.col("leg").isNotNull())
+    return ranked.select("asof", "symbol", *carry, leg.alias("leg")).filter(F.col("leg").isNotNull())
+
+
+def holding_periods(closes: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """The holds of ``days``, by default the days with a usable close."""
+    return holds(trading_days(closes.filter(positive(F.col("close")))) if days is None else days)
 
 
-def priced_holds(closes: DataFrame, days: DataFrame | None = None) -> DataFrame:
+def priced_holds(closes: DataFrame, days: DataFrame | None = None, periods: DataFrame | None = None) -> DataFrame:
     """Formation and exit price of every symbol in every holding period.
 
     Columns: formed, held_to, symbol, p0, p1. ``p1`` is the close at the end of
@@ -53,8 +61,7 @@ def priced_holds(closes: DataFrame, days: DataFrame | None = None) -> DataFrame:
     the calendar is broadcast, so pricing adds no shuffle.
     """
     usable = closes.filter(positive(F.col("close"))).select("symbol", "ts", "close")
-    calendar = trading_days(usable) if days is None else days
-    periods = holds(calendar).select(F.col("formed").alias("ts"), "held_to")
+    periods = (holding_periods(closes, days) if periods is None else periods).select(F.col("formed").alias("ts"), "held_to")
     final = periods.groupBy().agg(F.max("held_to").alias("ts")).select("ts", F.lit(None).cast("date").alias("held_to"))
     wanted = F.broadcast(periods.unionByName(final))
 
@@ -93,19 +100,18 @@ def leg_members(
 
     Names outside the universe or without a close at formation are not ranked.
     """
-    priced = priced_holds(closes, days)
+    periods = holding_periods(closes, days)
+    priced = priced_holds(closes, periods=periods)
     ranked = clean_scores(scores)
     if universe is not None:
         ranked = ranked.join(universe.select("asof", "symbol").distinct(), ["asof", "symbol"], "left_semi")
-    buyable = ranked.join(
-        priced.select(F.col("formed").alias("asof"), "symbol", "held_to", "p0", "p1"), ["asof", "symbol"])
-    legs = bucket_legs(buyable, n_buckets).join(
-        buyable.select("asof", "symbol", "held_to", "p0", "p1"), ["asof", "symbol"])
+    prices = ["held_to", "p0", "p1"]
+    buyable = ranked.join(priced.select(F.col("formed").alias("asof"), "symbol", *prices), ["asof", "symbol"])
+    legs = bucket_legs(buyable, n_buckets, prices)
     if dividends is None:
         legs = legs.withColumn("income", F.lit(0.0))
     else:
-        calendar = trading_days(closes.filter(positive(F.col("close")))) if days is None else days
-        paid = hold_income(dividends, holds(calendar)).withColumnRenamed("formed", "asof")
+        paid = hold_income(dividends, periods).withColumnRenamed("formed", "asof")
         legs = legs.join(paid, ["asof", "symbol"], "left").withColumn("income", F.coalesce("income", F.lit(0.0)))
     return legs.withColumn("ret", (F.col("p1") + F.col("income")) / F.col("p0") - 1)
 

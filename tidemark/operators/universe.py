@@ -37,13 +37,15 @@ def check_tickers(tickers: DataFrame) -> DataFrame:
     return tickers
 
 
-def _liquid(closes: DataFrame, bars: DataFrame, key: list[str], min_price: float, min_adv: float) -> DataFrame:
+def _dear(closes: DataFrame, key: list[str], min_price: float) -> DataFrame:
     by_close = closes.filter(finite(F.col("close"))).groupBy(*key).agg(F.median("close").alias("med_close"))
+    return by_close.filter(F.col("med_close") > min_price)
+
+
+def _liquid(dear: DataFrame, bars: DataFrame, key: list[str], min_adv: float) -> DataFrame:
     by_volume = bars.filter(finite(F.col("volume"))).groupBy(*key).agg(F.median("volume").alias("med_vol"))
     # No usable volume means no turnover to screen on: the inner join fails the name.
-    return by_close.filter(F.col("med_close") > min_price).join(by_volume, key).filter(
-        F.col("med_close") * F.col("med_vol") > min_adv
-    )
+    return dear.join(by_volume, key).filter(F.col("med_close") * F.col("med_vol") > min_adv)
 
 
 def liquid(
@@ -55,8 +57,10 @@ def liquid(
     end = as_date(asof, "asof")
     start = end - dt.timedelta(days=lookback_days)
     closes = read_canonical(verdicts, start=start, end=end, **canonical)
-    window = bars.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") <= F.lit(end)))
-    return _liquid(closes, window, ["symbol"], min_price, min_adv)
+    dear = _dear(closes, ["symbol"], min_price)
+    # Volumes are looked at for the names that passed on price alone.
+    window = bars.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") <= F.lit(end))).join(dear.select("symbol"), "symbol", "left_semi")
+    return _liquid(dear, window, ["symbol"], min_adv)
 
 
 def build(
@@ -87,9 +91,12 @@ def liquid_at(
     reach = F.date_add("ts", lookback_days)
     seen = at_dates(
         panel.withColumn("_until", F.least(reach, F.date_sub("next_break", 1))), dates, "asof", "ts", "_until")
+    dear = _dear(seen, ["asof", "symbol"], min_price)
+    # The exact medians of the volumes cost most, so they are taken for what passed on price alone.
     traded = at_dates(
-        bars.select("symbol", "ts", "volume").withColumn("_until", reach), dates, "asof", "ts", "_until")
-    return _liquid(seen, traded, ["asof", "symbol"], min_price, min_adv)
+        bars.select("symbol", "ts", "volume").withColumn("_until", reach), dates, "asof", "ts", "_until").join(
+        dear.select("asof", "symbol"), ["asof", "symbol"], "left_semi")
+    return _liquid(dear, traded, ["asof", "symbol"], min_adv)
 
 
 def build_at(

@@ -94,58 +94,97 @@ def realized_targets(bars: DataFrame, window: int = WINDOW, horizon: int = HORIZ
     return rows.groupBy("symbol", step.alias("step")).agg(_realized(inner).alias("actual"))
 
 
-def _context_returns(bars: DataFrame, window: int, horizon: int) -> DataFrame:
-    """Returns of each step's context with ``age``, 0 for the newest.
+def _checked(lambdas: Mapping[str, float] | None) -> dict[str, float]:
+    chosen = {"ewma": LAMBDA} if lambdas is None else dict(lambdas)
+    for name, lam in chosen.items():
+        if isinstance(lam, bool) or not isinstance(lam, (int, float)):
+            raise TypeError(f"{name}: lambda must be a number")
+        if not 0 < lam < 1:
+            raise ValueError(f"{name}: lambda must be strictly between 0 and 1")
+    return chosen
+
+
+def walk_forward(
+    bars: DataFrame, lambdas: Mapping[str, float] | None = None, window: int = WINDOW, horizon: int = HORIZON,
+    trailing: str | None = "trailing",
+) -> DataFrame:
+    """All built-in forecasts and the outcome of every step: symbol, step, a column per forecaster, actual.
 
-    The contexts of neighbouring steps overlap, so a row is repeated for
-    ``window / horizon`` of them; callers aggregate straight away.
+    One aggregation with map-side partials. A return serves the contexts that hold
+    it, which overlap ``window / horizon`` times, and the one stretch it is an
+    outcome of. The recursion ``var = lam*var + (1-lam)*r^2`` seeded with the first
+    squared return is a weighted sum; ``trailing`` is the realised volatility of
+    the context.
     """
+    chosen = _checked(lambdas)
     check_walk(window, horizon)
     # A return at row p is in the context of the step at row i when i-window < p < i.
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - window) / horizon) + 1)
     steps = F.floor((F.col("_n") - window) / horizon)
     final = F.least(F.ceil(F.col("pos") / horizon) - 1, steps - 1)
-    return (
-        _numbered(bars)
-        .filter(F.col("ret").isNotNull() & (steps >= 1) & (first <= final))
-        .withColumn("step", F.explode(F.sequence(first, final)))
+    none = F.array().cast("array<bigint>")
+    contexts = F.when(first <= final, F.sequence(first, final)).otherwise(none)
+    own = F.floor((F.col("pos") - window) / horizon)
+    outcome = F.when((F.col("pos") >= window) & (own < steps), F.array(own)).otherwise(none)
+    rows = (
+        _numbered(bars).filter(F.col("ret").isNotNull() & (steps >= 1))
+        .withColumn("step", F.explode(F.concat(contexts, outcome)))
         .withColumn("age", window + F.col("step") * horizon - 1 - F.col("pos"))
-        .select("symbol", "step", "age", "ret")
     )
+    known = F.when(F.col("age") >= 0, F.col("ret"))
+    # The return into the first row of a stretch comes from outside it.
+    inner = F.when(F.col("age") < -1, F.col("ret"))
 
+    def variance(lam: float) -> Column:
+        weight = F.pow(F.lit(lam), F.col("age")) * F.when(F.col("age") == window - 2, 1.0).otherwise(1.0 - lam)
+        return F.sum(weight * known * known)
 
-def ewma_forecasts(
-    bars: DataFrame, lambdas: Mapping[str, float] | None = None, window: int = WINDOW, horizon: int = HORIZON
-) -> DataFrame:
-    """Exponentially weighted volatility of each context: forecaster, symbol, step, pred.
+    preds = [F.sqrt(variance(lam) * TRADING_DAYS).alias(name) for name, lam in chosen.items()]
+    if trailing:
+        preds.append(_realized(known).alias(trailing))
+    return rows.groupBy("symbol", "step").agg(*preds, _realized(inner).alias("actual"))
 
-    The recursion ``var = lam*var + (1-lam)*r^2`` seeded with the first squared
-    return is a weighted sum, so it is one aggregation with map-side partials.
-    """
-    chosen = {"ewma": LAMBDA} if lambdas is None else dict(lambdas)
-    for name, lam in chosen.items():
-        if isinstance(lam, bool) or not isinstance(lam, (int, float)):
-            raise TypeError(f"{name}: lambda must be a number")
-        if not 0 < lam < 1:
-            raise ValueError(f"{name}: lambda must be strictly between 0 and 1")
-    oldest = F.col("age") == window - 2
 
-    def variance(lam: float) -> Column:
-        weight = F.pow(F.lit(lam), F.col("age")) * F.when(oldest, 1.0).otherwise(1.0 - lam)
-        return F.sum(weight * F.col("ret") * F.col("ret"))
-
-    preds = [F.sqrt(variance(lam) * TRADING_DAYS).alias(f"_{i}") for i, lam in enumerate(chosen.values())]
-    wide = _context_returns(bars, window, horizon).groupBy("symbol", "step").agg(*preds)
-    each = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("forecaster"), F.col(f"_{i}").alias("pred")) for i, name in enumerate(chosen)
-    ]))
+def _long(wide: DataFrame, names: list[str]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("forecaster"), F.col(n).alias("pred")) for n in names]))
     return wide.select("symbol", "step", each.alias("f")).select("f.forecaster", "symbol", "step", "f.pred")
 
 
+def ewma_forecasts(
+    bars: DataFrame, lambdas: Mapping[str, float] | None = None, window: int = WINDOW, horizon: int = HORIZON
+) -> DataFrame:
+    """Exponentially weighted volatility of each context: forecaster, symbol, step, pred."""
+    return _long(walk_forward(bars, lambdas, window, horizon, None), list(_checked(lambdas)))
+
+
 def trailing_forecasts(bars: DataFrame, window: int = WINDOW, horizon: int = HORIZON, name: str = "trailing") -> DataFrame:
     """Realised volatility of the context as the forecast."""
-    return _context_returns(bars, window, horizon).groupBy("symbol", "step").agg(
-        _realized(F.col("ret")).alias("pred")).select(F.lit(name).alias("forecaster"), "symbol", "step", "pred")
+    return _long(walk_forward(bars, {}, window, horizon, name), [name])
+
+
+def built_in_forecasts(
+    bars: DataFrame, lambdas: Mapping[str, float] | None = None, window: int = WINDOW, horizon: int = HORIZON, trailing: str = "trailing"
+) -> DataFrame:
+    """Both of the above out of one pass."""
+    return _long(walk_forward(bars, lambdas, window, horizon, trailing), [*_checked(lambdas), trailing])
+
+
+def score_walk(wide: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`forecast_scores` of the built-in forecasters, straight from :func:`walk_forward` in one aggregation."""
+    if not names or DISAGREEMENT in names:
+        raise ValueError("name at least one forecaster, none of them by the reserved label")
+    have = [n for n in names if n in wide.columns]
+    preds = F.array_compact(F.array(*[F.col(n) for n in have]))
+    mean = F.aggregate(preds, F.lit(0.0), lambda total, x: total + x) / F.size(preds)
+    spread = F.when(F.size(preds) > 1, F.sqrt(
+        F.aggregate(preds, F.lit(0.0), lambda total, x: total + (x - mean) * (x - mean)) / (F.size(preds) - 1)))
+    sums = [F.struct(F.lit(n).alias("forecaster"), F.count(n).alias("n"), F.avg(F.abs(F.col(n) - F.col("actual"))).alias("mae")) for n in have]
+    sums += [F.struct(F.lit(n).alias("forecaster"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mae"))
+             for n in names if n not in have]
+    if len(names) > 1:
+        sums.append(F.struct(F.lit(DISAGREEMENT).alias("forecaster"), F.count("_spread").alias("n"), F.avg("_spread").alias("mae")))
+    rows = wide.withColumn("_spread", spread).agg(F.array(*sums).alias("_rows")).select(F.explode("_rows").alias("r")).select("r.*")
+    return rows.filter((F.col("forecaster") != DISAGREEMENT) | (F.col("n") > 0))
 
 
 def custom_forecasts(

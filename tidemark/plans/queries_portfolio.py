@@ -367,7 +367,7 @@ def _walk_bars(spark, sf_dir):
 
 
 def _forecasts(bars):
-    return volatility.ewma_forecasts(bars, _LAMBDAS, _W, _H).unionByName(volatility.trailing_forecasts(bars, _W, _H))
+    return volatility.built_in_forecasts(bars, _LAMBDAS, _W, _H)
 
 
 @query(f"""WITH {WALK} SELECT symbol, {R('coalesce(stddev_samp(ret), 0) * sqrt(252)', 9)} AS realized_vol FROM num GROUP BY 1""")
@@ -391,10 +391,8 @@ SELECT forecaster, count(*) AS n, {R('avg(abs(pred - actual))', 8)} AS mae FROM
 UNION ALL SELECT 'absent', 0, NULL
 UNION ALL SELECT 'disagreement', count(*), {R('avg(sd)', 8)} FROM spread""")
 def forecast_scores(spark, sf_dir):
-    bars = _walk_bars(spark, sf_dir)
-    scored = volatility.forecast_scores(
-        _forecasts(bars), volatility.realized_targets(bars, _W, _H), [*_LAMBDAS, "trailing", "absent"])
-    return rounded(scored, 8)
+    wide = volatility.walk_forward(_walk_bars(spark, sf_dir), _LAMBDAS, _W, _H)
+    return rounded(volatility.score_walk(wide, [*_LAMBDAS, "trailing", "absent"]), 8)
 
 
 @query(f"""WITH {WALK}, p AS (SELECT symbol, step, sqrt(252 * avg(ret * ret)) AS pred FROM contexts GROUP BY 1, 2)
