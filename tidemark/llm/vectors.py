@@ -1,12 +1,13 @@
 """Near-duplicate vectors found through spherical-cap filters.
 
-A filter is a direction; a vector passes it when their inner product reaches ``CAP``
-standard deviations. Directions come from random product codes: after a random rotation the
-dimensions are cut into four blocks with a small random codebook each, and a direction is
-one codeword per block. A vector is list-decoded to all directions it passes: sums over the
-first two blocks that no completion could lift over the threshold are pruned, the rest is
-completed. Vectors that pass a common filter are compared in double precision; a pair counts
-at its smallest common filter, so it counts once.
+A filter is a direction, and a vector passes those whose spherical cap it lies deep enough
+in. Directions come from random product codes: after a random rotation the dimensions are cut
+into four blocks with a small random codebook each, and a direction is one codeword per block.
+The number of directions above one fixed height varies a thousandfold from vector to vector,
+so the height is each vector's own, the one that ``LIST`` directions of a code exceed. They are
+list-decoded: only the best sums over the first two blocks and over the last two can be part
+of them, the other combinations are pruned. Vectors that pass a common filter are compared in
+double precision; a pair counts at its smallest common filter, so it counts once.
 
 The directions are fixed by a seed, so the index is fitted on nothing and holds every row.
 Equal vectors are one node. A filter's bucket of more than ``BUCKET_ROWS`` is cut into pairs
@@ -26,10 +27,10 @@ from tidemark.llm import common
 from tidemark.session import store
 
 COSINE = 0.93
-CODEWORDS = 16
-#: Independent codes; each adds its own filters.
-CODES = 2
-CAP = 3.4
+CODEWORDS = 24
+#: Independent codes, and the directions of each that a vector passes.
+CODES = 8
+LIST = 5
 BUCKET_ROWS = 4000
 
 _BLOCKS = 4
@@ -56,24 +57,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors ** 2).sum(1, keepdims=True))
 
 
-def filters(vectors: np.ndarray) -> list[np.ndarray]:
-    """The filters each unit vector passes, in order."""
+def _best(scores: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the ``n`` largest scores of each row."""
+    n = min(n, scores.shape[1])
+    return np.argpartition(-scores, n - 1, axis=1)[:, :n]
+
+
+def filters(vectors: np.ndarray) -> np.ndarray:
+    """(vectors, CODES * LIST): the filters each unit vector passes, in order."""
     n, size = vectors.shape
-    rows, found = [], []
+    found = []
     for number in range(CODES):
         rotation, books, blocks = _code(size, number)
         turned = vectors @ rotation
         parts = [turned[:, b] @ book.T for b, book in zip(blocks, books)]
         head = (parts[0][:, :, None] + parts[1][:, None, :]).reshape(n, -1)
         tail = (parts[2][:, :, None] + parts[3][:, None, :]).reshape(n, -1)
-        least = CAP / np.sqrt(size)
-        row, first = np.nonzero(head >= least - tail.max(1, keepdims=True))
-        at, second = np.nonzero(head[row, first][:, None] + tail[row] >= least)
-        rows.append(row[at])
-        found.append((number * CODEWORDS ** 2 + first[at]) * CODEWORDS ** 2 + second)
-    row, value = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((value, row))
-    return np.split(value[order], np.searchsorted(row[order], np.arange(1, n)))
+        first, second = _best(head, LIST), _best(tail, LIST)
+        total = np.take_along_axis(head, first, 1)[:, :, None] + np.take_along_axis(tail, second, 1)[:, None, :]
+        at = _best(total.reshape(n, -1), LIST)
+        a, b = np.take_along_axis(first, at // LIST, 1), np.take_along_axis(second, at % LIST, 1)
+        found.append((number * CODEWORDS ** 2 + a) * CODEWORDS ** 2 + b)
+    return np.sort(np.concatenate(found, axis=1), axis=1)
 
 
 def _valid(vector: str) -> F.Column:
@@ -87,15 +92,6 @@ def _matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(dtype, copy=False)
 
 
-def _padded(column: pa.ChunkedArray) -> np.ndarray:
-    """List column of filters as rows, filled with -1."""
-    sizes = np.concatenate([c.value_lengths().to_numpy() for c in column.chunks])
-    flat = np.concatenate([c.flatten().to_numpy() for c in column.chunks])
-    out = np.full((len(sizes), sizes.max()), -1, np.int64)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
-    return out
-
-
 def _bucket(own: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Nodes with links in a bucket (or pair of its shards): node, linked copies, local root."""
     here, left, right = (own.column(k)[0].as_py() for k in ("filter", "left", "right"))
@@ -103,7 +99,7 @@ def _bucket(own: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
     a, b = np.flatnonzero(shard == left), np.flatnonzero(shard == right)
     if not len(a) or not len(b) or own.num_rows < 2:
         return None
-    points, passed = unit(_matrix(own.column("vector"), np.float64)), _padded(own.column("filters"))
+    points, passed = unit(_matrix(own.column("vector"), np.float64)), _matrix(own.column("filters"), np.int64)
     pairs = []
     for low in range(0, len(a), 1024):
         rows = a[low:low + 1024]
@@ -113,7 +109,7 @@ def _bucket(own: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         i, j = i[keep], j[keep]
         for at in range(0, len(i), 4096):
             x, y = passed[i[at:at + 4096]], passed[j[at:at + 4096]]
-            both = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
+            both = (x[:, :, None] == y[:, None, :]).any(2)
             mine = np.where(both, x, np.iinfo(np.int64).max).min(1) == here
             pairs.append((i[at:at + 4096][mine], j[at:at + 4096][mine]))
     if not pairs:
@@ -152,7 +148,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 part = batch.take(np.flatnonzero(sizes == size))
                 points = unit(_matrix(pa.chunked_array([part.column(4)]), np.float64))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(filters(points), pa.list_(pa.int32()))],
+                    [*part.columns, pa.array(list(filters(points).astype(np.int32)), pa.list_(pa.int32()))],
                     ["node", "copies", "least", "space", "vector", "filters"])
 
     kind = dict(nodes.dtypes)["vector"]
