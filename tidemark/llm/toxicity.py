@@ -7,8 +7,10 @@ together can say what neither says alone. Interactions are scaled by the number
 terms, weights aren't, so one strong word counts the same in a long text.
 
 It is fitted on at most ``SAMPLE_ROWS`` labelled texts of each class, drawn by a hash of
-the key; terms in fewer than ``LEAST_TEXTS`` of them carry no weight. Scores are shifted
-from the balanced sample to the classes' true shares.
+the key. Terms take part when they are in ``LEAST_TEXTS`` of them and their share of toxic
+texts is off by more than chance allows (``SIGNIFICANT`` standard deviations), or when they
+are among the ``FREQUENT`` most frequent ones, which leaves the machine to find pairs of
+terms that say nothing alone. A score is a probability among texts mixed like the sample.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from tidemark.session import store
 #: Bound on the labelled texts of one class that the fit sees.
 SAMPLE_ROWS = 3000
 LEAST_TEXTS = 5
+SIGNIFICANT = 3.5
+FREQUENT = 400
 BUCKETS = 1 << 22
 FACTORS = 6
-EPOCHS = 8
+EPOCHS = 12
+RATE = 0.1
 THRESHOLD = 0.7
 
 _PREFIXES = (4, 5)
@@ -83,22 +88,34 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
+def informative(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The buckets that take part in the fit, in order."""
+    if not texts:
+        return np.empty(0, np.int64)
+    every, which, seen = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    hits = np.bincount(which, np.repeat(toxic, [len(t) for t in texts]), len(every))
+    share = toxic.mean()
+    off = np.abs(hits - share * seen) / np.sqrt(seen * share * (1 - share) + 1)
+    common = np.zeros(len(every), bool)
+    common[np.argsort(-seen, kind="stable")[:FREQUENT]] = True
+    return every[(seen >= LEAST_TEXTS) & (common | (off >= SIGNIFICANT))]
+
+
 def train(texts: list[np.ndarray], toxic: np.ndarray, share: float, seed: int = 5) -> Machine:
-    """Fit by AdaGrad on logistic loss; ``share`` is the true share of toxic texts."""
+    """Fit by AdaGrad on logistic loss; ``share`` of toxic texts is the score where no term takes part."""
     toxic = np.asarray(toxic, np.float64)
-    every, seen = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.empty(0, np.int64),) * 2
-    buckets = every[seen >= LEAST_TEXTS]
+    buckets = informative(texts, toxic)
     rng = np.random.default_rng(seed)
-    machine = Machine(buckets, np.zeros(len(buckets)), rng.normal(0, 0.02, (len(buckets), FACTORS)), 0.0)
+    machine = Machine(buckets, np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), FACTORS)), 0.0)
     odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    balanced = np.log(max(toxic.mean(), 1e-6) / max(1 - toxic.mean(), 1e-6)) if len(toxic) else 0.0
     if len(buckets) and 0 < toxic.mean() < 1:
         known = []
         for t in texts:
             at = np.minimum(np.searchsorted(buckets, t), len(buckets) - 1)
             known.append(at[buckets[at] == t])
         _descend(machine, known, toxic, rng)
-    machine.bias += odds - balanced if len(buckets) else odds
+    if not len(buckets):
+        machine.bias = odds
     return machine
 
 
@@ -121,12 +138,12 @@ def _descend(machine: Machine, known: list[np.ndarray], toxic: np.ndarray, rng:
             np.add.at(sums, row, latent[at])
             slope = np.bincount(inverse, miss[row]) / len(own) + 1e-4 * weights[terms_]
             past_w[terms_] += slope ** 2
-            weights[terms_] -= 0.1 * slope / np.sqrt(past_w[terms_])
+            weights[terms_] -= RATE * slope / np.sqrt(past_w[terms_])
             pull = (miss / np.maximum(sizes, 1))[row]
             for f in range(FACTORS):
                 slope = np.bincount(inverse, pull * (sums[row, f] - latent[at, f])) / len(own) + 1e-4 * latent[terms_, f]
                 past_v[terms_, f] += slope ** 2
-                latent[terms_, f] -= 0.02 * slope / np.sqrt(past_v[terms_, f])
+                latent[terms_, f] -= 0.05 * slope / np.sqrt(past_v[terms_, f])
 
 
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE_ROWS) -> Machine:
