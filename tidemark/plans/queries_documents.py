@@ -9,6 +9,7 @@ from tidemark.functions.values import number
 from tidemark.operators import labelled, renderings
 from tidemark.plans import standins
 from tidemark.plans.registry import FACTS_Q, R, query, rounded
+from tidemark.session import scratch
 from tidemark.sources import cases
 
 
@@ -290,6 +291,31 @@ def cases_upsert(spark, sf_dir):
     return cases.upsert_cases(stored, incoming).drop("split")
 
 
+@query("""SELECT 'case-' || doc_id AS case_id, source AS form, CAST(n_chars % 7 AS VARCHAR) AS fy, lang AS field FROM documents""")
+def manifest_csv(spark, sf_dir):
+    """A manifest written as CSV files in the order of its cases, and read back."""
+    d = standins.table(spark, sf_dir, "documents")
+    folder = scratch(spark, "manifest")
+    cases.write_manifest(d.select(F.concat(F.lit("case-"), F.col("doc_id")).alias("case_id"), F.col("source").alias("form"),
+                                  (F.col("n_chars") % 7).alias("fy"), F.col("lang").alias("field")), folder)
+    return spark.read.schema("case_id string, form string, fy string, field string").option("header", True).csv(folder)
+
+
+# A model that answers with the first word and refuses texts without one.
+@query("""SELECT 'first word' AS model, 'case-' || doc_id AS case_id,
+       CASE WHEN lang <> 'de' THEN nullif(regexp_extract(text, '^[^ ]+'), '') END AS prediction,
+       CASE WHEN lang = 'de' THEN 'ValueError: no German' END AS error FROM documents""")
+def predicted_cases(spark, sf_dir):
+    def first_word(text: str, field: str) -> str | None:
+        if field == "de":
+            raise ValueError("no German")
+        return text.split(" ")[0] or None
+
+    d = standins.table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("case-"), F.col("doc_id")).alias("case_id"), F.col("text").alias("doc_text"), F.col("lang").alias("field"))
+    return labelled.predict_cases(rows, "first word", first_word)
+
+
 _YEARS = (1995, 2001)
 
 CANDIDATES = f"""{FACTS_Q},

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import canonical, signals, vote
+from tidemark.operators import canonical, signals, universe, vote
 from tidemark.plans import jobs, standins
-from tidemark.plans.queries_facts import LAST
+from tidemark.plans.queries_facts import LAST, SUPPLIER_FILINGS, UNIVERSE, _SCREEN
 from tidemark.plans.queries_portfolio import HOLDS_M, _legs_sql
 from tidemark.plans.queries_prices import JUMP_M, PANEL_M, TOL_D, TOL_M, VERDICTS_D, VERDICTS_M, _history
-from tidemark.plans.registry import BARS_D, BARS_M, DIVIDENDS, FACTS_T, SPLITS, R, query, rounded
+from tidemark.plans.registry import BARS_D, BARS_M, DIVIDENDS, FACTS_T, SPLITS, TICKERS, R, panel_sql, query, rounded
 from tidemark.session import scratch
 from tidemark.sources import actions, bars, events, filings, published
 from tidemark.streaming.revote import revote_new_bars
@@ -359,3 +359,71 @@ def job_calibration(spark, sf_dir):
     report = jobs.calibration_run(spark, house, "Level", level, pub, "1990-01-01", LAST, max_jump=JUMP_M)
     return report.select("anomaly", F.round("rho", 7).alias("rho"), "n_months", F.round("mean_ours", 8).alias("mean_ours"),
                          F.round("mean_ref", 8).alias("mean_ref"), "pass")
+
+
+@query(f"""WITH {UNIVERSE}, {HOLDS_M},
+scores AS (SELECT h.formed AS asof, p.symbol, p.close AS score FROM holds h JOIN panel p ON p.ts = h.formed),
+{_legs_sql('scores', 3, None, 'universe')},
+pub AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_discount) AS ret FROM lineitem GROUP BY 1)
+SELECT 'Level' AS anomaly, {R('corr(ret_ls, ret)', 7)} AS rho, count(*) AS n_months, {R('avg(ret_ls)', 8)} AS mean_ours,
+       {R('avg(ret)', 8)} AS mean_ref, corr(ret_ls, ret) > 0.9 AS pass
+FROM series JOIN pub USING (month) WHERE month <= DATE '2000-12-01'""")
+def job_calibration_universe(spark, sf_dir):
+    """Calibration over the screened universe, with a longer panel than is reported."""
+    house = _house(spark, "calibration")
+    jobs.write_verdicts(vote.ballots(standins.bars_monthly(spark, sf_dir), TOL_M), house, "all")
+
+    def level(panel: DataFrame, asofs: DataFrame) -> DataFrame:
+        return signals.finalise(panel.join(F.broadcast(asofs), panel.ts == asofs.asof).withColumn("score", F.col("close")))
+
+    def screened(panel: DataFrame, asofs: DataFrame) -> DataFrame:
+        return universe.build_at(
+            panel, standins.bars_monthly(spark, sf_dir), standins.supplier_filings(spark, sf_dir), standins.tickers(spark, sf_dir),
+            asofs, **_SCREEN, forms=("F",), alive_days=30)
+
+    li = standins.table(spark, sf_dir, "lineitem")
+    pub = li.groupBy(F.trunc(F.to_date("l_shipdate"), "MM").alias("month")).agg(F.avg("l_discount").alias("ret"))
+    report = jobs.calibration_run(
+        spark, house, "Level", level, pub, "1990-01-01", LAST, cut="2000-12-01", n_buckets=3, universe_panel=screened, max_jump=JUMP_M)
+    return report.select("anomaly", F.round("rho", 7).alias("rho"), "n_months", F.round("mean_ours", 8).alias("mean_ours"),
+                         F.round("mean_ref", 8).alias("mean_ref"), "pass")
+
+
+_DAY = "1998-07-01"
+
+
+@query(f"""WITH {VERDICTS_M}, {panel_sql(JUMP_M, 2, "ts BETWEEN DATE '1998-07-02' - 103 AND DATE '1998-06-30'")}, {TICKERS}, {SUPPLIER_FILINGS},
+asofs AS (SELECT DATE '1998-07-02' AS asof),
+seen AS (SELECT asof, symbol, close FROM asofs JOIN truncated ON ts <= asof AND ts >= asof - 93),
+med_close AS (SELECT symbol, median(close) AS c FROM seen GROUP BY 1),
+med_volume AS (SELECT symbol, median(volume) AS v FROM bars_m WHERE ts BETWEEN DATE '1998-07-02' - 93 AND DATE '1998-06-30' GROUP BY 1),
+alive AS (SELECT DISTINCT cik FROM filings WHERE form = 'F' AND filed BETWEEN DATE '1998-07-02' - 30 AND DATE '1998-07-02'),
+names AS (SELECT DISTINCT t.symbol FROM med_close JOIN med_volume USING (symbol) JOIN tickers t USING (symbol) SEMI JOIN alive USING (cik)
+          WHERE c > 104.5 AND c * v > 5500.0),
+day AS (SELECT v.* FROM verdicts v JOIN names USING (symbol) WHERE v.ts = DATE '{_DAY}')
+SELECT '{_DAY}' AS day, (SELECT count(*) FROM names) AS symbols, false AS empty, count(*) FILTER (status = 'ok') AS ok,
+       count(*) FILTER (status = 'majority') AS majority, count(*) FILTER (status = 'quarantined') AS quarantined,
+       (SELECT count(*) FROM bars_m JOIN names USING (symbol) WHERE ts = DATE '{_DAY}') AS landed FROM day
+UNION ALL SELECT '2010-01-01', 0, true, 0, 0, 0, 0""")
+def job_daily_universe(spark, sf_dir):
+    """A daily run over the screened universe, and one on a day on which it is empty."""
+    house = _house(spark, "daily")
+    rows = ohlcv(standins.bars_monthly(spark, sf_dir))
+    bars.write_bars(rows.filter(F.col("ts") < _DAY), house.path("bars"))
+    jobs.vote_range(spark, house, "1990-01-01", "1998-06-30", TOL_M)
+    standins.tickers(spark, sf_dir).write.parquet(house.path("tickers"))
+    standins.supplier_filings(spark, sf_dir).select(
+        "cik", F.concat_ws("-", "cik", "form", "filed").alias("accn"), "form", "filed", F.lit("d").alias("primary_doc"),
+        F.lit(0).cast("bigint").alias("seq"), F.lit("2024-01-01").cast("timestamp").alias("loaded_at")).write.parquet(house.path("filings"))
+    vendors = [r[0] for r in rows.select("source").distinct().collect()]
+    landed = {s: rows.filter(F.col("source") == s).drop("source") for s in vendors}
+    screen = dict(_SCREEN, forms=("F",), alive_days=30, max_jump=JUMP_M)
+    jobs.daily_run(spark, house, "1998-07-02", landed, tol=TOL_M, **screen)
+    jobs.daily_run(spark, house, "2010-01-02", {}, tol=TOL_M, **screen)
+    logged = events.read_events(spark, house.path("events"), "job.daily")
+    number = {k: F.coalesce(F.get_json_object("payload", f"$.{k}").cast("bigint"), F.lit(0)) for k in
+              ["symbols", "ok", "majority", "quarantined", *[f"{s}_rows" for s in vendors]]}
+    return logged.select(
+        F.get_json_object("payload", "$.day").alias("day"), number["symbols"].alias("symbols"),
+        F.get_json_object("payload", "$.empty_universe").cast("boolean").alias("empty"), number["ok"].alias("ok"), number["majority"].alias("majority"),
+        number["quarantined"].alias("quarantined"), sum((number[f"{s}_rows"] for s in vendors), F.lit(0)).alias("landed"))
