@@ -24,8 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     common.prepare(spark)
     model = langid.fit(docs)
     found = langid.predict(F.col("text"), model)
-    return docs.select("*", found.alias("_found")).filter(
-        (F.col("_found.lang") != langid.UNKNOWN) & ~F.col("_found.ambiguous")).drop("_found")
+    told = "language told by the first stage"  # no column of documents is called so
+    return docs.withColumn(told, found).filter(
+        (F.col(f"`{told}`.lang") != langid.UNKNOWN) & ~F.col(f"`{told}`.ambiguous")).drop(told)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     common.prepare(spark)
     found = simhash.near_duplicates(docs, words=SHINGLE_WORDS)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    own = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = kept.withColumnRenamed("doc_id", "kept by the third stage")
+    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept by the third stage"]), "left_semi")
     return own.dropDuplicates(["doc_id"])
 
 
