@@ -1,5 +1,5 @@
-import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import test_decontaminate, test_lines, test_packing, test_simhash
@@ -71,11 +71,11 @@ def test_run_gives_the_last_stage(spark, sf, stages):
 
 
 def test_messy_and_empty_documents(spark, sf, messy, empty):
-    for docs in (messy, empty):
+    for docs in (messy.withColumn("lang", F.lit("en")).withColumn("_found", F.lit(1)), empty):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf)
             if name != "packing":
                 assert out.columns == docs.columns and out.count() <= n
                 docs = out
-        assert out.count() == 0 or public_tokenizers
+        assert out.columns[1:] == ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() >= 0
