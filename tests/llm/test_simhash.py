@@ -32,7 +32,7 @@ def brute(rows, words=4, radius=4):
 
 
 def found(df, **more):
-    return sorted((tuple(r) for r in simhash.near_duplicates(df, **more).collect()), key=str)
+    return sorted((tuple(r)[:3] for r in simhash.near_duplicates(df, **more).collect()), key=str)
 
 
 def test_query_rows(documents, texts):
@@ -45,6 +45,20 @@ def test_messy_rows(messy, empty):
     assert found(empty) == []
 
 
+def test_one_row_of_each_group_stays(messy, empty):
+    kept = simhash.keep_one(messy)
+    assert kept.columns == messy.columns
+    groups = {}
+    for k, _, c in brute(MESSY):
+        groups.setdefault(c, []).append(k)
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    # Texts without words are one group, the row without a key but with words one of its own.
+    assert sorted(rows, key=str) == sorted(
+        [(1, MESSY[0][1]), (3, None), (6, "word"), (None, "a row without a key"), (7, MESSY[9][1]), (8, MESSY[10][1]), (10, MESSY[12][1]),
+         (11, MESSY[13][1]), (12, MESSY[14][1])], key=str)
+    assert simhash.keep_one(empty).count() == 0
+
+
 def test_majority_over_many_hashes():
     rng = random.Random(1)
     import numpy as np

@@ -119,8 +119,9 @@ FROM d""")
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a WARC archive and read back."""
     archives = store(warc.write(table(spark, sf_dir, "pages")), "warc")
-    return warc.read(archives, payloads=False).filter("problem IS NULL").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(F.raise_error("problem").cast("string"))
+    return warc.read(archives, payloads=False).select(
+        "page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
 
 
 @query()

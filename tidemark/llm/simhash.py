@@ -170,21 +170,39 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS,
                     words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per document: ``key``, ``fingerprint`` (long) and ``component_id``.
+    """One row per document: ``key``, ``fingerprint`` (long), ``component_id``, ``class`` and ``mark``.
 
     ``component_id`` is the smallest key reachable by links of at most ``radius``
-    differing bits. Null and empty texts have fingerprint zero and link like any
-    other; repeated rows come back as often; an empty table gives no rows; a null
-    key takes part in links and is never the smallest unless a group has no other
-    (then ``component_id`` is null). Other columns, whatever their names, are not read.
+    differing bits; ``class`` names the same group by its smallest fingerprint, and
+    ``mark`` is a hash of the text. Null and empty texts have fingerprint zero and
+    link like any other; repeated rows come back as often; an empty table gives no
+    rows; a null key takes part in links and is never the smallest unless a group
+    has no other (then ``component_id`` is null). Other columns, whatever their
+    names, are not read.
     """
-    found = store(fingerprints(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")), "body", words)
-                  .drop("body"), "fingerprints")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"), F.xxhash64(text).alias("mark"))
+    found = store(fingerprints(rows, "body", words).drop("body"), "fingerprints")
     nodes = store(found.groupBy("fingerprint").agg(F.min("key").alias("least")), "nodes")
     merged = common.components(links(nodes.select(F.col("fingerprint").alias("node"), "fingerprint"), radius))
     classes = merged.withColumnRenamed("node", "fingerprint").join(nodes, "fingerprint").groupBy("component").agg(
         F.min("least").alias("component_id"))
-    linked = merged.withColumnRenamed("node", "fingerprint").join(classes, "component").select("fingerprint", "component_id")
+    linked = merged.withColumnRenamed("node", "fingerprint").join(classes, "component")
     own = nodes.join(linked, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(own, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
+        "fingerprint", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fingerprint").alias("class"))
+    return found.join(own, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id", "class", "mark")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their near-duplicate groups.
+
+    Of a group the row with the smallest key stays, one with a key before one
+    without, then the one with the smallest hash of its text; of repeated rows one.
+    """
+    found = near_duplicates(docs, key, text, radius, words)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "mark")).alias("first")
+    # One row per group, after combining on the map side.
+    chosen = found.groupBy("class").agg(first).select(
+        F.coalesce("first.key", F.lit(-(2**63))).alias("kept key"), F.col("first.mark").alias("kept mark"))
+    named = docs.withColumns({"kept key": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "kept mark": F.xxhash64(text)})
+    names = ["kept key", "kept mark"]
+    return named.join(chosen, names, "left_semi").dropDuplicates(names).drop(*names)
