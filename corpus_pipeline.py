@@ -41,11 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, and one row of that."""
     common.prepare(spark)
-    found = simhash.near_duplicates(docs, words=SHINGLE_WORDS)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "kept by the third stage")
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept by the third stage"]), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+    return simhash.keep_one(docs, words=SHINGLE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
