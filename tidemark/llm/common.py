@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.session import configure, store
 
@@ -58,6 +58,24 @@ def split_hot(rows: DataFrame, key: list[str], member: str, limit: int) -> DataF
         "right", F.greatest("shard", "other")).drop("other", "shards")
 
 
+def draw(rows: DataFrame, key: str, by: str, sample: int) -> DataFrame:
+    """At most ``sample`` distinct (key, by) of every value of ``by``, drawn by a hash of the key; stored.
+
+    The values are classes to learn, so their counts fit the driver. A share of
+    each class that gives the sample with some to spare passes by hash, and only
+    that is ranked.
+    """
+    pairs = rows.select(F.col(key).alias("key"), F.col(by).alias("by")).filter(F.col("by").isNotNull())
+    counts = [(r["by"], r["count"]) for r in pairs.groupBy("by").count().collect()]
+    if not counts:
+        return pairs.limit(0)
+    shares = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, 1.5 * sample / n + 0.0))])
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    order = Window.partitionBy("by").orderBy(F.xxhash64("key"), "key")
+    some = pairs.filter(place < shares[F.col("by")]).distinct().withColumn("n", F.row_number().over(order))
+    return store(some.filter(F.col("n") <= sample).drop("n"), "drawn")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): (node, component), component the smallest node.
 

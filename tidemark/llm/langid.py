@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import common
 from tidemark.session import store
@@ -113,12 +113,11 @@ def has_letter(text: Column) -> Column:
 
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS) -> Model | None:
     """Fit on at most ``sample`` rows of each language, dealt by a hash of ``key``; None without labelled text."""
-    labelled = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("body")).filter(
-        F.col("lang").isNotNull() & has_letter(F.col("body")))
-    # The draw ranks keys alone; texts are read for the drawn keys.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    drawn = labelled.select("key", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    chosen = store(labelled.join(drawn.drop("n"), ["key", "lang"], "left_semi"), "langid")
+    # The draw ranks keys alone; texts are read for the drawn keys, which the sample bounds.
+    drawn = common.draw(rows.filter(F.col(text).isNotNull()), key, lang, sample)
+    labelled = rows.select(F.col(key).alias("key"), F.col(lang).alias("by"), F.col(text).alias("body"))
+    chosen = store(labelled.join(F.broadcast(drawn), ["key", "by"], "left_semi").filter(has_letter(F.col("body"))).select(
+        F.col("by").alias("lang"), "body"), "langid")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -134,7 +133,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_pydict(
                 {"lang": pa.array([name] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": counts[at]})
 
-    counts = chosen.select("lang", "body").mapInArrow(count, "lang string, bucket int, n long").groupBy(
+    counts = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy(
         "lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("lang").to_pylist()))
     if not languages:
@@ -160,7 +159,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     "lang": np.full(code.shape[1], i, np.int32), "bit": np.arange(code.shape[1], dtype=np.int32),
                     "right": right[at == i].sum(0), "n": np.full(code.shape[1], (at == i).sum(), np.int64)})
 
-    judged = chosen.select("lang", "body").mapInArrow(judge, "lang int, bit int, right long, n long").groupBy("lang", "bit").agg(
+    judged = chosen.mapInArrow(judge, "lang int, bit int, right long, n long").groupBy("lang", "bit").agg(
         F.sum("right").alias("right"), F.sum("n").alias("n"))
     for r in judged.collect():  # languages times bits
         model.trust[r.lang, r.bit] = (r.right + 1) / (r.n + 2)
@@ -193,6 +192,7 @@ def identify(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "t
 
     Null texts and texts without a letter are ``und``, score 0; so is everything if
     no labelled text is left to learn from. Repeated rows get equal predictions,
-    ties go to the first language by name, an empty table stays empty.
+    ties go to the first language by name, an empty table stays empty. A column
+    called ``name`` is replaced.
     """
     return docs.withColumn(name, predict(F.col(text), fit(docs.filter(train), key, text, lang)))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import common
 from tidemark.llm.hashing import word_bounds, word_hashes
@@ -146,15 +146,16 @@ def _descend(machine: Machine, known: list[np.ndarray], toxic: np.ndarray, rng:
                 latent[terms_, f] -= 0.05 * slope / np.sqrt(past_v[terms_, f])
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most ``sample`` rows of each class. Null labels and null texts teach nothing; without rows of
-    both classes every text scores the share of toxic labels (half without any)."""
-    labelled = rows.select(F.col(key).alias("key"), F.col(toxic).cast("int").alias("toxic"), F.col(text).alias("body")).filter(
-        "toxic IN (0, 1) AND body IS NOT NULL")
-    counts = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("key"), "key")
-    drawn = labelled.select("key", "toxic").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    chosen = labelled.join(drawn.drop("n"), ["key", "toxic"], "left_semi")
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
+        sample: int = SAMPLE_ROWS) -> Machine:
+    """Fit on at most ``sample`` labelled keys of each class. Null labels, null texts and keys without a text teach
+    nothing; without rows of both classes every text scores the share of toxic labels (half without any)."""
+    known = labels.select(F.col(key), F.col(toxic).cast("int").alias("toxic")).filter("toxic IN (0, 1)")
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # The labels are drawn first, so the texts are joined with a sample of bounded size.
+    drawn = common.draw(known, key, "toxic", sample).withColumnRenamed("by", "toxic")
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).filter("body IS NOT NULL").join(
+        F.broadcast(drawn), "key").select("key", "toxic", "body")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +184,10 @@ def score(text: Column, machine: Machine) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, train_on: Column, key: str = "doc_id", text: str = "text",
              toxic: str = "toxic", name: str = "toxicity") -> DataFrame:
-    """``docs`` with the score ``name``, learned from labelled rows for which ``train_on`` holds.
+    """``docs`` with the score ``name``, learned from the labels for which ``train_on``, a condition on the key, holds.
 
-    A key labelled twice teaches twice; labels of unknown keys teach nothing; equal
-    texts score equally; an empty table stays empty.
+    A key labelled both ways teaches both; labels of unknown keys teach nothing;
+    equal texts score equally; an empty table stays empty. A column called
+    ``name`` is replaced.
     """
-    own = labels.select(F.col(key), F.col(toxic).alias("_toxic"))
-    rows = docs.filter(train_on).select(F.col(key), F.col(text).alias("_text")).join(own, key)
-    return docs.withColumn(name, score(F.col(text), fit(rows, key, "_text", "_toxic")))
+    return docs.withColumn(name, score(F.col(text), fit(docs, labels.filter(train_on), key, text, toxic)))
