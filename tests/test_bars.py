@@ -100,7 +100,7 @@ def test_dump_lines(spark, rows):
     ]
     df = spark.createDataFrame([(line,) for line in lines], "value string")
     assert rows(bars.parse_dump(df), "symbol", "ts", "close") == [
-        ("ZETA", dt.date(2020, 1, 2), 9.125), ("MSFT", dt.date(2020, 1, 8), 2.0)]
+        ("MSFT", dt.date(2020, 1, 8), 2.0), ("ZETA", dt.date(2020, 1, 2), 9.125)]
 
 
 def test_history_takes_the_session_day_of_the_exchange(spark, rows):

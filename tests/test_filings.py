@@ -118,8 +118,8 @@ def test_corporate_actions(spark, rows):
         "reverse_splits": [{"symbol": "R", "ex_date": "2012-05-07", "old_rate": 10, "new_rate": 1}, {"symbol": "R", "ex_date": "2020-09-01", "old_rate": 0, "new_rate": 1}]}}
     df = documents(spark, page, {"corporate_actions": {}}, "{}")
     assert rows(actions.parse_dividends(df), "symbol", "ex_date", "rate", "special") == [
-        ("ZETA", dt.date(2011, 3, 4), 0.31, False), ("X", dt.date(2011, 3, 7), 1.0, True)]
-    assert rows(actions.parse_splits(df), "symbol", "new_rate") == [("ZETA", 3.0), ("R", 1.0)]
+        ("X", dt.date(2011, 3, 7), 1.0, True), ("ZETA", dt.date(2011, 3, 4), 0.31, False)]
+    assert rows(actions.parse_splits(df), "symbol", "new_rate") == [("R", 1.0), ("ZETA", 3.0)]
 
 
 def csv(spark, *lines, columns="date string, ret string"):

@@ -72,7 +72,7 @@ def test_scores_and_disagreement(spark):
 def test_one_pass_scores_like_the_joined_tables(spark):
     bars, _ = walk(spark, {"A": 100, "B": 61, "SHORT": 20})
     lambdas = {"fast": 0.9, "slow": 0.97}
-    for window, horizon in ((24, 3), (10, 4), (8, 1)):
+    for window, horizon in ((24, 3), (10, 4), (9, 3)):
         wide = vol.walk_forward(bars, lambdas, window, horizon)
         names = ["fast", "slow", "trailing", "none"]
         long = vol.built_in_forecasts(bars, lambdas, window, horizon)
