@@ -144,17 +144,19 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str, support: int = SUPP
 
     every = F.array_distinct(F.flatten(F.array(*[named(k) for k in KINDS])))
     entities = found.select(F.explode(every).alias("entity")).groupBy("entity").count().withColumnRenamed("count", "n_entity")
+    beside = found.select(F.explode(F.array_distinct(F.transform("near", lambda w: w["term"]))).alias("term")).groupBy(
+        "term").count().withColumnRenamed("count", "n_beside")
+    # A word is in at least the documents where it stands beside some entity, so a common word can be
+    # seen not to reach the threshold before the whole texts are counted.
+    most = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - threshold))
+    near = store(pairs.join(entities, "entity").join(beside, "term").filter(F.col("n_beside") <= most * (1 + 1e-9)), "near")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").count().withColumnRenamed("count", "n_term")
-    # The word counts leave as soon as the few words near an entity are known.
-    near = store(pairs, "near")
-    terms = terms.join(near.select("term").distinct(), "term", "left_semi")
+    terms = words.join(near.select("term").distinct(), "term", "left_semi").groupBy("term").count().withColumnRenamed("count", "n_term")
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     held = F.log2(F.lit(float(total)) / F.col("n_entity"))
     share = F.when(held > 0, bits / F.when(held > 0, held)).otherwise(0.0)
-    return near.join(terms, "term").join(entities, "entity").select("entity", "term", share.alias("share")).filter(
-        F.col("share") >= threshold)
+    return near.join(terms, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
