@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import canonical, facts, signals, universe
+from tidemark.operators import facts, signals, universe
 from tidemark.plans import standins
 from tidemark.plans.queries_prices import (
     JUMP_M, PANEL_M, VERDICTS_M, monthly_panel, monthly_verdicts, panel_of, stored_verdicts,

@@ -11,7 +11,6 @@ from tidemark.plans.registry import (
 )
 from tidemark.session import store
 from tidemark.sources.bars import select_bars
-from tidemark.sources.tables import newest_wins
 
 # Parameters that make every branch of the operators occur on the stand-in data.
 TOL_D, TOL_M = 0.01, 0.02

@@ -12,7 +12,7 @@ from tidemark.operators import canonical, signals, universe, vote
 from tidemark.plans import jobs, standins
 from tidemark.plans.queries_facts import LAST, SUPPLIER_FILINGS, UNIVERSE, _SCREEN
 from tidemark.plans.queries_portfolio import HOLDS_M, _legs_sql
-from tidemark.plans.queries_prices import JUMP_M, PANEL_M, TOL_D, TOL_M, VERDICTS_D, VERDICTS_M, _history
+from tidemark.plans.queries_prices import JUMP_M, PANEL_M, TOL_D, TOL_M, VERDICTS_D, VERDICTS_M
 from tidemark.plans.registry import BARS_D, BARS_M, DIVIDENDS, FACTS_T, SPLITS, TICKERS, R, panel_sql, query, rounded
 from tidemark.session import scratch
 from tidemark.sources import actions, bars, events, filings, published
