@@ -117,12 +117,6 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """One partition as a table; for partitions whose size the exchange bounds."""
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The groups of rows with equal values in the first ``keys`` (integer) columns; input sorted by them.
 
