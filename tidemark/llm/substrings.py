@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import common
-from tidemark.llm.corpus import Corpus, by_document, texts
+from tidemark.llm.corpus import Corpus, texts
 from tidemark.llm.hashing import mix, prefix, signed, spans
 from tidemark.session import store
 
@@ -111,7 +111,7 @@ def ranges(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
 
 
 def _pack(rows: np.ndarray) -> bytes:
-    return rows.view(np.uint8).reshape(len(rows), -1).T.tobytes()
+    return rows.view(np.uint8).reshape(len(rows), _RECORD.itemsize).T.tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
