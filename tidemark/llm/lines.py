@@ -10,9 +10,10 @@ an earlier one (smaller document, or earlier in the same one) matches it.
 
 Rarity is the count of a word's hash in a table of fixed size; any fixed order gives the same
 matches. Each distinct line takes part once, with its first occurrence. Words with more than
-``HOT_COUNT`` occurrences are cut into pairs of shards. A line reports its ``CANDIDATES``
-earliest candidates of each word first; only lines that none of them confirms are searched
-again without that limit, so large groups of near copies stay linear and nothing is lost.
+``HOT_COUNT`` occurrences are cut into pairs of shards. A word whose lines yield more than
+``CLUSTER`` candidates each on average belongs to a group of near copies: it reports its lines
+instead of their pairs, and the lines are compared with their earlier ones in order, each
+dropping out at its first match, so such groups stay linear and nothing is lost.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ from tidemark.session import store
 TABLE = 1 << 20
 SLICES = 64
 HOT_COUNT = 100_000
-CANDIDATES = 48
+#: Candidates per line from which a word reports its lines instead of pairs.
+CLUSTER = 16
 _PLACE = ["doc", "copy", "line"]
 #: Groups beyond this size are compared block by block.
 GROUP_ROWS = 1500
+#: Words gathered before they are counted.
+_COUNTED = 1 << 22
 
 _WORD_BITS = np.uint64(40)
 _ROW = [("tok", "<u8"), ("doc", "<i8"), ("copy", "<u4"), ("line", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("even", "<u8"), ("odd", "<u8")]
@@ -83,13 +87,22 @@ def survey(corpus: Corpus) -> DataFrame:
     """One pass: a row per line with words (doc, copy, line, signature), and the task's rarity counts in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TABLE, np.int32)
+        counts, held, size = np.zeros(TABLE, np.int32), [], 0
         names = ["doc", "copy", "line", "signature", "slice", "counts"]
 
+        def count() -> None:
+            nonlocal counts, held, size
+            if held:
+                counts += np.bincount(np.concatenate(held), minlength=TABLE).astype(np.int32)
+            held, size = [], 0
+
         def rows(own: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            nonlocal counts
+            nonlocal size
             found = Lines(own)
-            counts += np.bincount(_slots(found.hashes), minlength=TABLE).astype(np.int32)
+            held.append(_slots(found.hashes))
+            size += len(found.hashes)
+            if size > _COUNTED:
+                count()
             n = len(found.row)
             doc, copy = (batch.column(k).to_numpy()[found.row] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
@@ -97,6 +110,7 @@ def survey(corpus: Corpus) -> DataFrame:
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
 
         yield from by_document(rows)(batches)
+        count()
         if counts.any():
             parts = counts.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays(
@@ -125,37 +139,43 @@ def rarity(surveyed: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
+def rarity_codes(counts: np.ndarray) -> np.ndarray:
+    """The table in eighths of a doubling, which is order enough; zero stands for a word seen once."""
+    return np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
+
+
 def prefix_length(size):
     """Words of a set of ``size`` among which a match must share one."""
     return size - (4 * size + 4) // 5 + 1
 
 
-def prefixes(found: Lines, wanted: np.ndarray, counts: np.ndarray, doc: np.ndarray, copy: np.ndarray) -> np.ndarray:
+def prefixes(found: Lines, wanted: np.ndarray, codes: np.ndarray, doc: np.ndarray, copy: np.ndarray) -> np.ndarray:
     """The joined rows of the ``wanted`` lines: a row per prefix word that some other line has."""
     out = []
     chosen = np.flatnonzero(wanted)
     for low in range(0, len(chosen), 1 << 16):
         part = chosen[low:low + (1 << 16)]
-        local = np.full(len(found.first), -1)
-        local[part] = np.arange(len(part))
-        words = np.flatnonzero(local[found.word_line] >= 0)
-        if not len(words):
-            continue
-        hashes = found.hashes[words]
-        # Rarest first: an eighth of a doubling is close enough, ties go by hash.
-        rare = np.minimum(8 * np.log2(counts[_slots(hashes)]), 255).astype(np.uint64)
-        line = local[found.word_line[words]].astype(np.uint64)
-        keys = np.unique(line << np.uint64(48) | rare << _WORD_BITS | hashes >> np.uint64(24))
-        line = (keys >> np.uint64(48)).astype(np.int64)
+        local = np.full(len(found.first), -1, np.int32)
+        local[part] = np.arange(len(part), dtype=np.int32)
+        of_word = local[found.word_line]
+        hashes = found.hashes
+        if len(part) < len(found.first):
+            words = np.flatnonzero(of_word >= 0)
+            of_word, hashes = of_word[words], hashes[words]
+        # Rarest first, ties go by hash.
+        rare = codes[_slots(hashes)].astype(np.uint64)
+        keys = np.sort(of_word.astype(np.uint64) << np.uint64(48) | rare << _WORD_BITS | hashes >> np.uint64(24))
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+        line = (keys >> np.uint64(48)).astype(np.int32)
         token = keys & np.uint64((1 << 48) - 1)
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-        size = np.bincount(line, minlength=len(part))
-        place = np.arange(len(keys)) - np.repeat(first, size[size > 0])
+        size = np.diff(np.concatenate((first, [len(keys)])))
+        place = np.arange(len(keys)) - first[line]
         bit = np.uint64(1) << (token & np.uint64(63))
-        half = (token >> np.uint64(6)) & np.uint64(1)
-        even = np.bitwise_xor.reduceat(np.where(half == 0, bit, 0).astype(np.uint64), first)
-        odd = np.bitwise_xor.reduceat(np.where(half == 1, bit, 0).astype(np.uint64), first)
-        keep = (place < prefix_length(size[line])) & (token >> _WORD_BITS > 0)
+        low_half = ((token >> np.uint64(6)) & np.uint64(1)) - np.uint64(1)  # all ones or none
+        even = np.bitwise_xor.reduceat(bit & low_half, first)
+        odd = np.bitwise_xor.reduceat(bit & ~low_half, first)
+        keep = (place < prefix_length(size)[line]) & (token >> _WORD_BITS > 0)
         own = line[keep]
         rows = np.empty(len(own), _ROW)
         rows["tok"], rows["size"], rows["pos"] = token[keep], size[own], place[keep]
@@ -166,32 +186,30 @@ def prefixes(found: Lines, wanted: np.ndarray, counts: np.ndarray, doc: np.ndarr
     return np.concatenate(out) if out else np.empty(0, _ROW)
 
 
-# Flags above the position and the size of a row.
-_WANTED = np.uint32(1 << 31)
+# Flags above the size of a row.
 _RIGHT = np.uint32(1 << 30)
 _CROSS = np.uint32(1 << 29)
 _SIZE_BITS = np.uint32((1 << 29) - 1)
 
 
-def deal(rows: np.ndarray, counts_of: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
-    """Rows by target task, as byte planes (which compress); hot words go to a task per pair of shards."""
-    shards = np.minimum(-(-counts_of // HOT_COUNT), 2048)
+def deal(rows: np.ndarray, shards: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
+    """Rows by target task, as byte planes (which compress); words of several shards go to a task per pair of shards."""
     parts = [rows[shards <= 1]]
     hot = np.flatnonzero(shards > 1)
     if len(hot):
-        own, n = rows[hot], shards[hot]
+        own, n = rows[hot], shards[hot].astype(np.int64)
         shard = (mix(own["doc"].astype(np.uint64) * np.uint64(31) + own["line"]) % n.astype(np.uint64)).astype(np.int64)
         for other in range(int(n.max())):
             some = other < n
             left, right = np.minimum(shard[some], other), np.maximum(shard[some], other)
             copy = own[some].copy()
             # The pair of shards joins the word in the group's name: 48 bits of word mix with the pair.
-            copy["tok"] = mix(copy["tok"] + (1 + left * 2048 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            copy["tok"] = mix(copy["tok"] + (1 + left * 2048 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
             copy["size"] |= np.where(shard[some] > other, _RIGHT, np.uint32(0))
             copy["size"] |= np.where(shard[some] != other, _CROSS, np.uint32(0))
             parts.append(copy)
     every = np.concatenate(parts)
-    target = (mix(every["tok"]) % np.uint64(targets)).astype(np.int64)
+    target = (mix(every["tok"]) % np.uint64(targets)).astype(np.uint16 if targets < 1 << 16 else np.int64)
     order = np.argsort(target, kind="stable")
     every, target = every[order], target[order]
     cuts = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else []
@@ -204,189 +222,225 @@ def _rows(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(_ROW).ravel()
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows may match: the positional, length and bitmap filters."""
-    size_a, size_b = (a["size"] & _SIZE_BITS).astype(np.int64), (b["size"] & _SIZE_BITS).astype(np.int64)
-    need = (4 * (size_a + size_b) + 8) // 9
-    fits = (a["pos"] <= size_a - need) & (b["pos"] <= size_b - need)
-    spare = size_a + size_b - 2 * need
-    apart = np.bitwise_count(a["even"] ^ b["even"]).astype(np.int64) + np.bitwise_count(a["odd"] ^ b["odd"])
-    return fits & (apart <= spare)
-
-
-def pairs_of(rows: np.ndarray, wanted: np.ndarray | None, limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (later, earlier) of one task's rows, as positions, and the rows cut off by ``limit``.
-
-    Only pairs whose later line is ``wanted`` count, if given.
-    """
-    order = np.lexsort((rows["size"] & _SIZE_BITS, rows["tok"]))
-    rows = rows[order]
-    n = len(rows)
-    cut = np.flatnonzero(np.concatenate(([True], rows["tok"][1:] != rows["tok"][:-1], [True])))
-    end = np.repeat(cut[1:], np.diff(cut))
-    large = np.repeat(np.diff(cut) > GROUP_ROWS, np.diff(cut))
-    found, cut_off = [], []
-
-    # The documents' order as a number; rows of one line share it.
-    when = np.lexsort([rows[k] for k in ("line", "copy", "doc")])
-    moved = np.concatenate([[False], np.logical_or.reduce([rows[k][when][1:] != rows[k][when][:-1] for k in ("line", "copy", "doc")])]) \
-        if n else np.zeros(0, bool)
-    turn = np.empty(n, np.int64)
-    turn[when] = np.cumsum(moved)
-
-    active, step = np.flatnonzero(~large), 1
+class _Sorted:
+    """Rows of one task as columns, by word and size."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        size = rows["size"] & _SIZE_BITS
+        # A word has 48 bits; sizes beyond 16 bits share the last place, which the filters know of.
+        key = rows["tok"] << np.uint64(16) | np.minimum(size, 0xFFFF).astype(np.uint64)
+        self.order = np.argsort(key)
+        self.tok = key[self.order] >> np.uint64(16)
+        self.size = size[self.order].astype(np.int64)
+        self.pos = rows["pos"][self.order].astype(np.int64)
+        self.even, self.odd = rows["even"][self.order], rows["odd"][self.order]
+        self.place = [rows[k][self.order] for k in _PLACE]
+        flags = rows["size"][self.order]
+        self.cross, self.right = (flags & _CROSS) != 0, (flags & _RIGHT) != 0
+        self.crossed = bool(self.cross.any())
+
+    def candidates(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may match: the length and positional bounds, then the bitmap."""
+        both = self.size[i] + self.size[j]
+        need = (4 * both + 8) // 9
+        fits = (self.pos[i] <= self.size[i] - need) & (self.pos[j] <= self.size[j] - need)
+        if self.crossed:
+            fits &= ~self.cross[i] | (self.right[i] != self.right[j])
+        ok = np.flatnonzero(fits)
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(self.even[i] ^ self.even[j]).astype(np.int64) + np.bitwise_count(self.odd[i] ^ self.odd[j])
+        return ok[apart <= (both - 2 * need)[ok]]
+
+    def later(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether line i comes after line j in the documents' order."""
+        out, open_ = np.zeros(len(i), bool), np.ones(len(i), bool)
+        for column in self.place:
+            out |= open_ & (column[i] > column[j])
+            open_ &= column[i] == column[j]
+        return out
+
+
+def pairs_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (later, earlier) of one task's rows, as positions, and the rows of clusters, which have no pairs."""
+    if not len(rows):
+        return (np.empty(0, np.int64),) * 3
+    own = _Sorted(rows)
+    cut = np.flatnonzero(np.concatenate(([True], own.tok[1:] != own.tok[:-1], [True])))
+    sizes = np.diff(cut)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    end = cut[1:][group]
+    clipped = np.minimum(own.size, 0xFFFF)
+
+    found, crowded = [], np.zeros(len(sizes), bool)
+    active, step = np.flatnonzero((sizes <= GROUP_ROWS)[group]), 1
     while len(active):
         active = active[active + step < end[active]]
-        mate = active + step
-        near = 5 * (rows["size"][active] & _SIZE_BITS).astype(np.int64) >= 4 * (rows["size"][mate] & _SIZE_BITS).astype(np.int64)
-        active, mate = active[near], mate[near]
-        crossing = ((rows["size"][active] & _CROSS) == 0) | ((rows["size"][active] ^ rows["size"][mate]) & _RIGHT != 0)
-        ok = np.flatnonzero(crossing & _similar(rows[active], rows[mate])) if len(active) else []
+        # Sizes ascend in a group: once they are too far apart they stay so.
+        active = active[5 * clipped[active] >= 4 * clipped[active + step]]
+        ok = active[own.candidates(active, active + step)]
         if len(ok):
-            i, j = active[ok], mate[ok]
-            found.append((np.where(turn[i] > turn[j], i, j), np.where(turn[i] > turn[j], j, i)))
+            found.append((ok, ok + step))
         step += 1
-    for low, high in zip(cut[:-1], cut[1:]):
-        if high - low > GROUP_ROWS:
-            for later, earlier, more in _blocks(rows[low:high], turn[low:high], limit, None if wanted is None else wanted[order][low:high]):
-                found.append((low + later, low + earlier))
-                cut_off.append(low + more)
-    later, earlier = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-    if wanted is not None:
-        keep = wanted[order][later]
-        later, earlier = later[keep], earlier[keep]
-    if limit is not None and len(later):
-        by = np.lexsort((turn[earlier], later))
-        later, earlier = later[by], earlier[by]
-        first = np.flatnonzero(np.concatenate(([True], later[1:] != later[:-1])))
-        place = np.arange(len(later)) - np.repeat(first, np.diff(np.concatenate((first, [len(later)]))))
-        cut_off.append(np.unique(later[place >= limit]))
-        later, earlier = later[place < limit], earlier[place < limit]
-    more = np.unique(np.concatenate(cut_off)) if cut_off else np.empty(0, np.int64)
-    return order[later], order[earlier], order[more]
-
-
-def _blocks(rows: np.ndarray, turn: np.ndarray, limit: int | None,
-            wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A large group: each line against the earlier ones, earliest first, block by block."""
-    by = np.argsort(turn, kind="stable")
-    own, turn = rows[by], turn[by]
-    size = (own["size"] & _SIZE_BITS).astype(np.int64)
-    cross, right = (own["size"] & _CROSS) != 0, (own["size"] & _RIGHT) != 0
-    lines = np.arange(len(by)) if wanted is None else np.flatnonzero(wanted[by])
-    height = max(1, (1 << 22) // len(by))
-    for at in range(0, len(lines), height):
-        part = lines[at:at + height, None]
-        ok = turn[None] < turn[part]
-        ok &= (5 * size[None] >= 4 * size[part]) & (5 * size[part] >= 4 * size[None])
-        ok &= ~cross[part] | (right[None] != right[part])
-        a, b = np.nonzero(ok)
-        later = part[a, 0]
-        ok = _similar(own[later], own[b])
-        later, b = later[ok], b[ok]
-        more = np.empty(0, np.int64)
-        if limit is not None and len(later):
-            first = np.flatnonzero(np.concatenate(([True], later[1:] != later[:-1])))
-            place = np.arange(len(later)) - np.repeat(first, np.diff(np.concatenate((first, [len(later)]))))
-            more = np.unique(by[later[place >= limit]])
-            later, b = later[place < limit], b[place < limit]
-        yield by[later], by[b], more
-
-
-def candidates(corpus: Corpus, firsts: DataFrame, counts: np.ndarray, limit: int | None, only: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (doc, copy, line, by_doc, by_copy, by_line), ``by`` the earlier line; a null one marks a line that has more.
-
-    ``firsts`` (doc, copy, lines) names the lines that take part; ``only`` (doc, copy,
-    searched), if given, those whose earlier matches are sought.
+    for g in np.flatnonzero(sizes > GROUP_ROWS).tolist():
+        got, total = [], 0
+        for pair in _blocks(own, clipped, int(cut[g]), int(cut[g + 1])):
+            got.append(pair)
+            total += len(pair[0])
+            if total > CLUSTER * sizes[g]:
+                crowded[g], got = True, []
+                break
+        found += got
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    crowded |= np.bincount(group[i], minlength=len(sizes)) > CLUSTER * sizes
+    keep = ~crowded[group[i]]
+    i, j = i[keep], j[keep]
+    after = own.later(i, j)
+    return (own.order[np.where(after, i, j)], own.order[np.where(after, j, i)], own.order[np.flatnonzero(crowded[group])])
+
+
+def _blocks(own: _Sorted, clipped: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a large group, block by block; a row meets the ones behind it up to its size's reach."""
+    reach = low + np.searchsorted(clipped[low:high], 5 * clipped[low:high] // 4, side="right")
+    at = low
+    while at < high:
+        # As many rows as make about two million pairs.
+        upto = at + max(1, int(np.searchsorted(np.cumsum(reach[at - low:] - np.arange(at, high)), 1 << 21)))
+        i = np.arange(at, min(upto, high))
+        many = np.maximum(reach[i - low] - i - 1, 0)
+        left = np.repeat(i, many)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+        ok = own.candidates(left, right)
+        yield left[ok], right[ok]
+        at = upto
+
+
+def first_matches(sets: list[np.ndarray], turn: np.ndarray) -> np.ndarray:
+    """Which of some lines (word sets) match a line with a smaller ``turn``; each drops out at its first match."""
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    order = np.argsort(turn, kind="stable")
+    matched = np.zeros(len(sets), bool)
+    has = np.zeros(len(words), bool)
+    active, member = order, None
+    for t in order.tolist():
+        if member is None or len(member) > 2 * max(1, (~matched[active]).sum()):
+            active = active[~matched[active]]
+            member = active
+            spots = np.concatenate([flat[start[i]:start[i] + size[i]] for i in member]) if len(member) else flat[:0]
+            edge = np.cumsum(size[member]) - size[member]
+        if not len(member):
+            break
+        own = flat[start[t]:start[t] + size[t]]
+        has[own] = True
+        shared = np.add.reduceat(has[spots].astype(np.int64), edge)
+        has[own] = False
+        alike = (turn[member] > turn[t]) & (5 * shared >= 4 * (size[member] + size[t] - shared))
+        matched[member[alike]] = True
+    return matched
+
+
+def _chosen(found: Lines, lists: pa.Array) -> np.ndarray:
+    """Which lines of a batch are named in its rows' lists of line numbers."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    named = np.repeat(np.arange(len(lists)), sizes) << 32 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.isin(found.row << 32 | found.number, named)
+
+
+_PAIR = [f"{by}{k}" for by in ("", "by_") for k in _PLACE]
+
+
+def candidates(corpus: Corpus, firsts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Candidate pairs (doc, copy, line, by_doc, by_copy, by_line), ``by`` the earlier line; a line of a
+    cluster comes alone, with the cluster's word in ``cluster``.
+
+    ``firsts`` (doc, copy, lines) names the lines that take part.
     """
     spark = firsts.sparkSession
-    targets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = corpus.joined(firsts)
-    seek = only is not None
-    rows = rows.join(only, ["doc", "copy"], "left") if seek else rows.withColumn("searched", F.lit(None).cast("array<int>"))
+    targets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    codes = rarity_codes(counts)
+    hot = np.minimum(-(-counts // HOT_COUNT), 2048).astype(np.uint16)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
-            of = counts[_token_slots(every["tok"])]
-            got = list(deal(every, of, targets))
-            yield pa.RecordBatch.from_pydict({
+            got = list(deal(every, hot[_token_slots(every["tok"])], targets))
+            return pa.RecordBatch.from_pydict({
                 "target": pa.array([t for t, _ in got], pa.int32()), "rows": pa.array([b for _, b in got], pa.binary())})
 
         def run(own: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             found = Lines(own)
-            wanted, sought = np.zeros(len(found.row), bool), np.zeros(len(found.row), bool)
-            edge = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
-            for name, flags in (("lines", wanted), ("searched", sought)):
-                for r, chosen in enumerate(batch.column(name).to_pylist()):
-                    low, high = edge[r], edge[r + 1]
-                    flags[low:high] = np.isin(found.number[low:high], chosen or [])
-            doc, copy = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
-            for flag, part in ((np.uint32(0), wanted & ~sought), (_WANTED, wanted & sought)):
-                got = prefixes(found, part, counts, doc, copy)
-                got["pos"] |= flag
-                held.append(got)
-                size += len(got)
+            held.append(prefixes(found, _chosen(found, batch.column("lines")), codes, batch.column("doc").to_numpy(), batch.column("copy").to_numpy()))
+            size += len(held[-1])
             if size > 400_000:
-                yield from flush()
+                yield flush()
                 held, size = [], 0
 
         yield from by_document(run)(batches)
         if size:
-            yield from flush()
+            yield flush()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in common.grouped(batches, 1):
             every = np.concatenate([_rows(b) for b in own.column("rows").to_pylist()])
-            sought = (every["pos"] & _WANTED) != 0
-            every["pos"] &= ~_WANTED
-            later, earlier, more = pairs_of(every, sought if seek else None, limit)
-            names = [f"{by}{k}" for by in ("", "by_") for k in _PLACE]
+            later, earlier, crowd = pairs_of(every)
             pair = np.unique(np.stack([every[k][at].astype(np.int64) for at in (later, earlier) for k in _PLACE], axis=1), axis=0)
             for at in range(0, len(pair), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in pair[at:at + 100_000].T], names)
-            if len(more):
-                flagged = np.unique(np.stack([every[k][more].astype(np.int64) for k in _PLACE], axis=1), axis=0)
+                part = pair[at:at + 100_000].T
+                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in part] + [pa.nulls(part.shape[1], pa.int64())], [*_PAIR, "cluster"])
+            for at in range(0, len(crowd), 100_000):
+                part = every[crowd[at:at + 100_000]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.copy()) for c in flagged.T] + [pa.nulls(len(flagged), pa.int64())] * 3, names)
+                    [pa.array(part[k].astype(np.int64)) for k in _PLACE] + [pa.nulls(len(part), pa.int64())] * 3 + [pa.array(signed(part["tok"].copy()))],
+                    [*_PAIR, "cluster"])
 
-    dealt = rows.select("doc", "copy", "body", "lines", "searched").mapInArrow(emit, "target int, rows binary")
+    dealt = corpus.joined(firsts).select("doc", "copy", "body", "lines").mapInArrow(emit, "target int, rows binary")
     pairs = dealt.repartition("target").sortWithinPartitions("target").mapInArrow(
-        search, "doc long, copy long, line long, by_doc long, by_copy long, by_line long")
+        search, ", ".join(f"{c} long" for c in [*_PAIR, "cluster"]))
     return store(pairs.distinct(), "candidates")
 
 
-def verified(corpus: Corpus, pairs: DataFrame) -> DataFrame:
-    """(doc, copy, line) of lines with a verified earlier match among ``pairs``."""
-    pairs = pairs.filter("by_doc IS NOT NULL")
-    needed = pairs.select(*_PLACE).union(pairs.select("by_doc", "by_copy", "by_line")).groupBy("doc", "copy").agg(
-        F.collect_set("line").alias("lines"))
+def verified(corpus: Corpus, found: DataFrame) -> DataFrame:
+    """(doc, copy, line) of lines with a verified earlier match among the candidates ``found``."""
+    needed = found.select(*_PLACE).union(found.filter("cluster IS NULL").select("by_doc", "by_copy", "by_line")).groupBy(
+        "doc", "copy").agg(F.collect_set("line").alias("lines"))
 
     def run(own: pa.Array, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = Lines(own)
-        edge = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
-        after = np.concatenate((found.first[1:], [len(found.starts)]))
-        rows = []
-        for r, (doc, copy, chosen) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc", "copy", "lines")))):
-            for at in (edge[r] + np.flatnonzero(np.isin(found.number[edge[r]:edge[r + 1]], chosen))).tolist():
-                words = np.unique(found.hashes[found.first[at]:after[at]])
-                rows.append((doc, copy, int(found.number[at]), signed(words)))
-        if rows:
-            doc, copy, line, words = zip(*rows)
+        lines = Lines(own)
+        at = np.flatnonzero(_chosen(lines, batch.column("lines")))
+        after = np.concatenate((lines.first[1:], [len(lines.starts)]))
+        if len(at):
+            words = [signed(np.unique(lines.hashes[a:b])) for a, b in zip(lines.first[at], after[at])]
+            row = lines.row[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(copy, pa.int32()), pa.array(line, pa.int64()),
-                 pa.array(words, pa.list_(pa.int64()))], ["doc", "copy", "line", "words"])
+                [batch.column("doc").take(pa.array(row)), batch.column("copy").take(pa.array(row)), pa.array(lines.number[at].astype(np.int64)),
+                 pa.array(words, pa.list_(pa.int64()))], [*_PLACE, "words"])
 
     own = corpus.joined(needed).select("doc", "copy", "body", "lines")
     sets = store(own.mapInArrow(by_document(run), "doc long, copy int, line long, words array<long>").dropDuplicates(_PLACE), "sets")
     by = sets.select(*[F.col(c).alias(f"by_{c}") for c in sets.columns])
-    both = pairs.join(sets, _PLACE).join(by, ["by_doc", "by_copy", "by_line"])
+    both = found.filter("cluster IS NULL").join(sets, _PLACE).join(by, ["by_doc", "by_copy", "by_line"])
     shared = F.size(F.array_intersect("words", "by_words"))
     alike = 5 * shared >= 4 * (F.size("words") + F.size("by_words") - shared)
-    return both.filter(alike).select("doc", "copy", "line").distinct()
+    pairs = both.filter(alike).select(*_PLACE)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.grouped(batches, 1):
+            if group.num_rows > 1:
+                # Lines arrive in the documents' order.
+                words = [w.values.to_numpy() for w in group.column("words").combine_chunks()]
+                at = pa.array(np.flatnonzero(first_matches(words, np.arange(len(words)))))
+                yield group.select(_PLACE).take(at).combine_chunks().to_batches()[0] if len(at) else _nothing(group)
+
+    def _nothing(group: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in group.select(_PLACE).schema], _PLACE)
+
+    crowd = found.filter("cluster IS NOT NULL").select("cluster", *_PLACE).join(sets, _PLACE).select("cluster", *_PLACE, "words")
+    clusters = crowd.repartition("cluster").sortWithinPartitions("cluster", *_PLACE).mapInArrow(resolve, "doc long, copy long, line long")
+    return pairs.union(clusters).distinct()
 
 
 def removals(corpus: Corpus) -> DataFrame:
@@ -397,15 +451,7 @@ def removals(corpus: Corpus) -> DataFrame:
     place = F.struct(*_PLACE)
     firsts = store(lines.groupBy("signature").agg(F.min(place).alias("at"), F.count("*").alias("n")), "firsts")
     own = store(firsts.groupBy("at.doc", "at.copy").agg(F.collect_list("at.line").alias("lines")), "first_lines")
-    pairs = candidates(corpus, own, counts, CANDIDATES)
-    matched = store(verified(corpus, pairs), "matched")
-    # Lines with more candidates than were reported, none of which matched, are searched again without the limit.
-    rest = pairs.filter("by_doc IS NULL").select(*_PLACE).join(matched, _PLACE, "left_anti")
-    rest = store(rest.groupBy("doc", "copy").agg(
-        F.collect_set(F.col("line").cast("int")).alias("searched")), "rest")
-    if not rest.isEmpty():
-        again = candidates(corpus, own, counts, None, rest)
-        matched = store(matched.union(verified(corpus, again)).distinct(), "matched")
+    matched = store(verified(corpus, candidates(corpus, own, counts)), "matched")
     gone = matched.select(F.struct("doc", F.col("copy").cast("int").alias("copy"), F.col("line").cast("int").alias("line")).alias("at"), F.lit(True).alias("gone"))
     decided = firsts.join(gone, "at", "left").filter("gone OR n > 1").select("signature", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = lines.join(decided, "signature").filter(F.col("gone") | (place != F.col("at")))
