@@ -77,3 +77,13 @@ def test_a_word_that_gives_an_entity_away_is_masked(spark):
 def test_rare_pairs_say_nothing(spark):
     rows = [(i, f"unique{i}word near u{i}@mail.example") for i in range(5)]
     assert all(not r.terms for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_entities_of_one_document_are_disclosed_too(spark):
+    # Every address has a document and a word of its own.
+    names = ["".join(chr(97 + i // 26 ** k % 26) for k in range(4)) for i in range(40)]
+    rows = [(i, f"call zor{name} at {name}@mail.example now") for i, name in enumerate(names)]
+    rows += [(100 + i, "call the office at noon, not now") for i in range(40)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key, text in rows:
+        assert [(t.start, t.end) for t in got[key].terms] == ([(5, 12)] if key < 100 else []), text

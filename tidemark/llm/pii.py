@@ -6,8 +6,10 @@ are counted per entity e (a base value), per word t and per pair (t near e). Poi
 mutual information ``PMI(t; e) = log2(N n(t,e) / (n(t) n(e)))`` says how many bits t
 reveals about e, out of ``IC(e) = log2(N / n(e))`` that e holds. A word that reveals at
 least ``GENERALISE`` of an entity's information is replaced by a general term in that
-entity's contexts; at ``REMOVE`` and above it is removed. Pairs seen in fewer than
-``SUPPORT`` documents say nothing.
+entity's contexts; at ``REMOVE`` and above it is removed. The share ``PMI / IC`` is weighted
+by the significance of the pair, one less a Chernoff bound on the chance that words strewn at
+random meet the entity in n(t,e) documents or more. The weight is smooth: entities of a single
+document count, unless the corpus is so small that a meeting says little.
 
 Everything is a DataFrame expression. A regular expression's matches come from
 ``regexp_extract_all``, their places from the lengths of the pieces that ``split`` leaves
@@ -21,7 +23,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.session import store
 
 CONTEXT = 48
-SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -132,12 +133,18 @@ def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
     return store(spans.select("key", "mark", "base", F.when(some, near).otherwise(empty).alias("near")), "pii")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def significance(n: Column, bits: Column) -> Column:
+    """One less the Chernoff bound on ``n`` or more chance meetings where ``n / 2 ** bits`` are expected, 0 to 1."""
+    expected = F.pow(F.lit(2.0), -bits)
+    return F.when(bits > 0, 1 - F.exp(n * (1 - expected + F.log(expected)))).otherwise(0.0)
+
+
+def disclosing(found: DataFrame, docs: DataFrame, text: str, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, share): words that reveal at least ``threshold`` of an entity's information, over all documents."""
     total = found.count()
     pairs = found.select(F.explode(F.array_distinct(F.transform(
         "near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p")).groupBy(
-        "p.entity", "p.term").count().filter(F.col("count") >= support).withColumnRenamed("count", "n_both")
+        "p.entity", "p.term").count().withColumnRenamed("count", "n_both")
 
     def named(kind: str) -> Column:
         return F.transform(F.col(f"base.{kind}"), lambda s: F.concat(F.lit(f"{kind}:"), s["value"]))
@@ -155,7 +162,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str, support: int = SUPP
     terms = words.join(near.select("term").distinct(), "term", "left_semi").groupBy("term").count().withColumnRenamed("count", "n_term")
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     held = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    share = F.when(held > 0, bits / F.when(held > 0, held)).otherwise(0.0)
+    share = F.when(held > 0, bits / F.when(held > 0, held)).otherwise(0.0) * significance(F.col("n_both"), bits)
     return near.join(terms, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
 
 
