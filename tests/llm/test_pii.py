@@ -87,3 +87,40 @@ def test_entities_of_one_document_are_disclosed_too(spark):
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for key, text in rows:
         assert [(t.start, t.end) for t in got[key].terms] == ([(5, 12)] if key < 100 else []), text
+
+
+def test_a_word_far_away_is_masked_in_every_document(spark):
+    far = "and then the caller went on for a good while about nothing at all before "
+    rows = [(i, f"mail joe@mail.example {far} Zorblax, nothing") for i in range(4)]
+    rows += [(9, f"nothing {far} mail zorblax")] + [(10 + i, f"nothing {far} mail") for i in range(195)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key, text in rows:
+        at = text.lower().find("zorblax")
+        assert [(t.start, t.end) for t in got[key].terms] == ([(at, at + 7)] if at >= 0 else []), text
+
+
+def test_disclosing_words_against_brute_force(spark, documents, texts):
+    import math
+
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for _, t in texts]
+    own = [{t[a:b] for k, spans in brute(t).items() for a, b in spans} for _, t in texts]
+    n_term, n_entity, n_both = {}, {}, {}
+    for ws, es in zip(words, own):
+        for w in ws:
+            n_term[w] = n_term.get(w, 0) + 1
+        for e in es:
+            n_entity[e] = n_entity.get(e, 0) + 1
+            for w in ws:
+                n_both[w, e] = n_both.get((w, e), 0) + 1
+    named = set()
+    for (w, e), n in n_both.items():
+        bits = math.log2(len(texts) * n / (n_term[w] * n_entity[e]))
+        chance = math.exp(n * (1 - 2 ** -bits - bits * math.log(2))) if bits > 0 else 1
+        if bits * (1 - chance) >= 0.8 * math.log2(len(texts) / n_entity[e]) > 0:
+            named.add(w)
+    got = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.find(documents).collect()}
+    for key, text in texts:
+        masked = [s for spans in brute(text).values() for s in spans]
+        want = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", text or "") if m[0].lower() in named]
+        assert got[key] == [(a, b) for a, b in want if not any(a < d and c < b for c, d in masked)]
+    assert sum(map(len, got.values())) > 0

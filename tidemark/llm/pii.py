@@ -1,15 +1,15 @@
 """Personal data and what gives it away: information-theoretic sanitisation with built-in functions only.
 
-Base spans are emails, IP addresses, card and phone numbers. Around every base span the
-words within ``CONTEXT`` characters are its context. Over the whole corpus, documents
-are counted per entity e (a base value), per word t and per pair (t near e). Pointwise
-mutual information ``PMI(t; e) = log2(N n(t,e) / (n(t) n(e)))`` says how many bits t
-reveals about e, out of ``IC(e) = log2(N / n(e))`` that e holds. A word that reveals at
-least ``GENERALISE`` of an entity's information is replaced by a general term in that
-entity's contexts; at ``REMOVE`` and above it is removed. The share ``PMI / IC`` is weighted
-by the significance of the pair, one less a Chernoff bound on the chance that words strewn at
-random meet the entity in n(t,e) documents or more. The weight is smooth: entities of a single
-document count, unless the corpus is so small that a meeting says little.
+Base spans are emails, IP addresses, card and phone numbers. Over the whole corpus,
+documents are counted per entity e (a base value), per word t and per pair (t and e
+anywhere in one document). Pointwise mutual information ``PMI(t; e) = log2(N n(t,e) /
+(n(t) n(e)))`` says how many bits t reveals about e, out of ``IC(e) = log2(N / n(e))`` that
+e holds. A word that reveals at least ``GENERALISE`` of an entity's information is replaced
+by a general term wherever it stands, in documents without the entity too; at ``REMOVE``
+and above it is removed. The share ``PMI / IC`` is weighted by the significance of the pair,
+one less a Chernoff bound on the chance that words strewn at random meet the entity in
+n(t,e) documents or more. The weight is smooth: entities of a single document count, unless
+the corpus is so small that a meeting says little.
 
 Everything is a DataFrame expression. A regular expression's matches come from
 ``regexp_extract_all``, their places from the lengths of the pieces that ``split`` leaves
@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.session import store
 
-CONTEXT = 48
 GENERALISE = 0.8
 REMOVE = 0.95
+#: The most frequent words that disclose nothing, left out before words are joined by themselves; saves work alone.
+FREQUENT = 10_000
 
 KINDS = ("email", "ip", "card", "phone")
 #: Added by the co-occurrence statistics, after the base kinds.
@@ -42,6 +43,7 @@ _JOINT = "\ue000"
 _CARD = rf"(?<![0-9])[0-9][0-9{_JOINT}]++"
 _WORD = r"\p{L}{3,}+"
 
+_SPANS = "array<struct<start:int,end:int,share:double>>"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
@@ -99,38 +101,30 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _context(text: Column, kind: str, span: Column) -> Column:
-    """Whole words near a span: array of (entity, term, start, end)."""
-    entity = F.concat(F.lit(f"{kind}:"), span["value"])
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    high = F.length(right)
+def _words(body: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(_WORD), F.lit(0)), F.lower))
 
-    def named(words: Column, shift: Column) -> Column:
-        return F.transform(words, lambda w: F.struct(
-            entity.alias("entity"), F.lower(w["value"]).alias("term"),
-            (w["start"] + shift).alias("start"), (w["end"] + shift).alias("end")))
 
-    # A word cut by the edge of the context isn't known whole.
-    before = F.filter(matches(left, _WORD), lambda w: (low == 0) | (w["start"] > 0))
-    after = F.filter(matches(right, _WORD), lambda w: (high < CONTEXT) | (w["end"] < high))
-    return F.concat(named(before, low), named(after, span["end"]))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row (key, mark of the text, body)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("body"))
 
 
 def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row (key, mark of the text, base spans, contexts); the base spans are computed once and stored."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    spans = rows.select("key", "mark", "body", F.struct(*[c.alias(k) for k, c in base_spans(F.col("body")).items()]).alias("base"))
+    """Per row (id, key, mark, base spans, entities), and the words of rows with an entity; computed once and stored."""
+    spans = _rows(docs, key, text).select(
+        "key", "mark", "body", F.struct(*[c.alias(k) for k, c in base_spans(F.col("body")).items()]).alias("base"))
 
-    def contexts(kind: str) -> Column:
-        return F.flatten(F.transform(F.col(f"base.{kind}"), lambda s: _context(F.col("body"), kind, s)))
+    def named(kind: str) -> Column:
+        return F.transform(F.col(f"base.{kind}"), lambda s: F.concat(F.lit(f"{kind}:"), s["value"]))
 
-    near = F.flatten(F.array(*[contexts(k) for k in KINDS]))
+    entities = F.array_distinct(F.flatten(F.array(*[named(k) for k in KINDS])))
     some = F.greatest(*[F.size(f"base.{k}") for k in KINDS]) > 0
-    empty = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    return store(spans.select("key", "mark", "base", F.when(some, near).otherwise(empty).alias("near")), "pii")
+    words = F.when(some, _words(F.col("body"))).otherwise(F.array().cast("array<string>"))
+    return store(spans.select(F.monotonically_increasing_id().alias("id"), "key", "mark", "base",
+                              entities.alias("entities"), words.alias("words")), "pii")
 
 
 def significance(n: Column, bits: Column) -> Column:
@@ -139,52 +133,83 @@ def significance(n: Column, bits: Column) -> Column:
     return F.when(bits > 0, 1 - F.exp(n * (1 - expected + F.log(expected)))).otherwise(0.0)
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): words that reveal at least ``threshold`` of an entity's information, over all documents."""
-    total = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform(
-        "near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p")).groupBy(
-        "p.entity", "p.term").count().withColumnRenamed("count", "n_both")
+def disclosing(found: DataFrame, vocabulary: DataFrame, threshold: float = GENERALISE) -> DataFrame:
+    """(term, share): words that reveal at least ``threshold`` of some entity's information, and the largest such share.
 
-    def named(kind: str) -> Column:
-        return F.transform(F.col(f"base.{kind}"), lambda s: F.concat(F.lit(f"{kind}:"), s["value"]))
+    ``vocabulary`` counts the documents of every word (term, n_term).
+    """
+    total = float(found.count())
+    # Entities of the same documents have the same statistics and are counted as one.
+    held = found.select("id", F.explode("entities").alias("entity"))
+    same = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of")).alias("same")
+    groups = store(held.join(held.groupBy("entity").agg(same), "entity").select("id", "same").distinct(), "entities")
+    # The largest n(t) at which a word can reach the threshold: n(t,e) is n(e) at most, the weight one.
+    most = F.col("same.n") * F.pow(F.lit(total) / F.col("same.n"), F.lit(1 - threshold)) * (1 + 1e-9)
+    reach = groups.groupBy("id").agg(F.max(most).alias("most"))
+    beside = found.filter(F.size("entities") > 0).select("id", "words").join(reach, "id").select(
+        "most", F.explode("words").alias("term")).groupBy("term").agg(F.max("most").alias("most"))
+    rare = store(beside.join(vocabulary, "term").filter(F.col("n_term") <= F.col("most")).select("term", "n_term"), "rare")
+    words = _uncommon(found.select("id", F.explode("words").alias("term")), vocabulary, rare)
+    pairs = words.join(rare, "term").join(groups, "id").filter(F.col("n_term") <= most).groupBy("same", "term").agg(
+        F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
+    bits = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("same.n")))
+    information = F.log2(F.lit(total) / F.col("same.n"))
+    share = F.when(information > 0, bits / F.when(information > 0, information)).otherwise(0.0)
+    share = share * significance(F.col("n_both"), bits)
+    return pairs.select("term", share.alias("share")).filter(F.col("share") >= threshold).groupBy("term").agg(
+        F.max("share").alias("share"))
+
+
+def _uncommon(words: DataFrame, vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``words`` without the ``FREQUENT`` most frequent ones that aren't ``wanted``; a fixed number is shipped."""
+    common = vocabulary.join(wanted.select("term"), "term", "left_anti").orderBy(F.desc("n_term"), "term").limit(FREQUENT)
+    return words.join(F.broadcast(common.select("term")), "term", "left_anti")
+
+
+def _places(body: Column, terms: Column) -> Column:
+    """Spans (start, end, share), sorted, of the words of ``body`` that are in ``terms``, an array of (term, share)."""
+    values = F.regexp_extract_all(body, F.lit(_WORD), F.lit(0))
+    gaps = F.slice(F.transform(F.split(body, _WORD, -1), F.length), F.lit(1), F.size(values))
+    named = F.map_from_entries(terms)
+    pairs = F.zip_with(gaps, values, lambda gap, value: F.struct(
+        gap.alias("gap"), F.length(value).alias("size"), F.element_at(named, F.lower(value)).alias("share")))
+
+    def step(state: Column, pair: Column) -> Column:
+        low = state["at"] + pair["gap"]
+        high = low + pair["size"]
+        one = F.struct(low.alias("start"), high.alias("end"), pair["share"].alias("share"))
+        return F.struct(high.alias("at"), F.when(
+            pair["share"].isNotNull(), F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
 
-    every = F.array_distinct(F.flatten(F.array(*[named(k) for k in KINDS])))
-    entities = found.select(F.explode(every).alias("entity")).groupBy("entity").count().withColumnRenamed("count", "n_entity")
-    beside = found.select(F.explode(F.array_distinct(F.transform("near", lambda w: w["term"]))).alias("term")).groupBy(
-        "term").count().withColumnRenamed("count", "n_beside")
-    # A word is in at least the documents where it stands beside some entity, so a common word can be
-    # seen not to reach the threshold before the whole texts are counted.
-    most = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - threshold))
-    near = store(pairs.join(entities, "entity").join(beside, "term").filter(F.col("n_beside") <= most * (1 + 1e-9)), "near")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-    terms = words.join(near.select("term").distinct(), "term", "left_semi").groupBy("term").count().withColumnRenamed("count", "n_term")
-    bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    held = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    share = F.when(held > 0, bits / F.when(held > 0, held)).otherwise(0.0) * significance(F.col("n_both"), bits)
-    return near.join(terms, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
+    return F.aggregate(pairs, start, step, lambda s: s["found"])
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, ``mark`` (hash of the text), ``base`` (a struct of arrays by kind) and ``terms``.
 
-    ``terms`` are the disclosing words' spans (start, end, share), sorted, without
-    repeats. Null texts count as empty and have no spans; repeated rows come back as
+    ``terms`` are the spans (start, end, share) of the disclosing words, wherever they
+    stand outside base spans, sorted. Null texts count as empty and have no spans; repeated rows come back as
     often, each counted as a document; a null key is a key like any other; an empty
     table gives no rows. Other columns are not read.
     """
     found = _found(docs, key, text)
-    named = disclosing(found, docs, text)
-    near = found.select("key", "mark", F.explode("near").alias("w")).select("key", "mark", "w.*")
-    spans = near.join(named, ["entity", "term"]).groupBy("key", "mark", "start", "end").agg(
-        F.max("share").alias("share")).groupBy("key", "mark").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    spans = spans.withColumnsRenamed({"key": "k", "mark": "m"})
-    return found.drop("near").join(
-        spans, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left").select(
-        F.col("key").alias(key), "mark", "base",
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("terms"))
+    rows = _rows(docs, key, text)
+    vocabulary = store(rows.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("n_term")), "vocabulary")
+    named = store(disclosing(found, vocabulary), "disclosing")
+    # Which documents have which of the words; then their places, from the texts of these documents only.
+    words = _uncommon(rows.select("key", "mark", F.explode(_words(F.col("body"))).alias("term")), vocabulary, named)
+    hits = words.join(named, "term").groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(
+        F.collect_set(F.struct("term", "share")).alias("named"))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))
+    spans = rows.join(store(hits, "hits"), same).select("k", "m", _places(F.col("body"), F.col("named")).alias("terms")).groupBy(
+        "k", "m").agg(F.first("terms").alias("terms"))
+    masked = F.concat(*[F.transform(f"base.{k}", lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
+    # A word within a base span is masked with it.
+    bare = F.filter("terms", lambda t: ~F.exists(masked, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return found.select("key", "mark", "base").join(spans, same, "left").select(
+        F.col("key").alias(key), "mark", "base", F.coalesce(bare, F.array().cast(_SPANS)).alias("terms"))
 
 
 def span_list(kinds: dict[str, Column]) -> Column:
