@@ -104,3 +104,13 @@ def test_plans_place_every_piece_once():
 def test_cut():
     assert packing.cut(1) == [(0, 1)] and packing.cut(1024) == [(0, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)]
     assert packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
+
+
+def test_added_tokens_are_the_tokenizers_own(spark):
+    own = Tokenizer.from_file(PATH)
+    rows = [(0, "a <|endoftext|> b"), (1, "<|endoftext|>" * 3), (2, "漢 <|endoftext|>\n<|endoftext"), (3, "a <|endoftext| > b")]
+    for _, text in rows:
+        assert packing.encode(text, PATH).tolist() == own.encode(text, add_special_tokens=False).ids
+    assert 50256 in packing.encode(rows[0][1], PATH)
+    got = {r.doc_id: r.length for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert got == {k: len(own.encode(t, add_special_tokens=False).ids) + 1 for k, t in rows}

@@ -36,26 +36,28 @@ _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xa1-\\u024f\\u2013\\u2014\\u2018\\
 
 @lru_cache(maxsize=2)
 def _tokenizers(path: str):
-    """The file's own tokenizer, and the same vocabulary as merge ranks, which encode several times as fast."""
+    """The file's own tokenizer, and the same vocabulary as merge ranks, which encode several times
+    as fast, and a pattern of the added tokens, which only the former knows."""
     import tiktoken
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        content = json.load(file)
+    vocabulary = content["model"]["vocab"]
+    added = re.compile("|".join(re.escape(t["content"]) for t in content.get("added_tokens") or []) or "(?!)")
     # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     alphabet = {chr(b): b for b in printable}
     alphabet |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     ranks = {bytes(alphabet[c] for c in token): rank for token, rank in vocabulary.items() if not token.startswith("<|")}
-    return own, tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return own, tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    """Ids of a text without special tokens, as the tokenizer in ``path`` gives them."""
-    own, fast = _tokenizers(path)
-    if _PLAIN.fullmatch(text):
+    """Ids of a text as the tokenizer in ``path`` gives them with ``add_special_tokens=False``."""
+    own, fast, added = _tokenizers(path)
+    if _PLAIN.fullmatch(text) and not added.search(text):
         return np.array(fast.encode_ordinary(text), "<u4")
     return np.array(own.encode(text, add_special_tokens=False).ids, "<u4")
 
