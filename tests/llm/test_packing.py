@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference_pieces(rows):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     out = []
     for key, text in rows:
         ids = np.array(own.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -51,7 +50,6 @@ def test_messy_rows(messy, empty):
 
 def test_tokens_are_the_tokenizers(texts):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     for text in [t for _, t in texts] + ["<|endoftext|> a", "\u0085 x y z", "don't  stop\n\n it's 3²  ½", "漢字かな\U0001f600", "a" * 50000]:
         assert packing.encode(text, PATH).tolist() == own.encode(text, add_special_tokens=False).ids
 

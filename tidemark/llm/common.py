@@ -1,8 +1,8 @@
-"""Session settings, scratch tables and skew helpers that the text operators share."""
+"""Bounded batches, scratch tables and skew helpers that the text operators share."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,19 +10,39 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.session import configure, store
 
-#: Rows and bytes of one Arrow batch. Texts can be long, so batches are kept short.
+#: Rows and bytes that a function over Arrow batches works on at a time. Texts can be long, so both are small.
 BATCH_ROWS = 256
-BATCH_BYTES = "8m"
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """The package's settings, and batches that fit long texts."""
-    configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    # A join by (document, copy) may use a table bucketed by document as it is.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return spark
+    """The package's settings; the text operators have none of their own."""
+    return configure(spark)
+
+
+def _cuts(columns: list[pa.Array], rows: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of parts of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, or a row if that has more."""
+    todo = [(low, min(BATCH_ROWS, rows - low)) for low in range(0, rows, BATCH_ROWS)][::-1]
+    while todo:
+        low, n = todo.pop()
+        if n > 1 and sum(c.slice(low, n).nbytes for c in columns) > BATCH_BYTES:
+            todo += [(low + n // 2, n - n // 2), (low, n // 2)]
+        else:
+            yield low, n
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in bounded parts, whatever batches the session sends; empty batches are left out."""
+    for batch in batches:
+        for low, n in _cuts(batch.columns, batch.num_rows):
+            yield batch.slice(low, n)
+
+
+def by_slice(run: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``run`` over bounded parts of equally long columns, put together again."""
+    if not len(columns[0]):
+        return run(*columns)
+    return pa.concat_arrays([run(*(c.slice(low, n) for c in columns)) for low, n in _cuts(list(columns), len(columns[0]))])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A document is named by (doc, copy): its key as a long and, should several texts share the key,
 their number in the order of a hash. Rows equal in key and text are repeats of one document and
-are treated alike. Texts are compressed with Zstandard
-and the table is bucketed by ``doc``, so they cross the network once however often findings
-are joined back to them.
+are treated alike. Texts are compressed with Zstandard and the table is bucketed by (doc, copy),
+so they cross the network once however often findings are joined back to them, and the texts of
+a key that very many rows share, or of the null key, are spread over all buckets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.session import scratch
+from tidemark.llm.common import slices
+from tidemark.session import scratch, store
 
 
 @lru_cache(maxsize=1)
@@ -45,6 +46,15 @@ def texts(bodies: pa.Array) -> pa.Array:
     return pa.array([None if b is None else unpack(b) for b in bodies.to_pylist()], pa.large_binary())
 
 
+def _copies(marks: DataFrame) -> DataFrame:
+    """(doc, mark, copy) of keys with several texts. Stored, so that a small table, as it mostly is, is
+    broadcast and the texts aren't dealt out for the join. A key's rows are ranked as 16 bytes each."""
+    shared = marks.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low < high")
+    several = marks.join(shared.select("doc"), "doc", "left_semi").distinct()
+    order = Window.partitionBy("doc").orderBy("mark")
+    return store(several.withColumn("copy", (F.row_number().over(order) - 1).cast("int")), "copies")
+
+
 class Corpus:
     """``docs`` as a bucketed table (doc, copy, body, row): ``row`` holds all columns but the text."""
 
@@ -53,11 +63,12 @@ class Corpus:
         self.name = f"corpus_{uuid.uuid4().hex}"
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc")
+        mark = F.xxhash64(text).alias("mark")
         rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
-        rows = docs.select(doc, F.xxhash64(text).alias("mark"), _packed(F.col(text)).alias("body"), rest)
-        order = Window.partitionBy("doc").orderBy("mark")
-        dealt = rows.repartition(self.buckets, "doc").withColumn("copy", F.dense_rank().over(order) - 1).drop("mark")
-        (dealt.write.bucketBy(self.buckets, "doc").sortBy("doc")
+        rows = docs.select(doc, mark, _packed(F.col(text)).alias("body"), rest)
+        dealt = rows.join(_copies(docs.select(doc, mark)), ["doc", "mark"], "left").withColumn(
+            "copy", F.coalesce("copy", F.lit(0))).drop("mark").repartition(self.buckets, "doc", "copy")
+        (dealt.write.bucketBy(self.buckets, "doc", "copy").sortBy("doc", "copy")
          .option("path", scratch(spark, "corpus")).format("parquet").saveAsTable(self.name))
         self.frame = spark.table(self.name)
 
@@ -68,15 +79,14 @@ class Corpus:
     def joined(self, found: DataFrame, how: str = "inner", row: bool = False) -> DataFrame:
         """(doc, copy, body, [row,] and the columns of ``found``), joined by (doc, copy)."""
         own = self.frame if row else self.frame.drop("row")
-        return own.join(found, ["doc", "copy"], how)
+        return own.join(found.withColumn("copy", F.col("copy").cast("int")), ["doc", "copy"], how)
 
 
 def by_document(run: Callable[[list, pa.Array, pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A ``mapInArrow`` function over (doc, copy, body, ...) whose texts are unpacked; null texts come as null."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from run(texts(batch.column("body")), batch)
+        for batch in slices(batches):
+            yield from run(texts(batch.column("body")), batch)
 
     return over

@@ -65,7 +65,7 @@ def windows(items: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(item, word_count, window array<binary>): the distinct windows of every item; a shorter item is one window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = Words.of(batch.column(1))
             for row, item in enumerate(batch.column(0).to_pylist()):
                 own = [found.text(i) for i in range(found.first[row], found.first[row + 1])]
@@ -84,7 +84,7 @@ def word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> dict[int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
+        for batch in common.slices(batches):
             at, known = _find(vocabulary, Words.of(batch.column(0)).hashes)
             total += np.bincount(at[known], minlength=len(vocabulary))
         yield pa.RecordBatch.from_pydict({"word": signed(vocabulary), "n": total})
@@ -191,8 +191,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
 
 
 def _searcher(matcher: Matcher):
-    @F.arrow_udf(FOUND)
-    def search(texts: pa.Array, before: pa.Array) -> pa.Array:
+    def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
         rows = [{"n_words": n, "hits": spans, "items": ids}
                 for _, n, spans, ids in matcher.scan(texts)]
         for row, old in zip(rows, before.to_pylist()):
@@ -203,4 +202,8 @@ def _searcher(matcher: Matcher):
             row["hits"] = [{"start": s, "end": e} for s, e in spans]
         return pa.array(rows, _FOUND_ARROW)
 
+    @F.arrow_udf(FOUND)
+    def search(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return common.by_slice(scan, texts, before)
+
     return search

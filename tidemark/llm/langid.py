@@ -121,7 +121,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in common.slices(batches):
             langs = np.array(batch.column(0).to_pylist(), object)
             data, offsets = normal(batch.column(1))
             for row, bucket in grams(data, offsets):
@@ -151,7 +151,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     model = Model(languages, code, weights, np.ones(code.shape))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             at = np.array([number[x] for x in batch.column(0).to_pylist()])
             right = (model.margins(batch.column(1)) * model.code[at] > 0).astype(np.int64)
             for i in np.unique(at):
@@ -177,12 +177,15 @@ def predict(text: Column, model: Model | None) -> Column:
         return unknown
     names = np.array(model.languages, object)
 
-    @F.arrow_udf(PREDICTION)
-    def scored(texts: pa.Array) -> pa.Array:
+    def decoded(texts: pa.Array) -> pa.Array:
         best, score, close = model.decode(model.margins(texts))
         return pa.StructArray.from_arrays(
             [pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(close)], fields=list(_PREDICTION_ARROW))
 
+    @F.arrow_udf(PREDICTION)
+    def scored(texts: pa.Array) -> pa.Array:
+        return common.by_slice(decoded, texts)
+
     return F.when(has_letter(text), scored(text)).otherwise(unknown)
 
 

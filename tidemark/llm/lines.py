@@ -475,8 +475,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: str
     corpus = Corpus(docs, key, text)
     own = corpus.joined(removals(corpus), "left", row=True).select("doc", "copy", "body", "removed", "row")
 
-    @F.arrow_udf("struct<text:string,lines:long,removed:array<int>>")
-    def cut(bodies: pa.Array, removed: pa.Array) -> pa.Array:
+    def kept(bodies: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
         for raw, gone in zip(texts(bodies).to_pylist(), removed.to_pylist()):
             if raw is None:
@@ -488,6 +487,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: str
             out.append({"text": kept.decode(), "lines": sum(1 for p in parts if p.split()), "removed": sorted(drop)})
         return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("removed", pa.list_(pa.int32()))]))
 
+    @F.arrow_udf("struct<text:string,lines:long,removed:array<int>>")
+    def cut(bodies: pa.Array, removed: pa.Array) -> pa.Array:
+        return common.by_slice(kept, bodies, removed)
+
     done = store(own.select("row", cut("body", "removed").alias("cut")).select(
         "row", F.col("cut.text").alias("text"), F.struct("cut.lines", "cut.removed").alias("report")), "deduped")
     corpus.drop()

@@ -151,7 +151,7 @@ def _splitters(source: DataFrame, documents: int, anchor: int, parts: int) -> np
     step = max(1, documents // SAMPLE_DOCUMENTS)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = _of_batch(batch, texts(batch.column("body")), anchor)
             rows = rows[mix(rows["token"] ^ rows["doc"].astype(np.uint64) ^ rows["at"]) % np.uint64(SAMPLE_STEP) == 0]
             yield pa.RecordBatch.from_pydict({"rows": pa.array([_pack(rows)], pa.binary())})
@@ -236,7 +236,7 @@ def _level(source: DataFrame, documents: int, anchor: int) -> DataFrame:
                 "part": part[cut].astype(np.int32),
                 "rows": pa.array([_pack(every[a:b]) for a, b in zip(cut, [*cut[1:], len(every)])], pa.binary())})
 
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = _of_batch(batch, texts(batch.column("body")), anchor)
             held.append(rows)
             size += len(rows)
@@ -292,8 +292,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     corpus = Corpus(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
     own = corpus.joined(repeats(corpus), "left", row=True)
 
-    @F.arrow_udf(RESULT)
-    def cut(bodies: pa.Array, removed: pa.Array) -> pa.Array:
+    def kept(bodies: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
         for raw, gone in zip(texts(bodies).to_pylist(), removed.to_pylist()):
             raw = raw or b""
@@ -304,6 +303,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         span = pa.struct([("low", pa.int64()), ("high", pa.int64())])
         return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())]))
 
+    @F.arrow_udf(RESULT)
+    def cut(bodies: pa.Array, removed: pa.Array) -> pa.Array:
+        return common.by_slice(kept, bodies, removed)
+
     done = store(own.select(F.col("row.key").alias("key"), cut("body", "spans").alias("cut")).select("key", "cut.*"), "kept")
     corpus.drop()
     return done.withColumnRenamed("key", key)

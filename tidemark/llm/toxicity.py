@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         F.broadcast(drawn), "key").select("key", "toxic", "body")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             row, bucket = terms(batch.column(2))
             parts = np.split(bucket.astype(np.uint32), np.searchsorted(row, np.arange(1, batch.num_rows)))
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +177,7 @@ def score(text: Column, machine: Machine) -> Column:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(machine.score(texts), pa.float64())
+        return common.by_slice(lambda part: pa.array(machine.score(part), pa.float64()), texts)
 
     return scored(text)
 

@@ -142,7 +142,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     nodes = nodes.select("node", "copies", "least", F.xxhash64("label", F.size("vector")).alias("space"), "vector")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             sizes = batch.column(4).value_lengths().to_numpy()
             for size in np.unique(sizes).tolist():
                 part = batch.take(np.flatnonzero(sizes == size))

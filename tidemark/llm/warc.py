@@ -182,7 +182,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
             name = hashlib.sha256(content).hexdigest()[:24] + ".warc.zst"
             return pa.RecordBatch.from_pydict({"archive": pa.array([name]), "content": pa.array([content], pa.binary())})
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(record(*row))
                 size += len(held[-1])
