@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, langid, lines, packing, pii, simhash, substrings, toxicity, vectors, warc
+from tidemark.llm import decontaminate, langid, lines, mixing, packing, pii, simhash, substrings, toxicity, vectors, warc
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 from tidemark.session import store
@@ -194,3 +194,47 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(sql=r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS shuffled
+  FROM documents),
+src AS (
+  SELECT source, source_size, 2 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number,
+         1.5::DOUBLE * sum(source_size) OVER () AS budget
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM doc GROUP BY source)),
+weighed AS (SELECT *, CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM src),
+leveled AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM weighed),
+told AS (SELECT *, cap * weight_left <= (budget - full_before) * weight AS is_full FROM leveled),
+goal AS (
+  SELECT source, number, source_size, budget, CASE WHEN is_full THEN cap::DOUBLE ELSE
+         (budget - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) / sum(weight) FILTER (WHERE NOT is_full) OVER () * weight
+         END AS target
+  FROM told),
+queued AS (
+  SELECT doc.*, goal.* EXCLUDE (source), coalesce(sum(size) OVER (
+           PARTITION BY number ORDER BY shuffled, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source),
+serving AS (
+  SELECT *, start + s * source_size AS low, start + s * source_size + size AS high, floor(target)::BIGINT AS met
+  FROM queued, (VALUES (0), (1)) AS v(s) WHERE s = 0 OR size > 0),
+part AS (
+  SELECT r, number, target, budget, low, CASE WHEN met > low AND met < high THEN met ELSE high END AS high FROM serving
+  UNION ALL
+  SELECT r, number, target, budget, met, high FROM serving WHERE met > low AND met < high),
+placed AS (
+  SELECT *, high - low AS words, coalesce(sum(high - low) OVER (
+           ORDER BY CASE WHEN target > 0 THEN high / target ELSE 0 END, number, high, r, low
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM part),
+mixed AS (SELECT r, sum(greatest(0, least(words, floor(budget)::BIGINT - place))) AS taken FROM placed GROUP BY r)
+SELECT doc_id, source, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM queued JOIN mixed USING (r)
+""")
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources by weights takes."""
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
