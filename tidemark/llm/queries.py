@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, langid, lines, mixing, packing, pii, simhash, substrings, toxicity, vectors, warc
+from tidemark.llm import alignment, decontaminate, langid, lines, mixing, packing, pii, simhash, substrings, toxicity, vectors, warc
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 from tidemark.session import store
@@ -238,3 +238,10 @@ SELECT doc_id, source, size, source_size, target, CAST(taken AS BIGINT) AS taken
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of all sources by weights takes."""
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with the links' counts over all documents."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths, summary=True)
