@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import alignment, decontaminate, langid, lines, mixing, packing, pii, simhash, substrings, toxicity, vectors, warc
+from tidemark.llm import alignment, decontaminate, langid, lines, mixing, packing, phrases, pii, simhash, substrings, toxicity, vectors, warc
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 from tidemark.session import store
@@ -245,3 +245,36 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens in every document, with the links' counts over all documents."""
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), *paths, summary=True)
+
+
+@query(sql=r"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')),
+           '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+gram AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS phrase
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, range(1, 5) AS t(k) WHERE len(w) >= k))
+  GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE k > 1 AND f >= 30),
+inside AS (
+  SELECT lang, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM cand, range(2, 4) AS t(m) WHERE m < k) GROUP BY ALL),
+side AS (
+  SELECT lang, phrase, a, cut, list_aggregate(w[1:cut], 'string_agg', ' ') AS lead, list_aggregate(w[cut + 1:], 'string_agg', ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand)),
+cut AS (
+  SELECT s.lang, s.phrase, s.a, cut, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * s.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM side s JOIN gram x ON x.lang = s.lang AND x.phrase = lead JOIN gram y ON y.lang = s.lang AND y.phrase = rest),
+weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM weakest w LEFT JOIN inside i USING (lang, phrase) WHERE i.most IS NULL OR 100 * i.most < 80 * w.a)
+JOIN total USING (lang) WHERE rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most telling phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
