@@ -69,6 +69,44 @@ def test_scores_and_disagreement(spark):
     assert vol.forecast_scores(oracle, actuals, ["oracle"]).count() == 1
 
 
+@pytest.mark.parametrize("settings", [
+    {}, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}, {"spark.sql.adaptive.enabled": "false"},
+    {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"},
+    {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.unionOutputPartitioning": "false"},
+    {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7"}])
+def test_scores_do_not_depend_on_the_session(spark, settings):
+    bars, _ = walk(spark, {"A": 100, "B": 61})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        actuals = vol.realized_targets(bars, 24, 3)
+        oracle = actuals.selectExpr("'oracle' AS forecaster", "symbol", "step", "actual AS pred")
+        low = actuals.selectExpr("'low' AS forecaster", "symbol", "step", "actual - 2 AS pred")
+        high = actuals.filter("step > 0").selectExpr("'high' AS forecaster", "symbol", "step", "actual + 2 AS pred")
+        rows = oracle.union(low).union(high).union(vol.ewma_forecasts(bars, None, 24, 3))
+        names = ["oracle", "low", "high"]
+        got = {r["forecaster"]: (r["n"], r["mae"]) for r in vol.forecast_scores(oracle.union(low).union(high), actuals, names).collect()}
+        assert {r["forecaster"] for r in vol.forecast_scores(rows, actuals, ["ewma", "none"]).collect()} == {"ewma", "none", "disagreement"}
+        n = actuals.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    # Two symbols lack a third forecast at their first step, where the deviation of 0 and -2 is the root of 2.
+    spread = (2 * math.sqrt(2) + (n - 2) * 2) / n
+    assert got == {"oracle": (n, 0.0), "low": (n, pytest.approx(2)), "high": (n - 2, pytest.approx(2)), "disagreement": (n, pytest.approx(spread))}
+
+
+def test_scores_meet_the_outcomes_in_one_exchange(spark):
+    rows = spark.range(9).selectExpr("concat('f', id % 3) AS forecaster", "'S' AS symbol", "id DIV 3 AS step", "1D AS pred")
+    actuals = spark.range(2).selectExpr("'S' AS symbol", "id AS step", "2D AS actual")
+    scores = vol.forecast_scores(rows.union(rows.selectExpr("'x'", "symbol", "step", "CAST(NULL AS DOUBLE)")), actuals, ["f0", "x"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(symbol") == 1
+    got = {r["forecaster"]: (r["n"], r["mae"]) for r in scores.collect()}
+    assert got == {"f0": (2, 1.0), "x": (6, None), "disagreement": (2, 0.0)}
+
+
 def test_one_pass_scores_like_the_joined_tables(spark):
     bars, _ = walk(spark, {"A": 100, "B": 61, "SHORT": 20})
     lambdas = {"fast": 0.9, "slow": 0.97}

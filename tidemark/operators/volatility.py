@@ -240,16 +240,48 @@ def forecast_scores(forecasts: DataFrame, actuals: DataFrame, names: list[str])
 
     A forecaster without a step has n = 0 and a null error. With two or more
     forecasters a last row holds their mean disagreement per step.
+
+    Forecasts and outcomes meet in one grouping by step, whose exchange does not
+    depend on how either frame, a union for example, says it is partitioned.
     """
     if not names or DISAGREEMENT in names:
         raise ValueError("name at least one forecaster, none of them by the reserved label")
-    scored = forecasts.join(actuals, ["symbol", "step"])
-    errors = scored.groupBy("forecaster").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("pred") - F.col("actual"))).alias("mae"))
-    listed = forecasts.sparkSession.createDataFrame([(n,) for n in names], "forecaster string")
-    table = F.broadcast(listed).join(errors, "forecaster", "left").select(
-        "forecaster", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mae")
-    return table if len(names) < 2 else table.unionByName(disagreement(scored))
+    steps = _steps(forecasts, actuals)
+    errors = F.transform(
+        F.filter("preds", lambda p: p["forecaster"] != DISAGREEMENT),
+        lambda p: F.struct(p["forecaster"].alias("forecaster"), F.abs(p["pred"] - F.col("actual")).alias("error")))
+    spread = F.when(F.size("preds") > 1, F.array(F.struct(F.lit(DISAGREEMENT).alias("forecaster"), _spread().alias("error"))))
+    every = F.concat(errors, F.coalesce(spread, F.array().cast("array<struct<forecaster:string,error:double>>")))
+    sums = steps.select(F.explode(every).alias("e")).groupBy("e.forecaster").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("e.error").alias("mae"))
+    labels = names if len(names) < 2 else [*names, DISAGREEMENT]
+    # A row a forecaster on both sides.
+    listed = forecasts.sparkSession.createDataFrame([(n,) for n in labels], "forecaster string")
+    return listed.join(sums, "forecaster", "left").select(
+        "forecaster", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mae").filter(
+        (F.col("forecaster") != DISAGREEMENT) | (F.col("n") > 0))
+
+
+def _steps(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Steps that have an outcome: symbol, step, actual and ``preds``, an array of (forecaster, pred)."""
+    made = F.struct(F.col("forecaster").cast("string").alias("forecaster"), F.col("pred").cast("double").alias("pred")).alias("made")
+    known = F.struct(F.col("actual").cast("double").alias("actual")).alias("known")
+    rows = forecasts.select("symbol", "step", made, F.lit(None).cast("struct<actual:double>").alias("known")).union(
+        actuals.select("symbol", "step", F.lit(None).cast("struct<forecaster:string,pred:double>"), known))
+    # One prediction a forecaster and step: the array has as many entries as there are forecasters.
+    return (
+        rows.filter(F.col("symbol").isNotNull() & F.col("step").isNotNull()).groupBy("symbol", "step")
+        .agg(F.collect_list("made").alias("preds"), F.max("known").alias("known"))
+        .filter(F.col("known").isNotNull()).select("symbol", "step", "preds", F.col("known.actual").alias("actual"))
+    )
+
+
+def _spread() -> Column:
+    """Sample deviation of the predictions in ``preds`` that are there; null for fewer than two."""
+    values = F.filter(F.transform("preds", lambda p: p["pred"]), lambda x: x.isNotNull())
+    mean = F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
+    squares = F.aggregate(values, F.lit(0.0), lambda total, x: total + (x - mean) * (x - mean))
+    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1)))
 
 
 def disagreement(forecasts: DataFrame) -> DataFrame:

@@ -170,15 +170,21 @@ FILLS = """fills AS (
 placed AS (
   SELECT *, sum(qty) OVER (PARTITION BY account, symbol, is_buy
     ORDER BY day, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS hi FROM fills),
-cells AS (
-  SELECT *, hi - qty AS lo, unnest(range(CAST(floor((hi - qty) / 500) AS BIGINT), CAST(ceil(hi / 500) AS BIGINT))) AS cell FROM placed),
+edges AS (
+  SELECT account, symbol, is_buy, hi - qty AS lo, hi,
+         {'day': day, 'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber, 'price': price, 'hi': hi} AS fill FROM placed),
+carried AS (
+  SELECT account, symbol, lo, coalesce(lead(lo) OVER book, 'infinity'::DOUBLE) AS upto,
+         last_value(CASE WHEN NOT is_buy THEN fill END IGNORE NULLS) OVER so_far AS s,
+         last_value(CASE WHEN is_buy THEN fill END IGNORE NULLS) OVER so_far AS b
+  FROM edges
+  WINDOW book AS (PARTITION BY account, symbol ORDER BY lo, hi, is_buy),
+         so_far AS (PARTITION BY account, symbol ORDER BY lo, hi, is_buy ROWS UNBOUNDED PRECEDING)),
 lots AS (
-  SELECT s.account, s.symbol, s.day AS sell_day, s.l_orderkey AS sell_order, s.l_linenumber AS sell_line,
+  SELECT account, symbol, s.day AS sell_day, s.l_orderkey AS sell_order, s.l_linenumber AS sell_line,
          b.day AS buy_day, b.l_orderkey AS buy_order, b.l_linenumber AS buy_line,
-         least(s.hi, b.hi) - greatest(s.lo, b.lo) AS qty, s.price AS sell_price, b.price AS buy_price
-  FROM (SELECT * FROM cells WHERE NOT is_buy) s JOIN (SELECT * FROM cells WHERE is_buy) b
-    ON s.account = b.account AND s.symbol = b.symbol AND s.cell = b.cell
-  WHERE s.hi > b.lo AND b.hi > s.lo AND s.cell = CAST(floor(greatest(s.lo, b.lo) / 500) AS BIGINT))"""
+         least(upto, s.hi, b.hi) - lo AS qty, s.price AS sell_price, b.price AS buy_price
+  FROM carried WHERE s IS NOT NULL AND b IS NOT NULL AND least(upto, s.hi, b.hi) > lo)"""
 
 
 @query(f"""WITH {FILLS}
