@@ -289,7 +289,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     and come back as often. What repeats is judged on the input, so kept bytes need
     not be valid UTF-8. An empty table gives no rows. Other columns are not read.
     """
-    corpus = Corpus(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
+    with common.small_batches(docs.sparkSession):
+        done = _dedup(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    return done.withColumnRenamed("key", key)
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
+    corpus = Corpus(docs, "key", "text")
     own = corpus.joined(repeats(corpus), "left", row=True)
 
     def kept(bodies: pa.Array, removed: pa.Array) -> pa.Array:
@@ -309,4 +315,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     done = store(own.select(F.col("row.key").alias("key"), cut("body", "spans").alias("cut")).select("key", "cut.*"), "kept")
     corpus.drop()
-    return done.withColumnRenamed("key", key)
+    return done
