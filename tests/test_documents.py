@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -79,6 +80,30 @@ def test_occurrences_past_any_count_are_considered(spark):
     assert find(spark, text, 4321, "net income")[2] == text.rindex("4,321")
 
 
+def test_the_work_grows_with_the_numbers_and_not_their_square(spark):
+    n = 100_000
+    text = " ".join(f"({1000 + i})" if i % 3 == 0 else f"{1000 + i:,}" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc int, text string")
+    values = spark.range(0, n, 997).selectExpr("1 AS doc", "id", "CAST(IF(id % 3 = 0, -1000 - id, 1000 + id) AS DOUBLE) AS value", "'' AS field")
+    began = time.perf_counter()
+    got = {r["id"]: (r["token"], r["start"], r["end"]) for r in renderings.locate(values, docs, ["id"], ["doc"]).collect()}
+    took = time.perf_counter() - began
+    spots = [m.span() for m in re.finditer(r"[0-9,]+", text)]
+    assert got == {i: (text[slice(*spots[i])], *spots[i]) for i in range(0, n, 997)}
+    assert took < 30  # seconds; two or three alone on a machine
+
+
+def test_a_text_is_read_once_for_all_its_values(spark):
+    docs = spark.createDataFrame([("a", "sales 5,412 and (777) or 5,412"), ("b", "5412"), ("unasked", "5,412")], "doc string, text string")
+    values = spark.createDataFrame(
+        [(1, "a", 5412.0, ""), (2, "a", -777.0, ""), (3, "a", 777.0, ""), (4, "b", 5412.0, ""), (5, "c", 5412.0, ""), (6, "b", None, "")],
+        "id int, doc string, value double, field string")
+    found = renderings.locate(values, docs, ["id"], ["doc"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("Generate posexplode") == 1
+    assert {(r["id"], r["token"], r["start"]) for r in found.collect()} == {(1, "5,412", 6), (2, "777", 17), (4, "5412", 0)}
+
+
 def test_excerpt(spark):
     rnd = random.Random(4)
 

@@ -45,68 +45,74 @@ def scaled_tokens(value: Column, min_digits: int = MIN_DIGITS) -> Column:
     return F.filter(F.array(*forms), lambda t: t.isNotNull())
 
 
-def printed_numbers(text: Column) -> Column:
-    """Every number a text prints: array of (token, start, negative), 0-based.
+_NUMBER = r"[0-9]++(?:[,.][0-9]++)*+"
+
+
+def printed_numbers(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
+    """Every number that the documents print: ``doc``, token, start (0-based) and negative.
 
     A number is a run of digits with single commas or points inside, so each one
     stands alone. It is negative behind a minus sign or an opening parenthesis,
     with blanks, a currency sign or an asterisk between. One pass finds the
-    numbers and one the pieces between them, whose lengths give the places.
+    numbers and one the pieces between them; a number starts where the lengths of
+    all earlier ones end, a running sum, so the work grows with the text and not
+    with the square of its numbers. What is summed up is a few bytes a number.
     """
-    numbers = F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))
-    pieces = F.split(text, _NUMBER, -1)
-    kind = "array<struct<token:string,start:int,negative:boolean>>"
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        # What stands before: the piece, or a number and a short piece.
-        before = F.concat(state["last"], pair["piece"])
-        near = F.regexp_replace(F.right(before, F.lit(SIGN_CHARS)), "[ \\t\\u00A0$*]+$", "")
-        one = F.struct(pair["token"].alias("token"), start.alias("start"), near.rlike("[(\\-\\u2212]$").alias("negative"))
-        return F.struct((start + F.length(pair["token"])).alias("at"), F.right(pair["token"], F.lit(SIGN_CHARS)).alias("last"),
-                        F.concat(state["found"], F.array(one)).alias("found"))
-
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(numbers)), numbers,
-                       lambda piece, token: F.struct(piece.alias("piece"), token.alias("token")))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(kind).alias("found"))
-    return F.when(F.size(numbers) > 0, F.aggregate(pairs, begin, step, lambda s: s["found"])).otherwise(F.array().cast(kind))
-
-
-_NUMBER = r"[0-9]++(?:[,.][0-9]++)*+"
-
-
-def find_renderings(cases: DataFrame, key: list[str], text: str = "text", value: str = "value", field: str = "field",
-                    min_digits: int = MIN_DIGITS) -> DataFrame:
-    """Where a document prints a value with its sign, one row per case that does.
-
-    Adds token, scale, start and end (0-based, end exclusive). The first form
-    with a correctly signed occurrence wins; among its occurrences the one with
-    most of the field's keywords around it, then the earliest. All occurrences
-    in the whole text are considered; each text's numbers are read once, whatever
-    the number of forms.
+    found = documents.select(
+        *doc, F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)).alias("_numbers"), F.split(text, _NUMBER, -1).alias("_pieces"))
+    n = F.size("_numbers")
+    each = found.select(*doc, F.posexplode(F.arrays_zip(
+        F.slice("_pieces", F.lit(1), n).alias("piece"), F.col("_numbers").alias("token"),
+        F.slice(F.concat(F.array(F.lit("")), "_numbers"), F.lit(1), n).alias("last"))).alias("_i", "_n"))
+    # What stands before: the piece, or a number and a short piece.
+    before = F.right(F.concat(F.right("_n.last", F.lit(SIGN_CHARS)), F.col("_n.piece")), F.lit(SIGN_CHARS))
+    negative = F.regexp_replace(before, "[ \\t\\u00A0$*]+$", "").rlike("[(\\-\\u2212]$")
+    placed = each.select(*doc, "_i", F.length("_n.piece").alias("_gap"), F.col("_n.token").alias("token"), negative.alias("negative"))
+    so_far = W.partitionBy(*doc).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    start = F.sum(F.col("_gap") + F.length("token")).over(so_far) - F.length("token")
+    return placed.select(*doc, "token", start.cast("int").alias("start"), "negative")
+
+
+def locate(values: DataFrame, documents: DataFrame, key: list[str], doc: list[str], text: str = "text", value: str = "value",
+           field: str = "field", min_digits: int = MIN_DIGITS) -> DataFrame:
+    """Where a document prints a value with its sign, one row per value that is found.
+
+    ``values`` has ``key``, which names a row, ``doc``, ``field`` and ``value``; ``documents`` has
+    ``doc``, which names a row, and ``text``. Result: ``key``, token, scale, start and end (0-based,
+    end exclusive). The first form with a correctly signed occurrence wins; among its
+    occurrences the one with most of the field's keywords around it, then the earliest.
+
+    The numbers of every document are read once and listed by (document, token);
+    the forms of the values meet them in an equality join, so all occurrences in the
+    whole text are considered and no text is searched for a form.
     """
-    read = cases.select(
-        *key, field, value, text, scaled_tokens(F.col(value), min_digits).alias("_forms"), printed_numbers(F.col(text)).alias("_numbers"))
-    fits = F.filter("_numbers", lambda n: (n["negative"] == (F.col(value) < 0)) & F.exists("_forms", lambda t: t["token"] == n["token"]))
-    placed = read.withColumn("_n", F.explode(fits)).withColumn(
-        "_t", F.element_at(F.filter("_forms", lambda t: t["token"] == F.col("_n.token")), 1))
-    start = F.col("_n.start")
-    window_from = F.greatest(F.lit(0), start - CONTEXT_CHARS)
-    window = F.lower(F.substr(F.col(text), window_from + 1, start + CONTEXT_CHARS - window_from))
+    forms = values.select(*dict.fromkeys([*key, *doc]), field, value, F.explode(scaled_tokens(F.col(value), min_digits)).alias("_t"))
+    wanted = forms.withColumn("token", F.col("_t.token")).withColumn("negative", F.col(value) < 0)
+    hits = wanted.join(printed_numbers(documents, doc, text), [*doc, "token", "negative"])
+    first = hits.withColumn("_rank", F.rank().over(W.partitionBy(*key).orderBy("_t.order"))).filter(F.col("_rank") == 1)
+    # The text is met once more by the occurrences of the winning form, for their surroundings.
+    near = first.join(documents.select(*doc, F.col(text).alias("_text")), doc)
+    window_from = F.greatest(F.lit(0), F.col("start") - CONTEXT_CHARS)
+    window = F.lower(F.substr(F.col("_text"), window_from + 1, F.col("start") + CONTEXT_CHARS - window_from))
     score = F.lit(0)
     for name, words in KEYWORDS.items():
         seen = sum((F.when(F.contains(window, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
         score = F.when(F.col(field) == name, seen).otherwise(score)
-    best = W.partitionBy(*key).orderBy("_t.order", F.col("_score").desc(), "start")
+    best = W.partitionBy(*key).orderBy(F.col("_score").desc(), "start")
     return (
         # The text stays behind: the ranking carries positions only.
-        placed.select(*key, "_t", start.alias("start"), score.alias("_score"))
+        near.select(*key, "token", F.col("_t.scale").alias("scale"), "start", score.alias("_score"))
         .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == 1)
-        .select(*key, F.col("_t.token").alias("token"), F.col("_t.scale").alias("scale"), "start",
-                (F.col("start") + F.length("_t.token")).alias("end"))
+        .select(*key, "token", "scale", "start", (F.col("start") + F.length("token")).alias("end"))
     )
 
 
+def find_renderings(cases: DataFrame, key: list[str], text: str = "text", value: str = "value", field: str = "field",
+                    min_digits: int = MIN_DIGITS) -> DataFrame:
+    """:func:`locate` for cases that each bring their own text."""
+    return locate(cases.select(*key, value, field), cases.select(*key, text), key, key, text, value, field, min_digits)
+
+
 def excerpt(text: Column, start: Column, end: Column, max_chars: int = EXCERPT_CHARS) -> Column:
     """At most ``max_chars`` around ``[start, end)``, snapped to nearby newlines."""
     if max_chars <= 0:
@@ -137,7 +143,9 @@ def resolve_values(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     each = candidates.withColumn("value", F.explode("values")).select("case_id", "doc_key", "field", "value")
     blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     texts = documents.select("doc_key", "text", blank.alias("_blank"))
-    found = find_renderings(each.join(texts.filter(~F.col("_blank")), "doc_key"), ["case_id", "value"])
+    # Only texts that some candidate names are read.
+    read = texts.filter(~F.col("_blank")).join(candidates.select("doc_key").distinct(), "doc_key", "left_semi").drop("_blank")
+    found = locate(each, read, ["case_id", "value"], ["doc_key"])
     per_case = found.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.struct("value", "token", "scale", "start", "end")).alias("hit"))

@@ -109,7 +109,8 @@ _VALUES = """vals AS (
 @query(f"""WITH {_RUNS}, {_VALUES}, {_SPOTS}, {_found('vals')}
 SELECT doc_id, digits, token, scale, start, CAST(start + length(token) AS INTEGER) AS "end" FROM found""")
 def number_renderings(spark, sf_dir):
-    return renderings.find_renderings(_printed_numbers(spark, sf_dir), ["doc_id", "digits"])
+    documents = standins.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return renderings.locate(_printed_numbers(spark, sf_dir).drop("text"), documents, ["doc_id", "digits"], ["doc_id"])
 
 
 _EXCERPT = 400
