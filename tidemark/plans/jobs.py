@@ -16,12 +16,15 @@ from tidemark.functions.values import as_date
 from tidemark.operators import canonical, longshort, statistics, universe, vote
 from tidemark.operators.calendar import holds, trading_days
 from tidemark.operators.dividends import read_dividends
+from tidemark.operators.facts import ALIVE_DAYS, read_filings
 from tidemark.session import store
 from tidemark.sources import actions, bars as bar_table, events, filings
+from tidemark.sources.current import CurrentTable
 from tidemark.sources.tables import append, read
 
 _VERDICTS = T.StructType(schemas.CANONICAL.fields + [T.StructField("batch_ts", T.TimestampType()), T.StructField("batch", T.StringType())])
 _LOADED = [T.StructField("loaded_at", T.TimestampType())]
+_FILED = T.StructType(schemas.FILINGS.fields + [T.StructField("seq", T.LongType()), *_LOADED])
 
 
 @dataclass(frozen=True)
@@ -42,9 +45,20 @@ class Warehouse:
         loads = read(spark, self.path("facts_loads"), T.StructType([schemas.FACTS["cik"], *_LOADED]))
         return filings.current_facts(stored, loads=loads).drop("loaded_at")
 
-    def filings(self, spark: SparkSession) -> DataFrame:
-        extra = [T.StructField("seq", T.LongType()), *_LOADED]
-        return filings.current_filings(read(spark, self.path("filings"), T.StructType(schemas.FILINGS.fields + extra)))
+    def filings(self, spark: SparkSession, filed_from: dt.date | None = None, filed_to: dt.date | None = None) -> DataFrame:
+        """Current filings, of a window of filing dates (inclusive) if given.
+
+        Loads keep the current rows in a table of their own, which is scanned as it is: a window reaches the
+        scan. A warehouse whose filings were written otherwise is ranked on every read.
+        """
+        current = self.current_filings()
+        if current.exists(spark):
+            return current.read(spark, filed_from, filed_to).select(*schemas.FILINGS.fieldNames())
+        ranked = filings.current_filings(read(spark, self.path("filings"), _FILED))
+        return read_filings(ranked, None, filed_from, filed_to)
+
+    def current_filings(self) -> CurrentTable:
+        return CurrentTable(self.path("filings_current"), _FILED, ["cik", "accn"], filings.NEWEST_FILING, "filed", ["loaded_at", "seq"])
 
     def tickers(self, spark: SparkSession) -> DataFrame:
         return read(spark, self.path("tickers"), schemas.TICKERS)
@@ -124,7 +138,9 @@ def daily_run(
     if symbols is None:
         tickers = universe.check_tickers(house.tickers(spark))
         rows = bar_table.read_bars(spark, house.path("bars"), start=end - dt.timedelta(days=120), end=end)
-        names = universe.build(house.verdicts(spark), rows, house.filings(spark), tickers, end, **screen).select("symbol")
+        since = end - dt.timedelta(days=screen.get("alive_days", ALIVE_DAYS))
+        names = universe.build(
+            house.verdicts(spark), rows, house.filings(spark, since, end), tickers, end, **screen).select("symbol")
         source = "universe"
     else:
         if isinstance(symbols, (str, bytes)):
@@ -195,7 +211,7 @@ def calibration_run(
 
 def _load(
     spark: SparkSession, house: Warehouse, table: str, path: str, entries: Callable[[DataFrame], DataFrame], cluster_by: list[str],
-    lines: bool,
+    lines: bool, then: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Parse every document once into a staged table; rows, rejects, stamps and the summary come out of that."""
     text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True)
@@ -205,6 +221,8 @@ def _load(
     staged = store(entries(documents), f"staged-{table}")
     rows = staged.filter(F.col("ok") & F.col("reason").isNull())
     append(rows.drop("reason", "entry", "ok"), house.path(table), cluster_by=cluster_by)
+    if then is not None:
+        then(rows)
     append(rows.select("cik", "loaded_at").distinct(), house.path(f"{table}_loads"))
     append(staged.filter(F.col("reason").isNotNull()).select("document", "reason", "loaded_at").distinct(), house.path(f"{table}_rejects"))
     return filings.load_summary(staged, "document")
@@ -221,7 +239,19 @@ def load_facts(spark: SparkSession, house: Warehouse, path: str, lines: bool = F
 
 def load_filings(spark: SparkSession, house: Warehouse, path: str, lines: bool = False) -> DataFrame:
     """Load a folder of submissions documents; returns rows, skipped entries and status per document."""
-    return _load(spark, house, "filings", path, lambda d: filings.filing_entries(d, every=True), ["filed", "cik"], lines)
+    return _load(spark, house, "filings", path, lambda d: filings.filing_entries(d, every=True), ["filed", "cik"], lines,
+                 lambda rows: house.current_filings().merge(_as_filed(rows)))
+
+
+def _as_filed(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _FILED])
+
+
+def store_filings(house: Warehouse, rows: DataFrame) -> None:
+    """Append filing rows (columns of the stored table, ``loaded_at`` their load stamp) and bring the current ones up to date."""
+    staged = store(_as_filed(rows), "staged-filings")
+    append(staged, house.path("filings"), cluster_by=["filed", "cik"])
+    house.current_filings().merge(staged)
 
 
 def load_actions(house: Warehouse, pages: DataFrame) -> None:

@@ -412,9 +412,9 @@ def job_daily_universe(spark, sf_dir):
     bars.write_bars(rows.filter(F.col("ts") < _DAY), house.path("bars"))
     jobs.vote_range(spark, house, "1990-01-01", "1998-06-30", TOL_M)
     standins.tickers(spark, sf_dir).write.parquet(house.path("tickers"))
-    standins.supplier_filings(spark, sf_dir).select(
+    jobs.store_filings(house, standins.supplier_filings(spark, sf_dir).select(
         "cik", F.concat_ws("-", "cik", "form", "filed").alias("accn"), "form", "filed", F.lit("d").alias("primary_doc"),
-        F.lit(0).cast("bigint").alias("seq"), F.lit("2024-01-01").cast("timestamp").alias("loaded_at")).write.parquet(house.path("filings"))
+        F.lit(0).cast("bigint").alias("seq"), F.lit("2024-01-01").cast("timestamp").alias("loaded_at")))
     vendors = [r[0] for r in rows.select("source").distinct().collect()]
     landed = {s: rows.filter(F.col("source") == s).drop("source") for s in vendors}
     screen = dict(_SCREEN, forms=("F",), alive_days=30, max_jump=JUMP_M)

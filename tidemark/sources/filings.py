@@ -122,9 +122,13 @@ def parse_submissions(documents: DataFrame, column: str = "payload", expected: s
     return filing_entries(documents, column, expected).filter("ok").drop("ok", "entry")
 
 
+#: Which row of a filing is the current one, most significant column first.
+NEWEST_FILING = ["loaded_at", "seq", "filed", "form", "primary_doc"]
+
+
 def current_filings(rows: DataFrame, loaded: str | None = "loaded_at") -> DataFrame:
     """One row per (cik, accn): the newest load, then the last in its document."""
-    newest = ([loaded] if loaded else []) + ["seq", "filed", "form", "primary_doc"]
+    newest = ([loaded] if loaded else []) + NEWEST_FILING[1:]
     return newest_wins(rows, ["cik", "accn"], newest).select("cik", "accn", "form", "filed", "primary_doc")
 
 
