@@ -183,7 +183,8 @@ def earnings_surprise(
     """Newest seasonal difference over the spread of the up to eight before it.
 
     A date is only evaluated for filers with a filing inside the drift window,
-    which any scored filer needs. A regular filer (no quarter missing, filed in
+    which any scored filer needs. All steps group by filer and something else, so over
+    facts that are stored by filer (``jobs.publish_facts``) none of them moves a fact. A regular filer (no quarter missing, filed in
     order) has a difference for every quarter from the fifth on, so its score
     rests on the newest thirteen quarters; each is carried forward until thirteen
     later ones are known, and the repetition does not grow with the length of
@@ -197,25 +198,27 @@ def earnings_surprise(
         & F.datediff("end", "start").between(*QUARTER_DAYS) & (F.col("filed") <= F.lit(as_date(last, "last")))
     )
     daily = newest_wins(quarters, ["cik", "end", "filed"], ["accn", "taxonomy", "unit", "seq"])
-    per_quarter = W.partitionBy("cik", "end")
-    versions = daily.select("cik", "end", "val", "filed", F.lead("filed").over(per_quarter.orderBy("filed")).alias("_next"))
-
-    known = daily.groupBy("cik", "end").agg(F.min("filed").alias("_known"))
+    # A row a quarter with all its versions, so that what concerns quarters needs no join with what concerns versions.
+    by_quarter = daily.groupBy("cik", "end").agg(
+        F.array_sort(F.collect_list(F.struct("filed", "val"))).alias("_versions"), F.min("filed").alias("_known"))
     by_end = W.partitionBy("cik").orderBy("end")
     gap = F.datediff("end", F.lag("end", SEASONAL_LAG).over(by_end))
     odd = (gap.isNotNull() & ~gap.between(*year_gap)) | (F.col("_known") < F.lag("_known").over(by_end))
     needed = SEASONAL_LAG + HISTORY + 1
-    expiry = known.select(
-        "cik", "end", F.coalesce(odd, F.lit(False)).alias("_odd"), F.lead("_known", needed).over(by_end).alias("_later")
-    ).select("cik", "end", F.when(~F.max("_odd").over(W.partitionBy("cik")), F.col("_later")).alias("_expiry"))
-    spans = versions.join(expiry, ["cik", "end"]).withColumn(
-        "_until", F.least(F.date_sub("_next", 1), F.date_sub("_expiry", 1), F.lit(as_date(last, "last"))))
+    marked = by_quarter.select("cik", "end", "_versions", F.coalesce(odd, F.lit(False)).alias("_odd"),
+                               F.lead("_known", needed).over(by_end).alias("_later"))
+    expiring = marked.select(
+        "cik", "end", "_versions", F.when(~F.max("_odd").over(W.partitionBy("cik")), F.col("_later")).alias("_expiry"))
+    each = expiring.select("cik", "end", "_versions", "_expiry", F.posexplode("_versions").alias("_i", "_v"))
+    spans = each.select(
+        "cik", "end", "_v.val", "_v.filed",
+        F.least(F.date_sub(F.get("_versions", F.col("_i") + 1)["filed"], 1), F.date_sub("_expiry", 1),
+                F.lit(as_date(last, "last"))).alias("_until"))
 
     dates, since = asofs.select("asof"), None if first is None else as_date(first, "first")
-    lately = at_dates(
-        quarters.select("cik", "filed").distinct().withColumn("_until", F.date_add("filed", window_days)),
-        dates, "asof", "filed", "_until", since).select("asof", "cik")
-    history = at_dates(spans, dates, "asof", "filed", "_until", since).join(lately, ["asof", "cik"], "left_semi")
+    visible = at_dates(spans, dates, "asof", "filed", "_until", since)
+    newest = F.max("filed").over(W.partitionBy("asof", "cik"))
+    history = visible.withColumn("_newest", newest).filter(F.col("_newest") >= F.date_sub("asof", window_days)).drop("_newest")
     scored = (
         _surprises(history, year_gap)
         .filter((F.col("_n") >= MIN_HISTORY) & (F.col("filed") >= F.date_sub("asof", window_days))

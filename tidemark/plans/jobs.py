@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -27,6 +28,20 @@ _LOADED = [T.StructField("loaded_at", T.TimestampType())]
 _FILED = T.StructType(schemas.FILINGS.fields + [T.StructField("seq", T.LongType()), *_LOADED])
 
 
+_PUBLISHED = T.StructType([
+    T.StructField("number", T.LongType()), T.StructField("stamp", T.LongType()), T.StructField("buckets", T.IntegerType()),
+    T.StructField("folder", T.StringType())])
+
+
+def _by_filer(spark: SparkSession, folder: str, buckets: int) -> str:
+    """The catalog name of published facts; known by its folder, so any session can read them by bucket."""
+    name = f"facts_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.FACTS)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (cik) SORTED BY (tag, cik, `end`) "
+              f"INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return name
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Folders of the stored tables under one root."""
@@ -40,6 +55,23 @@ class Warehouse:
         return read(spark, self.path("canonical"), _VERDICTS)
 
     def facts(self, spark: SparkSession) -> DataFrame:
+        """Facts of each filer's newest document; as published by filer, if nothing was loaded since."""
+        published = self._published(spark)
+        return self._stored_facts(spark) if published is None else published
+
+    def _published(self, spark: SparkSession) -> DataFrame | None:
+        notes = read(spark, self.path("facts_published/notes"), _PUBLISHED)
+        note = notes.orderBy(F.desc("number")).limit(1).collect()
+        if not note or note[0]["stamp"] != self.facts_stamp(spark):
+            return None
+        return spark.table(_by_filer(spark, note[0]["folder"], note[0]["buckets"]))
+
+    def facts_stamp(self, spark: SparkSession) -> int | None:
+        """The newest load, in microseconds."""
+        loads = read(spark, self.path("facts_loads"), T.StructType([schemas.FACTS["cik"], *_LOADED]))
+        return loads.agg(F.unix_micros(F.max("loaded_at"))).first()[0]
+
+    def _stored_facts(self, spark: SparkSession) -> DataFrame:
         stored = read(spark, self.path("facts"), T.StructType(schemas.FACTS.fields + _LOADED))
         # The stamps have a table of their own, so a filter on tags reaches the only scan of the facts.
         loads = read(spark, self.path("facts_loads"), T.StructType([schemas.FACTS["cik"], *_LOADED]))
@@ -237,6 +269,27 @@ def load_facts(spark: SparkSession, house: Warehouse, path: str, lines: bool = F
     return _load(spark, house, "facts", path, lambda d: filings.fact_entries(d, every=True), ["tag", "cik", "end"], lines)
 
 
+def publish_facts(spark: SparkSession, house: Warehouse, buckets: int | None = None) -> DataFrame:
+    """Write the current facts bucketed by filer and sorted by tag, for the signals; returns them.
+
+    For after a bulk load. Groups and windows by filer then need no exchange, and a
+    filter on tags skips row groups. Reads go back to the loaded table once a newer
+    load has come in, until facts are published again. ``buckets`` defaults to the
+    session's shuffle partitions; a bucket is a file.
+    """
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stamp = house.facts_stamp(spark)
+    folder = f"{house.path('facts_published')}/{uuid.uuid4().hex}"
+    name = _by_filer(spark, folder, n)
+    rows = house._stored_facts(spark).select(*schemas.FACTS.fieldNames())
+    rows.repartition(n, "cik").write.bucketBy(n, "cik").sortBy("tag", "cik", "end").format("parquet").mode("append").saveAsTable(name)
+    notes = house.path("facts_published/notes")
+    number = read(spark, notes, _PUBLISHED).agg(F.max("number")).first()[0] or 0
+    # The note comes last: before it, nobody reads the folder.
+    spark.createDataFrame([(number + 1, stamp, n, folder)], _PUBLISHED).coalesce(1).write.mode("append").parquet(notes)
+    return house.facts(spark)
+
+
 def load_filings(spark: SparkSession, house: Warehouse, path: str, lines: bool = False) -> DataFrame:
     """Load a folder of submissions documents; returns rows, skipped entries and status per document."""
     return _load(spark, house, "filings", path, lambda d: filings.filing_entries(d, every=True), ["filed", "cik"], lines,
