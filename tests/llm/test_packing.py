@@ -1,4 +1,5 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -99,6 +100,16 @@ def test_plans_place_every_piece_once():
         assert ranks == sorted(ranks) and {s for s, r in ranks if r == 0} == set(counts)
 
 
+def test_the_planner_is_bounded_by_the_histogram():
+    for counts in ({400: 10**9}, {400: 10**9 + 1, 90: 3}, {1024: 10**10, 300: 10**9, 500: 7}, {s: 10**8 + s for s in range(1, 1025)}):
+        began = time.perf_counter()
+        plan = packing.plan_bins(counts)
+        assert time.perf_counter() - began < 5 and len(plan.groups) < 6000
+        assert sum(n * m * s for n, content in plan.groups for s, m in content) == sum(s * n for s, n in counts.items())
+    plan = packing.plan_bins({400: 10**9})
+    assert plan.bins == 5 * 10**8 and len(plan.groups) <= 3
+
+
 def test_cut():
     assert packing.cut(1) == [(0, 1)] and packing.cut(1024) == [(0, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)]
     assert packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]

@@ -147,10 +147,8 @@ def _dominant(counts: np.ndarray, size: int, length: int) -> tuple[int, int] | N
             three = int(least.sum()) if len(least) > 2 else room + 1
             if two <= room and (three <= room or best < _best_pair(counts, sizes, room)):
                 return None
-            if size == best:
-                return best, 1
-            # The rule holds for the next equal bin as well as long as both lengths last; smaller sizes don't change.
-            return best, int(min(counts[size] + 1, counts[best]))
+        # The rule holds for the next equal bin as well as long as both lengths last: smaller sizes don't change, and
+        # with fewer pieces of these lengths the least sums only grow and the best pair only shrinks.
         return best, int((counts[size] + 1) // 2 if size == best else min(counts[size] + 1, counts[best]))
     finally:
         counts[size] += 1
