@@ -75,7 +75,8 @@ class Words:
         return self.data[self.starts[at]:self.ends[at]].tobytes()
 
 
-def _has(bits: np.ndarray, size: int, hashes: np.ndarray) -> np.ndarray:
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    size = len(bits).bit_length() + 2  # the map is a power of two
     at = hashes >> np.uint64(64 - size)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
@@ -146,7 +147,7 @@ def _folded(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _prefixes(found: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a frequent word is followed by one in its piece, and the hashes of the two."""
-    often = _has(words, WORD_BITS, found.hashes)
+    often = _has(words, found.hashes)
     at = np.flatnonzero(found.next[:-1] & often[:-1] & often[1:])
     return at, _chain(found.hashes[at], found.hashes[at + 1])
 
@@ -215,7 +216,7 @@ class Groups:
 
     def of(self, prefix: np.ndarray, longer: np.ndarray) -> np.ndarray:
         """``longer`` is the hash of the prefix and the next word, or of the prefix alone where it ends."""
-        group = self.cell[(prefix >> np.uint64(64 - CELL_BITS)).astype(np.int64)].copy()
+        group = self.cell[(prefix >> np.uint64(65 - len(self.cell).bit_length())).astype(np.int64)].copy()
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, prefix), len(self.hot) - 1)
             own = self.hot[at] == prefix
@@ -228,7 +229,7 @@ def _suffixes(found: Words, words: np.ndarray, prefixes: np.ndarray) -> tuple[np
     """The suffixes that begin with a prefix, cut at four words or where the next two words are none:
     words (rows of four, zero where cut), the hash of the prefix and that of one word more."""
     at, key = _prefixes(found, words)
-    known = _has(prefixes, PREFIX_BITS, key)
+    known = _has(prefixes, key)
     at, key = at[known], key[known]
     begins = np.zeros(len(found.hashes) + _DEPTH, bool)
     begins[at] = True
