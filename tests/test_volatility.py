@@ -120,6 +120,29 @@ def test_one_pass_scores_like_the_joined_tables(spark):
         assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
+@pytest.mark.parametrize("window, horizon", [(2, 3), (4, 3), (6, 3), (3, 5), (5, 5), (7, 5), (25, 6), (24, 4), (21, 20)])
+def test_blocks_give_what_each_context_gives(spark, window, horizon):
+    bars, series = walk(spark, {"A": 97, "B": window + horizon, "C": window + horizon - 1, "D": 1, "E": 3 * horizon + window + 1})
+    lambdas = {"fast": 0.6, "slow": 0.97}
+    want = {}
+    for symbol, closes in series.items():
+        for step in range(max(0, (len(closes) - window) // horizon)):
+            i = window + step * horizon
+            context, target = closes[i - window:i], closes[i:i + horizon]
+            want[symbol, step] = [pytest.approx(x, rel=1e-9, abs=1e-12) for x in (
+                ewma(context, 0.6), ewma(context, 0.97), realized(context), realized(target))]
+    got = vol.walk_forward(bars, lambdas, window, horizon).collect()
+    assert {(r["symbol"], r["step"]): [r["fast"], r["slow"], r["trailing"], r["actual"]] for r in got} == want
+
+
+def test_contexts_repeat_no_rows(spark):
+    bars, _ = walk(spark, {"A": 600, "B": 500})
+    wide = vol.walk_forward(bars)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(symbol") == plan.count("Exchange") == 1 and "Generate" not in plan
+    assert wide.count() == (600 - 252) // 21 + (500 - 252) // 21
+
+
 def test_realized_vol_of_short_series(spark):
     bars, series = walk(spark, {"A": 30, "TWO": 2})
     got = {r["symbol"]: r["realized_vol"] for r in vol.realized_vol(bars).collect()}

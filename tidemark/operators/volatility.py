@@ -104,45 +104,78 @@ def _checked(lambdas: Mapping[str, float] | None) -> dict[str, float]:
     return chosen
 
 
+#: Number, mean and sum of squared deviations of some returns.
+_SPREAD = "struct<n:bigint,mean:double,m2:double>"
+
+
+def _spread_of(where: Column) -> Column:
+    ret = F.when(where, F.col("ret"))
+    n = F.count(ret)
+    return F.struct(n.alias("n"), F.coalesce(F.avg(ret), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(ret) * n, F.lit(0.0)).alias("m2"))
+
+
+def _pooled(spreads: Column) -> Column:
+    """Annualised deviation of all returns behind an array of spreads; 0.0 for fewer than two."""
+    n = F.aggregate(spreads, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
+    mean = F.aggregate(spreads, F.lit(0.0), lambda total, s: total + s["n"] * s["mean"]) / n
+    m2 = F.aggregate(spreads, F.lit(0.0), lambda total, s: total + s["m2"] + s["n"] * (s["mean"] - mean) * (s["mean"] - mean))
+    return F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0) * math.sqrt(TRADING_DAYS)
+
+
 def walk_forward(
     bars: DataFrame, lambdas: Mapping[str, float] | None = None, window: int = WINDOW, horizon: int = HORIZON,
     trailing: str | None = "trailing",
 ) -> DataFrame:
     """All built-in forecasts and the outcome of every step: symbol, step, a column per forecaster, actual.
 
-    One aggregation with map-side partials. A return serves the contexts that hold
-    it, which overlap ``window / horizon`` times, and the one stretch it is an
-    outcome of. The recursion ``var = lam*var + (1-lam)*r^2`` seeded with the first
-    squared return is a weighted sum; ``trailing`` is the realised volatility of
-    the context.
+    Contexts overlap ``window / horizon`` times, so returns are not repeated for them:
+    blocks of ``horizon`` rows are summed up once, and step k is put together from
+    blocks k to ``k + window / horizon``. The recursion ``var = lam*var + (1-lam)*r^2``
+    seeded with the first squared return is a weighted sum, to which a block that ends
+    n rows before the forecast adds its own sum times ``lam^n``. At the edges, a context
+    leaves out the first row of block k, whose return comes from outside, and takes the
+    first ``window % horizon`` rows, the head, of its last block. ``trailing`` is
+    the realised volatility of the context, pooled from the blocks' means and squared
+    deviations. Everything follows one exchange by symbol.
     """
     chosen = _checked(lambdas)
     check_walk(window, horizon)
-    # A return at row p is in the context of the step at row i when i-window < p < i.
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - window) / horizon) + 1)
-    steps = F.floor((F.col("_n") - window) / horizon)
-    final = F.least(F.ceil(F.col("pos") / horizon) - 1, steps - 1)
-    none = F.array().cast("array<bigint>")
-    contexts = F.when(first <= final, F.sequence(first, final)).otherwise(none)
-    own = F.floor((F.col("pos") - window) / horizon)
-    outcome = F.when((F.col("pos") >= window) & (own < steps), F.array(own)).otherwise(none)
-    rows = (
-        _numbered(bars).filter(F.col("ret").isNotNull() & (steps >= 1))
-        .withColumn("step", F.explode(F.concat(contexts, outcome)))
-        .withColumn("age", window + F.col("step") * horizon - 1 - F.col("pos"))
-    )
-    known = F.when(F.col("age") >= 0, F.col("ret"))
-    # The return into the first row of a stretch comes from outside it.
-    inner = F.when(F.col("age") < -1, F.col("ret"))
-
-    def variance(lam: float) -> Column:
-        weight = F.pow(F.lit(lam), F.col("age")) * F.when(F.col("age") == window - 2, 1.0).otherwise(1.0 - lam)
-        return F.sum(weight * known * known)
-
-    preds = [F.sqrt(variance(lam) * TRADING_DAYS).alias(name) for name, lam in chosen.items()]
+    whole, head = divmod(window, horizon)
+    row, square = F.col("pos") % horizon, F.col("ret") * F.col("ret")
+    # Without a whole block, the head lies in block k itself, of which the first row is left out.
+    in_head = (row < head) & (row > 0) if whole == 0 else row < head
+
+    def decayed(lam: float, where: Column, last: int) -> Column:
+        return F.coalesce(F.sum(F.when(where, square * F.pow(F.lit(lam), last - row))), F.lit(0.0))
+
+    sums = [c for i, lam in enumerate(chosen.values()) for c in (
+        decayed(lam, row >= 0, horizon - 1).alias(f"all{i}"), decayed(lam, row > 0, horizon - 1).alias(f"rest{i}"),
+        decayed(lam, in_head, head - 1).alias(f"head{i}"))]
+    blocks = _numbered(bars).withColumn("step", F.floor(F.col("pos") / horizon)).groupBy("symbol", "step").agg(
+        F.max("_n").alias("_n"), F.coalesce(F.max(F.when(row == 1, square)), F.lit(0.0)).alias("seed"), *sums,
+        _spread_of(row >= 0).alias("all"), _spread_of(row > 0).alias("rest"), _spread_of(in_head).alias("head"),
+        _spread_of(row < head).alias("lead"), _spread_of(row > head).alias("tail"))
+    # Blocks of a symbol follow each other without gaps: b[j] is block k + j.
+    names = [c for c in blocks.columns if c not in ("symbol", "step", "_n")]
+    ahead = W.partitionBy("symbol").orderBy("step").rowsBetween(0, whole + 1)
+    steps = blocks.select("symbol", "step", "_n", F.collect_list(F.struct(*names)).over(ahead).alias("b")).filter(
+        window + (F.col("step") + 1) * horizon <= F.col("_n"))
+
+    def variance(i: int, lam: float) -> Column:
+        parts = [F.col("b")[j][f"{'rest' if j == 0 else 'all'}{i}"] * lam ** (window - (j + 1) * horizon) for j in range(whole)]
+        if head:
+            parts.append(F.col("b")[whole][f"head{i}"])
+        return (1 - lam) * sum(parts[1:], parts[0]) + lam ** (window - 1) * F.col("b")[0]["seed"]
+
+    context = [F.col("b")[j]["rest" if j == 0 else "all"] for j in range(whole)] + ([F.col("b")[whole]["head"]] if head else [])
+    context = F.array(*[c.cast(_SPREAD) for c in context])
+    known = F.aggregate(context, F.lit(0).cast("bigint"), lambda total, s: total + s["n"]) > 0
+    preds = [F.when(known, F.sqrt(variance(i, lam) * TRADING_DAYS)).alias(name) for i, (name, lam) in enumerate(chosen.items())]
     if trailing:
-        preds.append(_realized(known).alias(trailing))
-    return rows.groupBy("symbol", "step").agg(*preds, _realized(inner).alias("actual"))
+        preds.append(_pooled(context).alias(trailing))
+    # The return into the first row of a stretch comes from outside it.
+    outcome = [F.col("b")[whole]["tail"]] + ([F.col("b")[whole + 1]["lead"]] if head else [])
+    return steps.select("symbol", "step", *preds, _pooled(F.array(*[c.cast(_SPREAD) for c in outcome])).alias("actual"))
 
 
 def _long(wide: DataFrame, names: list[str]) -> DataFrame:
