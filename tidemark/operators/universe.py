@@ -8,7 +8,6 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.values import as_date, finite
-from tidemark.operators.calendar import at_dates
 from tidemark.operators.canonical import read_canonical
 from tidemark.operators.facts import ALIVE_DAYS, PERIODIC_FORMS, alive, alive_at
 
@@ -77,6 +76,35 @@ def build(
     )
 
 
+def _by_block(rows: DataFrame, value: str, span: int, *more: str) -> DataFrame:
+    """(symbol, block, rows): the usable rows of every stretch of ``span`` days and the stretch before it.
+
+    A window of ``span`` days that ends in a block lies in these rows, so each row is
+    in two groups however many windows it is in, and a group is bounded by the calendar.
+    """
+    block = F.floor(F.unix_date("ts") / span)
+    return (
+        rows.filter(finite(F.col(value)))
+        .select("symbol", F.explode(F.array(block, block + 1)).alias("block"), F.struct("ts", value, *more).alias("r"))
+        .groupBy("symbol", "block").agg(F.collect_list("r").alias("rows"))
+    )
+
+
+def _with_median(groups: DataFrame, value: str, lookback_days: int, name: str, broken: bool = False) -> DataFrame:
+    """``groups`` (asof, rows, ...) with the exact median of the rows in the window that ends at ``asof``; groups
+    without a row in it are left out."""
+    low = F.date_sub("asof", lookback_days)
+
+    def seen(r):
+        inside = (r["ts"] >= low) & (r["ts"] <= F.col("asof"))
+        return inside & (r["next_break"].isNull() | (F.col("asof") < r["next_break"])) if broken else inside
+
+    ordered = groups.withColumn("_v", F.sort_array(F.transform(F.filter("rows", seen), lambda r: r[value]))).drop("rows")
+    n = F.size("_v")
+    middle = F.get("_v", F.floor((n - 1) / 2).cast("int")) * 0.5 + F.get("_v", F.floor(n / 2).cast("int")) * 0.5
+    return ordered.filter(n > 0).withColumn(name, middle).drop("_v")
+
+
 def liquid_at(
     panel: DataFrame, bars: DataFrame, asofs: DataFrame, min_price: float = MIN_PRICE, min_adv: float = MIN_ADV,
     lookback_days: int = LOOKBACK_DAYS,
@@ -84,19 +112,20 @@ def liquid_at(
     """:func:`liquid` for many dates; ``panel`` carries ``next_break``.
 
     A close counts for the dates from its own day until the window has passed it
-    or a level break hides it.
+    or a level break hides it. Rows travel by symbol and stretch of time, twice
+    each, and the windows of all dates are cut out of the stretches where they lie:
+    what is shuffled depends neither on the number of dates nor on the window.
     """
     check_screen(min_price, min_adv, lookback_days)
-    dates = asofs.select("asof")
-    reach = F.date_add("ts", lookback_days)
-    seen = at_dates(
-        panel.withColumn("_until", F.least(reach, F.date_sub("next_break", 1))), dates, "asof", "ts", "_until")
-    dear = _dear(seen, ["asof", "symbol"], min_price)
-    # The exact medians of the volumes cost most, so they are taken for what passed on price alone.
-    traded = at_dates(
-        bars.select("symbol", "ts", "volume").withColumn("_until", reach), dates, "asof", "ts", "_until").join(
-        dear.select("asof", "symbol"), ["asof", "symbol"], "left_semi")
-    return _liquid(dear, traded, ["asof", "symbol"], min_adv)
+    span = lookback_days + 1
+    # Made distinct, the dates are a row per calendar day at most, and are broadcast.
+    dates = asofs.select("asof").distinct().withColumn("block", F.floor(F.unix_date("asof") / span))
+    closes = _by_block(panel, "close", span, "next_break").join(F.broadcast(dates), "block")
+    dear = _with_median(closes, "close", lookback_days, "med_close", broken=True).filter(F.col("med_close") > min_price)
+    # Volumes are looked at for what passed on price alone. No usable volume means no turnover to screen on.
+    traded = dear.join(_by_block(bars, "volume", span), ["symbol", "block"])
+    return _with_median(traded, "volume", lookback_days, "med_vol").filter(
+        F.col("med_close") * F.col("med_vol") > min_adv).select("asof", "symbol", "med_close", "med_vol")
 
 
 def build_at(
