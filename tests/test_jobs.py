@@ -4,11 +4,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.operators import canonical, signals, vote
 from tidemark.plans import jobs
 from tidemark.session import scratch
 from tidemark.sources import bars, events
-from tidemark.streaming.revote import revote_new_bars
+from tidemark.streaming.revote import revote_new_bars, touched_bars
 
 INPUT = "symbol string, ts date, open double, high double, low double, close double, volume double"
 
@@ -87,6 +88,49 @@ def test_streaming_votes_only_what_was_touched(spark, house):
     assert house.verdicts(spark).count() == 5
 
 
+def scanned(df):
+    """Files that the scans of an executed plan have read."""
+    df.collect()
+    files, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if node.nodeName().startswith("Scan parquet"):
+                files += node.metrics().apply("numFiles").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return files
+
+
+def test_late_bars_read_no_month_but_theirs(spark, house):
+    days = [dt.date(1965 + m // 12, m % 12 + 1, 5) for m in range(0, 720, 12)]
+    history = spark.createDataFrame([("A", d, 10.0, 10.0, 10.0, 10.0, 1.0) for d in days], schemas.BAR_INPUT)
+    bars.write_bars(history, house.path("bars"), "one")
+    late = spark.createDataFrame([("A", days[0]), ("A", days[-1])], "symbol string, ts date")
+    got = touched_bars(spark, house, late)
+    # Two of sixty months; the pairs are no files.
+    assert scanned(got) == 2 and sorted(r["ts"] for r in got.collect()) == [days[0], days[-1]]
+    assert touched_bars(spark, house, late.limit(0)).count() == 0
+    # A window passes folders by as well.
+    assert scanned(bars.read_bars(spark, house.path("bars"), start=dt.date(1970, 1, 1), end=dt.date(1974, 12, 31))) == 5
+    revote_new_bars(spark, house, house.path("checkpoint"))
+    bars.write_bars(history.filter(F.col("ts").isin(days[0], days[-1])), house.path("bars"), "two")
+    revote_new_bars(spark, house, house.path("checkpoint"))
+    per_batch = sorted(r["count"] for r in house.verdicts(spark).groupBy("batch").count().collect())
+    assert per_batch == [2, 60]
+
+
+def test_bars_without_month_folders_are_read(spark, house):
+    days = [("A", dt.date(2020, m, 2), *[10.0] * 5) for m in (1, 2)]
+    old = bars.stamp_bars(spark.createDataFrame(days, INPUT), "one")
+    old.write.partitionBy("source", "resolution").parquet(house.path("bars"))
+    assert bars.read_bars(spark, house.path("bars"), start="2020-01-01", end="2020-01-31").count() == 1
+    assert bars.read_bars(spark, house.path("bars"), ["2020-01"]).count() == 2
+
+
 def test_repeating_a_batch_replaces_it(spark, house):
     bars.write_bars(frame(spark, ("A", 2, 10.0), ("B", 2, 1.0)), house.path("bars"), "one")
     bars.write_bars(frame(spark, ("B", 2, 2.0)), house.path("bars"), "two")

@@ -194,7 +194,7 @@ def daily_run(
             for name, frame in sorted(landed.items())])
         wanted = every.filter(F.col("ts") == F.lit(day)).join(names, "symbol", "left_semi")
         batch = bar_table.write_bars(wanted, house.path("bars"))
-        written = read(spark, house.path("bars"), schemas.BARS).filter(F.col("batch") == batch)
+        written = read(spark, house.path("bars"), schemas.STORED_BARS).filter(F.col("batch") == batch)
         counts |= {f"{r['source']}_rows": r["count"] for r in written.groupBy("source").count().collect()}
     stored = vote_range(spark, house, day, day, tol)
     verdicts = vote.verdict_counts(stored).first()

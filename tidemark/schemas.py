@@ -22,6 +22,8 @@ BARS = _schema(
     "symbol string, ts date, resolution string, open double, high double, low double, "
     "close double, volume double, source string, ingested_at timestamp, batch string"
 )
+#: Bars lie in folders by source, resolution and month; the month is that of ``ts``, for reads to pass folders by.
+STORED_BARS = T.StructType([*BARS.fields, T.StructField("month", T.StringType())])
 BAR_INPUT = _schema(
     "symbol string, ts date, open double, high double, low double, close double, volume double"
 )

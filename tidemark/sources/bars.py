@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.values import among, as_date, finite, iso_day, number, symbol_list, ticker
-from tidemark.schemas import BAR_INPUT, BARS, conform, require
+from tidemark.schemas import BAR_INPUT, BARS, STORED_BARS, conform, require
 from tidemark.sources.tables import append, newest_wins, read
 from tidemark.sources.unpack import object_list
 
@@ -69,15 +69,30 @@ def stamp_bars(
 
 
 def write_bars(df: DataFrame, path: str, source: str | None = None, resolution: str = "1d", arrival: list[str] | None = None) -> str:
-    """Append a batch under ``source=/resolution=`` folders, of one vendor or of all; returns its name."""
+    """Append a batch under ``source=/resolution=/month=`` folders, of one vendor or of all; returns its name."""
     batch = batch_name()
-    append(stamp_bars(df, source, resolution, arrival, batch), path, ["source", "resolution"], ["symbol", "ts"])
+    stamped = stamp_bars(df, source, resolution, arrival, batch).withColumn("month", month_of("ts"))
+    append(stamped, path, ["source", "resolution", "month"], ["symbol", "ts"])
     return batch
 
 
-def read_bars(spark: SparkSession, path: str, **window) -> DataFrame:
-    """Stored bars; see :func:`select_bars`."""
-    return select_bars(read(spark, path, BARS), **window)
+def month_of(day: str | Column) -> Column:
+    """The month folder of a day."""
+    return F.date_format(day, "yyyy-MM")
+
+
+def read_bars(spark: SparkSession, path: str, months: list[str] | None = None, **window) -> DataFrame:
+    """Stored bars; see :func:`select_bars`. Folders of months outside the window, or not among ``months``, aren't read."""
+    stored = read(spark, path, STORED_BARS)
+    # Bars written before there were such folders have no month.
+    undated = F.col("month").isNull()
+    if window.get("start") is not None:
+        stored = stored.filter(undated | (F.col("month") >= f"{as_date(window['start'], 'start'):%Y-%m}"))
+    if window.get("end") is not None:
+        stored = stored.filter(undated | (F.col("month") <= f"{as_date(window['end'], 'end'):%Y-%m}"))
+    if months is not None:
+        stored = stored.filter(undated | F.col("month").isin(*months) if months else undated)
+    return select_bars(stored.drop("month"), **window)
 
 
 def select_bars(

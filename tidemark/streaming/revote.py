@@ -8,9 +8,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import vote
 from tidemark.plans.jobs import Warehouse, log_dissent, write_verdicts
-from tidemark.schemas import BARS
+from tidemark.schemas import STORED_BARS
 from tidemark.session import store
-from tidemark.sources.bars import read_bars
+from tidemark.sources.bars import month_of, read_bars
+
+
+def touched_bars(spark: SparkSession, house: Warehouse, touched: DataFrame) -> DataFrame:
+    """All stored bars of the (symbol, ts) pairs in ``touched``; only folders of their months are read.
+
+    One late bar of long ago costs its month, and not the years since. The months are
+    a few values a year at most; within them the span of days lets the scan skip row groups.
+    """
+    months = [r[0] for r in touched.select(month_of("ts")).distinct().collect()]
+    if not months:
+        return read_bars(spark, house.path("bars")).limit(0)
+    span = touched.agg(F.min("ts"), F.max("ts")).first()
+    rows = read_bars(spark, house.path("bars"), months, start=span[0], end=span[1])
+    return rows.join(touched, ["symbol", "ts"], "left_semi")
 
 
 def revote_new_bars(spark: SparkSession, house: Warehouse, checkpoint: str, tol: float = vote.TOLERANCE) -> None:
@@ -24,19 +38,16 @@ def revote_new_bars(spark: SparkSession, house: Warehouse, checkpoint: str, tol:
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def revote(new: DataFrame, number: int) -> None:
-        # Stored, as the span and the vote both need the keys.
+        # Stored, as the months and the vote both need the keys.
         touched = store(new.filter(F.col("resolution") == "1d").select("symbol", "ts").distinct(), "touched")
-        # The span of days is two values; it lets the scan skip row groups.
-        span = touched.agg(F.min("ts"), F.max("ts")).first()
-        if span[0] is None:
+        if touched.isEmpty():
             return
-        rows = read_bars(new.sparkSession, house.path("bars"), start=span[0], end=span[1])
-        voted = vote.ballots(rows.join(touched, ["symbol", "ts"], "left_semi"), tol)
+        voted = vote.ballots(touched_bars(new.sparkSession, house, touched), tol)
         batch = f"stream-{stream}-{number:09d}"
         log_dissent(write_verdicts(voted, house, batch), house, batch, tol)
 
     query = (
-        spark.readStream.schema(BARS).parquet(house.path("bars"))
+        spark.readStream.schema(STORED_BARS).parquet(house.path("bars"))
         .writeStream.foreachBatch(revote)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
