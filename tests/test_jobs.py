@@ -170,6 +170,26 @@ def test_loading_documents(spark, house, tmp_path):
     assert sorted(r["accn"] for r in house.filings(spark).collect()) == ["a", "b"]
 
 
+def test_packed_documents_load_like_their_files(spark, house, tmp_path):
+    def facts(cik, n):
+        entries = [{"end": "2019-12-31", "val": v, "accn": "a", "fy": 2019, "form": "10-K", "filed": "2020-02-01"} for v in range(n)]
+        return json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": entries}}}}}, indent=1)
+
+    folder = tmp_path / "facts"
+    for i in range(60):
+        (folder / f"d{i % 7}").mkdir(parents=True, exist_ok=True)
+        (folder / f"d{i % 7}" / f"{i}.json").write_text("{broken" if i % 20 == 19 else facts(i, i % 4))
+    files = sorted(tuple(r) for r in jobs.load_facts(spark, house, str(folder)).collect())
+    packed = jobs.Warehouse(scratch(spark, "packed"))
+    archive = jobs.pack_documents(spark, str(folder), packed.path("archive"))
+    assert archive.count() == 60 and len(archive.inputFiles()) <= 4
+    assert sorted(tuple(r) for r in jobs.load_facts(spark, packed, packed.path("archive"), packed=True).collect()) == files
+    key = ["cik", "tag", "end", "val"]
+    assert sorted(map(tuple, packed.facts(spark).select(key).collect())) == sorted(map(tuple, house.facts(spark).select(key).collect()))
+    assert {r["status"] for r in spark.createDataFrame(files, "document string, rows long, skipped long, status string").collect()} == {
+        "loaded", "empty", "failed"}
+
+
 def test_calibration_from_stored_tables(spark, house, rows):
     names = [f"S{i:02d}" for i in range(20)]
     ends = [dt.date(2020, m, 28) for m in range(1, 7)]

@@ -241,14 +241,35 @@ def calibration_run(
     return report
 
 
+_PACKED = "document string, payload string"
+
+
+def pack_documents(spark: SparkSession, path: str, archive: str) -> DataFrame:
+    """Put the documents of a folder, a file each, into an archive of (document, payload); returns it.
+
+    The files are listed and opened once; loads then read a few large files that
+    split evenly, however many documents there are. Packing another folder adds to
+    the archive. Documents keep the name of their file.
+    """
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    append(text.select(F.input_file_name().alias("document"), F.col("value").alias("payload")), archive)
+    return spark.read.schema(_PACKED).parquet(archive)
+
+
+def _documents(spark: SparkSession, path: str, lines: bool, packed: bool) -> DataFrame:
+    if packed:
+        return spark.read.schema(_PACKED).parquet(path)
+    text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True)
+    name = F.concat_ws("#", F.input_file_name(), F.sha2("value", 256)) if lines else F.input_file_name()
+    return text.select(F.col("value").alias("payload"), name.alias("document"))
+
+
 def _load(
     spark: SparkSession, house: Warehouse, table: str, path: str, entries: Callable[[DataFrame], DataFrame], cluster_by: list[str],
-    lines: bool, then: Callable[[DataFrame], None] | None = None,
+    lines: bool, packed: bool, then: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Parse every document once into a staged table; rows, rejects, stamps and the summary come out of that."""
-    text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True)
-    name = F.concat_ws("#", F.input_file_name(), F.sha2("value", 256)) if lines else F.input_file_name()
-    documents = text.select(F.col("value").alias("payload"), name.alias("document"), F.lit(_now()).cast("timestamp").alias("loaded_at"))
+    documents = _documents(spark, path, lines, packed).withColumn("loaded_at", F.lit(_now()).cast("timestamp"))
     documents = documents.withColumn("reason", filings.reject_reason())
     staged = store(entries(documents), f"staged-{table}")
     rows = staged.filter(F.col("ok") & F.col("reason").isNull())
@@ -260,13 +281,13 @@ def _load(
     return filings.load_summary(staged, "document")
 
 
-def load_facts(spark: SparkSession, house: Warehouse, path: str, lines: bool = False) -> DataFrame:
+def load_facts(spark: SparkSession, house: Warehouse, path: str, lines: bool = False, packed: bool = False) -> DataFrame:
     """Load a folder of company-facts documents; returns rows, skipped entries and status per document.
 
-    A document is a file, or a line with ``lines``. Facts are stored in ranges of tags, the filter that every signal reads them
+    A document is a file, a line with ``lines``, or a row of an archive with ``packed`` (:func:`pack_documents`). Facts are stored in ranges of tags, the filter that every signal reads them
     by. Bad documents are listed under ``facts_rejects`` and do not stop the load.
     """
-    return _load(spark, house, "facts", path, lambda d: filings.fact_entries(d, every=True), ["tag", "cik", "end"], lines)
+    return _load(spark, house, "facts", path, lambda d: filings.fact_entries(d, every=True), ["tag", "cik", "end"], lines, packed)
 
 
 def publish_facts(spark: SparkSession, house: Warehouse, buckets: int | None = None) -> DataFrame:
@@ -290,9 +311,9 @@ def publish_facts(spark: SparkSession, house: Warehouse, buckets: int | None = N
     return house.facts(spark)
 
 
-def load_filings(spark: SparkSession, house: Warehouse, path: str, lines: bool = False) -> DataFrame:
+def load_filings(spark: SparkSession, house: Warehouse, path: str, lines: bool = False, packed: bool = False) -> DataFrame:
     """Load a folder of submissions documents; returns rows, skipped entries and status per document."""
-    return _load(spark, house, "filings", path, lambda d: filings.filing_entries(d, every=True), ["filed", "cik"], lines,
+    return _load(spark, house, "filings", path, lambda d: filings.filing_entries(d, every=True), ["filed", "cik"], lines, packed,
                  lambda rows: house.current_filings().merge(_as_filed(rows)))
 
 
