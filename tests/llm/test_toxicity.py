@@ -49,3 +49,18 @@ def test_messy_rows(spark, messy, empty):
     assert toxicity.classify(empty, labels, F.lit(True)).count() == 0
     none = toxicity.classify(messy, labels.limit(0), F.lit(True)).select("toxicity").distinct().collect()
     assert [r.toxicity for r in none] == [0.5]
+
+
+def test_a_key_with_most_rows_is_bounded_in_rows(spark, monkeypatch):
+    seen = {}
+
+    def train(texts, toxic, share, seed=5):
+        seen["rows"], seen["toxic"] = len(texts), int(toxic.sum())
+        return toxicity.Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, toxicity.FACTORS)), 0.0)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    rows = [(1, "words " + "".join(chr(97 + int(d)) for d in f"{i:03d}") * 2) for i in range(500)] + [(1, "the same")] * 300 + [(k, f"text {k}") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(k, 1 if k < 20 else 0) for k in range(1, 30)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, sample=40)
+    assert seen == {"rows": 40 + 10, "toxic": 40}

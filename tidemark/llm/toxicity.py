@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm import common
 from tidemark.llm.hashing import word_bounds, word_hashes
@@ -148,7 +148,7 @@ def _descend(machine: Machine, known: list[np.ndarray], toxic: np.ndarray, rng:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
         sample: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most ``sample`` labelled keys of each class. Null labels, null texts and keys without a text teach
+    """Fit on at most ``sample`` labelled keys, and as many rows, of each class. Null labels, null texts and keys without a text teach
     nothing; without rows of both classes every text scores the share of toxic labels (half without any)."""
     known = labels.select(F.col(key), F.col(toxic).cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -165,8 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 [batch.column(0).cast(pa.string()), batch.column(1), pa.array([p.tobytes() for p in parts], pa.binary())],
                 ["key", "toxic", "terms"])
 
-    got = store(chosen.mapInArrow(gather, "key string, toxic int, terms binary"), "toxicity").orderBy(
-        F.xxhash64("key"), "key", "toxic").toArrow()
+    # A key may have any number of rows: equal ones are folded, and rows are ranked by a hash and not only keys.
+    rows = store(chosen.mapInArrow(gather, "key string, toxic int, terms binary"), "toxicity").withColumn(
+        "mark", F.xxhash64("terms")).dropDuplicates(["key", "toxic", "mark"])
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("key"), "key", "mark")
+    got = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).drop("n").orderBy(
+        F.xxhash64("key"), "key", "toxic", "mark").toArrow()
     texts = [np.frombuffer(t, np.uint32).astype(np.int64) for t in got.column("terms").to_pylist()]
     total = sum(counts.values())
     return train(texts, got.column("toxic").to_numpy(), counts.get(1, 0) / total if total else 0.5)
