@@ -49,6 +49,9 @@ def test_messy_rows(spark, messy, empty):
 def test_a_benchmark_in_shards(spark, messy, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_WINDOWS", 2)
     assert found(messy, items_frame(spark)) == brute(MESSY, ITEMS)
+    # Each shard's findings are stored, so the last scan holds the last shard's matcher alone.
+    plan = decontaminate.contamination(messy, items_frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
     kept = decontaminate.clean(messy, items_frame(spark))
     assert kept.columns == messy.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((k for k, _, n, _ in brute(MESSY, ITEMS) if not n), key=str)

@@ -170,24 +170,36 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ``items`` though its words are hit. Repeated rows are judged each; an empty
     benchmark hits nothing. Other columns are not read.
     """
-    found = None
-    for matcher in _matchers(docs, items, text, item_key, item_text, words):
-        search = _searcher(matcher)
-        # One scan: the searches of several shards follow each other in the same task and add up.
-        found = search(F.col(text), F.lit(None).cast(FOUND) if found is None else found)
-    return docs.select(F.col(key), found.alias("_found")).select(
-        key, "_found.n_words", "_found.hits",
-        F.aggregate("_found.hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"]).alias("n_hit"),
-        F.col("_found.items").alias("items"))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
+    found = _searched(own, own, items, item_key, item_text, words)
+    return found.select(
+        F.col("key").alias(key), "found.n_words", "found.hits",
+        F.aggregate("found.hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"]).alias("n_hit"),
+        F.col("found.items").alias("items"))
+
+
+def _searched(own: DataFrame, counted: DataFrame, items: DataFrame, item_key: str, item_text: str, words: int) -> DataFrame:
+    """``own``, which has the text as ``body``, with ``found``, what all shards of the benchmark have found.
+
+    A shard's findings are stored before the next shard is brought to the driver, so however large the
+    benchmark is, one shard is held by the driver and by a task at any time.
+    """
+    out = None
+    for matcher in _matchers(counted, items, "body", item_key, item_text, words):
+        if out is None:
+            out = own.withColumn("found", _searcher(matcher)(F.col("body"), F.lit(None).cast(FOUND)))
+        else:
+            out = store(out, "found")
+            out = out.withColumn("found", _searcher(matcher)(F.col("body"), F.col("found")))
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
           words: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of any item occurs."""
-    found = None
-    for matcher in _matchers(docs, items, text, item_key, item_text, words):
-        found = _searcher(matcher)(F.col(text), F.lit(None).cast(FOUND) if found is None else found)
-    return docs.filter(F.size(found["hits"]) == 0)
+    own = docs.select(F.col(text).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
+    found = _searched(own, own.select("body"), items, item_key, item_text, words).filter(F.size("found.hits") == 0)
+    return found.select(*[F.col("body").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _searcher(matcher: Matcher):
