@@ -156,7 +156,7 @@ def _splitters(source: DataFrame, documents: int, anchor: int, parts: int) -> np
             rows = rows[mix(rows["token"] ^ rows["doc"].astype(np.uint64) ^ rows["at"]) % np.uint64(SAMPLE_STEP) == 0]
             yield pa.RecordBatch.from_pydict({"rows": pa.array([_pack(rows)], pa.binary())})
 
-    drawn = source.filter(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0).mapInArrow(draw, "rows binary").collect()
+    drawn = source.filter(F.pmod(F.xxhash64("doc", "copy"), F.lit(step)) == 0).mapInArrow(draw, "rows binary").collect()
     every = np.concatenate([_unpack(bytes(r.rows)) for r in drawn] or [np.empty(0, _RECORD)])
     every = every[multikey([every[k] for k in _ORDER])]
     return every[[len(every) * k // parts for k in range(1, parts)]] if len(every) else every
