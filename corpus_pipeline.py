@@ -39,9 +39,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and one row of that."""
+    """One document of each group whose word shingles are alike at 0.8 or more: the one with the smallest id, and one row of that."""
     common.prepare(spark)
-    return simhash.keep_one(docs, words=SHINGLE_WORDS)
+    return simhash.keep_one_similar(docs, words=SHINGLE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,93 @@ def test_shards_of_a_large_group_find_the_links_of_the_whole():
     for left, right in ((0, 0), (0, 1), (1, 1)):
         got += simhash._forest([r for r in own if r[2] in (left, right)], left, right, 4)
     assert brute_components(got) == brute_components(edges)
+
+
+def shingles(text, words=5):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    own = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return {tuple(own[i:i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_similar(rows):
+    """The rows that stay: of each group linked by a similarity of 0.8 or more that with the smallest key, then any one."""
+    sets = [shingles(t) for _, t in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group, kept = brute_components(edges), {}
+    for i, (k, _) in enumerate(rows):
+        kept.setdefault(group.get(i, i), []).append((k is None, k or 0, i))
+    return [rows[min(g)[2]] for g in kept.values()]
+
+
+def edited(rng, own, changes):
+    own = list(own)
+    for _ in range(changes):
+        own[rng.randrange(len(own))] = f"new{rng.randrange(10**9)}"
+    return own
+
+
+def test_similar_texts_are_found_in_every_band(spark):
+    rng = random.Random(4)
+    rows, pairs = [], []
+    for length in (60, 100, 300, 1000):
+        for k in range(150):
+            own = [f"w{rng.randrange(20000)}" for _ in range(length)]
+            # Each change takes up to five shingles away on both sides.
+            other = edited(rng, own, 1 + rng.randrange(max(1, length // 30)))
+            a, b = len(rows), len(rows) + 1
+            rows += [(a, " ".join(own)), (b, " ".join(other))]
+            pairs.append((a, b, jaccard(shingles(rows[a][1]), shingles(rows[b][1]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one_similar(docs).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        own = [(a, b) for a, b, j in pairs if low <= j < high]
+        assert len(own) >= 30
+        found = sum(b not in kept for _, b in own) / len(own)
+        print(low, len(own), found)
+        assert found >= 0.97
+    assert all(a in kept for a, _, _ in pairs)
+    assert all(b in kept for _, b, j in pairs if j < 0.8)
+
+
+def test_one_row_of_each_similar_group_stays(spark, messy, empty, texts):
+    kept = simhash.keep_one_similar(messy)
+    assert kept.columns == messy.columns
+    rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert rows == sorted(brute_similar(MESSY), key=str)
+    assert simhash.keep_one_similar(empty).columns == empty.columns and simhash.keep_one_similar(empty).count() == 0
+
+
+def test_groups_in_several_shards_are_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 500)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 7)
+    rng = random.Random(5)
+    rows = []
+    for group in range(3):
+        own = [f"g{group}w{i}" for i in range(100)]
+        rows += [" ".join(edited(rng, own, 1)) for _ in range(40)] + [" ".join(own)] * 20
+    # A chain: neighbours are alike, its ends are not.
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(10):
+        rows.append(" ".join(chain))
+        chain[10 * k] = f"changed{k}"
+    rows = list(enumerate(rows)) + [(None, rows[0])] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one_similar(docs).collect()) == sorted(brute_similar(rows))
+    classes = simhash.similar(docs).groupBy("class").count().count()
+    assert classes == len(brute_similar(rows))
+
+
+def test_alike_is_exact():
+    rng = random.Random(6)
+    import numpy as np
+
+    for _ in range(300):
+        a = {rng.randrange(30) for _ in range(rng.randrange(30))}
+        b = {x for x in a if rng.random() < 0.9} | {rng.randrange(30) for _ in range(rng.randrange(4))}
+        if a and b:
+            want = 5 * len(a & b) >= 4 * len(a | b)
+            assert simhash.alike(np.array(sorted(a), np.uint64), np.array(sorted(b), np.uint64)) == want

@@ -77,15 +77,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
-def split_hot(rows: DataFrame, key: list[str], member: str, limit: int) -> DataFrame:
+def split_hot(rows: DataFrame, key: list[str], member: str, limit: int, weight: str | None = None) -> DataFrame:
     """Deal every group of ``key`` to tasks of at most about ``2 * limit`` rows that together see all pairs.
 
-    A group of more than ``limit`` rows is cut into shards by a hash of ``member``
-    and each pair of shards (a shard with itself too) becomes a task of its own.
+    A group of more than ``limit`` rows, or of more than ``limit`` in the sum of ``weight``, is cut into
+    shards by a hash of ``member`` and each pair of shards (a shard with itself too) becomes a task of its own.
     Adds ``left`` and ``right``, the pair, and ``shard``, the row's own. The table
     of hot keys has a row per ``limit`` rows at most.
     """
-    hot = rows.groupBy(*key).count().filter(F.col("count") > limit).select(
+    size = F.count("*") if weight is None else F.sum(weight)
+    hot = rows.groupBy(*key).agg(size.alias("count")).filter(F.col("count") > limit).select(
         *key, F.ceil(F.col("count") / limit).cast("int").alias("shards"))
     dealt = rows.join(hot, key, "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(member), F.col("shards")).cast("int"))

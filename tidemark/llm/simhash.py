@@ -9,6 +9,14 @@ equal fingerprints are one node throughout, and shards report a spanning forest
 instead of all their links, so neither copies nor large groups of near copies make
 quadratic output. A shard that grows beyond ``SHARD_ROWS`` is cut into several trees,
 each of which is searched by the whole shard.
+
+Similar texts (:func:`similar`) differ in more bits than bands can bear: at a shingle
+similarity of 0.8 about 10 of 64, at times 18, for which bands would be 3 bits wide. Their
+trees are therefore dealt by least shingle hashes: texts of similarity s have each of
+``DRAWS`` least hashes in common with probability s, however large the corpus is, so shards
+hold texts that share passages and nothing else. What the trees find within ``WIDE_RADIUS``
+falls into loose groups; within each, the trees are searched again and each pair found is
+verified by the exact Jaccard similarity of the shingle sets, unless the two are linked already.
 """
 
 from __future__ import annotations
@@ -18,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import common
-from tidemark.llm.hashing import LOWER
+from tidemark.llm.hashing import LOWER, NOT_SPACE, mix, signed, word_bounds, word_hashes
 from tidemark.session import store
 
 SHINGLE_WORDS = 4
@@ -29,6 +37,14 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of one tree; larger shards are cut into several trees.
 SHARD_ROWS = 4000
+#: Least similarity of texts, as a fraction, and the differing bits that fingerprints of such texts may show.
+SIMILARITY = (4, 5)
+SIMILAR_WORDS = 5
+WIDE_RADIUS = 18
+#: Least shingle hashes that deal a text to shards.
+DRAWS = 4
+#: Shingles of the sets that one tree of a loose group holds, 8 bytes each.
+GROUP_SHINGLES = 4 << 20
 
 _LOWER = LOWER.tobytes()
 
@@ -143,7 +159,12 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fingerprint", s).bitwiseAND((1 << w) - 1).alias("value"))
         for k, (s, w) in enumerate(_bands(radius))])).alias("at")
     rows = nodes.select("node", "fingerprint", bands).select("node", "fingerprint", "at.band", "at.value")
-    dealt = common.split_hot(rows, ["band", "value"], "node", SHARD_ROWS)
+    return _tree_links(rows, "band", radius)
+
+
+def _tree_links(rows: DataFrame, table: str, radius: int) -> DataFrame:
+    """Edges (a, b) that connect what ``radius`` links in each shard (``table``, value) of ``rows`` (node, fingerprint)."""
+    dealt = common.split_hot(rows, [table, "value"], "node", SHARD_ROWS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards arrive sorted; one is held at a time."""
@@ -163,7 +184,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 own.append((node, bits & (2**64 - 1), shard))
         yield from done()
 
-    key = ["band", "value", "left", "right"]
+    key = [table, "value", "left", "right"]
     return (dealt.select(*key, "shard", "node", "fingerprint").repartition(*key).sortWithinPartitions(*key)
             .mapInArrow(search, "a long, b long"))
 
@@ -199,10 +220,151 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     without, then the one with the smallest hash of its text; of repeated rows one.
     """
     found = near_duplicates(docs, key, text, radius, words)
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "mark")).alias("first")
     # One row per group, after combining on the map side.
-    chosen = found.groupBy("class").agg(first).select(
+    return _rows_of(docs, found.groupBy("class").agg(_first(key)), key, text)
+
+
+def _first(key: str) -> Column:
+    """Of rows with ``key`` and ``mark``: the smallest key, one with a key before one without, then the smallest mark."""
+    return F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "mark")).alias("first")
+
+
+def _rows_of(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``first`` of ``chosen`` names; of repeated rows one."""
+    chosen = chosen.select(
         F.coalesce("first.key", F.lit(-(2**63))).alias("kept key"), F.col("first.mark").alias("kept mark"))
     named = docs.withColumns({"kept key": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "kept mark": F.xxhash64(text)})
     names = ["kept key", "kept mark"]
     return named.join(chosen, names, "left_semi").dropDuplicates(names).drop(*names)
+
+
+def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its word shingles (fewer words: the whole sequence; none: empty)."""
+    data, offsets = common.utf8(column)
+    data = LOWER[data]
+    starts, ends = word_bounds(data, offsets, NOT_SPACE)
+    own = mix(word_hashes(data, starts, ends))
+    first = np.searchsorted(starts, offsets)
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist()):
+        width = min(words, high - low)
+        total = np.full(high - low - width + 1 if width else 0, width, np.uint64)
+        for k in range(width):
+            total = mix(total + own[low + k:high - width + 1 + k])
+        yield np.unique(total)
+
+
+def _least(shingles: np.ndarray) -> list[int]:
+    """The least hash of a set under each of ``DRAWS`` orders; none of an empty set."""
+    orders = np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [int(signed(mix(shingles ^ o).min(keepdims=True))[0]) for o in orders] if len(shingles) else []
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """Of ``rows`` (key, mark, body): (key, mark, node, fingerprint, least), ``node`` a hash of the shingle set."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            nodes, prints, least = [], [], []
+            for own in shingle_sets(batch.column(2), words):
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                prints.append(majority(own))
+                least.append(_least(own))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(signed(np.array(nodes, np.uint64))),
+                 pa.array(signed(np.array(prints, np.uint64))), pa.array(least, pa.list_(pa.int64()))],
+                ["key", "mark", "node", "fingerprint", "least"])
+
+    return rows.mapInArrow(sketch, "key long, mark long, node long, fingerprint long, least array<long>")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of ``SIMILARITY`` or more."""
+    top, bottom = SIMILARITY
+    small, large = sorted((a, b), key=len)
+    if len(small) * bottom < len(large) * top:
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both * bottom >= (len(a) + len(b) - both) * top
+
+
+def _similar_forest(own: list[tuple[int, int, int, np.ndarray]], left: int, right: int) -> list[tuple[int, int]]:
+    """As :func:`_forest`, of (node, value, shard, set); a pair that the tree finds is a link if the sets are alike."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = up = parent.get(up, up)
+            x = up
+        return x
+
+    tree, held = Tree(), []
+    for node, value, shard, mine in sorted(own, key=lambda r: (r[2], r[0])):
+        if left == right or shard == right:
+            near = tree.near(value, WIDE_RADIUS)
+            # The nearest first: who is linked to a whole group at once needs no other comparison with it.
+            for at in sorted(near, key=lambda i: (tree.values[i] ^ value).bit_count()):
+                a, b = root(node), root(held[at][0])
+                if a != b and alike(mine, held[at][1]):
+                    parent[max(a, b)] = min(a, b)
+        if left == right or shard == left:
+            tree.add(value)
+            held.append((node, mine))
+    return [(node, low) for node, *_ in own if (low := root(node)) != node]
+
+
+def _verified(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the alike ones of each group of ``sets`` (component, node, fingerprint, size, shingles)."""
+    key = ["component", "left", "right"]
+    dealt = common.split_hot(sets, ["component"], "node", GROUP_SHINGLES, "size")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.grouped((b for batch in batches for b in common.slices([batch])), len(key)):
+            own = [(node, bits & (2**64 - 1), shard, np.frombuffer(own, np.uint64)) for shard, node, bits, own in zip(
+                *(part.column(c).to_pylist() for c in ("shard", "node", "fingerprint", "shingles")))]
+            found = _similar_forest(own, part.column("left")[0].as_py(), part.column("right")[0].as_py())
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
+
+    return (dealt.select(*key, "shard", "node", "fingerprint", "shingles").repartition(*key).sortWithinPartitions(*key)
+            .mapInArrow(search, "a long, b long"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
+    """The distinct shingle sets of ``docs``: ``node``, ``class`` and ``first``.
+
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of
+    ``SIMILARITY`` or more; ``class`` names what links connect. Fingerprints here are of the
+    distinct shingles, as the similarity is. ``first`` is the struct (none, key, mark) of
+    the set's row with the smallest key, ``mark`` a hash of its text. Null and empty texts and those
+    without words share the empty set, which is like itself alone; repeated rows
+    share theirs; a null key comes after all others; an empty table gives no rows. Other columns are not read.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("body"))
+    nodes = store(_sketches(rows, words).groupBy("node").agg(
+        _first("key"), F.first("fingerprint").alias("fingerprint"), F.first("least").alias("least")), "sets")
+    dealt = nodes.select("node", "fingerprint", F.posexplode("least").alias("draw", "value"))
+    loose = common.components(_tree_links(dealt, "draw", WIDE_RADIUS))
+
+    # The sets of grouped texts only, made again from one row of each.
+    wanted = store(loose.join(nodes, "node").select(
+        "component", "node", "fingerprint", F.col("first.key").alias("k"), F.col("first.mark").alias("m")), "grouped")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            own = list(shingle_sets(batch.column(3), words))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
+                ["component", "node", "fingerprint", "size", "shingles"])
+
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))
+    sets = rows.join(wanted, same).select("component", "node", "fingerprint", "body").mapInArrow(
+        expand, "component long, node long, fingerprint long, size long, shingles binary").dropDuplicates(["node"])
+    merged = common.components(_verified(store(sets, "shingles")))
+    return nodes.join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "first")
+
+
+def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their groups of :func:`similar` texts; chosen
+    as :func:`keep_one` does."""
+    return _rows_of(docs, similar(docs, key, text, words).groupBy("class").agg(F.min("first").alias("first")), key, text)
