@@ -174,9 +174,12 @@ def test_alike_is_exact():
     rng = random.Random(6)
     import numpy as np
 
-    for _ in range(300):
-        a = {rng.randrange(30) for _ in range(rng.randrange(30))}
-        b = {x for x in a if rng.random() < 0.9} | {rng.randrange(30) for _ in range(rng.randrange(4))}
-        if a and b:
-            want = 5 * len(a & b) >= 4 * len(a | b)
-            assert simhash.alike(np.array(sorted(a), np.uint64), np.array(sorted(b), np.uint64)) == want
+    sets = []
+    for _ in range(100):
+        a = {rng.randrange(60) for _ in range(1 + rng.randrange(40))}
+        sets += [a, {x for x in a if rng.random() < 0.9} | {rng.randrange(60) for _ in range(1 + rng.randrange(3))}]
+    group = simhash.Alike([np.array(sorted(s), np.uint64) for s in sets])
+    for i, a in enumerate(sets):
+        want = [j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)]
+        assert group.among(i, np.arange(len(sets))).tolist() == want
+    assert group.among(0, np.empty(0, np.int64)).tolist() == []

@@ -277,40 +277,63 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(sketch, "key long, mark long, node long, fingerprint long, least array<long>")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, sorted, have a Jaccard similarity of ``SIMILARITY`` or more."""
-    top, bottom = SIMILARITY
-    small, large = sorted((a, b), key=len)
-    if len(small) * bottom < len(large) * top:
-        return False
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    both = int((large[at] == small).sum())
-    return both * bottom >= (len(a) + len(b) - both) * top
+class Alike:
+    """Tells for a group of sets, sorted arrays each, which have a Jaccard similarity of ``SIMILARITY`` or more."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        every, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(at, np.cumsum(self.sizes)[:-1])
+        self.own = np.zeros(len(every), bool)
+
+    def among(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that are like ``one``, all counted at once; sets are not empty."""
+        top, bottom = SIMILARITY
+        n, sizes = self.sizes[one], self.sizes[others]
+        able = np.minimum(n, sizes) * bottom >= np.maximum(n, sizes) * top
+        others, sizes = others[able], sizes[able]
+        if not len(others):
+            return others
+        self.own[self.sets[one]] = True
+        hits = self.own[np.concatenate([self.sets[k] for k in others.tolist()])]
+        self.own[self.sets[one]] = False
+        both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return others[both * bottom >= (n + sizes - both) * top]
 
 
 def _similar_forest(own: list[tuple[int, int, int, np.ndarray]], left: int, right: int) -> list[tuple[int, int]]:
     """As :func:`_forest`, of (node, value, shard, set); a pair that the tree finds is a link if the sets are alike."""
-    parent: dict[int, int] = {}
+    own = sorted(own, key=lambda r: (r[2], r[0]))
+    alike, values = Alike([r[3] for r in own]), np.array([r[1] for r in own], np.uint64)
+    parent = list(range(len(own)))
 
     def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = up = parent.get(up, up)
+        while (up := parent[x]) != x:
+            parent[x] = up = parent[up]
             x = up
         return x
 
     tree, held = Tree(), []
-    for node, value, shard, mine in sorted(own, key=lambda r: (r[2], r[0])):
+    for i, (_, value, shard, _) in enumerate(own):
         if left == right or shard == right:
-            near = tree.near(value, WIDE_RADIUS)
-            # The nearest first: who is linked to a whole group at once needs no other comparison with it.
-            for at in sorted(near, key=lambda i: (tree.values[i] ^ value).bit_count()):
-                a, b = root(node), root(held[at][0])
-                if a != b and alike(mine, held[at][1]):
+            near = np.array([held[at] for at in tree.near(value, WIDE_RADIUS)], np.int64)
+            near = near[np.argsort(np.bitwise_count(values[near] ^ values[i]), kind="stable")]
+            # The nearest first, then more and more: who is linked to a whole group needs no other comparison with it.
+            some = 1
+            while len(near):
+                for k in alike.among(i, near[:some]).tolist():
+                    a, b = root(i), root(k)
                     parent[max(a, b)] = min(a, b)
+                near, mine, some = near[some:], root(i), 4 * some
+                near = near[np.fromiter((root(k) != mine for k in near.tolist()), bool, len(near))]
         if left == right or shard == left:
             tree.add(value)
-            held.append((node, mine))
-    return [(node, low) for node, *_ in own if (low := root(node)) != node]
+            held.append(i)
+    # The least node of each tree of the forest, as edges run from a node to a smaller one.
+    least: dict[int, int] = {}
+    for i, r in enumerate(own):
+        least[root(i)] = min(r[0], least.get(root(i), r[0]))
+    return [(r[0], low) for i, r in enumerate(own) if (low := least[root(i)]) != r[0]]
 
 
 def _verified(sets: DataFrame) -> DataFrame:
