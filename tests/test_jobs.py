@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import canonical, signals, vote
-from tidemark.plans import jobs
+from tidemark.plans import jobs, queries_sources
 from tidemark.session import scratch
 from tidemark.sources import bars, events
 from tidemark.streaming.revote import revote_new_bars, touched_bars
 
+SF = "/root/testdata/sf0.001"
 INPUT = "symbol string, ts date, open double, high double, low double, close double, volume double"
 
 
@@ -190,6 +191,44 @@ def test_packed_documents_load_like_their_files(spark, house, tmp_path):
         "loaded", "empty", "failed"}
 
 
+def test_bundled_documents_load_like_their_files(spark, house, tmp_path):
+    def facts(cik, n):
+        entries = [{"end": "2019-12-31", "val": v, "accn": "é", "fy": 2019, "form": "10-K", "filed": "2020-02-01"} for v in range(n)]
+        return json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": entries}}}}}, indent=1)
+
+    texts = {f"{i}.json": "{broken" if i % 20 == 19 else facts(i, i % 4) for i in range(60)}
+    folder, bundles = tmp_path / "facts", tmp_path / "bundles" / "2020"
+    folder.mkdir()
+    bundles.mkdir(parents=True)
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    for k in range(2):
+        lines = [json.dumps({"document": n, "payload": t}) for i, (n, t) in enumerate(texts.items()) if i % 2 == k]
+        # A member cut short, an empty line, and a document without a name.
+        lines += ['{"document": "cut.json", "payl', "", json.dumps(json.loads(facts(100, 3)))] if k else []
+        (bundles / f"{k}.json").write_text("\n".join(lines))
+    archive = jobs.pack_documents(spark, str(tmp_path / "bundles"), house.path("archive"), bundled=True)
+    assert archive.count() == 62
+    got = {r["document"].rsplit("/", 1)[-1]: tuple(r)[1:] for r in jobs.load_facts(spark, house, house.path("archive"), packed=True).collect()}
+    one = jobs.Warehouse(scratch(spark, "files"))
+    files = {r["document"].rsplit("/", 1)[-1]: tuple(r)[1:] for r in jobs.load_facts(spark, one, str(folder)).collect()}
+    assert {n: got[n] for n in texts} == files
+    assert sorted(v for n, v in got.items() if n not in texts) == [(0, 0, "failed"), (3, 0, "loaded")]
+    key = ["cik", "tag", "end", "val", "accn"]
+    assert sorted(map(tuple, house.facts(spark).filter("cik < 100").select(key).collect())) == sorted(
+        map(tuple, one.facts(spark).select(key).collect()))
+
+
+def test_bulk_load_writes_no_file_per_document(spark, monkeypatch):
+    folders = []
+    pack = jobs.pack_documents
+    monkeypatch.setattr(jobs, "pack_documents", lambda s, path, *a, **k: folders.append(path) or pack(s, path, *a, **k))
+    documents = queries_sources.company_documents(spark, SF).count()
+    queries_sources.job_load_facts(spark, SF)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders[0]).count()
+    assert 0 < files <= 4 < documents
+
+
 def test_calibration_from_stored_tables(spark, house, rows):
     names = [f"S{i:02d}" for i in range(20)]
     ends = [dt.date(2020, m, 28) for m in range(1, 7)]

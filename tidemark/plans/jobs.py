@@ -244,15 +244,28 @@ def calibration_run(
 _PACKED = "document string, payload string"
 
 
-def pack_documents(spark: SparkSession, path: str, archive: str) -> DataFrame:
+def pack_documents(spark: SparkSession, path: str, archive: str, bundled: bool = False) -> DataFrame:
     """Put the documents of a folder, a file each, into an archive of (document, payload); returns it.
 
     The files are listed and opened once; loads then read a few large files that
     split evenly, however many documents there are. Packing another folder adds to
     the archive. Documents keep the name of their file.
+
+    With ``bundled`` the folder holds a bulk download instead: files of many members, a
+    JSON object ``{"document": name, "payload": text}`` a line. Such files are split like
+    any text, so the cost follows their bytes and not the number of documents. A line
+    without a payload is kept as a document of its own, which a load accepts or rejects.
     """
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    append(text.select(F.input_file_name().alias("document"), F.col("value").alias("payload")), archive)
+    if bundled:
+        lines = spark.read.text(path, recursiveFileLookup=True).filter(F.trim("value") != "")
+        member = F.from_json("value", _PACKED)
+        texts = lines.withColumn("m", member).select(
+            F.coalesce("m.document", F.concat_ws("#", F.input_file_name(), F.sha2("value", 256))).alias("document"),
+            F.coalesce("m.payload", "value").alias("payload"))
+    else:
+        text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        texts = text.select(F.input_file_name().alias("document"), F.col("value").alias("payload"))
+    append(texts, archive)
     return spark.read.schema(_PACKED).parquet(archive)
 
 

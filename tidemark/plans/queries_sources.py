@@ -308,11 +308,11 @@ def load_summary(spark, sf_dir):
     return filings.load_summary(filings.fact_entries(documents, every=True), "document").withColumnRenamed("document", "cik")
 
 
-def _landed_files(documents: DataFrame, label: str) -> str:
-    """Documents (name, payload) as text files, one each, under a folder that is returned."""
+def _landed_bundles(documents: DataFrame, label: str) -> str:
+    """Documents (cik, payload) as a bulk download, files of many members each, under a folder that is returned."""
     folder = scratch(documents.sparkSession, label)
-    # Tasks move their own files into place, instead of the driver all of them.
-    documents.write.partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+    member = F.concat(F.lit("CIK"), F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit(".json"))
+    documents.select(member.alias("document"), "payload").write.json(folder)
     return folder
 
 
@@ -321,11 +321,15 @@ SELECT cik, tag, start, "end", val, filed, rows, skipped FROM (
   SELECT cik, 'TOTAL' AS tag, CASE WHEN quarter("end") <> 2 THEN start END AS start, "end", val, filed FROM facts_t WHERE year("end") <> 1997 AND cik > 0)
 CROSS JOIN (SELECT count(*) FILTER (cik > 0 AND year("end") <> 1997) AS rows, count(*) FILTER (cik = 0 OR year("end") = 1997) AS skipped FROM facts_t)""")
 def job_load_facts(spark, sf_dir):
-    """Company-facts files packed and loaded twice, read back by tag, with the summary of the second load."""
+    """A bulk download of company facts packed and loaded twice, read back by tag, with the summary of the second load.
+
+    The documents land as in the vendor's bulk archive, many members a file. A folder of a file per document
+    is for :func:`jobs.pack_documents` without ``bundled``.
+    """
     house = _house(spark, "facts")
-    files = _landed_files(company_documents(spark, sf_dir).withColumnRenamed("cik", "name"), "facts-files")
+    bundles = _landed_bundles(company_documents(spark, sf_dir), "facts-bundles")
     archive = house.path("facts-archive")
-    jobs.pack_documents(spark, files, archive)
+    jobs.pack_documents(spark, bundles, archive, bundled=True)
     jobs.load_facts(spark, house, archive, packed=True)
     total = jobs.load_facts(spark, house, archive, packed=True).agg(F.sum("rows"), F.sum("skipped")).first()
     facts = house.facts(spark).filter("tag = 'TOTAL'").select("cik", "tag", "start", "end", "val", "filed")
