@@ -95,6 +95,23 @@ def test_tables_written_otherwise_are_ranked(spark, house):
     assert current(house, spark, None, dt.date(2020, 1, 15)) == []
 
 
+def test_a_merge_reads_and_ranks_its_rows_once(spark, house):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(form):
+        seen.add(1)
+        return form
+
+    def load(n, at):
+        rows = batch(spark, [(i, "a", "10-K", dt.date(2020, 1 + i % 3, 1), "x") for i in range(n)], at)
+        house.current_filings().merge(rows.withColumn("form", F.udf(count, "string")("form")))
+
+    load(30, 1)
+    assert seen.value == 30
+    load(40, 2)  # ten are new
+    assert seen.value == 70 and len(current(house, spark)) == 40
+
+
 def test_a_merge_that_fails_is_not_seen(spark, house):
     jobs.store_filings(house, batch(spark, [(1, "a", "10-K", dt.date(2020, 1, 1), "x")], 1))
     bad = batch(spark, [(2, "b", "10-K", dt.date(2020, 1, 2), "x")], 2).withColumn("form", F.raise_error(F.lit("lost")).cast("string"))

@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import store
 from tidemark.sources.tables import newest_wins
 
 _LIST = "version bigint, month date, folder string"
@@ -72,8 +73,7 @@ class CurrentTable:
         """Take in ``rows``, which may repeat keys; a month is written again only if one of its rows changes.
 
         Rows equal to the current one but for the stamps change nothing, so a document that
-        repeats a filer's history costs a look at its keys and the months of what is new. ``rows``
-        is read several times: give a stored frame.
+        repeats a filer's history costs a look at its keys and the months of what is new.
         """
         spark = rows.sparkSession
         version, months = self.months(spark)
@@ -81,17 +81,22 @@ class CurrentTable:
         told = [c for c in names if c not in self.stamps]
         now = self._scan(spark, months)
         best = newest_wins(rows.select(names), self.key, self.newest)
-        changed = best.alias("n").join(now.select(told).alias("c"), reduce(
-            and_, (F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in told)), "left_anti")
+        # Ranked and compared once; the months, the rewrite and its range bounds are taken from the stored result.
+        changed = store(best.alias("n").join(now.select(told).alias("c"), reduce(
+            and_, (F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in told)), "left_anti") if months else best, "changed")
         month = F.trunc(self.by, "MM")
-        left = now.select(*self.key, month.alias("_month")).join(changed.select(self.key), self.key, "left_semi").select("_month")
-        touched = sorted(r[0] for r in changed.select(month.alias("_month")).union(left).distinct().collect())  # months
+        gained = changed.select(month.alias("_month"))
+        if months:
+            left = now.select(*self.key, month.alias("_month")).join(changed.select(self.key), self.key, "left_semi").select("_month")
+            gained = gained.union(left)
+        touched = sorted(r[0] for r in gained.distinct().collect())  # months
         if not touched:
             if not version:
                 self._publish(spark, 1, {})
             return
-        kept = self._scan(spark, {m: f for m, f in months.items() if m in set(touched)})
-        merged = newest_wins(kept.unionByName(changed), self.key, self.newest)
+        kept = {m: f for m, f in months.items() if m in set(touched)}
+        # Keys of new rows are unique already: only kept rows can compete with them.
+        merged = newest_wins(self._scan(spark, kept).unionByName(changed), self.key, self.newest) if kept else changed
         folder = f"rows/{version + 1:09d}-{uuid.uuid4().hex[:8]}"
         (merged.withColumn("_month", F.date_format(self.by, "yyyy-MM")).repartitionByRange("_month", self.by, *self.key)
          .sortWithinPartitions("_month", self.by, *self.key).write.partitionBy("_month").parquet(f"{self.path}/{folder}"))
