@@ -229,6 +229,26 @@ def test_bulk_load_writes_no_file_per_document(spark, monkeypatch):
     assert 0 < files <= 4 < documents
 
 
+def test_calibration_runs_its_signal_once(spark, house):
+    ends = [dt.date(2020, m, 28) for m in range(1, 7)]
+    data = [(f"S{i:02d}", d, 100.0 + i * (1 + j % 2), src) for i in range(20) for j, d in enumerate(ends) for src in ("x", "y")]
+    jobs.write_verdicts(vote.ballots(spark.createDataFrame(data, "symbol string, ts date, close double, source string")), house, "b1")
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(symbol):
+        seen.add(1)
+        return float(symbol[1:])
+
+    def rank(panel, asofs):
+        last = panel.join(F.broadcast(asofs), panel.ts == asofs.asof)
+        return signals.finalise(last.withColumn("score", F.udf(score, "double")("symbol")))
+
+    published = spark.createDataFrame([(dt.date(2020, m, 1), 0.01 * m) for m in range(2, 7)], "month date, ret double")
+    report = jobs.calibration_run(spark, house, "Rank", rank, published, "2020-01-01", "2020-06-30")
+    ran, row = seen.value, report.first()
+    assert row["n_months"] == 5 and 0 < ran == seen.value
+
+
 def test_calibration_from_stored_tables(spark, house, rows):
     names = [f"S{i:02d}" for i in range(20)]
     ends = [dt.date(2020, m, 28) for m in range(1, 7)]

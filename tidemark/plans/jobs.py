@@ -224,16 +224,20 @@ def calibration_run(
     first, last = as_date(start, "start"), as_date(end, "end")
     if first > last:
         raise ValueError(f"start {first} is after end {last}")
-    verdicts = house.verdicts(spark)
-    closes = canonical.read_canonical(verdicts, start=first, end=last, **read_options)
-    panel = canonical.canonical_panel(verdicts, end=last, **read_options)
+    # The newest verdicts are ranked once, for the closes and the panel; the closes also give the calendar.
+    ranking = {k: read_options.pop(k) for k in ("newest",) if k in read_options}
+    sources = {k: read_options[k] for k in ("min_sources",) if k in read_options}
+    verdicts = store(canonical.vetted(house.verdicts(spark), end=last, **sources, **ranking), "vetted")
+    closes = store(canonical.read_canonical(verdicts, start=first, end=last, newest=None, **read_options), "closes")
+    panel = canonical.canonical_panel(verdicts, end=last, newest=None, **read_options)
     asofs = holds(trading_days(closes)).select(F.col("formed").alias("asof"))
     names = None if universe_panel is None else universe_panel(panel, asofs)
     dividends = read_dividends(house.dividends(spark), house.splits(spark), start=first, end=last)
     series = longshort.monthly_longshort(closes, signal(panel, asofs), n_buckets, names, dividends)
     if cut is not None:
         series = series.filter(F.col("month") <= F.lit(as_date(cut, "cut")))
-    report = statistics.calibration_report(series, published, anomaly)
+    # One row, logged and returned: the study runs once for both.
+    report = store(statistics.calibration_report(series, published, anomaly), "report")
     if log:
         window = report.select("*", F.lit(first.isoformat()).alias("start"), F.lit(last.isoformat()).alias("end"),
                                F.lit(source).alias("source"))
