@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -405,8 +406,8 @@ def forecast_scores(spark, sf_dir):
 SELECT 'mean square' AS forecaster, symbol, step, {R('pred', 9)} AS pred FROM p""")
 def custom_forecasts(spark, sf_dir):
     def mean_square(context: pd.DataFrame) -> float:
-        logs = context["close"].map(math.log).diff().dropna()
-        return float(math.sqrt(252 * (logs**2).mean()))
+        logs = np.diff(np.log(context["close"].to_numpy()))
+        return float(math.sqrt(252 * np.mean(logs * logs)))
 
     return rounded(volatility.custom_forecasts(_walk_bars(spark, sf_dir), "mean square", mean_square, _W, _H), 9)
 
